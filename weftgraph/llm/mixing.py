@@ -4,8 +4,8 @@ Each source's target (water-filled under the cap) over its size is the expected
 documents. The whole part is taken outright; the fractional part is an inclusion probability that the cube method
 turns into 0 or 1 while it keeps, exactly, the expected number of documents and of tokens: a move along the null
 space of the two balancing constraints over three undecided documents settles at least one of them. Tasks run the
-flight over blocks of a source and leave two undecided documents at most; these meet again in coarser blocks, and
-the last two of a source land.
+flight over blocks of a source and leave a handful of undecided documents; these meet again in coarser blocks. What
+is left of a source lands as the subset that misses the expected tokens least.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from ..staging import stage
 
 #: Documents a block has on average, and blocks that meet in one coarser block.
-BLOCK_DOCS, FAN_IN = 4096, 1024
+BLOCK_DOCS, FAN_IN = 4096, 256
+#: Undecided documents that a block leaves at most; the landing tries all their subsets.
+LANDING = 12
 
 _NEAR = 1e-9
 
@@ -53,7 +56,7 @@ def _chance(*values: object) -> float:
 
 
 class Flight:
-    """Undecided documents of one block, three at most; ``add`` settles one whenever a third comes."""
+    """Undecided documents of one block, ``LANDING`` at most; ``add`` moves three of them whenever one more comes."""
 
     def __init__(self) -> None:
         self.open: list[list] = []
@@ -63,28 +66,29 @@ class Flight:
             return [(row, round(p))]
         self.open.append([row, p, size])
         done: list = []
-        if len(self.open) == 3:
-            a, b, c = (x[2] for x in self.open)
-            self._move((b - c, c - a, a - b) if not a == b == c else (1.0, -1.0, 0.0), done)
+        while len(self.open) > LANDING:
+            three, rest = self.open[:3], self.open[3:]
+            a, b, c = (x[2] for x in three)
+            u = (b - c, c - a, a - b) if not a == b == c else (1.0, -1.0, 0.0)
+            up = min(((1 - x[1]) if k > 0 else x[1]) / abs(k) for x, k in zip(three, u, strict=True) if k)
+            down = min((x[1] if k > 0 else (1 - x[1])) / abs(k) for x, k in zip(three, u, strict=True) if k)
+            step = up if _chance(*[x[0][0] for x in three]) * (up + down) < down else -down
+            for x, k in zip(three, u, strict=True):
+                x[1] += step * k
+            done += [(x[0], round(x[1])) for x in three if x[1] <= _NEAR or x[1] >= 1 - _NEAR]
+            self.open = [x for x in three if _NEAR < x[1] < 1 - _NEAR] + rest
         return done
 
-    def _move(self, u: tuple[float, ...], done: list) -> None:
-        up = min(((1 - x[1]) if k > 0 else x[1]) / abs(k) for x, k in zip(self.open, u, strict=True) if k)
-        down = min((x[1] if k > 0 else (1 - x[1])) / abs(k) for x, k in zip(self.open, u, strict=True) if k)
-        step = up if _chance(*[x[0][0] for x in self.open], len(self.open)) * (up + down) < down else -down
-        for x, k in zip(self.open, u, strict=True):
-            x[1] += step * k
-        done += [(x[0], round(x[1])) for x in self.open if x[1] <= _NEAR or x[1] >= 1 - _NEAR]
-        self.open = [x for x in self.open if _NEAR < x[1] < 1 - _NEAR]
-
     def land(self) -> list[tuple[tuple, float]]:
-        """Settle the last ones: the count is given up first, the sum of sizes last."""
-        done: list = []
-        if len(self.open) == 2:
-            a, b = self.open[0][2], self.open[1][2]
-            self._move((b, -a) if a and b else (1.0, -1.0), done)
-        for row, p, _ in self.open:
-            done.append((row, float(_chance(row[0], "land") < p)))
+        """Settle the last ones: of all their subsets, that whose tokens, then count, come nearest the expected."""
+        if not self.open:
+            return []
+        n = len(self.open)
+        p, size = (np.array([x[k] for x in self.open]) for k in (1, 2))
+        subsets = np.arange(1 << n)[:, None] >> np.arange(n) & 1
+        off = np.abs(subsets @ size - p @ size)
+        best = np.lexsort((np.abs(subsets.sum(axis=1) - p.sum()), np.round(off)))[0]
+        done = [(x[0], float(k)) for x, k in zip(self.open, subsets[best], strict=True)]
         self.open = []
         return done
 
@@ -122,8 +126,8 @@ def mix_sources(
 ) -> DataFrame:
     """How often the mix takes each document: doc_id, size (words), source_size, target, taken (words), copies.
 
-    Words are ``[^\\x20\\x09-\\x0D]+``. Each source's sum of ``taken`` differs from its target by about the size of
-    its smallest documents at most. Nulls: a null text has no words, a null source is a source of its own (the
+    Words are ``[^\\x20\\x09-\\x0D]+``. Each source's sum of ``taken`` misses its target by what the best of
+    the last subsets leaves, a few words for all but tiny sources. Nulls: a null text has no words, a null source is a source of its own (the
     last), a null id stays null. Documents without words are taken 0 times. Equal rows are decided each; choices
     depend on the rows alone, so reruns and other partitionings agree. Empty tables give empty results.
     """
@@ -149,7 +153,7 @@ def mix_sources(
     blocks, parts = -(-most // BLOCK_DOCS), []
     while True:
         last = blocks <= 1
-        order = ["source", "block", F.desc("size"), F.xxhash64("doc_id"), "doc_id", "p"]
+        order = ["source", "block", F.xxhash64("doc_id", "size"), "doc_id", "size", "p"]
         flown = rows.repartition("source", "block").sortWithinPartitions(*order).mapInArrow(_fly(last), kind)
         if last:
             parts.append(flown)
