@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .langid import fit_languages, fold, identify_languages
 from .mixing import mix_sources
 from .packing import pack_documents
+from .quality import fit_quality, judge_quality
 from .sharding import shard_documents
+from .toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +33,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return judge_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 16)
 
@@ -41,10 +50,27 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    scored = score_toxicity(docs, fit_toxicity(docs.where(fold("doc_id", 5) != 0), labels))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit_languages(docs.where(fold("doc_id", 4) != 2))
+    found = identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_quality": op2_quality,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
+    "op9_langid": op9_langid,
 }
 
 #: None of these can be expressed in SQL that DuckDB runs: tests hold them against brute force.
