@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard import jaccard_components
 from .langid import fit_languages, fold, identify_languages
+from .licenses import scan_licenses
+from .media import media_columns
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import fit_quality, judge_quality
@@ -38,6 +41,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), 16)
 
@@ -57,6 +64,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), 90)
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit_languages(docs.where(fold("doc_id", 4) != 2))
@@ -64,13 +75,20 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(documents(spark, sf_dir)).drop("shard")
+
+
 QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
     "op4_sharding": op4_sharding,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_jaccard": op8_jaccard,
     "op9_langid": op9_langid,
+    "op10_media": op10_media,
 }
 
 #: None of these can be expressed in SQL that DuckDB runs: tests hold them against brute force.

@@ -63,10 +63,10 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array, limit: int = 1 << 20, most: int = 1 << 30) -> Iterator[Chunk]:
     """Runs of rows of a string column with about ``limit`` bytes: first row, last row + 1, bytes, offsets.
 
-    A null counts as an empty text; a text longer than the limit is a run of its own.
+    A run has ``most`` rows at most. A null counts as an empty text; a text longer than the limit is a run of its own.
     """
     column = column.cast(pa.large_string()) if isinstance(column, pa.ChunkedArray) or not pa.types.is_large_string(column.type) else column
     if isinstance(column, pa.ChunkedArray):
@@ -82,7 +82,7 @@ def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
     first = 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(n, max(first + 1, last))
+        last = min(n, max(first + 1, last), first + most)
         yield first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
