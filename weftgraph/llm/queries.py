@@ -14,6 +14,7 @@ from .media import media_columns
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import fit_quality, judge_quality
+from .repeats import cut_repeats
 from .sharding import shard_documents
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -36,6 +37,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut_repeats(documents(spark, sf_dir).select("doc_id", "text"), 200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return judge_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -80,6 +86,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_repeats": op1_repeats,
     "op2_quality": op2_quality,
     "op3_licenses": op3_licenses,
     "op4_sharding": op4_sharding,
