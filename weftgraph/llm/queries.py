@@ -25,9 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table; batches to Python stay small, since one text may be very long."""
+def small_batches(spark: SparkSession) -> None:
+    """Batches to Python hold few rows, since one text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return table(spark, sf_dir, "documents")
 
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from ..staging import stage
 from .textbatch import TABLE_A, TABLE_B, chunks, mix, prefix_hash, span_hash
@@ -287,40 +287,43 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     return marks.distinct()
 
 
-def _apply(schema_names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            removed, runs, kept = [], [], []
-            for text, spans in zip(b.column("text_").to_pylist(), b.column("spans_").to_pylist(), strict=True):
-                raw = np.frombuffer((text or "").encode(), np.uint8)
-                change = np.zeros(len(raw) + 1, np.int64)
-                for x in spans or ():
-                    change[x["s"]] += 1
-                    change[x["e"]] -= 1
-                gone = np.cumsum(change[:-1]) > 0
-                removed.append(int(gone.sum()))
-                runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0)
-                kept.append(raw[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in schema_names), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=[*schema_names, "n_removed", "n_spans", "kept"])
-
-    return run
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left of each text without its spans."""
+    for b in batches:
+        removed, runs, kept, said = [], [], [], []
+        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            raw = np.frombuffer((text or "").encode(), np.uint8)
+            change = np.zeros(len(raw) + 1, np.int64)
+            for x in spans or ():
+                change[x["s"]] += 1
+                change[x["e"]] -= 1
+            gone = np.cumsum(change[:-1]) > 0
+            removed.append(int(gone.sum()))
+            runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0)
+            kept.append(raw[~gone].tobytes())
+            said.append(kept[-1].decode(errors="ignore"))
+        columns = [b.column("row"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(said, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "n_removed", "n_spans", "kept", "kept_text"])
 
 
 def cut_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> DataFrame:
-    """All rows with n_bytes, n_removed, n_spans and kept (the bytes that are left).
+    """All rows with n_bytes, n_removed, n_spans, kept (the bytes that are left) and kept_text.
+
+    kept_text is kept without the bytes of characters that a cut has broken.
 
     Every row is a document of its own, repeated rows included, so a text of ``length`` bytes or more that two rows hold goes
     altogether. Nulls: a null text is an empty one, with nothing to remove; other columns may hold anything. Columns
     of ``docs`` that have one of the new names are replaced. An empty table gives no rows. Texts are known by 64-bit keys.
     """
-    own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "key_", "text_", "spans_")]
-    key = F.xxhash64(F.col(text_col))
+    own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "kept_text")]
+    row, key = F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.xxhash64(F.col(text_col))
     texts = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text"))
     spans = stage(repeated_spans(texts, length), "spans")
-    flagged = _marked_texts(docs.select(*own, key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")), spans.select("key"))
-    clean = flagged.where("not may").select(*own, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.encode("text_", "UTF-8").alias("kept"))
-    by_text = spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans_"))
-    struck = flagged.where("may").join(by_text, "key", "left").select(*own, "text_", "spans_")
-    kind = StructType([*docs.select(*own).schema.fields, StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept", BinaryType())])
-    done = clean.unionByName(struck.mapInArrow(_apply(own), kind))
-    return done.select(*own, (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept")
+    flagged = _marked_texts(docs.select(row, key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), spans.select("key"))
+    none = F.lit(0).cast("long")
+    clean = flagged.where("not may").select("row", none.alias("n_removed"), none.alias("n_spans"), F.encode("text", "UTF-8").alias("kept"), F.col("text").alias("kept_text"))
+    by_text = spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    struck = flagged.where("may").join(by_text, "key", "left").select("row", "text", "spans")
+    kind = StructType([struck.schema["row"], *(StructField(k, t) for k, t in (("n_removed", LongType()), ("n_spans", LongType()), ("kept", BinaryType()), ("kept_text", StringType())))])
+    done = clean.unionByName(struck.mapInArrow(_apply, kind))
+    return done.select("row.*", (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept", "kept_text")
