@@ -1 +1,6 @@
-"""Part of the weftgraph engine; see README.md for the map of modules."""
+"""Registered queries: importing this package registers them all."""
+
+from . import graph_queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "graph_queries"]
