@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..schemas import NEGATIONS, STAGE_WEIGHTS, STOP_WORDS, TRUST_PRIORITY
 
@@ -173,7 +174,7 @@ def annotate(annotations: Column, **values: Column) -> Column:
     return F.map_concat(kept, new)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def resolve_url(base: pd.Series, href: pd.Series) -> pd.Series:
     """An absolute link from a page's url and an href."""
     from urllib.parse import urljoin
