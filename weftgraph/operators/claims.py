@@ -6,25 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import entity_text, rel_credit, search_terms
+from .blocks import in_blocks
 from .graph import check_endpoints, enrich_endpoints
 from .verify import classify_entities, classify_relationships, detect_conflicts, verify_cascade, verify_text
 
-#: Terms of claims that meet the entities in one pass; more of them go in further passes.
-BLOCK_TERMS = 20_000
-
-
 def claim_entities(claims: DataFrame, entities: DataFrame, most: int | None = 50) -> DataFrame:
     """(claim_id, entity_id): entities whose name holds a term of the claim; the first ``most`` by id (None: all).
 
-    Terms are a stated query set held against all entities in blocks of checked size.
+    Terms are a stated query set held against all entities in blocks.
     """
     terms = claims.select("claim_id", F.explode(search_terms(F.col("text"))).alias("term")).select("claim_id", F.lower("term").alias("term")).distinct()
-    blocks = max(1, -(-terms.count() // BLOCK_TERMS))
-    names, found = entities.select("entity_id", F.lower("name").alias("n")), None
-    for b in range(blocks):
-        some = terms.where(F.pmod(F.xxhash64("claim_id", "term"), F.lit(blocks)) == b)
-        hit = names.join(F.broadcast(some), F.col("n").contains(F.col("term"))).select("claim_id", "entity_id")
-        found = hit if found is None else found.unionByName(hit)
+    names = entities.select("entity_id", F.lower("name").alias("n"))
+    found = in_blocks(terms, "term", lambda some: names.join(some, F.col("n").contains(F.col("term"))).select("claim_id", "entity_id"))
     found = found.distinct()
     if most is None:
         return found

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.core import name_similarity, valid_types
 from ..schemas import ENTITY_TYPES, RELATIONSHIP_TYPES
 from ..staging import stage
+from .blocks import in_blocks
 
 
 def entity_faults(df: DataFrame) -> DataFrame:
@@ -102,10 +103,10 @@ def valid_at(edges: DataFrame, moment: Column) -> DataFrame:
 
 
 def match_rules(chunks: DataFrame, rules: DataFrame) -> DataFrame:
-    """(chunk_id, rule_id) where a pattern or keyword of a rule is a substring; rules are few and broadcast."""
+    """(chunk_id, rule_id) where a pattern or keyword of a rule is a substring; rules meet the chunks in blocks."""
     terms = rules.select("rule_id", "case_sensitive", F.explode(F.array_union(F.coalesce("patterns", F.array().cast("array<string>")), F.coalesce("keywords", F.array().cast("array<string>")))).alias("term"))
     hit = F.when(F.col("case_sensitive"), F.col("content").contains(F.col("term"))).otherwise(F.lower("content").contains(F.lower("term")))
-    return chunks.join(F.broadcast(terms), hit).select("chunk_id", "rule_id").distinct()
+    return in_blocks(terms, "term", lambda some: chunks.join(some, hit).select("chunk_id", "rule_id")).distinct()
 
 
 def facet_graph(entities: DataFrame, edges: DataFrame, text: str, types: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -152,26 +153,28 @@ def enrich_endpoints(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return edges
 
 
-def similar_by_chars(entities: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of one type with similar names: equal, one in the other, or like character sets.
+def similar_by_chars(queries: DataFrame, entities: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Entities of a query's type with a similar name: equal, one in the other, or like character sets.
 
-    Names with a similarity below 1 and no containment share most characters, so pairs meet per type only; use it on
-    candidate sets (one type, one block), not on all entities of a large graph.
+    ``queries`` is a stated set of entities; it is held against all entities in blocks.
     """
-    a = entities.select(F.col("entity_id").alias("a_id"), F.col("name").alias("a_name"), "entity_type")
+    a = queries.select(F.col("entity_id").alias("a_id"), F.col("name").alias("a_name"), "entity_type")
     b = entities.select(F.col("entity_id").alias("b_id"), F.col("name").alias("b_name"), "entity_type")
     score = F.round(name_similarity(F.col("a_name"), F.col("b_name")), 6)
-    return a.join(b, "entity_type").where("a_id <> b_id").select("a_id", "b_id", score.alias("score")).where(F.col("score") >= threshold)
+    return in_blocks(a, "a_id", lambda some: b.join(some, "entity_type").where("a_id <> b_id").select("a_id", "b_id", score.alias("score")).where(F.col("score") >= threshold))
 
 
-def similar_by_prefix(entities: DataFrame, threshold: float = 0.8, k: int = 10) -> DataFrame:
-    """Best k entities of one type by name: equal 1, one in the other 0.8, half a name's beginning in the other 0.6."""
-    a = entities.select(F.col("entity_id").alias("a_id"), F.lower("name").alias("x"), "entity_type")
+def similar_by_prefix(queries: DataFrame, entities: DataFrame, threshold: float = 0.8, k: int = 10) -> DataFrame:
+    """Best k entities of a query's type by name: equal 1, one in the other 0.8, half the query's beginning in the other 0.6.
+
+    ``queries`` is a stated set of entities; it is held against all entities in blocks.
+    """
+    a = queries.select(F.col("entity_id").alias("a_id"), F.lower("name").alias("x"), "entity_type")
     b = entities.select(F.col("entity_id").alias("b_id"), F.lower("name").alias("y"), "entity_type")
     x, y = F.col("x"), F.col("y")
     half = F.substring(x, 1, F.floor(F.length(x) / 2).cast("int"))
     score = F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.8).when(y.contains(half), 0.6).otherwise(0.0)
-    pairs = a.join(b, "entity_type").where("a_id <> b_id").select("a_id", "b_id", score.alias("score")).where(F.col("score") >= threshold)
+    pairs = in_blocks(a, "a_id", lambda some: b.join(some, "entity_type").where("a_id <> b_id").select("a_id", "b_id", score.alias("score")).where(F.col("score") >= threshold))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))).where(F.col("rank") <= k)
 
 

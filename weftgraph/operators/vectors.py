@@ -1,4 +1,4 @@
-"""Vector search. Exact where one side is checked to be small, hashed bands beyond that."""
+"""Vector search: exact for a stated query set, hashed bands for many queries."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.core import cosine
-
-#: Rows of the smaller side up to which it is broadcast for an exact search.
-EXACT_ROWS = 10_000
+from .blocks import in_blocks
 
 
 def _ranked(pairs: DataFrame, k: int, least: float) -> DataFrame:
@@ -23,15 +21,15 @@ def _ranked(pairs: DataFrame, k: int, least: float) -> DataFrame:
 def vector_topk(queries: DataFrame, items: DataFrame, k: int, least: float = -1.0, skip_self: bool = False, scale: str = "raw") -> DataFrame:
     """query_id, item_id, score, rank: the k nearest items of each query by cosine (6 places), exactly.
 
-    A stated query set is held against all items in blocks: the queries are counted and broadcast while they are at
-    most ``EXACT_ROWS``; more of them go through ``vector_topk_hashed``. scale "unit" gives (1 + cosine) / 2.
+    The queries are a stated set, held against all items in blocks. For very many queries ``vector_topk_hashed`` looks at
+    fewer pairs. scale "unit" gives (1 + cosine) / 2.
     """
-    if queries.count() > EXACT_ROWS:
-        return vector_topk_hashed(queries, items, k, least, skip_self, scale)
     q = queries.select("query_id", F.col("vector").alias("query_vector"))
-    met = items.select("item_id", "vector").join(F.broadcast(q), (F.col("query_id") != F.col("item_id")) if skip_self else F.lit(True))
+    rule = (F.col("query_id") != F.col("item_id")) if skip_self else F.lit(True)
     score = cosine(F.col("query_vector"), F.col("vector"))
-    return _ranked(met.select("query_id", "item_id", F.round((1 + score) / 2 if scale == "unit" else score, 6).alias("score")), k, least)
+    score = F.round((1 + score) / 2 if scale == "unit" else score, 6)
+    pairs = in_blocks(q, "query_id", lambda some: items.select("item_id", "vector").join(some, rule).select("query_id", "item_id", score.alias("score")))
+    return _ranked(pairs, k, least)
 
 
 def _planes(size: int, bits: int, tables: int, seed: int) -> list[list[list[float]]]:

@@ -144,7 +144,8 @@ def dangling_edges(spark, d):
     FROM x a JOIN x b USING (entity_type) WHERE a.entity_id <> b.entity_id)
   SELECT a_id, b_id, round(s, 6)::DOUBLE AS score FROM p WHERE round(s, 6) >= 0.8""")
 def similar_by_chars(spark, d):
-    return G.similar_by_chars(entities(spark, d).where("entity_type in ('Location', 'Brand', 'Category')"))
+    e = entities(spark, d)
+    return G.similar_by_chars(e.where("entity_type in ('Location', 'Brand', 'Category')"), e)
 
 
 @query("similar_by_prefix", GRAPH_SQL + """, x AS (SELECT entity_id, lower(name) AS n, entity_type FROM e WHERE entity_type IN ('Location', 'Brand', 'Category')),
@@ -153,7 +154,8 @@ def similar_by_chars(spark, d):
   k AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS rank FROM p WHERE score >= 0.6)
   SELECT a_id, b_id, score, rank FROM k WHERE rank <= 10""")
 def similar_by_prefix(spark, d):
-    found = G.similar_by_prefix(entities(spark, d).where("entity_type in ('Location', 'Brand', 'Category')"), 0.6)
+    e = entities(spark, d)
+    found = G.similar_by_prefix(e.where("entity_type in ('Location', 'Brand', 'Category')"), e, 0.6)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
