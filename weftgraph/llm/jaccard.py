@@ -5,9 +5,9 @@ shingles are hashed into one group more than that number, some group is equal in
 equal group, for every size band they may share with a partner (pigeonhole; nothing is missed). Equal sets are one
 class throughout. Within buckets:
 
-1. every class is held against its bucket's smallest class, and exact verification links most of a crowd by a number
-   of pairs that grows with its size only;
-2. classes of a bucket that are still apart go to an R-tree of their group counts: the counts of shingles in 32 hashed
+1. every class is held against its bucket's most central class (that which meets most others over all its buckets), and
+   exact verification links most of a crowd by a number of pairs that grows with its size only;
+2. classes of a bucket that are still apart go to an R-tree of their group counts: the counts of shingles in 128 hashed
    groups are a point, the sum of coordinate minima with a node's upper corner bounds the overlap with all below it,
    and pairs that the bound lets through are verified exactly.
 
@@ -28,7 +28,9 @@ from .components import components
 from .textbatch import TABLE_A, chunks, grouped_sum, lower_ascii, mix, owner, prefix_hash, span_hash, words
 
 #: Groups of the count vector, classes of a tree's leaf, of a block, and members verified against one copy of a leader.
-GROUPS, LEAF, BLOCK, SALT = 32, 16, 2048, 128
+GROUPS, LEAF, BLOCK, SALT = 128, 16, 2048, 128
+#: The largest count a vector tells; it stands for any larger one.
+FULL = 65535
 #: Bits of a shingle's hash; the ten above them number the texts of a chunk.
 BITS, MOST = 54, 1000
 
@@ -69,7 +71,14 @@ def fingerprints(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def count_vectors(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How many of a set's members fall into each of the groups."""
     n = len(bounds) - 1
-    return np.bincount(owner(bounds) * GROUPS + (values % np.uint64(GROUPS)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS).astype(np.uint32)
+    held = np.bincount(owner(bounds) * GROUPS + (values % np.uint64(GROUPS)).astype(np.int64), minlength=n * GROUPS)
+    return np.minimum(held, FULL).reshape(n, GROUPS).astype(np.uint16)
+
+
+def unpacked(vectors: list[bytes]) -> np.ndarray:
+    """Count vectors as integers; a full count bounds nothing, so it becomes very large."""
+    held = np.frombuffer(b"".join(vectors), np.uint16).reshape(-1, GROUPS).astype(np.int64)
+    return np.where(held == FULL, 1 << 40, held)
 
 
 class Bands:
@@ -189,8 +198,7 @@ class Tree:
     """A bulk-loaded R-tree of count vectors: leaves of neighbouring points, their corners, and corners of leaves."""
 
     def __init__(self, points: np.ndarray, size: np.ndarray) -> None:
-        spread = points.astype(np.int64)
-        order = np.arange(len(points))
+        spread = points
         axes = np.argsort(-(spread.var(axis=0) / (spread.mean(axis=0) + 1)))[:2]
         order = np.lexsort((spread[:, axes[1]], spread[:, axes[0]] // 4, size // 8))
         self.order, self.points, self.size = order, spread[order], size[order]
@@ -201,8 +209,6 @@ class Tree:
 
     def near(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
         """Numbers of the points whose overlap with the given one may be enough, as far as the bound tells."""
-        point = point.astype(np.int64)
-
         def may(high: np.ndarray, small: np.ndarray, large: np.ndarray) -> np.ndarray:
             fits = (large * 100 >= size * percent) & (small * percent <= size * 100)
             return np.flatnonzero(fits & (np.minimum(high, point).sum(axis=1) >= enough(np.maximum(small, size * percent // 100), size, percent)))
@@ -238,7 +244,7 @@ def _searched(percent: int):
         def flush(rows: pa.Table) -> pa.RecordBatch:
             names = ("key", "low", "high", "root", "mark", "n_shingles")
             key, low, high, root, mark, size = (rows.column(k).to_numpy() for k in names)
-            vector = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.uint32).reshape(len(key), GROUPS)
+            vector = unpacked(rows.column("vector").to_pylist())
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
             pairs: set[tuple[int, int]] = set()
             for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
@@ -276,10 +282,12 @@ def jaccard_components(docs: DataFrame, percent: int = 90, id_col: str = "doc_id
     marked = stage(rows.mapInArrow(_classes, "doc_id long, n_shingles long, mark long, vector binary"), "marked")
     classes = stage(marked.where("n_shingles > 0").groupBy("mark", "n_shingles", "vector").agg(F.min("doc_id").alias("first")), "classes")
     keys = rows.select("text").mapInArrow(_keys(percent), "key long, mark long")
-    shared = keys.groupBy("key").agg(F.min("mark").alias("leader"), F.max("mark").alias("other")).where("leader <> other").select("key", "leader")
+    shared = keys.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("key")
     met = stage(keys.join(shared, "key").distinct(), "met")
 
-    stars = met.where("mark <> leader").select(F.col("leader").alias("a"), F.col("mark").alias("b")).distinct()
+    counted = met.join(met.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("mark").agg(F.sum("n").alias("meets"))
+    leaders = met.join(counted, "mark").groupBy("key").agg(F.max_by("mark", "meets").alias("leader"))
+    stars = met.join(leaders, "key").where("mark <> leader").select(F.col("leader").alias("a"), F.col("mark").alias("b")).distinct()
     sides = [classes.select(F.col("mark").alias(k), F.col("n_shingles").alias(f"size_{k}"), F.col("vector").alias(f"vector_{k}")) for k in ("a", "b")]
     bounded = stars.join(sides[0], "a").join(sides[1], "b").mapInArrow(_bounded(percent), "a long, b long")
     links = stage(verify(rows, classes, bounded, percent), "links")
@@ -313,7 +321,7 @@ def _bounded(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(f"vector_{k}").to_pylist()), np.uint32).reshape(-1, GROUPS) for k in ("a", "b"))
+            x, y = (unpacked(b.column(f"vector_{k}").to_pylist()) for k in ("a", "b"))
             m, n = (b.column(f"size_{k}").to_numpy() for k in ("a", "b"))
             yield b.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1) >= enough(m, n, percent)))
 
