@@ -132,7 +132,7 @@ def pack_documents(
         .select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     )
     return (
-        tokens.join(totals, "part")
+        tokens.join(F.broadcast(totals), "part")  # a row of two numbers for each task of pass one
         .select("doc_id", (F.col("first") + F.col("before")).alias("begins"), "doc_tokens", "ids")
         .mapInArrow(
             cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
