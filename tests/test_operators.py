@@ -210,3 +210,13 @@ def test_streams(spark, sf, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert spark.sql("select count(distinct job_id) from snapshots").first()[0] == e.select("job_id").distinct().count()
+
+
+def test_blocks_cover_all_queries_once(spark):
+    from weftgraph.operators.blocks import in_blocks
+
+    queries = spark.range(50).withColumnRenamed("id", "q")
+    rows = spark.range(20)
+    got = in_blocks(queries, "q", lambda some: rows.join(some, F.col("id") == F.col("q") % 20), rows=7)
+    assert sorted(r.q for r in got.collect()) == list(range(50))
+    assert in_blocks(queries.limit(0), "q", lambda some: rows.join(some, F.col("id") == F.col("q"))).count() == 0
