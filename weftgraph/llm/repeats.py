@@ -260,7 +260,9 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     def sort_out(found: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
         """Marks of contexts that occur twice, and the distinct contexts of anchors that have several."""
         twice = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-        shared = stage(found.join(twice.select("anchor", (F.col("low") != F.col("high")).alias("several")), "anchor"), "shared")
+        # written first: a join right above an aggregation could not be split where an anchor is frequent
+        twice = stage(twice.select("anchor", (F.col("low") != F.col("high")).alias("several")), "twice")
+        shared = stage(found.join(twice.hint("shuffle_hash"), "anchor"), "shared")
         each = stage(
             shared.where("several").groupBy("anchor", "context").agg(F.count("*").alias("n"), *(F.first(k).alias(k) for k in ("key", "s", "e", *carry))),
             "contexts",
