@@ -52,13 +52,10 @@ def anchored(data: np.ndarray, offsets: np.ndarray, k: int, length: int) -> tupl
         span *= 2
     if w > span:
         least = np.minimum(least[: span - w], least[w - span :])
-    change = np.zeros(len(data) + 1, np.int64)
-    long = sizes >= length
-    np.add.at(change, offsets[:-1][long], 1)
-    np.add.at(change, offsets[1:][long] - length + 1, -1)
-    start = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+    windows = np.maximum(0, sizes - length + 1)
+    text = np.repeat(np.arange(len(sizes)), windows)
+    start = np.arange(len(text)) + np.repeat(offsets[:-1] - (np.cumsum(windows) - windows), windows)
     at = (least[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    text = np.searchsorted(offsets, start, side="right") - 1
     new = np.ones(len(start), bool)
     new[1:] = (np.diff(at) != 0) | (np.diff(text) != 0)
     first = np.flatnonzero(new)
@@ -100,7 +97,7 @@ class RunIndex:
             piece = self.text[k : k + n]
             left &= piece != 0
             word = (word << np.uint64(8)) | np.where(left, piece, 0).astype(np.uint64)
-        order = np.lexsort((np.where(left, 0, np.arange(1, n + 1)), word))
+        order = np.argsort(word, kind="stable")  # words cut short by a separator are equal to none but such, and tie by place
         tie = np.concatenate([[False], (word[order][1:] == word[order][:-1]) & left[order][1:] & left[order][:-1]])
         rank, width = np.empty(n, np.int64), 8
         while True:
@@ -110,10 +107,11 @@ class RunIndex:
                 return order
             rows = order[group]
             further = np.where(rows + width < n, rank[np.minimum(rows + width, n - 1)], -1)
-            again = np.lexsort((further, rank[rows]))
-            order[group] = rows[again]
+            key = rank[rows] * (n + 1) + further + 1
+            again = np.argsort(key, kind="stable")
+            order[group], key = rows[again], key[again]
             same = np.zeros(len(group), bool)
-            same[1:] = (rank[rows][again][1:] == rank[rows][again][:-1]) & (further[again][1:] == further[again][:-1])
+            same[1:] = key[1:] == key[:-1]
             tie = np.zeros(n, bool)
             tie[group] = same
             width *= 2
