@@ -72,22 +72,20 @@ def fit_languages(
     grams = counts.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).where("kind > 0 or total > 1").persist()
     try:
         tables = {
-            k: grams.where(F.col("kind") == k).orderBy(F.desc("total"), "gram").limit(max_grams if k else max_words).select("gram", "by").collect()
+            k: grams.where(F.col("kind") == k).orderBy(F.desc("total"), "gram").limit(max_grams if k else max_words).select("gram", "by.lang", "by.n").toArrow()
             for k in (0, *orders)
         }
     finally:
         grams.unpersist()
-    langs = sorted({x["lang"] for t in tables.values() for r in t for x in r["by"]})
-    place = {x: i for i, x in enumerate(langs)}
+    langs = sorted({x for t in tables.values() for x in t.column("lang").combine_chunks().flatten().unique().to_pylist()})
     model: dict = {"langs": langs, "orders": orders, "rows": {}, "logs": {}}
     for k, table in tables.items():
-        seen = np.zeros((len(table), len(langs)))
-        for i, r in enumerate(table):
-            for x in r["by"]:
-                seen[i, place[x["lang"]]] = x["n"]
+        seen, by = np.zeros((len(table), len(langs))), table.column("lang").combine_chunks()
+        at = np.repeat(np.arange(len(table)), by.value_lengths().to_numpy(zero_copy_only=False))
+        seen[at, np.searchsorted(np.array(langs, dtype=object), np.array(by.flatten().to_pylist(), dtype=object))] = table.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         smooth = 0.5
         logs = np.log((seen + smooth) / (seen.sum(axis=0) + smooth * max(1, len(table))))
-        model["rows"][k] = {r["gram"]: i for i, r in enumerate(table)}
+        model["rows"][k] = {g: i for i, g in enumerate(table.column("gram").to_pylist())}
         model["logs"][k] = logs.astype(np.float32)
     return model
 
@@ -97,26 +95,32 @@ class Scorer(dict):
 
     def __init__(self, model: dict) -> None:
         self.model, self.width = model, len(model["langs"])
+        self.rows = model["rows"]
+        self.logs = {k: [tuple(r) for r in v.tolist()] for k, v in model["logs"].items()}
         self.table = np.zeros((MEMORY_TOKENS + 1, self.width + 1), np.float32)
-        self.extra: list[np.ndarray] = []
+        self.extra: list[list[float]] = []
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> tuple[float, ...]:
         """Scores of one word: its own when known, else the mean over its n-grams of the longest known order."""
-        rows, logs = self.model["rows"], self.model["logs"]
-        at = rows[0].get(word)
+        at = self.rows[0].get(word)
         if at is not None:
-            return logs[0][at]
+            return self.logs[0][at]
+        framed = f" {word} "
         for n in self.model["orders"]:
-            known = [i for g in _grams(word, n) if (i := rows[n].get(g)) is not None]
-            if known:
-                return logs[n][known].mean(axis=0)
-        return np.zeros(self.width, np.float32)
+            known, logs = self.rows[n].get, self.logs[n]
+            found = [logs[i] for k in range(len(framed) - n + 1) if (i := known(framed[k : k + n])) is not None]
+            if found:
+                size = len(found)
+                return tuple([sum(c) / size for c in zip(*found, strict=True)])
+        return (0.0,) * self.width
 
     def __missing__(self, token: str) -> int:
-        scores = np.zeros(self.width + 1, np.float32)
-        for w in _LETTERS.findall(token):
-            scores[:-1] += self.word(w)
-            scores[-1] += 1
+        words = _LETTERS.findall(token)
+        if len(words) == 1:
+            scores = [*self.word(words[0]), 1.0]
+        else:
+            scores = [sum(c) for c in zip(*map(self.word, words), strict=True)] if words else [0.0] * self.width
+            scores.append(float(len(words)))
         if len(self) < MEMORY_TOKENS:
             at = self[token] = len(self) + 1
             self.table[at] = scores
@@ -131,8 +135,8 @@ class Scorer(dict):
         self.extra = []
         found = np.fromiter(map(self.__getitem__, text.lower().split()), np.int64)
         sums = self.table[found].sum(axis=0, dtype=np.float64)
-        for x in self.extra:
-            sums += x
+        if self.extra:
+            sums += np.array(self.extra).sum(axis=0)
         if not sums[-1]:
             return "und", 0.0
         best = int(sums[:-1].argmax())
