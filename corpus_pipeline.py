@@ -35,11 +35,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that with the smallest id, of each group that links hold together.
 
+    Documents link from a Jaccard similarity of 0.8 up between their sets of five-word shingles.
     Of repeated rows of that id one stays. Rows with a null id can't be named by a group and stay.
     """
     small_batches(spark)
     docs = docs.select(*COLUMNS)
-    found = stage(jaccard_components(docs, 90), "groups")
+    found = stage(jaccard_components(docs, 80, k=5), "groups")
     chosen = found.where((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))).groupBy("doc_id").count()
     repeated = chosen.where("count > 1 and doc_id is not null").take(1)
     kept = docs.where("doc_id is not null").join(chosen.hint("shuffle_hash"), "doc_id", "left_semi")

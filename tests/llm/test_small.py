@@ -307,6 +307,23 @@ def components_by_force(rows, percent=90):
     return [(r[0], len(s), least.get(find(i)) if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
 
 
+def components_by_words(rows, percent, k):
+    """``components_by_force`` for shingles of k words."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [WORD.findall((r[1] or "").translate(lower)) for r in rows]
+    sets = [frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or frozenset([tuple(w)] if w else []) for w in words]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if group[i] != group[j] and a and b and 100 * len(a & b) >= percent * len(a | b):
+            group = [group[i] if g == group[j] else g for g in group]
+    least = {}
+    for g, r in zip(group, rows, strict=True):
+        if r[0] is not None:
+            least[g] = min(least.get(g, r[0]), r[0])
+    return [(r[0], len(s), least.get(g) if s else r[0]) for g, r, s in zip(group, rows, sets, strict=True)]
+
+
 def test_jaccard(spark, docs, none, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     rows = [(r[0], r[1]) for r in corpus()]
@@ -331,6 +348,38 @@ def test_groups_are_enough_for_every_linked_size():
             assert most < bands.groups[bands.of(np.array([a]))[0]]
 
 
+def test_five_words_and_four_fifths(spark, docs, monkeypatch):
+    """What the pipeline's stage asks for: a fifth appended, a block cut out, words changed here and there."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rows = [(r[0], r[1]) for r in corpus()]
+    for g in range(12):
+        base, r = prose(30 + 30 * g, 300 + g).split(), random.Random(g)
+        n, at = len(base), len(base) // 3
+        spots = {(2 * i + 1) * n // (2 * max(1, n // 50)) for i in range(max(1, n // 50))}
+        more = [base + prose(n * 12 // 100, 500 + g).split(), base + prose(n * 22 // 100, 600 + g).split(), base + prose(n * 27 // 100, 700 + g).split(), base[:at] + base[at + n * 14 // 100 :]]
+        more += [[f"new{r.randrange(99)}" if i in spots else w for i, w in enumerate(base)], base[: 1 + g % 6]]
+        rows += [(2000 + 10 * g + i, " ".join(t)) for i, t in enumerate([base, *more])]
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = by_id(jaccard.jaccard_components(df, 80, k=5).collect(), "n_shingles", "component_id")
+    assert got == collections.Counter(components_by_words(rows, 80, 5))
+    assert got != collections.Counter(components_by_words(rows, 90, 3))
+
+
+def test_sets_of_four_fifths_share_a_key():
+    """A linked pair of any size meets in a bucket, empty groups or not."""
+    bands, r = jaccard.Bands(80), np.random.default_rng(3)
+    for a in [*range(1, 60), *range(60, 900, 37)]:
+        for b in {a, a * 9 // 10, -(-a * 80 // 100)}:
+            both = int(jaccard.enough(np.array(a), np.array(b), 80))
+            if b < 1 or both > b:
+                continue
+            pool = r.integers(0, 1 << 54, a + b, dtype=np.uint64)
+            x, y = np.sort(pool[:a]), np.sort(np.concatenate([pool[:both], pool[a : a + b - both]]))
+            key, which = jaccard.signatures(np.concatenate([x, y]), np.array([0, a, a + b]), bands)
+            assert set(key[which == 0].tolist()) & set(key[which == 1].tolist()), (a, b)
+
+
 def test_tree_finds_all_within_the_bound():
     r = np.random.default_rng(2)
     points = r.integers(0, 6, size=(200, jaccard.GROUPS)).astype(np.int64)

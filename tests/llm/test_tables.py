@@ -5,7 +5,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from test_small import WORD, components_by_force, counts_by_force, licenses_by_force, repeats_by_force
+from test_small import WORD, components_by_force, components_by_words, counts_by_force, licenses_by_force, repeats_by_force
 
 import corpus_pipeline
 from weftgraph.llm.queries import QUERIES, table, vocabulary
@@ -54,6 +54,15 @@ def test_op8(spark, sf, rows):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, sf, "op8_jaccard")} == want
 
 
+def test_pipeline_near_copies(spark, sf, rows):
+    """The stage keeps one document of each group of five-word Jaccard 0.8; by op8's rule more would stay."""
+    docs = table(spark, sf, "documents")
+    held = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, sf).collect()]
+    want = {c for _, _, c in components_by_words(held, 80, 5)}
+    assert sorted(kept) == sorted(want) and len(want) < len({c for _, _, c in components_by_force(held)})
+
+
 def test_pipeline_stage_by_stage(spark, sf, rows):
     """Each stage's result from its own input, by plain means."""
     docs = table(spark, sf, "documents")

@@ -1,8 +1,9 @@
 """Jaccard join over word shingles with a count-vector R-tree.
 
-A document is the set of its three-word shingles. Two sets may link only if they differ in few shingles, so when
+A document is the set of its shingles (three words, or as many as asked). Two sets may link only if they differ in few shingles, so when
 shingles are hashed into one group more than that number, some group is equal in both: documents meet in buckets of an
-equal group, for every size band they may share with a partner (pigeonhole; nothing is missed). Equal sets are one
+equal group, for every size band they may share with a partner (pigeonhole; nothing is missed). An empty group, which
+many share, counts only for a set whose other groups are too few to make an equal one certain. Equal sets are one
 class throughout. Within buckets:
 
 1. every class is held against its bucket's most central class (that which meets most others over all its buckets), and
@@ -92,7 +93,9 @@ class Bands:
         most = self.low[1:] - 1  # largest size in the band, and of its partner
         both = most + most * 100 // percent
         # linked sets of sizes that sum to s differ in at most s (100 - percent) / (100 + percent) shingles
-        self.groups = both * (100 - percent) // (100 + percent) + 1
+        self.needed = both * (100 - percent) // (100 + percent) + 1
+        # below 90 groups hold few shingles and some stay empty: a quarter more leaves enough that are not
+        self.groups = self.needed if percent >= 90 else self.needed * 5 // 4
 
     def of(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, size, side="right") - 1
@@ -113,28 +116,34 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np
     cell = base[entry] + (member % groups[entry].astype(np.uint64)).astype(np.int64)
     total = np.zeros(int(groups.sum()), np.uint64)
     np.add.at(total, cell, mix(member + np.uint64(31)))
+    filled = np.bincount(cell, minlength=len(total)) > 0
     row = np.repeat(np.arange(len(sets)), groups)
     group = np.arange(len(row)) - base[row]
     key = mix(total + mix(band[row].astype(np.uint64) * np.uint64(1 << 32) + group.astype(np.uint64) + np.uint64(3)))
-    return key.view(np.int64), sets[row]
+    # fewer than ``needed`` groups differ, so a set with that many filled ones shares a filled one
+    use = filled | (np.bincount(row[filled], minlength=len(sets)) < bands.needed[band])[row]
+    return key.view(np.int64)[use], sets[row[use]]
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        size, mark, vector = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
-        for first, last, data, offsets in chunks(b.column(1), most=MOST):
-            values, bounds = shingle_sets(data, offsets)
-            size[first:last], mark[first:last] = np.diff(bounds), fingerprints(values, bounds)
-            vector += [x.tobytes() for x in count_vectors(values, bounds)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(mark), pa.array(vector, pa.binary())], names=["doc_id", "n_shingles", "mark", "vector"])
+def _classes(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, mark, vector = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
+            for first, last, data, offsets in chunks(b.column(1), most=MOST):
+                values, bounds = shingle_sets(data, offsets, k)
+                size[first:last], mark[first:last] = np.diff(bounds), fingerprints(values, bounds)
+                vector += [x.tobytes() for x in count_vectors(values, bounds)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(mark), pa.array(vector, pa.binary())], names=["doc_id", "n_shingles", "mark", "vector"])
+
+    return run
 
 
-def _keys(percent: int):
+def _keys(percent: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for b in batches:
             for _first, _last, data, offsets in chunks(b.column(0), most=MOST):
-                values, bounds = shingle_sets(data, offsets)
+                values, bounds = shingle_sets(data, offsets, k)
                 mark = fingerprints(values, bounds)
                 new = np.array([not (m in seen or seen.add(m)) for m in mark.tolist()], dtype=bool)
                 key, which = signatures(values, bounds, bands)
@@ -151,7 +160,7 @@ def enough(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-(a + b) * percent // (100 + percent))
 
 
-def _linked(percent: int):
+def _linked(percent: int, k: int):
     """Members against their leader, rows sorted so that a leader comes before its members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +170,7 @@ def _linked(percent: int):
             lead, mark = b.column("lead").to_pylist(), b.column("mark").to_numpy()
             out: list[tuple[int, int]] = []
             for first, _last, data, offsets in chunks(b.column("text"), most=MOST):
-                values, bounds = shingle_sets(data, offsets)
+                values, bounds = shingle_sets(data, offsets, k)
                 found = fingerprints(values, bounds)
                 for i in range(len(bounds) - 1):
                     r = first + i
@@ -179,7 +188,7 @@ def _linked(percent: int):
     return run
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, k: int = 3) -> DataFrame:
     """Those of the pairs (a, b) of class marks whose sets link, by their texts.
 
     A class's text travels once for each leader it is held against; a leader is copied for every ``SALT`` members.
@@ -191,7 +200,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int)
     wanted = members.unionByName(leaders).join(classes.select("mark", F.col("first").alias("wanted_id")), "mark")
     texts = docs.select(F.col("doc_id"), "text").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("wanted_id"))
     dealt = texts.select("a", "salt", "lead", "mark", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"), "mark")
-    return dealt.mapInArrow(_linked(percent), "a long, b long")
+    return dealt.mapInArrow(_linked(percent, k), "a long, b long")
 
 
 class Tree:
@@ -270,27 +279,27 @@ def _searched(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) for every row.
 
-    Texts link when 100 * intersection >= ``percent`` * union of their sets of three-word shingles (words in lower case
+    Texts link when 100 * intersection >= ``percent`` * union of their sets of ``k``-word shingles (words in lower case
     for A-Z). Nulls: a null or wordless text has an empty set, n_shingles 0, and links with nothing; a row with a null
     id takes its class's component but names none. Repeated rows and equal texts share a component. Extra columns are
     not read; an empty table gives no rows. Sets are told apart by 64-bit fingerprints.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = stage(rows.mapInArrow(_classes, "doc_id long, n_shingles long, mark long, vector binary"), "marked")
+    marked = stage(rows.mapInArrow(_classes(k), "doc_id long, n_shingles long, mark long, vector binary"), "marked")
     classes = stage(marked.where("n_shingles > 0").groupBy("mark", "n_shingles", "vector").agg(F.min("doc_id").alias("first")), "classes")
-    keys = rows.select("text").mapInArrow(_keys(percent), "key long, mark long")
+    keys = rows.select("text").mapInArrow(_keys(percent, k), "key long, mark long")
     shared = keys.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("key")
     met = stage(keys.join(shared, "key").distinct(), "met")
 
     counted = met.join(met.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("mark").agg(F.sum("n").alias("meets"))
     leaders = met.join(counted, "mark").groupBy("key").agg(F.max_by("mark", "meets").alias("leader"))
     stars = met.join(leaders, "key").where("mark <> leader").select(F.col("leader").alias("a"), F.col("mark").alias("b")).distinct()
-    sides = [classes.select(F.col("mark").alias(k), F.col("n_shingles").alias(f"size_{k}"), F.col("vector").alias(f"vector_{k}")) for k in ("a", "b")]
+    sides = [classes.select(F.col("mark").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("vector").alias(f"vector_{x}")) for x in ("a", "b")]
     bounded = stars.join(sides[0], "a").join(sides[1], "b").mapInArrow(_bounded(percent), "a long, b long")
-    links = stage(verify(rows, classes, bounded, percent), "links")
+    links = stage(verify(rows, classes, bounded, percent, k), "links")
     roots = components(links)
 
     placed = met.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
@@ -305,7 +314,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, id_col: str = "doc_id
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high", "mark")
     )
-    more = stage(verify(rows, classes, blocks.mapInArrow(_searched(percent), "a long, b long"), percent), "links")
+    more = stage(verify(rows, classes, blocks.mapInArrow(_searched(percent), "a long, b long"), percent, k), "links")
     roots = components(links.unionByName(more)) if more.take(1) else roots
 
     its = classes.join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
