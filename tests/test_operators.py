@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,18 @@ def test_hashed_search_recall(spark, sf):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_registered_hashed_search_recall(spark, sf, size):
+    """The registered query with the parameters it runs with, against the exact one, on each size there is."""
+    from weftgraph.plans import QUERIES
+
+    path = Path(sf).parent / size
+    if not path.is_dir():
+        pytest.skip("no such tables")
+    exact, near = ({(r.query_id, r.item_id) for r in QUERIES[name](spark, str(path)).collect()} for name in ("vector_topk", "vector_topk_hashed"))
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
 def test_relationship_search_and_match(spark):
     hits = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.5)], "query_id int, item_id string, score double")
     edges = spark.createDataFrame([("r1", "b", "c"), ("r2", "a", "b"), ("r3", "c", "d")], "relationship_id string, source_entity_id string, target_entity_id string")

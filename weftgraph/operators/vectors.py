@@ -37,10 +37,11 @@ def _planes(size: int, bits: int, tables: int, seed: int) -> list[list[list[floa
     return [[[r.gauss(0, 1) for _ in range(size)] for _ in range(bits)] for _ in range(tables)]
 
 
-def vector_topk_hashed(queries: DataFrame, items: DataFrame, k: int, least: float = -1.0, skip_self: bool = False, scale: str = "raw", bits: int = 8, tables: int = 12, seed: int = 7) -> DataFrame:
+def vector_topk_hashed(queries: DataFrame, items: DataFrame, k: int, least: float = -1.0, skip_self: bool = False, scale: str = "raw", bits: int = 4, tables: int = 24, seed: int = 7) -> DataFrame:
     """Approximate top k by sign bands of random projections: vectors meet where all signs of a table agree.
 
-    Recall grows with ``tables`` and falls with ``bits``; the pairs that meet are scored exactly.
+    Recall grows with ``tables`` and falls with ``bits``; the pairs that meet are scored exactly. With the defaults about
+    four fifths of the pairs meet, so that nine tenths of the true neighbours or more are found.
     """
     first = items.select(F.size("vector").alias("n")).first()
     if first is None:
