@@ -157,6 +157,16 @@ def test_licenses(spark, docs, none):
     assert (900, 3) in got and (21, 2) in got and licenses.scan_licenses(none).collect() == []
 
 
+def test_short_notices(spark):
+    rows = [(1, "a b c d\nAll rights reserved."), (2, "all rights are reserved"), (3, "ALL  Rights, reserved"), (4, "rights reserved"), (5, None), (6, "small rights reserved")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    number = len(licenses.TEMPLATES)
+    got = {(r.doc_id, r.template): (r.license, r.containment) for r in licenses.scan_licenses(df).collect()}
+    assert got == {(1, number): ("All-rights-reserved", 1.0), (3, number): ("All-rights-reserved", 1.0)}
+    with pytest.raises(ValueError, match="empty"):
+        licenses.scan_licenses(df, (("empty", " -- "), ("MIT", "Released under the MIT License.")))
+
+
 # ---- op 4 ----
 
 def test_shards(docs, none):
