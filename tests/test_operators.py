@@ -150,6 +150,16 @@ def test_relationship_search_and_match(spark):
     assert vectors.best_match(a, b).first()["item_id"] == 8
 
 
+def test_claims_pair_all_named_entities(spark):
+    from weftgraph.operators import claims as C
+
+    claim = spark.createDataFrame([(1, "item is bad")], "claim_id long, text string")
+    e = spark.createDataFrame([(f"e{i:02}", f"item {i}") for i in range(60)], "entity_id string, name string")
+    r = spark.createDataFrame([("r1", "e55", "e58", "MAKES", "x"), ("r2", "e01", "e02", "MAKES", "x")], "relationship_id string, source_entity_id string, target_entity_id string, relationship_type string, description string").withColumn("trust", F.lit("user"))
+    assert C.claim_pairs(claim, e).count() == 60 * 59 // 2
+    assert {x.old_relationship_id for x in C.claim_conflicts(claim, e, r).collect()} == {"r1", "r2"}
+
+
 def test_rules_validity_strict(spark):
     chunks = spark.createDataFrame([("c1", "Alpha beta"), ("c2", "gamma")], "chunk_id string, content string")
     rules = spark.createDataFrame([("r1", ["alpha"], None, False), ("r2", ["alpha"], ["gamma"], True)], "rule_id string, patterns array<string>, keywords array<string>, case_sensitive boolean")

@@ -47,15 +47,19 @@ def verify_claims(claims: DataFrame, entities: DataFrame, edges: DataFrame, most
     return rows.withColumn("rank", nth).where(F.col("rank") <= most).select("claim_id", "relationship_id", "confidence", "status", "rank")
 
 
-def claim_pairs(claims: DataFrame, entities: DataFrame, most: int = 50) -> DataFrame:
-    """(claim_id, a, b): all unordered pairs of the first ``most`` entities that a claim names."""
+def claim_pairs(claims: DataFrame, entities: DataFrame, most: int | None = None) -> DataFrame:
+    """(claim_id, a, b): all unordered pairs of the entities that a claim names, or of the first ``most`` of them."""
     n = claim_entities(claims, entities, most)
     return n.select("claim_id", F.col("entity_id").alias("a")).join(n.select("claim_id", F.col("entity_id").alias("b")), "claim_id").where("a < b")
 
 
-def claim_conflicts(claims: DataFrame, entities: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
+def claim_conflicts(claims: DataFrame, entities: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """Conflicts of what claims say of their pairs (as RELATED_TO, with the claim as description) with stored edges."""
-    pairs = claim_pairs(claims, entities, most).join(claims, "claim_id")
+    n = claim_entities(claims, entities, most)
+    # only pairs that a stored edge joins can conflict, either way round
+    ends = edges.select(F.least("source_entity_id", "target_entity_id").alias("a"), F.greatest("source_entity_id", "target_entity_id").alias("b")).where("a < b").distinct()
+    named = ends.join(n.select("claim_id", F.col("entity_id").alias("a")), "a").join(n.select("claim_id", F.col("entity_id").alias("b")), ["claim_id", "b"])
+    pairs = named.join(claims, "claim_id")
     new = pairs.select(F.concat_ws("|", F.lit("claim"), "claim_id", "a", "b").alias("relationship_id"), F.col("a").alias("source_entity_id"), F.col("b").alias("target_entity_id"), F.lit("RELATED_TO").alias("relationship_type"), F.col("text").alias("description"), F.lit("user").alias("trust"))
     return detect_conflicts(new, edges)
 
