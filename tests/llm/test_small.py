@@ -86,16 +86,49 @@ def test_repeats_of_nothing(none):
 
 
 def test_run_index_matching_statistics():
-    r = random.Random(3)
-    strings = [bytes(r.choice(b"ab\x00") for _ in range(r.randrange(1, 60))) for _ in range(8)]
-    index = repeats.RunIndex([np.frombuffer(s, np.uint8) for s in strings])
-    assert index.lengths.sum() == index.n and len(index.symbols) == len(index.first)
-    held = index.matching_statistics(3)
-    for k, s in enumerate(strings):
-        for i in range(len(s)):
-            best = max((n for n in range(3, len(s) - i + 1) if sum(t.startswith(s[i : i + n], j) for t in strings for j in range(len(t))) > 1), default=0)
-            at = int(held[index.starts[k] + i])
-            assert at == best if best else at < 3
+    """All matches of three bytes or more, with copies that lengthen runs and add none."""
+    for seed in range(8):
+        r = random.Random(seed)
+        strings = list(dict.fromkeys([bytes(r.choice(b"ab\x00") for _ in range(r.randrange(1, 60))) for _ in range(8)] + [b"abababab" * r.randrange(1, 5)]))
+        times = [r.choice([1, 1, 2]) for _ in strings]
+        parts = [np.frombuffer(s, np.uint8) for s in strings]
+        index = repeats.RunIndex(parts, times)
+        assert len(index.lengths) == len(repeats.RunIndex(parts, [1] * len(parts)).lengths)
+        assert index.lengths.sum() == sum(n * (len(s) + 1) for n, s in zip(times, strings, strict=True))
+        got = {(k, i): n for x in index.matching_statistics(3) for k, i, n in zip(*(c.tolist() for c in x), strict=True)}
+        want = {}
+        for k, s in enumerate(strings):
+            for i in range(len(s)):
+                best = max((n for n in range(3, len(s) - i + 1) if times[k] > 1 or sum(t.startswith(s[i : i + n], j) for t in strings for j in range(len(t))) > 1), default=0)
+                if best:
+                    want[k, i] = best
+        assert got == want
+
+
+def test_all_marks_come_from_the_index(docs, monkeypatch):
+    def silent(batches):
+        for b in batches:
+            yield b.select(["anchor", "context"]).append_column("s", b.column("anchor")).append_column("e", b.column("anchor")).slice(0, 0)
+
+    monkeypatch.setattr(repeats, "_indexed", lambda length: silent)
+    assert all(r.n_removed == 0 for r in repeats.cut_repeats(docs, 200).collect())
+
+
+def thue_morse(n):
+    """Two texts of 2**n letters that polynomial hashes modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_texts_that_linear_hashes_confuse(spark):
+    x, y = thue_morse(11)
+    rows = [(1, f"{x}\n{y}\n{x} z"), (2, f"p q {x}"), (3, f"p q {y}"), (4, x), (5, y), (6, x[:1024] + " " + y[:1024]), (7, prose(30, 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert by_id(quality.judge_quality(df, None).collect(), *fields) == collections.Counter((r[0], *counts_by_force(r[1])) for r in rows)
+    assert by_id(jaccard.jaccard_components(df).collect(), "n_shingles", "component_id") == collections.Counter(components_by_force(rows))
+    got = by_id(repeats.cut_repeats(df, 200).collect(), "n_bytes", "n_removed", "n_spans", "kept")
+    assert got == collections.Counter((r[0], *z) for r, z in zip(rows, repeats_by_force([r[1] for r in rows], 200), strict=True))
 
 
 # ---- op 2 ----
@@ -350,6 +383,51 @@ def test_jaccard(spark, docs, none, monkeypatch):
     assert jaccard.jaccard_components(none).collect() == []
 
 
+def edited(words, n, seed):
+    r, out = random.Random(seed), list(words)
+    for i in r.sample(range(len(out)), n):
+        out[i] = f"new{r.randrange(9999)}"
+    return " ".join(out)
+
+
+def test_rows_without_id_link_others(spark):
+    """1 and 3 are linked by a text that stands in rows with a null id alone."""
+    base = prose(200, 77).split()
+    bridge = " ".join(base[:190] + ["u"] * 3 + base[190:])
+    rows = [(3, " ".join(base[:190] + ["u"] * 3 + base[190:-9])), (None, bridge), (None, bridge), (1, " ".join(base[6:190] + ["u"] * 3 + base[190:])), (8, prose(90, 5)), (None, prose(80, 6))]
+    want = collections.Counter(components_by_force(rows))
+    assert any(i == 3 and c == 1 for i, _, c in want)
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect(), "n_shingles", "component_id")
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [2048, 64])
+def test_crowd_that_does_not_link(spark, monkeypatch, block):
+    """Classes that share most of a text, so that all meet in many buckets, and link with none but their own few copies."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    common, rows = prose(60, 1).split(), []
+    for i in range(600):
+        own = prose(10, 1000 + i // 2, 5000).split()
+        rows.append((i, " ".join(common + own + (["last"] if i % 2 else []))))
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 90).collect(), "component_id")
+    assert got == collections.Counter((i, i // 2 * 2) for i in range(600))
+
+
+def test_forest_holds_together_what_pairs_would():
+    r = np.random.default_rng(4)
+    points = np.repeat(r.integers(0, 6, size=(30, jaccard.GROUPS)).astype(np.int64), 7, axis=0) + (r.random((210, jaccard.GROUPS)) < 0.01)
+    size, root = points.sum(axis=1), np.arange(210)
+    tree = jaccard.Tree(points, size)
+    joined = []
+    for pairs in (jaccard._forest(tree, root, size, points, 90), jaccard._apart(tree, root, size, points, 90)):
+        pairs, label = list(pairs), list(range(210))
+        for i, j in pairs:
+            label = [label[i] if x == label[j] else x for x in label]
+        joined.append([label.index(x) for x in label])
+        assert pairs and (len(joined) > 1 or len(pairs) < 210)
+    assert joined[0] == joined[1]
+
+
 def test_groups_are_enough_for_every_linked_size():
     bands = jaccard.Bands(90)
     for a in range(1, 400):
@@ -488,11 +566,14 @@ def test_shards_are_tar_files_of_png(docs, tmp_path):
 
 # ---- helpers ----
 
-def test_span_hash_depends_on_content_alone():
-    data = np.frombuffer(b"xxabcabcdabcab", np.uint8)
-    p = textbatch.prefix_hash(data)
-    h = textbatch.span_hash(p, np.array([2, 5, 9, 0]), np.array([5, 8, 12, 3]))
-    assert h[0] == h[1] == h[2] != h[3]
+def test_hashes_depend_on_content_alone():
+    data = np.frombuffer(b"xxabcabcdabcab" + b"q" * 600 + b"r" + b"q" * 600, np.uint8)
+    h = textbatch.span_hash(data, np.array([2, 5, 9, 0, 14, 615, 14]), np.array([5, 8, 12, 3, 614, 1215, 613]))
+    assert h[0] == h[1] == h[2] != h[3] and h[4] == h[5] != h[6]
+    for k in (8, 9, 16, 48, 200):
+        grams = textbatch.gram_hash(data, k).tolist()
+        assert len(grams) == len(data) - k + 1 and len(set(grams)) == len({data[i : i + k].tobytes() for i in range(len(grams))})
+    assert len(textbatch.gram_hash(data[:5], 8)) == 0
 
 
 def test_words_match_the_pattern():

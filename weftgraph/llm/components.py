@@ -17,7 +17,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round is a written table, so lineage stays short and a lost executor costs a task. Every round joins edges
     with one minimum for each node: no node's neighbours are gathered in one place. Self-edges and edges with a null
-    end are left out; an empty table gives no rows.
+    end are left out; an empty table gives no rows. Rounds grow with the logarithm of a component's size; edges that still
+    move after ``most_rounds`` raise RuntimeError.
     """
     now, before = stage(edges.where("a <> b").select("a", "b").distinct(), "edges"), None
     for _ in range(most_rounds):
@@ -32,5 +33,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components: edges still move after {most_rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,18 +1,20 @@
 """Jaccard join over word shingles with a count-vector R-tree.
 
-A document is the set of its shingles (three words, or as many as asked). Two sets may link only if they differ in few shingles, so when
-shingles are hashed into one group more than that number, some group is equal in both: documents meet in buckets of an
-equal group, for every size band they may share with a partner (pigeonhole; nothing is missed). An empty group, which
-many share, counts only for a set whose other groups are too few to make an equal one certain. Equal sets are one
-class throughout. Within buckets:
-
-1. every class is held against its bucket's most central class (that which meets most others over all its buckets), and
-   exact verification links most of a crowd by a number of pairs that grows with its size only;
-2. classes of a bucket that are still apart go to an R-tree of their group counts: the counts of shingles in 128 hashed
-   groups are a point, the sum of coordinate minima with a node's upper corner bounds the overlap with all below it,
-   and pairs that the bound lets through are verified exactly.
-
-Connected components over verified links give the result.
+A document is the set of its shingles (three words, or as many as asked); equal sets are one class throughout. The counts of
+a class's shingles in 128 hashed groups are a point. An R-tree over points finds the pairs that may link: the sum of
+coordinate minima with a node's upper corner bounds the overlap with all below it, and pairs that the bound lets through
+are verified exactly by their texts.
+
+Points are dealt out to trees so that each pair that may link meets in one. Two sets may link only if they differ in
+few shingles, so when shingles are hashed into more groups than that number, some group is equal in both: classes
+meet where they have an equal group, for every size band they may share with a partner (pigeonhole; nothing is
+missed). An empty group, which many share, counts only for a set whose other groups are too few to make an equal one certain.
+Groups that hold the same classes make one tree. A group of more than ``BLOCK`` classes is dealt out again by its classes'
+rarest shingles: of sets that link, the prefixes in order of frequency share one.
+
+Trees are searched twice. First each gives a forest of surviving pairs, enough to hold its candidates together; verified
+pairs make components. Then each tree whose classes are still apart gives all surviving pairs between different
+components. So the number of pairs grows with a crowd's size where its classes link, and no link is lost where they don't.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
 from .components import components
-from .textbatch import TABLE_A, chunks, grouped_sum, lower_ascii, mix, owner, prefix_hash, span_hash, words
+from .keyfilter import with_may
+from .textbatch import chunks, grouped_sum, lower_ascii, mix, owner, span_hash, words
 
-#: Groups of the count vector, classes of a tree's leaf, of a block, and members verified against one copy of a leader.
+#: Groups of the count vector, classes of a tree's leaf, of a tree, and members verified against one copy of a leader.
 GROUPS, LEAF, BLOCK, SALT = 128, 16, 2048, 128
 #: The largest count a vector tells; it stands for any larger one.
 FULL = 65535
@@ -42,7 +45,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 3) -> tuple[np.
     A text of fewer than k words has one shingle, the whole sequence; one without words has none.
     """
     s, e, bounds = words(data, offsets)
-    h = span_hash(prefix_hash(lower_ascii(data), TABLE_A), s, e)
+    h = span_hash(lower_ascii(data), s, e)
     n_words, who = np.diff(bounds), owner(bounds)
     m = max(0, len(h) - k + 1)
     key = np.zeros(m, np.uint64)
@@ -129,11 +132,13 @@ def _classes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, mark, vector = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
-            for first, last, data, offsets in chunks(b.column(1), most=MOST):
+            for first, last, data, offsets in chunks(b.column("text"), most=MOST):
                 values, bounds = shingle_sets(data, offsets, k)
                 size[first:last], mark[first:last] = np.diff(bounds), fingerprints(values, bounds)
                 vector += [x.tobytes() for x in count_vectors(values, bounds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(mark), pa.array(vector, pa.binary())], names=["doc_id", "n_shingles", "mark", "vector"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("row_key"), pa.array(size), pa.array(mark), pa.array(vector, pa.binary())], names=["doc_id", "row_key", "n_shingles", "mark", "vector"]
+            )
 
     return run
 
@@ -149,7 +154,7 @@ def _keys(percent: int, k: int):
                 key, which = signatures(values, bounds, bands)
                 use = new[which]
                 yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(mark[which[use]])], names=["key", "mark"])
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
 
     return run
@@ -188,8 +193,8 @@ def _linked(percent: int, k: int):
     return run
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, k: int = 3) -> DataFrame:
-    """Those of the pairs (a, b) of class marks whose sets link, by their texts.
+def verify(texts: DataFrame, pairs: DataFrame, percent: int, k: int = 3) -> DataFrame:
+    """Those of the pairs (a, b) of class marks whose sets link, by their texts (mark, text).
 
     A class's text travels once for each leader it is held against; a leader is copied for every ``SALT`` members.
     """
@@ -197,9 +202,8 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int,
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("mark"), F.lit(False).alias("lead"))
     leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("mark"), F.lit(True).alias("lead"))
-    wanted = members.unionByName(leaders).join(classes.select("mark", F.col("first").alias("wanted_id")), "mark")
-    texts = docs.select(F.col("doc_id"), "text").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("wanted_id"))
-    dealt = texts.select("a", "salt", "lead", "mark", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"), "mark")
+    held = texts.join(members.unionByName(leaders).hint("shuffle_hash"), "mark")
+    dealt = held.select("a", "salt", "lead", "mark", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"), "mark")
     return dealt.mapInArrow(_linked(percent, k), "a long, b long")
 
 
@@ -231,21 +235,31 @@ class Tree:
         return self.order[rows[may(self.points[rows], self.size[rows], self.size[rows])]]
 
 
-def _searched(percent: int):
-    """Pairs of unlinked classes of one block that the tree lets through; rows come sorted by block."""
+def _apart(tree: Tree, root: np.ndarray, size: np.ndarray, vector: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """All pairs of different roots that the tree lets through."""
+    crowd = np.unique(root, return_counts=True)
+    most = crowd[0][crowd[1].argmax()]
+    for i in np.flatnonzero(root != most).tolist():  # every pair of different roots has an end outside the largest one
+        near = tree.near(vector[i], int(size[i]), percent)
+        yield from ((i, j) for j in near[root[near] != root[i]].tolist())
 
-    def of_block(root: np.ndarray, mark: np.ndarray, size: np.ndarray, vector: np.ndarray) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
-        if (root == root[0]).all():
-            return out
-        tree = Tree(vector, size)
-        crowd = np.unique(root, return_counts=True)
-        most = crowd[0][crowd[1].argmax()]
-        for i in np.flatnonzero(root != most):  # every pair of different roots has an end outside the largest one
-            for j in tree.near(vector[i], int(size[i]), percent):
-                if root[i] != root[j]:
-                    out.append((min(int(mark[i]), int(mark[j])), max(int(mark[i]), int(mark[j]))))
-        return out
+
+def _forest(tree: Tree, root: np.ndarray, size: np.ndarray, vector: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs that the tree lets through, as many as hold together what all such pairs would."""
+    label = np.unique(root, return_inverse=True)[1]
+    for i in range(len(label)):
+        if i and label[i] == label[0]:  # pairs with the first one's part are found from their other end
+            continue
+        near = tree.near(vector[i], int(size[i]), percent)
+        parts, at = np.unique(label[near], return_index=True)
+        other = parts != label[i]
+        yield from ((i, j) for j in near[at[other]].tolist())
+        label[np.isin(label, parts[other])] = label[i]
+
+
+def _searched(percent: int, forest: bool):
+    """Candidate pairs of classes of the trees' blocks; rows come sorted by block."""
+    search = _forest if forest else _apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -253,12 +267,20 @@ def _searched(percent: int):
         def flush(rows: pa.Table) -> pa.RecordBatch:
             names = ("key", "low", "high", "root", "mark", "n_shingles")
             key, low, high, root, mark, size = (rows.column(k).to_numpy() for k in names)
-            vector = unpacked(rows.column("vector").to_pylist())
+            packed = rows.column("vector").to_pylist()
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
-            pairs: set[tuple[int, int]] = set()
+            a, b = [], []
             for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-                pairs.update(of_block(root[x:y], mark[x:y], size[x:y], vector[x:y]))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
+                if (root[x:y] == root[x]).all():
+                    continue
+                vector = unpacked(packed[x:y])
+                pairs = np.array(list(search(Tree(vector, size[x:y]), root[x:y], size[x:y], vector, percent)), np.int64).reshape(-1, 2) + x
+                a.append(mark[pairs[:, 0]])
+                b.append(mark[pairs[:, 1]])
+            if not forest:
+                a, b = [np.minimum(x, y) for x, y in zip(a, b, strict=True)], [np.maximum(x, y) for x, y in zip(a, b, strict=True)]
+            none = [np.zeros(0, np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + a)), pa.array(np.concatenate(none + b))], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
@@ -279,34 +301,45 @@ def _searched(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links reach) for every row.
+def _members(k: int):
+    """The shingles of each class: rows (mark, text) -> mark, shingle."""
 
-    Texts link when 100 * intersection >= ``percent`` * union of their sets of ``k``-word shingles (words in lower case
-    for A-Z). Nulls: a null or wordless text has an empty set, n_shingles 0, and links with nothing; a row with a null
-    id takes its class's component but names none. Repeated rows and equal texts share a component. Extra columns are
-    not read; an empty table gives no rows. Sets are told apart by 64-bit fingerprints.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marked = stage(rows.mapInArrow(_classes(k), "doc_id long, n_shingles long, mark long, vector binary"), "marked")
-    classes = stage(marked.where("n_shingles > 0").groupBy("mark", "n_shingles", "vector").agg(F.min("doc_id").alias("first")), "classes")
-    keys = rows.select("text").mapInArrow(_keys(percent, k), "key long, mark long")
-    shared = keys.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("key")
-    met = stage(keys.join(shared, "key").distinct(), "met")
-
-    counted = met.join(met.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("mark").agg(F.sum("n").alias("meets"))
-    leaders = met.join(counted, "mark").groupBy("key").agg(F.max_by("mark", "meets").alias("leader"))
-    stars = met.join(leaders, "key").where("mark <> leader").select(F.col("leader").alias("a"), F.col("mark").alias("b")).distinct()
-    sides = [classes.select(F.col("mark").alias(x), F.col("n_shingles").alias(f"size_{x}"), F.col("vector").alias(f"vector_{x}")) for x in ("a", "b")]
-    bounded = stars.join(sides[0], "a").join(sides[1], "b").mapInArrow(_bounded(percent), "a long, b long")
-    links = stage(verify(rows, classes, bounded, percent, k), "links")
-    roots = components(links)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mark = b.column("mark").to_numpy()
+            for first, last, data, offsets in chunks(b.column("text"), most=MOST):
+                values, bounds = shingle_sets(data, offsets, k)
+                yield pa.RecordBatch.from_arrays([pa.array(mark[first:last][owner(bounds)]), pa.array(values.view(np.int64))], names=["mark", "shingle"])
 
-    placed = met.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    apart = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
-    blocks = (
-        placed.join(apart, "key")
-        .withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+    return run
+
+
+def _once(met: DataFrame) -> DataFrame:
+    """Rows (key, mark, n) of one key for each set of classes that keys hold; n is the set's size."""
+    sets = met.groupBy("key").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("mark", F.lit(i))).alias(f"x{i}") for i in (1, 2)))
+    one = sets.where("n > 1").groupBy("n", "x1", "x2").agg(F.min("key").alias("key"))
+    return met.join(one.select("key", "n"), "key")
+
+
+def _dealt_again(crowded: DataFrame, texts: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
+    """Keys (key, mark) of crowded classes by their rarest shingles among all of these.
+
+    Sets that link share at least ``percent`` of either one's members, so of its n members the n - ceil(n percent / 100) + 1
+    rarest have one in common with the other's rarest.
+    """
+    marks = crowded.select("mark").distinct()
+    held = stage(texts.join(marks, "mark").mapInArrow(_members(k), "mark long, shingle long"), "members")
+    often = held.groupBy("shingle").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("mark").orderBy("often", "shingle"))
+    ranked = held.join(often, "shingle").withColumn("rank", rank).where("often > 1").join(classes.select("mark", "n_shingles"), "mark")
+    prefix = F.col("n_shingles") - F.ceil(F.col("n_shingles") * percent / 100) + 1
+    return ranked.where(F.col("rank") <= prefix).select(F.xxhash64("shingle", F.lit("rare")).alias("key"), "mark")
+
+
+def _blocks(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """Trees' rows (key, mark, n, root) with vectors, dealt and sorted; more than ``BLOCK`` classes make a tree for each pair of parts."""
+    return (
+        met.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("mark"), "parts").cast("int"))
         .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("key", "mark", "root", F.least("part", "to").alias("low"), F.greatest("part", "to").alias("high"))
@@ -314,24 +347,56 @@ def jaccard_components(docs: DataFrame, percent: int = 90, id_col: str = "doc_id
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high", "mark")
     )
-    more = stage(verify(rows, classes, blocks.mapInArrow(_searched(percent), "a long, b long"), percent, k), "links")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> F.Column:
+    """A 64-bit key of a row's id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
+def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
+    """``jaccard_components`` with two columns more: row_key (see there) and root, one value for each component.
+
+    Root is null for texts without words, which belong to no component.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
+    marked = stage(rows.mapInArrow(_classes(k), "doc_id long, row_key long, n_shingles long, mark long, vector binary"), "marked")
+    classes = stage(marked.where("n_shingles > 0").groupBy("mark", "n_shingles", "vector").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("row_key")), "classes")
+    keys = rows.select("text").mapInArrow(_keys(percent, k), "key long, mark long")
+    shared = stage(keys.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("key"), "shared")
+    met = stage(with_may(keys, shared).where("may").select("key", "mark").distinct().join(shared, "key"), "met")
+    met = stage(_once(met), "trees")
+
+    wanted = classes.join(met.select("mark").distinct(), "mark", "left_semi").select("mark", "row_key")
+    may = with_may(rows.select("row_key", "text"), wanted.select(F.col("row_key").alias("key")), "row_key").where("may")
+    texts = stage(may.select("row_key", "text").join(wanted.hint("shuffle_hash"), "row_key").groupBy("mark").agg(F.first("text").alias("text")), "texts")
+    crowded = met.where(F.col("n") > BLOCK)
+    if crowded.take(1):
+        met = stage(met.where(F.col("n") <= BLOCK).unionByName(_once(_dealt_again(crowded, texts, classes, percent, k))), "trees")
+
+    found = _blocks(met.withColumn("root", F.col("mark")), classes).mapInArrow(_searched(percent, True), "a long, b long")
+    links = stage(verify(texts, found, percent, k), "links")
+    roots = components(links)
+    placed = met.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+    found = _blocks(placed.join(apart, "key"), classes).mapInArrow(_searched(percent, False), "a long, b long")
+    more = stage(verify(texts, found, percent, k), "links")
     roots = components(links.unionByName(more)) if more.take(1) else roots
 
     its = classes.join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
     least = its.groupBy("root").agg(F.min("first").alias("component"))
-    named = its.join(least, "root").select("mark", "component")
-    return marked.select("doc_id", "n_shingles", "mark").join(named, "mark", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
+    named = its.join(least, "root").select("mark", "root", "component")
+    return marked.select("doc_id", "row_key", "n_shingles", "mark").join(named, "mark", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "row_key", "root"
     )
 
 
-def _bounded(percent: int):
-    """Pairs whose count vectors allow the overlap they need."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (unpacked(b.column(f"vector_{k}").to_pylist()) for k in ("a", "b"))
-            m, n = (b.column(f"size_{k}").to_numpy() for k in ("a", "b"))
-            yield b.select(["a", "b"]).filter(pa.array(np.minimum(x, y).sum(axis=1) >= enough(m, n, percent)))
+def jaccard_components(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id that links reach) for every row.
 
-    return run
+    Texts link when 100 * intersection >= ``percent`` * union of their sets of ``k``-word shingles (words in lower case
+    for A-Z). Nulls: a null or wordless text has an empty set, n_shingles 0, and links with nothing; a row with a null
+    id takes its class's component and links others, but names none. Repeated rows and equal texts share a component. Extra columns are
+    not read; an empty table gives no rows. Sets are told apart by 64-bit fingerprints.
+    """
+    return jaccard_rows(docs, percent, id_col, text_col, k).select("doc_id", "n_shingles", "component_id")

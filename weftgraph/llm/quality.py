@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import bounded_sample
-from .textbatch import SPACE, TABLE_A, chunks, grouped_sum, mix, owner, prefix_hash, span_hash, words
+from .textbatch import SPACE, chunks, grouped_sum, mix, owner, span_hash, words
 
 #: Hash bits of each kind of feature; the kinds are word, word pair, 3 bytes, 4 bytes.
 BITS, KINDS = 16, 4
@@ -27,7 +27,7 @@ SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each kind the hashed features of a chunk's texts in order, and the bounds of each text's features."""
     s, e, bounds = words(data, offsets)
-    h = span_hash(prefix_hash(data, TABLE_A), s, e)
+    h = span_hash(data, s, e)
     shift = np.uint64(64 - BITS)
     out = [((h >> shift).astype(np.int64), bounds)]
     pair = mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h[:0]
@@ -137,7 +137,6 @@ def counts(data: np.ndarray, offsets: np.ndarray, window: int = 8) -> dict[str,
     """The base counts of each text of a chunk."""
     n = len(offsets) - 1
     s, e, bounds = words(data, offsets)
-    prefix = prefix_hash(data, TABLE_A)
     point = (data & 0xC0) != 0x80
     out = {
         "n_words": np.diff(bounds),
@@ -153,15 +152,15 @@ def counts(data: np.ndarray, offsets: np.ndarray, window: int = 8) -> dict[str,
     text = np.searchsorted(offsets, starts, side="right") - 1
     worded = np.searchsorted(s, ends) > np.searchsorted(s, starts)
     starts, ends, text = starts[worded], ends[worded], text[worded]
-    kinds = np.unique(np.stack([text.astype(np.uint64), span_hash(prefix, starts, ends)], axis=1), axis=0) if len(starts) else np.zeros((0, 2), np.uint64)
+    kinds = np.unique(np.stack([text.astype(np.uint64), span_hash(data, starts, ends)], axis=1), axis=0) if len(starts) else np.zeros((0, 2), np.uint64)
     out["n_dup_lines"] = np.bincount(text, minlength=n) - np.bincount(kinds[:, 0].astype(np.int64), minlength=n)
     # words in windows that the text has twice
-    h, m = span_hash(prefix, s, e), len(s) - window + 1
+    h, m = span_hash(data, s, e), len(s) - window + 1
     covered = np.zeros(len(s) + 1, np.int64)
     if m > 0:
         key = np.zeros(m, np.uint64)
         for k in range(window):
-            key = key * np.uint64(0x100000001B3) + h[k : k + m]
+            key = mix(key + h[k : k + m] + np.uint64(k))
         who = owner(bounds)
         at = np.flatnonzero(who[:m] == who[window - 1 :])
         tag = mix(key[at]) ^ mix(who[at].astype(np.uint64) + np.uint64(1))

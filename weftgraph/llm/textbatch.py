@@ -10,14 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: Spans beyond this many bytes are hashed one by one.
+LONG = 512
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Masks that keep the first n of eight bytes.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 
 Chunk = tuple[int, int, np.ndarray, np.ndarray]
 
@@ -32,35 +35,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_values(seed: int) -> np.ndarray:
-    """256 fixed odd 64-bit values, one for each byte."""
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed)) | np.uint64(1)
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes that begin there as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
 
 
-TABLE_A, TABLE_B = byte_values(11), byte_values(97)
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [start, end); equal bytes give equal values wherever they lie.
 
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            _POWERS[k] = np.cumprod(a, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
-def prefix_hash(data: np.ndarray, table: np.ndarray = TABLE_A) -> np.ndarray:
-    """Prefix sums of a polynomial hash; ``span_hash`` reads the hash of any span from them."""
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(table[data] * powers(len(data))[0], dtype=np.uint64, out=out[1:])
+    Eight bytes at a time go through a mixing step that is no linear map, so no family of texts is known to collide.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) + np.uint64(1))
+    if not len(size):
+        return out
+    at8, live, at = eights(data), np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        left = size[live] - at
+        word = at8[start[live] + at] & _FIRST[np.minimum(left, 8)]
+        out[live] = mix((out[live] ^ word) * _STEP + np.uint64(at))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end); equal bytes give equal values wherever they lie."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
+def gram_hash(data: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``k`` bytes (8 or more), by doubling: two halves that may overlap make a whole."""
+    held, width = eights(data)[: max(0, len(data) - 7)] * _STEP, 8
+    held ^= held >> np.uint64(32)
+    while width < k:
+        wide = min(2 * width, k)
+        n = max(0, len(data) - wide + 1)
+        both = held[:n] * np.uint64(0xBF58476D1CE4E5B9)
+        both += held[wide - width : wide - width + n]
+        both ^= both >> np.uint64(32)
+        held, width = both, wide
+    held *= _STEP
+    return held
 
 
 def chunks(column: pa.Array, limit: int = 1 << 20, most: int = 1 << 30) -> Iterator[Chunk]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import bounded_sample
-from .textbatch import TABLE_B, chunks, grouped_sum, lower_ascii, mix, owner, prefix_hash, span_hash
+from .textbatch import chunks, grouped_sum, lower_ascii, mix, owner, span_hash
 
 BITS = 18
 #: Words a chain has at most; sentences longer than that are parted.
@@ -56,9 +56,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         begins = np.flatnonzero(head)
         place = np.arange(len(s)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(s)]])))
         head |= place % CHAIN == 0
-    prefix = prefix_hash(lower_ascii(data), TABLE_B)
+    lower = lower_ascii(data)
     units = [(s, e), (s, np.minimum(e, s + 4)), (s, np.minimum(e, s + 6)), (np.maximum(s, e - 5), e)]
-    return s, e, np.stack([span_hash(prefix, x, y) + np.uint64(k) for k, (x, y) in enumerate(units)], axis=1), bounds, head
+    return s, e, np.stack([span_hash(lower, x, y) + np.uint64(k) for k, (x, y) in enumerate(units)], axis=1), bounds, head
 
 
 def chain_features(h: np.ndarray, head: np.ndarray) -> np.ndarray:
