@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.jaccard import jaccard_components
+from weftgraph.llm.jaccard import jaccard_rows, row_key
+from weftgraph.llm.keyfilter import with_may
 from weftgraph.llm.langid import fit_languages, fold, identify_languages
 from weftgraph.llm.mixing import mix_sources
 from weftgraph.llm.packing import pack_documents
@@ -32,19 +33,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+def by_row(docs: DataFrame, chosen: DataFrame, key: F.Column) -> DataFrame:
+    """Documents whose ``key`` (equal for equal rows) is in ``chosen`` (row_key, n and more); of n > 1 equal rows one."""
+    keyed = docs.withColumn("row_key", key)
+    single = keyed.join(chosen.where("n = 1").hint("shuffle_hash"), "row_key")
+    repeated = chosen.where("n > 1")
+    may = with_may(keyed, repeated.select(F.col("row_key").alias("key")), "row_key").where("may").drop("may")
+    return single.unionByName(may.dropDuplicates(["row_key"]).join(repeated, "row_key"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the smallest id, of each group that links hold together.
+    """Keep one row of each group that links hold together: that with the smallest id, then by a hash of its text.
 
-    Documents link from a Jaccard similarity of 0.8 up between their sets of five-word shingles.
-    Of repeated rows of that id one stays. Rows with a null id can't be named by a group and stay.
+    Documents link from a Jaccard similarity of 0.8 up between their sets of five-word shingles. The choice is made
+    by row: equal ids with different texts are judged by their texts, a null id comes after all others, and of
+    equal rows one stays. Texts without words belong to no group and stay.
     """
     small_batches(spark)
     docs = docs.select(*COLUMNS)
-    found = stage(jaccard_components(docs, 80, k=5), "groups")
-    chosen = found.where((F.col("n_shingles") == 0) | (F.col("component_id") == F.col("doc_id"))).groupBy("doc_id").count()
-    repeated = chosen.where("count > 1 and doc_id is not null").take(1)
-    kept = docs.where("doc_id is not null").join(chosen.hint("shuffle_hash"), "doc_id", "left_semi")
-    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).unionByName(docs.where("doc_id is null"))
+    found = stage(jaccard_rows(docs, 80, k=5), "groups")
+    rows = found.where("root is not null").groupBy("root", "doc_id", "row_key").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key", "n")).alias("first"))
+    kept = by_row(docs, first.select("first.row_key", "first.n"), row_key())
+    return kept.select(*COLUMNS).unionByName(docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))))
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +69,14 @@ def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix says: rows are left out, or stand up to three times.
 
-    Repeated rows are taken alike; a row with a null id, which no decision can name, is taken once.
+    The mix decides by row, whatever its id; what it takes of equal rows is taken of one of them.
     """
     small_batches(spark)
     docs = docs.select(*COLUMNS)
-    taken = mix_sources(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    named = docs.join(taken.hint("shuffle_hash"), "doc_id").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    key = F.xxhash64(*COLUMNS)
+    mixed = mix_sources(docs.withColumn("row_key", key), id_col="row_key").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("copies").cast("int").alias("copies"))
+    taken = stage(mixed.where("copies > 0").withColumnRenamed("doc_id", "row_key"), "taken")
+    return by_row(docs, taken, key).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
