@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,15 +165,18 @@ def test_quality_learns(spark, none):
 # ---- op 3 ----
 
 def licenses_by_force(rows, containment=0.8):
-    def runs(text):
-        w = re.findall(r"[^\W_]+", (text or "").lower())
-        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    def words(text):
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
+    def runs(text, n):
+        w = words(text)
+        return [tuple(w[i : i + n]) for i in range(len(w) - n + 1)]
 
     out = collections.defaultdict(float)
     for r in rows:
-        held = runs(r[1])
-        for k, (_name, text) in enumerate(licenses.TEMPLATES):
-            its = set(runs(text))
+        for k, (_name, text) in enumerate(licenses.TEMPLATES + licenses.NOTICES):
+            n = min(5, len(words(text)))
+            held, its = runs(r[1], n), set(runs(text, n))
             step = -(-len(its) // 2)
             for s in range(0, len(held), step):
                 part = len(its & set(held[s : s + 2 * len(its)])) / len(its)
@@ -419,7 +423,7 @@ def test_forest_holds_together_what_pairs_would():
     size, root = points.sum(axis=1), np.arange(210)
     tree = jaccard.Tree(points, size)
     joined = []
-    for pairs in (jaccard._forest(tree, root, size, points, 90), jaccard._apart(tree, root, size, points, 90)):
+    for pairs in (jaccard._forest(tree, root, 90), jaccard._apart(tree, root, 90)):
         pairs, label = list(pairs), list(range(210))
         for i, j in pairs:
             label = [label[i] if x == label[j] else x for x in label]
@@ -473,11 +477,14 @@ def test_tree_finds_all_within_the_bound():
     points = r.integers(0, 6, size=(200, jaccard.GROUPS)).astype(np.int64)
     points[100:] = np.maximum(0, points[:100] + (r.random((100, jaccard.GROUPS)) < 0.02))
     size = points.sum(axis=1)
-    tree = jaccard.Tree(points, size)
-    for i in range(200):
-        fits = (size * 100 >= size[i] * 90) & (size * 90 <= size[i] * 100)
-        want = set(np.flatnonzero(fits & (np.minimum(points, points[i]).sum(axis=1) >= jaccard.enough(size, size[i], 90))).tolist())
-        assert set(tree.near(points[i], int(size[i]), 90).tolist()) == want
+    got = {tuple(sorted((int(x[i]), int(y[j])))) for x, y, may in jaccard.Tree(points, size).pairs(90) for i, j in zip(*np.nonzero(may), strict=True)}
+    may = jaccard.bounded(points, size, points, size, 90)
+    assert got == {(i, j) for i in range(200) for j in range(i + 1, 200) if may[i, j]} and len(got) >= 100
+    first, n = np.array([0, 2, 7]), np.array([2, 5, 9])
+    for forest in (False, True):
+        a, b = jaccard._small(first, n, np.arange(200), size, points, 90, forest)
+        want = {(i, j) for x, k in zip(first, n, strict=True) for i in range(x, x + k) for j in range(i + 1, x + k) if may[i, j]}
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) <= want and (forest or len(a) == len(want))
 
 
 def test_components(spark):
@@ -513,9 +520,8 @@ def test_languages(spark, docs, none):
     model = langid.fit_languages(df.where("doc_id < 60"))
     got = {r.doc_id: r for r in langid.identify_languages(df, model).collect()}
     assert all(got[i].lang_pred == x and 0.5 < got[i].score <= 1 for i, _, x in rows)
-    scorer = langid.Scorer(model)
-    assert scorer.text("abcdeabcde")[0] == "xx" and scorer.text("zzz fff")[0] == "yy"
-    assert scorer.text(None) == ("und", 0.0) and scorer.text("12 ²½ _") == ("und", 0.0)
+    said, share = langid.Scorer(model).texts(pa.array(["abcdeabcde", "zzz fff", None, "12 ²½ _", ""]))
+    assert said == ["xx", "yy", "und", "und", "und"] and list(share[2:]) == [0, 0, 0]
     said = langid.identify_languages(docs.withColumn("score", F.lit("old")), model)
     assert said.count() == len(corpus()) and set(docs.columns) < set(said.columns) and dict(said.dtypes)["score"] == "double"
     assert langid.identify_languages(none, langid.fit_languages(none)).collect() == []
@@ -523,14 +529,23 @@ def test_languages(spark, docs, none):
     assert {r.lang_pred for r in langid.identify_languages(docs, blank).collect()} == {"und"}
 
 
-def test_full_memory_gives_the_same_scores(monkeypatch, spark):
+def test_scores_do_not_depend_on_what_a_worker_remembers(monkeypatch, spark):
     rows = [(i, prose(40, i), ("p", "q")[i % 2]) for i in range(20)]
     model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    want = [langid.Scorer(model).text(t) for _, t, _ in rows]
+    texts = [t for _, t, _ in rows] + [rows[3][1]]
+    want = langid.Scorer(model).texts(pa.array(texts))
     monkeypatch.setattr(langid, "MEMORY_TOKENS", 5)
-    scorer = langid.Scorer(model)
-    got = [scorer.text(t) for _, t, _ in rows]
-    assert [x for x, _ in got] == [x for x, _ in want] and [y for _, y in got] == pytest.approx([y for _, y in want], rel=1e-4)
+    monkeypatch.setattr(langid, "ROWS", 3)
+    got = langid.Scorer(model).texts(pa.array(texts))
+    assert got[0] == want[0] and got[1].tolist() == want[1].tolist() and want[1][3] == want[1][20]
+
+
+def test_samples_have_their_size(spark):
+    rows = spark.createDataFrame([(i % 50, f"t{i}") for i in range(500)] + [(None, "x"), (None, None)], "id long, text string")
+    for n in (1, 20, 49, 600):
+        got = langid.bounded_sample(rows, "id", n).collect()
+        assert len(got) <= min(n, 51) and len({r.id for r in got}) == len(got)
+    assert len(langid.bounded_sample(rows, "id", 600).collect()) == 51 and langid.bounded_sample(rows.limit(0), "id", 5).collect() == []
 
 
 # ---- op 10 ----

@@ -13,7 +13,7 @@ Groups that hold the same classes make one tree. A group of more than ``BLOCK``
 rarest shingles: of sets that link, the prefixes in order of frequency share one.
 
 Trees are searched twice. First each gives a forest of surviving pairs, enough to hold its candidates together; verified
-pairs make components. Then each tree whose classes are still apart gives all surviving pairs between different
+pairs make components. Then each tree some pair of whose forest is still apart gives all surviving pairs between different
 components. So the number of pairs grows with a crowd's size where its classes link, and no link is lost where they don't.
 """
 
@@ -31,8 +31,8 @@ from .components import components
 from .keyfilter import with_may
 from .textbatch import chunks, grouped_sum, lower_ascii, mix, owner, span_hash, words
 
-#: Groups of the count vector, classes of a tree's leaf, of a tree, and members verified against one copy of a leader.
-GROUPS, LEAF, BLOCK, SALT = 128, 16, 2048, 128
+#: Groups of the count vector, classes of a tree's leaf, of a tree, of trees searched many at once, and members verified against one copy of a leader.
+GROUPS, LEAF, BLOCK, FEW, SALT = 128, 64, 2048, 12, 128
 #: The largest count a vector tells; it stands for any larger one.
 FULL = 65535
 #: Bits of a shingle's hash; the ten above them number the texts of a chunk.
@@ -79,10 +79,10 @@ def count_vectors(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.minimum(held, FULL).reshape(n, GROUPS).astype(np.uint16)
 
 
-def unpacked(vectors: list[bytes]) -> np.ndarray:
-    """Count vectors as integers; a full count bounds nothing, so it becomes very large."""
-    held = np.frombuffer(b"".join(vectors), np.uint16).reshape(-1, GROUPS).astype(np.int64)
-    return np.where(held == FULL, 1 << 40, held)
+def unpacked(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Count vectors; where one has a full count, which bounds nothing, that becomes very large."""
+    held = np.frombuffer(b"".join(vectors.to_pylist()), np.uint16).reshape(-1, GROUPS)
+    return np.where(held == FULL, 1 << 40, held.astype(np.int64)) if (held == FULL).any() else held
 
 
 class Bands:
@@ -208,57 +208,94 @@ def verify(texts: DataFrame, pairs: DataFrame, percent: int, k: int = 3) -> Data
 
 
 class Tree:
-    """A bulk-loaded R-tree of count vectors: leaves of neighbouring points, their corners, and corners of leaves."""
+    """An R-tree of count vectors: leaves of neighbouring points, and their upper corners; searched against itself."""
 
     def __init__(self, points: np.ndarray, size: np.ndarray) -> None:
-        spread = points
-        axes = np.argsort(-(spread.var(axis=0) / (spread.mean(axis=0) + 1)))[:2]
-        order = np.lexsort((spread[:, axes[1]], spread[:, axes[0]] // 4, size // 8))
-        self.order, self.points, self.size = order, spread[order], size[order]
+        axes = np.argsort(-(points.var(axis=0) / (points.mean(axis=0) + 1)))[:2]
+        order = np.lexsort((points[:, axes[1]], points[:, axes[0]] // 4, size // 8))
         starts = np.arange(0, len(points), LEAF)
-        self.high, self.small, self.large = np.maximum.reduceat(self.points, starts, axis=0), np.minimum.reduceat(self.size, starts), np.maximum.reduceat(self.size, starts)
-        upper = np.arange(0, len(starts), LEAF)
-        self.top = np.maximum.reduceat(self.high, upper, axis=0), np.minimum.reduceat(self.small, upper), np.maximum.reduceat(self.large, upper)
-
-    def near(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Numbers of the points whose overlap with the given one may be enough, as far as the bound tells."""
-        def may(high: np.ndarray, small: np.ndarray, large: np.ndarray) -> np.ndarray:
-            fits = (large * 100 >= size * percent) & (small * percent <= size * 100)
-            return np.flatnonzero(fits & (np.minimum(high, point).sum(axis=1) >= enough(np.maximum(small, size * percent // 100), size, percent)))
-
-        upper = may(*self.top)
-        leaves = (upper[:, None] * LEAF + np.arange(LEAF)).ravel()
-        leaves = leaves[leaves < len(self.high)]
-        leaves = leaves[may(self.high[leaves], self.small[leaves], self.large[leaves])]
-        rows = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
-        rows = rows[rows < len(self.points)]
-        return self.order[rows[may(self.points[rows], self.size[rows], self.size[rows])]]
-
-
-def _apart(tree: Tree, root: np.ndarray, size: np.ndarray, vector: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+        self.order, self.points, self.size = order, points[order], size[order]
+        self.starts, self.ends = starts, np.append(starts[1:], len(points))
+        self.high = np.maximum.reduceat(self.points, starts, axis=0)
+        self.small, self.large = np.minimum.reduceat(self.size, starts), np.maximum.reduceat(self.size, starts)
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Points of two leaves (or of one, twice), and which pairs of them the bound lets through; pairs of leaves that it stops are left out."""
+        for i in range(len(self.starts)):
+            js = np.arange(i, len(self.starts))
+            fits = (self.large[js] * 100 >= self.small[i] * percent) & (self.small[js] * percent <= self.large[i] * 100)
+            fits &= _overlaps(self.high[i : i + 1], self.high[js])[0] >= enough(self.small[i], self.small[js], percent)
+            x = slice(self.starts[i], self.ends[i])
+            for j in js[fits].tolist():
+                y = slice(self.starts[j], self.ends[j])
+                may = bounded(self.points[x], self.size[x], self.points[y], self.size[y], percent)
+                if i == j:
+                    may = np.triu(may, 1)
+                if may.any():
+                    yield self.order[x], self.order[y], may
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima of all rows of a and of b."""
+    return np.minimum(a[:, None, :], b[None, :, :]).sum(axis=2, dtype=np.int64)
+
+
+def bounded(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of points (with sizes) may overlap enough, as far as their count vectors tell."""
+    m, n = m[:, None], n[None, :]
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (_overlaps(a, b) >= enough(m, n, percent))
+
+
+def _apart(tree: Tree, root: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """All pairs of different roots that the tree lets through."""
-    crowd = np.unique(root, return_counts=True)
-    most = crowd[0][crowd[1].argmax()]
-    for i in np.flatnonzero(root != most).tolist():  # every pair of different roots has an end outside the largest one
-        near = tree.near(vector[i], int(size[i]), percent)
-        yield from ((i, j) for j in near[root[near] != root[i]].tolist())
+    for x, y, may in tree.pairs(percent):
+        i, j = np.nonzero(may & (root[x][:, None] != root[y][None, :]))
+        yield from zip(x[i].tolist(), y[j].tolist(), strict=True)
 
 
-def _forest(tree: Tree, root: np.ndarray, size: np.ndarray, vector: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+def _forest(tree: Tree, root: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs that the tree lets through, as many as hold together what all such pairs would."""
     label = np.unique(root, return_inverse=True)[1]
-    for i in range(len(label)):
-        if i and label[i] == label[0]:  # pairs with the first one's part are found from their other end
-            continue
-        near = tree.near(vector[i], int(size[i]), percent)
-        parts, at = np.unique(label[near], return_index=True)
-        other = parts != label[i]
-        yield from ((i, j) for j in near[at[other]].tolist())
-        label[np.isin(label, parts[other])] = label[i]
+    for x, y, may in tree.pairs(percent):
+        while True:
+            open_ = may & (label[x][:, None] != label[y][None, :])
+            i = int(open_.any(axis=1).argmax())
+            at = np.flatnonzero(open_[i])
+            if not len(at):
+                break
+            parts, first = np.unique(label[y[at]], return_index=True)
+            yield from ((int(x[i]), j) for j in y[at[first]].tolist())
+            label[np.isin(label, parts)] = label[x[i]]
+
+
+def _small(first: np.ndarray, n: np.ndarray, root: np.ndarray, size: np.ndarray, vector: np.ndarray, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many blocks of ``FEW`` points at most, one leaf each: rows [first, first + n); all their pairs at once."""
+    a, b = [], []
+    for k in np.unique(n).tolist():
+        i, j = np.triu_indices(k, 1)
+        a.append((first[n == k][:, None] + i).ravel())
+        b.append((first[n == k][:, None] + j).ravel())
+    a, b = np.concatenate(a), np.concatenate(b)
+    use = (root[a] != root[b]) & (size[a] * 100 >= size[b] * percent) & (size[b] * 100 >= size[a] * percent)
+    a, b = a[use], b[use]
+    held = np.concatenate([np.zeros(0, bool), *(np.minimum(vector[a[s : s + 8192]], vector[b[s : s + 8192]]).sum(axis=1, dtype=np.int64) >= enough(size[a[s : s + 8192]], size[b[s : s + 8192]], percent) for s in range(0, len(a), 8192))])
+    a, b = a[held], b[held]
+    if not forest:
+        return a, b
+    label, use = list(range(len(root))), []
+    for e, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while label[x] != x:
+            x = label[x]
+        while label[y] != y:
+            y = label[y]
+        if x != y:
+            label[max(x, y)] = min(x, y)
+            use.append(e)
+    return a[use], b[use]
 
 
 def _searched(percent: int, forest: bool):
-    """Candidate pairs of classes of the trees' blocks; rows come sorted by block."""
+    """Candidate pairs (a, b) of classes of the trees' blocks, with the block's key; rows come sorted by block."""
     search = _forest if forest else _apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,20 +304,18 @@ def _searched(percent: int, forest: bool):
         def flush(rows: pa.Table) -> pa.RecordBatch:
             names = ("key", "low", "high", "root", "mark", "n_shingles")
             key, low, high, root, mark, size = (rows.column(k).to_numpy() for k in names)
-            packed = rows.column("vector").to_pylist()
-            cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
-            a, b = [], []
-            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-                if (root[x:y] == root[x]).all():
-                    continue
-                vector = unpacked(packed[x:y])
-                pairs = np.array(list(search(Tree(vector, size[x:y]), root[x:y], size[x:y], vector, percent)), np.int64).reshape(-1, 2) + x
-                a.append(mark[pairs[:, 0]])
-                b.append(mark[pairs[:, 1]])
-            if not forest:
-                a, b = [np.minimum(x, y) for x, y in zip(a, b, strict=True)], [np.maximum(x, y) for x, y in zip(a, b, strict=True)]
-            none = [np.zeros(0, np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + a)), pa.array(np.concatenate(none + b))], names=["a", "b"])
+            vector = unpacked(rows.column("vector"))
+            first = np.concatenate([[0], np.flatnonzero((np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1])
+            n = np.diff(np.append(first, len(key)))
+            few = n <= FEW
+            pairs = [_small(first[few], n[few], root, size, vector, percent, forest)] if few.any() else []
+            for x, k in zip(first[~few].tolist(), n[~few].tolist(), strict=True):
+                y = x + k
+                if (root[x:y] != root[x]).any():
+                    found = np.array(list(search(Tree(vector[x:y], size[x:y]), root[x:y], percent)), np.int64).reshape(-1, 2) + x
+                    pairs.append((found[:, 0], found[:, 1]))
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in pairs)]) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(mark[a]), pa.array(mark[b])], names=["key", "a", "b"])
 
         for b in batches:
             if not b.num_rows:
@@ -374,13 +409,18 @@ def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
     if crowded.take(1):
         met = stage(met.where(F.col("n") <= BLOCK).unionByName(_once(_dealt_again(crowded, texts, classes, percent, k))), "trees")
 
-    found = _blocks(met.withColumn("root", F.col("mark")), classes).mapInArrow(_searched(percent, True), "a long, b long")
+    found = stage(_blocks(met.withColumn("root", F.col("mark")), classes).mapInArrow(_searched(percent, True), "key long, a long, b long"), "forest")
     links = stage(verify(texts, found, percent, k), "links")
     roots = components(links)
-    placed = met.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    found = _blocks(placed.join(apart, "key"), classes).mapInArrow(_searched(percent, False), "a long, b long")
-    more = stage(verify(texts, found, percent, k), "links")
+    ends = found
+    for x in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+    # a tree all of whose forest's pairs are held together has no other candidates to look at
+    apart = ends.where("root_a <> root_b").select("key").distinct()
+    placed = met.join(apart, "key").join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    found = _blocks(placed, classes).mapInArrow(_searched(percent, False), "key long, a long, b long")
+    more = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = stage(verify(texts, more, percent, k), "links")
     roots = components(links.unionByName(more)) if more.take(1) else roots
 
     its = classes.join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))

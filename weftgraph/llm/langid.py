@@ -2,105 +2,122 @@
 
 A word seen in training is scored by its log frequency in each language; an unseen word by the longest order of
 character n-grams of which training has seen at least one. Counts come from a Spark aggregation over a bounded
-sample of labelled documents; the tables kept are bounded too, so the model may be broadcast.
+sample of labelled documents; all words and n-grams from a floor of occurrences up are kept. Scores are fixed-point
+integers, so a text's sums do not depend on their order or on what a worker remembers.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from ..staging import stage
 
 _LETTERS = regex.compile(r"\p{L}+")
 
-#: Tokens whose scores a worker keeps.
-MEMORY_TOKENS = 300_000
+#: Tokens beyond which a worker forgets those it has scored; rows scored at a time; steps of a unit of log frequency.
+MEMORY_TOKENS, ROWS, SCALE = 300_000, 200, 1 << 16
+
+
+def one_of_each(rows: DataFrame, key: str) -> DataFrame:
+    """One row for each value of ``key``: the least by its other columns."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("least")).select(key, "least.*")
 
 
 def bounded_sample(rows: DataFrame, key: str, max_rows: int) -> DataFrame:
-    """All rows when there are ``max_rows`` at most, else about so many, chosen by a hash of ``key``."""
-    n = rows.count()
-    if n <= max_rows:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * max_rows / n))
+    """The rows of the ``max_rows`` smallest hashes of ``key``, one for each value (the least by its other columns)."""
+    h = F.xxhash64(F.col(key), F.lit("sample"))
+    edge = rows.select(h.alias("h")).orderBy("h").limit(max_rows).agg(F.max("h")).first()[0]
+    return one_of_each(rows.where(h <= F.lit(edge).cast("long")), key)
+
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens of some texts in lower case, each token's number among them, and the texts' bounds."""
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")))
+    coded = lists.flatten().dictionary_encode()
+    bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), bounds
 
-def _grams(word: str, n: int) -> list[str]:
-    w = f" {word} "
-    return [w[i : i + n] for i in range(len(w) - n + 1)]
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word stands in the texts of each language: lang, word, n."""
+    for b in batches:
+        tokens, code, bounds = split(b.column("text"))
+        langs = b.column("lang").dictionary_encode()
+        its = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(bounds)).astype(np.int64)
+        pair, n = np.unique(its * max(1, len(tokens)) + code, return_counts=True)
+        names, found = langs.dictionary.to_pylist(), tokens.to_pylist()
+        rows = [(names[p // len(found)], w, k) for p, k in zip(pair.tolist(), n.tolist(), strict=True) for w in _LETTERS.findall(found[p % len(found)])]
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "gram", "n"])
+
+
+def _grams(orders: tuple[int, ...]):
+    """The n-grams of words and how often: lang, kind (the order), gram, n."""
 
-def _count(orders: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words: dict[str, Counter] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
-            out: Counter = Counter()
-            for lang, seen in words.items():
-                for w, k in seen.items():
-                    out[lang, 0, w] += k
-                    for n in orders:
-                        for g in _grams(w, n):
-                            out[lang, n, g] += k
+            out: dict[tuple, int] = {}
+            for lang, word, k in zip(*(b.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
+                framed = f" {word} "
+                for n in orders:
+                    for i in range(len(framed) - n + 1):
+                        key = (lang, n, framed[i : i + n])
+                        out[key] = out.get(key, 0) + k
             keys = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int32()), pa.array(keys[2], pa.string()), pa.array(out.values(), pa.int64())],
-                names=["lang", "kind", "gram", "n"],
-            )
+            kinds = (pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(keys, kinds, strict=True)), pa.array(out.values(), pa.int64())], names=["lang", "kind", "gram", "n"])
 
     return run
 
 
 def fit_languages(
     labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_docs: int = 12_000,
-    max_words: int = 60_000, max_grams: int = 30_000, orders: tuple[int, ...] = (5, 4, 3, 2, 1),
+    least_words: int = 2, least_grams: int = 5, orders: tuple[int, ...] = (5, 4, 3, 2, 1),
 ) -> dict:
     """Per-language log frequencies of words and character n-grams.
 
-    Fits on ``max_docs`` documents at most (a hash of the id chooses) and keeps the ``max_words`` most frequent words
-    seen twice and the ``max_grams`` most frequent n-grams of each order. Rows with a null text or language are left out.
+    Fits on ``max_docs`` documents at most (those of the smallest hashes of the id; an id counts once). All words that
+    stand there ``least_words`` times or more, and all n-grams of ``least_grams`` times or more, are kept. Rows with a null text or language are left out.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = bounded_sample(rows, "id", max_docs).select("lang", "text").mapInArrow(_count(orders), "lang string, kind int, gram string, n long")
-    grams = counts.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).where("kind > 0 or total > 1").persist()
-    try:
-        tables = {
-            k: grams.where(F.col("kind") == k).orderBy(F.desc("total"), "gram").limit(max_grams if k else max_words).select("gram", "by.lang", "by.n").toArrow()
-            for k in (0, *orders)
-        }
-    finally:
-        grams.unpersist()
-    langs = sorted({x for t in tables.values() for x in t.column("lang").combine_chunks().flatten().unique().to_pylist()})
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    sample = bounded_sample(rows, "id", max_docs).select("lang", "text")
+    words = stage(sample.mapInArrow(_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
+    grams = words.mapInArrow(_grams(orders), "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    every = words.select("lang", F.lit(0).alias("kind"), "gram", "n").unionByName(grams)
+    least = F.when(F.col("kind") == 0, least_words).otherwise(least_grams)
+    table = every.groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("total") >= least).select("kind", "gram", "by.lang", "by.n").toArrow()
+    langs = sorted(table.column("lang").combine_chunks().flatten().unique().to_pylist())
     model: dict = {"langs": langs, "orders": orders, "rows": {}, "logs": {}}
-    for k, table in tables.items():
-        seen, by = np.zeros((len(table), len(langs))), table.column("lang").combine_chunks()
-        at = np.repeat(np.arange(len(table)), by.value_lengths().to_numpy(zero_copy_only=False))
-        seen[at, np.searchsorted(np.array(langs, dtype=object), np.array(by.flatten().to_pylist(), dtype=object))] = table.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        smooth = 0.5
-        logs = np.log((seen + smooth) / (seen.sum(axis=0) + smooth * max(1, len(table))))
-        model["rows"][k] = {g: i for i, g in enumerate(table.column("gram").to_pylist())}
-        model["logs"][k] = logs.astype(np.float32)
+    for k in (0, *orders):
+        part = table.filter(pc.equal(table.column("kind"), k)).sort_by("gram")
+        seen, by = np.zeros((len(part), len(langs))), part.column("lang").combine_chunks()
+        at = np.repeat(np.arange(len(part)), by.value_lengths().to_numpy(zero_copy_only=False))
+        seen[at, np.searchsorted(np.array(langs, dtype=object), np.array(by.flatten().to_pylist(), dtype=object))] = part.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        logs = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * max(1, len(part))))
+        model["rows"][k] = {g: i for i, g in enumerate(part.column("gram").to_pylist())}
+        model["logs"][k] = np.round(logs * SCALE).astype(np.int32)
     return model
 
 
-class Scorer(dict):
-    """Lower-cased token -> place of its scores in ``table``: a column for each language, and the number of words."""
+class Scorer:
+    """Scores tokens once and sums them over texts; a score is a fixed-point integer for each language, and the number of words."""
 
     def __init__(self, model: dict) -> None:
-        self.model, self.width = model, len(model["langs"])
-        self.rows = model["rows"]
+        self.model, self.width, self.rows = model, len(model["langs"]), model["rows"]
         self.logs = {k: [tuple(r) for r in v.tolist()] for k, v in model["logs"].items()}
-        self.table = np.zeros((MEMORY_TOKENS + 1, self.width + 1), np.float32)
-        self.extra: list[list[float]] = []
+        self.places: dict[str, int] = {}
+        self.table = np.zeros((0, self.width + 1), np.int64)
 
-    def word(self, word: str) -> tuple[float, ...]:
+    def word(self, word: str) -> tuple[int, ...]:
         """Scores of one word: its own when known, else the mean over its n-grams of the longest known order."""
         at = self.rows[0].get(word)
         if at is not None:
@@ -110,37 +127,37 @@ class Scorer(dict):
             known, logs = self.rows[n].get, self.logs[n]
             found = [logs[i] for k in range(len(framed) - n + 1) if (i := known(framed[k : k + n])) is not None]
             if found:
-                size = len(found)
-                return tuple([sum(c) / size for c in zip(*found, strict=True)])
-        return (0.0,) * self.width
+                return tuple([sum(c) // len(found) for c in zip(*found, strict=True)])
+        return (0,) * self.width
 
-    def __missing__(self, token: str) -> int:
+    def token(self, token: str) -> list[int]:
         words = _LETTERS.findall(token)
-        if len(words) == 1:
-            scores = [*self.word(words[0]), 1.0]
-        else:
-            scores = [sum(c) for c in zip(*map(self.word, words), strict=True)] if words else [0.0] * self.width
-            scores.append(float(len(words)))
-        if len(self) < MEMORY_TOKENS:
-            at = self[token] = len(self) + 1
-            self.table[at] = scores
-            return at
-        self.extra.append(scores)
-        return 0
-
-    def text(self, text: str | None) -> tuple[str, float]:
-        """The best language and its share of the likelihood; ("und", 0) for a text without a letter."""
-        if not text or not self.width:
-            return "und", 0.0
-        self.extra = []
-        found = np.fromiter(map(self.__getitem__, text.lower().split()), np.int64)
-        sums = self.table[found].sum(axis=0, dtype=np.float64)
-        if self.extra:
-            sums += np.array(self.extra).sum(axis=0)
-        if not sums[-1]:
-            return "und", 0.0
-        best = int(sums[:-1].argmax())
-        return self.model["langs"][best], 1.0 / float(np.exp(np.maximum(sums[:-1] - sums[best], -700.0)).sum())
+        return [sum(c) for c in zip(*map(self.word, words), strict=True)] + [len(words)] if words else [0] * (self.width + 1)
+
+    def texts(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The best language of each text and its share of the likelihood; ("und", 0) for a text without a letter."""
+        said, share = ["und"] * len(column), np.zeros(len(column))
+        for first in range(0, len(column) if self.width else 0, ROWS):
+            tokens, code, bounds = split(column.slice(first, ROWS))
+            if len(self.places) > MEMORY_TOKENS:
+                self.places, self.table = {}, self.table[:0]
+            tokens = tokens.to_pylist()
+            new = [t for t in tokens if t not in self.places]
+            if new:
+                self.table = np.concatenate([self.table, np.array([self.token(t) for t in new], np.int64)])
+                self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+            held = self.table[np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))]
+            full = np.flatnonzero(np.diff(bounds))
+            if not len(full):
+                continue
+            sums = np.add.reduceat(held[code], bounds[full], axis=0)
+            best = sums[:, :-1].argmax(axis=1)
+            top = np.take_along_axis(sums, best[:, None], axis=1)
+            likely = 1.0 / np.exp(np.maximum((sums[:, :-1] - top) / SCALE, -700.0)).sum(axis=1)
+            for i, lang, p, n in zip(full.tolist(), best.tolist(), likely.tolist(), sums[:, -1].tolist(), strict=True):
+                if n:
+                    said[first + i], share[first + i] = self.model["langs"][lang], min(1.0, p)
+        return said, share
 
 
 def identify_languages(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
@@ -157,13 +174,8 @@ def identify_languages(docs: DataFrame, model: dict, text_col: str = "text") ->
         scorer = None
         for b in batches:
             scorer = scorer or Scorer(shared.value)
-            said = [scorer.text(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([x for x, _ in said], pa.string()), pa.array([min(1.0, x) if math.isfinite(x) else 0.0 for _, x in said], pa.float64())],
-                names=[*b.schema.names, "lang_pred", "score"],
-            )
-
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+            said, share = scorer.texts(b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string()), pa.array(share)], names=[*b.schema.names, "lang_pred", "score"])
 
     kind = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return kept.mapInArrow(run, kind)

@@ -87,7 +87,8 @@ def _open(uri: str, write: bool):
 def store_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the tar shards below ``folder`` and return doc_id, n_bytes, digest, shard, offset, length for every row.
 
-    A task that runs again writes a shard of another name; rows name the shard that their own run has written.
+    A task that runs again writes a shard of another name; rows name the shard that their own run has written, and a
+    failed run's shard stays in the folder with nothing that refers to it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +158,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     folder = folder or new_path(docs.sparkSession, "media")
     placed = stage(store_payloads(docs, folder, id_col, text_col), "placed")
     chosen = placed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    described = chosen.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(
+    # a row is few bytes but names a whole image: a task for each shard, whatever its rows' bytes
+    shards = placed.agg(F.count_distinct("shard")).first()[0]
+    described = chosen.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "offset").mapInArrow(
         _describe,
         "digest binary, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )

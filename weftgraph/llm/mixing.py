@@ -5,7 +5,8 @@ documents. The whole part is taken outright; the fractional part is an inclusion
 turns into 0 or 1 while it keeps, exactly, the expected number of documents and of tokens: a move along the null
 space of the two balancing constraints over three undecided documents settles at least one of them. Tasks run the
 flight over blocks of a source and leave a handful of undecided documents; these meet again in coarser blocks. What
-is left of a source lands as the subset that misses the expected tokens least.
+is left of a source, a dozen documents at most, is not drawn: it lands as the subset that misses the expected tokens
+least, so its documents' inclusion probabilities hold nearly, those of all others exactly.
 """
 
 from __future__ import annotations
@@ -149,12 +150,13 @@ def mix_sources(
         .withColumn("block", F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n_docs") / BLOCK_DOCS)))
         .select("doc_id", "source", "size", "source_size", "target", "whole", "p", "block")
     )
-    most = light.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    blocks, parts = -(-most // BLOCK_DOCS), []
+    most, everything = light.groupBy("source").count().agg(F.max("count"), F.sum("count")).first()
+    blocks, parts, n_rows = -(-(most or 0) // BLOCK_DOCS), [], everything or 0
     while True:
         last = blocks <= 1
         order = ["source", "block", F.xxhash64("doc_id", "size"), "doc_id", "size", "p"]
-        flown = rows.repartition("source", "block").sortWithinPartitions(*order).mapInArrow(_fly(last), kind)
+        # a row is few bytes but much work: a task for some blocks, whatever their bytes
+        flown = rows.repartition(max(1, min(n_rows // BLOCK_DOCS, 64), n_rows // (64 * BLOCK_DOCS)), "source", "block").sortWithinPartitions(*order).mapInArrow(_fly(last), kind)
         if last:
             parts.append(flown)
             break
@@ -162,7 +164,7 @@ def mix_sources(
         parts.append(flown.where("p = 0 or p = 1"))
         rows = flown.where("p > 0 and p < 1").withColumn("block", F.col("block").cast("long") - F.pmod("block", F.lit(FAN_IN)))
         rows = rows.withColumn("block", (F.col("block") / FAN_IN).cast("long"))
-        blocks = -(-blocks // FAN_IN)
+        blocks, n_rows = -(-blocks // FAN_IN), n_rows * LANDING // BLOCK_DOCS
     settled = parts[0]
     for x in parts[1:]:
         settled = settled.unionByName(x)

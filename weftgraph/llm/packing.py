@@ -41,6 +41,8 @@ class Memory(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.runs = Tokenizer.from_file(path), {}
+        if self.tokenizer.get_vocab_size() > 65536:
+            raise ValueError(f"{path} has more than 65536 ids")
         self.model = self.tokenizer.model
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
@@ -79,7 +81,7 @@ def pack_documents(
 ) -> DataFrame:
     """Lay all documents' tokens end to end and cut them every ``window`` tokens.
 
-    ``vocabulary`` is a tokenizers file with fewer than 65536 ids. Each document's ids are followed by ``end_id``.
+    ``vocabulary`` is a tokenizers file with 65536 ids at most (else ValueError). Each document's ids are followed by ``end_id``.
     Returns one row for each piece: doc_id, start, length, ids_crc32 (of little-endian unsigned 32-bit ids),
     doc_tokens, sequence_id, offset. Every sequence but the last is full, so no padding is needed.
     Nulls: a null text is an empty one and has the end id alone; a null id stays null. Repeated rows are packed

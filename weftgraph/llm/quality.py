@@ -1,8 +1,8 @@
 """Quality rules: counts over whole texts, and a calibrated logistic regression on hashed n-grams.
 
-The classifier sees hashed words, word pairs and byte n-grams of three and four. A text's value for a feature is
+The classifier sees hashed words, word pairs and runs of three and four characters (code points). A text's value for a feature is
 its share among the text's features of that kind, so a score is a mean of weights: one gather and one sum over the
-batch's bytes. Fitting takes a bounded sample of labelled rows in one task; the weights (1 MB) are broadcast.
+batch's text. Fitting takes a bounded sample of labelled rows in one task; the weights (1 MB) are broadcast.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .langid import bounded_sample
+from .langid import bounded_sample, one_of_each
 from .textbatch import SPACE, chunks, grouped_sum, mix, owner, span_hash, words
 
-#: Hash bits of each kind of feature; the kinds are word, word pair, 3 bytes, 4 bytes.
+#: Hash bits of each kind of feature; the kinds are word, word pair, 3 characters, 4 characters.
 BITS, KINDS = 16, 4
 
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -36,20 +36,22 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     whole[inner[(inner > 0) & (inner < len(h))] - 1] = False
     at = np.flatnonzero(whole)
     out.append(((pair[at] >> shift).astype(np.int64) + (1 << BITS), np.searchsorted(at, bounds)))
-    wide = data.astype(np.uint64)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]  # the texts' bounds in code points
     for kind, n in ((2, 3), (3, 4)):
-        m = max(0, len(data) - n + 1)
+        m = max(0, len(points) - n + 1)
         key = np.zeros(m, np.uint64)
         for k in range(n):
-            key = key * np.uint64(256) + wide[k : k + m]
-        code = ((key * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64) + (kind << BITS)
-        starts = np.minimum(offsets[:-1], m)
-        ends = np.clip(offsets[1:] - n + 1, starts, m)
+            key = (key ^ points[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+        code = ((key * np.uint64(0xBF58476D1CE4E5B9)) >> shift).astype(np.int64) + (kind << BITS)
+        starts = np.minimum(at[:-1], m)
+        ends = np.clip(at[1:] - n + 1, starts, m)
         keep = np.zeros(m + 1, np.int64)
         np.add.at(keep, starts, 1)
         np.add.at(keep, ends, -1)
-        at = np.flatnonzero(np.cumsum(keep[:-1]) > 0) if m else np.zeros(0, np.int64)
-        out.append((code[at], np.concatenate([np.searchsorted(at, starts), [len(at)]])))
+        use = np.flatnonzero(np.cumsum(keep[:-1]) > 0) if m else np.zeros(0, np.int64)
+        out.append((code[use], np.concatenate([np.searchsorted(use, starts), [len(use)]])))
     return out
 
 
@@ -122,12 +124,12 @@ def fit_quality(
     docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
     max_rows: int = 2500, epochs: int = 60, rate: float = 0.3, decay: float = 1e-7,
 ) -> dict | None:
-    """Fit on ``max_rows`` labelled rows at most (a hash of the id chooses); None when no row has a label and a text."""
+    """Fit on ``max_rows`` labelled ids at most, one row each (those of the smallest hashes); None when none has a label and a text."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     chosen = bounded_sample(marked, "doc_id", max_rows).withColumnRenamed("doc_id", "labelled_id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("labelled_id"))
-    rows = rows.where(F.col("text").isNotNull()).select("text", "label", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("lot"))
-    found = rows.limit(2 * max_rows).repartition(1).sortWithinPartitions("lot", "label", F.xxhash64("text")).mapInArrow(_fit(epochs, rate, decay), "weights binary, slope double, shift double").collect()
+    rows = one_of_each(rows.where(F.col("text").isNotNull()).select("id", "text", "label"), "id").select("text", "label", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("lot"))
+    found = rows.repartition(1).sortWithinPartitions("lot", "label", F.xxhash64("text")).mapInArrow(_fit(epochs, rate, decay), "weights binary, slope double, shift double").collect()
     if not found:
         return None
     return {"weights": np.frombuffer(found[0]["weights"], np.float32), "slope": found[0]["slope"], "shift": found[0]["shift"]}

@@ -62,13 +62,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
             F.sum("bytes").over(everything).alias("total"),
         )
     )
-    cut = placed.join(totals, "part").select(
+    cut = placed.join(F.broadcast(totals), "part").select(  # a row of four numbers for each task
         "doc_id", "size", "text_crc32",
         (F.col("rows_start") + F.col("rows_before")).alias("place"),
         F.expr(f"cast((2 * (bytes_start + bytes_before) + size) * {n_shards} div (2 * total) as int)").alias("shard"),
     )
     firsts = cut.groupBy("shard").agg(F.min("place").alias("first"))
-    return cut.join(firsts, "shard").select(
+    return cut.join(F.broadcast(firsts), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("place") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .langid import bounded_sample
+from .langid import bounded_sample, one_of_each
 from .textbatch import chunks, grouped_sum, lower_ascii, mix, owner, span_hash
 
 BITS = 18
@@ -186,7 +186,7 @@ def fit_toxicity(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
     max_rows: int = 4000, epochs: int = 30, rate: float = 0.5, least_docs: int = 5, least_share: float = 0.85,
 ) -> dict | None:
-    """Fit on ``max_rows`` labelled rows at most (a hash of the id chooses); None when no row has a label and a text.
+    """Fit on ``max_rows`` labelled ids at most, one row each (those of the smallest hashes); None when none has a label and a text.
 
     ``least_docs`` and ``least_share`` say which words of toxic documents count as toxic tokens: in how many of them
     at least, and what part of the word's (class-balanced) documents must be toxic.
@@ -194,9 +194,9 @@ def fit_toxicity(
     marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     chosen = bounded_sample(marked, "doc_id", max_rows).withColumnRenamed("doc_id", "labelled_id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("labelled_id"))
-    rows = rows.where(F.col("text").isNotNull()).select("text", "label")
+    rows = one_of_each(rows.where(F.col("text").isNotNull()).select("id", "text", "label"), "id").select("text", "label")
     found = (
-        rows.limit(2 * max_rows).repartition(1).sortWithinPartitions("label", F.xxhash64("text"))
+        rows.repartition(1).sortWithinPartitions("label", F.xxhash64("text"))
         .mapInArrow(_fit(epochs, rate, least_docs, least_share), "weights binary, move array<double>, bias double, top array<double>").collect()
     )
     if not found:
