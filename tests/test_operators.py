@@ -229,10 +229,112 @@ def test_streams(spark, sf, tmp_path):
     assert seen == [(1, 0)]
     e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"))
     e.write.parquet(str(tmp_path / "jobs"))
-    s = jobs.stream_snapshots(spark.readStream.schema(e.schema).parquet(str(tmp_path / "jobs")), str(tmp_path / "ck3"), "snapshots")
+    s = jobs.stream_snapshots(spark.readStream.schema(e.schema).parquet(str(tmp_path / "jobs")), str(tmp_path / "snapshots"), str(tmp_path / "ck3"))
     s.processAllAvailable()
     s.stop()
-    assert spark.sql("select count(distinct job_id) from snapshots").first()[0] == e.select("job_id").distinct().count()
+    got = {(r.job_id, r.status, r.n_events) for r in spark.read.parquet(str(tmp_path / "snapshots")).collect()}
+    now = jobs.job_snapshots(e)
+    assert got == {(r.job_id, r.status, r.n_events) for r in now.collect()}
+    assert jobs.changed_snapshots(now, now).count() == 0
+
+
+def test_stream_of_documents_makes_a_graph(spark, tmp_path):
+    kind = "doc_id long, text string"
+    spark.createDataFrame([(1, "Aspirin treats Headache"), (2, "Bayer makes Aspirin")], kind).coalesce(1).write.parquet(str(tmp_path / "src"))
+
+    def extract(chunks):
+        words = chunks.select("chunk_id", F.explode(F.split("content", " ")).alias("name")).where("name rlike '^[A-Z]'")
+        entities = words.select(F.md5(F.concat("chunk_id", "name")).alias("entity_id"), "name", F.lit("Concept").alias("entity_type"), F.array("chunk_id").alias("source_chunk_ids"), F.xxhash64("chunk_id").alias("seq"))
+        ends = words.groupBy("chunk_id").agg(F.min("name").alias("a"), F.max("name").alias("b"))
+        edges = ends.select(F.col("chunk_id").alias("relationship_id"), F.md5(F.concat("chunk_id", "a")).alias("source_entity_id"), F.md5(F.concat("chunk_id", "b")).alias("target_entity_id"), F.lit("RELATED_TO").alias("relationship_type"), F.lit(0).cast("long").alias("seq"))
+        return entities, edges
+
+    for more in ([], [(3, "Aspirin helps Fever")]):
+        if more:
+            spark.createDataFrame(more, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+        jobs.stream_documents(spark, str(tmp_path / "src"), str(tmp_path / "out"), str(tmp_path / "ck"), extract=extract).awaitTermination()
+    first, second = ({k: spark.read.parquet(f"{tmp_path}/out-graph/version={n}/{k}") for k in ("entities", "relationships")} for n in (0, 1))
+    assert {r.name for r in first["entities"].collect()} == {"Aspirin", "Headache", "Bayer"}
+    found = {r.name: r for r in second["entities"].collect()}
+    assert set(found) == {"Aspirin", "Headache", "Bayer", "Fever"} and len(found["Aspirin"].source_chunk_ids) == 3 and found["Aspirin"].version == 3
+    assert found["Aspirin"].entity_id == {r.name: r.entity_id for r in first["entities"].collect()}["Aspirin"]
+    assert second["relationships"].count() == 3 and graph.check_endpoints(second["relationships"], second["entities"])[1].count() == 0
+
+
+def test_progress_rows(spark, tmp_path):
+    path = str(tmp_path / "events")
+    for i, stage in enumerate(("fetch", "chunk", "completed")):
+        jobs.append_progress(spark, path, "j", i, stage)
+    r = jobs.job_snapshots(spark.read.parquet(path)).first()
+    assert (r.status, r.current_stage, r.n_events, r.last_events, set(r.stages)) == ("completed", "completed", 3, [2, 1, 0], {"fetch", "chunk", "completed"})
+
+
+def test_last_events_are_cut_in_parts(spark):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("job_id"), F.col("id").alias("seq"), F.lit("fetch").alias("stage"), F.current_timestamp().alias("ts"))
+    for r in jobs.job_snapshots(rows, 7).collect():
+        assert r.last_events == [4998 + r.job_id - 2 * i for i in range(7)] and r.n_events == 2500
+
+
+def test_components_of_a_long_chain(spark):
+    ids = [f"n{i:04}" for i in range(301)]
+    e = spark.createDataFrame([(x,) for x in [*ids, "alone"]], "entity_id string")
+    order = sorted(range(300), key=lambda i: i * 7919 % 300)
+    r = spark.createDataFrame([(str(i), ids[i], ids[i + 1]) for i in order] + [("gone", "n0000", "missing"), ("back", "missing", "alone")], "relationship_id string, source_entity_id string, target_entity_id string")
+    assert {x.entity_id: x.component for x in graph.components(e, r).collect()} == {x: "n0000" for x in ids} | {"alone": "alone"}
+    assert graph.components(e.limit(0), r).count() == 0
+    from weftgraph.operators.stars import star_components
+
+    with pytest.raises(RuntimeError, match="still move"):
+        star_components(r.select(F.col("source_entity_id").alias("a"), F.col("target_entity_id").alias("b")), 2)
+
+
+def test_upsert_keeps_every_field(spark):
+    kind = "relationship_id string, source_entity_id string, target_entity_id string, relationship_type string, strength double, trust string, tags array<string>, properties map<string,string>, version int, seq long"
+    stored = spark.createDataFrame([("r1", "a", "b", "T", 0.5, "user", ["x"], {"k": "1"}, 2, 0)], kind)
+    new = spark.createDataFrame([("r2", "a", "b", "T", None, "curated", ["y", "x"], {}, 1, 1), ("r3", "a", "b", "T", None, None, None, {"m": "2"}, 1, 2), ("r4", "a", "gone", "T", 1.0, None, None, None, 1, 3)], kind)
+    e = spark.createDataFrame([("a",), ("b",)], "entity_id string")
+    (r,) = resolve.upsert_relationships(stored, new, e).collect()
+    assert (r.relationship_id, r.strength, r.trust, r.tags, r.properties, r.version) == ("r1", 0.5, "curated", ["x", "y"], {"m": "2"}, 4)
+    mapping = spark.createDataFrame([("b", "a")], "entity_id string, primary_id string")
+    named = spark.createDataFrame([("a", "A", ["old"]), ("b", "B", None), ("c", "C", None)], "entity_id string, name string, aliases array<string>")
+    edges = spark.createDataFrame([("r1", "a", "c", "T", 0.5, "weak"), ("r2", "b", "c", "T", 0.9, "strong"), ("r3", "a", "b", "T", 1.0, "x")], "relationship_id string, source_entity_id string, target_entity_id string, relationship_type string, strength double, description string")
+    kept, moved = resolve.merge_entities(named, edges, mapping)
+    assert {x.entity_id: x.aliases for x in kept.collect()} == {"a": ["old", "B"], "c": []}
+    assert [(x.relationship_id, x.strength, x.description, x.merged) for x in moved.collect()] == [("r1", 0.9, "strong", 2)]
+
+
+def test_names_left_over_get_vector_candidates(spark):
+    e = spark.createDataFrame([("d", "Alpha", "e1")], "document_id string, name string, entity_id string")
+    edges = spark.createDataFrame([("d", "alpha", "Alfa"), ("d", "Alpha", "nobody")], "document_id string, source_name string, target_name string")
+    names = spark.createDataFrame([("Alfa", [1.0, 0.1]), ("nobody", [-1.0, 0.0]), ("alpha", [1.0, 0.0])], "name string, vector array<double>")
+    stored = spark.createDataFrame([("e1", [1.0, 0.0]), ("e2", [0.0, 1.0])], "item_id string, vector array<double>")
+    got = {(r.document_id, r.new_name, r.existing_id) for r in resolve.vector_aliases(edges, e, names, stored).collect()}
+    assert got == {("d", "Alfa", "e1")}
+
+
+def test_csv_files_and_stored_pages(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y,z,w\n" + "".join(f"{i},b,,d\n" for i in range(7)))
+    rows = sources.csv_to_doc(spark, str(tmp_path), 3).orderBy("part").collect()
+    assert [r.row_count for r in rows] == [3, 3, 1] and rows[0].title == "CSV Data: x, y, z" and rows[0].column_count == 4
+    assert rows[2].content == "x | y | z | w\n6 | b |  | d"
+    docs = spark.createDataFrame([("1", " ", "u1", None), ("2", "own", "u1", None), ("3", None, "u2", None)], "document_id string, content string, source_url string, tags array<string>")
+    ok, bad = sources.documents_from_text(docs, spark.createDataFrame([("u1", "stored ")], "url string, content string"))
+    assert {(r.document_id, r.content) for r in ok.collect()} == {("1", "stored"), ("2", "own")} and [r.document_id for r in bad.collect()] == ["3"]
+
+
+def test_crawl_goes_as_deep_as_it_must(spark):
+    rows = spark.createDataFrame([(f"http://x.y/{i}", 0, f"http://x.y/{i + 1}") for i in range(80)], "url string, pos int, link string")
+    seeds = spark.createDataFrame([("http://x.y/0", 1)], "url string, rank int")
+    got = pages.crawl_order(rows, seeds, ["x.y"], [], 100).collect()
+    assert len(got) == 81 and max(r.level for r in got) == 80
+
+
+def test_search_terms_of_a_long_text(spark):
+    from weftgraph.functions import core
+
+    text = " ".join(f"Word{i % 20000}" if i % 2 else f"word{i % 20000}" for i in range(60000)) + " the of"
+    terms = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(core.search_terms(F.col("t")).alias("x")).collect()
+    assert terms[0].x == [f"Word{i}" if i % 2 else f"word{i}" for i in range(20000)] and terms[1].x == [] and terms[2].x is None
 
 
 def test_blocks_cover_all_queries_once(spark):
@@ -242,4 +344,6 @@ def test_blocks_cover_all_queries_once(spark):
     rows = spark.range(20)
     got = in_blocks(queries, "q", lambda some: rows.join(some, F.col("id") == F.col("q") % 20), rows=7)
     assert sorted(r.q for r in got.collect()) == list(range(50))
+    wide = queries.select("q", F.array_repeat(F.lit(1.0), 1 << 17).alias("v"))
+    assert in_blocks(wide, "q", lambda some: rows.join(some.select("q"), F.col("id") == F.col("q"))).count() == 20
     assert in_blocks(queries.limit(0), "q", lambda some: rows.join(some, F.col("id") == F.col("q"))).count() == 0

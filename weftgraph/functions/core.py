@@ -93,7 +93,10 @@ def strip_bad_chars(c: Column) -> Column:
 def search_terms(text: Column) -> Column:
     """Words of three characters or more that are no stop words, each once (case ignored), in order."""
     words = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_-]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*STOP_WORDS))
-    return F.filter(words, lambda w, i: F.array_position(F.transform(words, lambda x: F.lower(x)), F.lower(w)) == i + 1)
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(F.lower(w).alias("k"), i.alias("i"), w.alias("w"))))
+    # the sorted array is bound once, so that each word looks at its neighbour alone
+    first = F.transform(F.array(placed), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["k"] != x["k"])))
+    return F.transform(F.array_sort(F.transform(F.get(first, 0), lambda x: F.struct(x["i"], x["w"].alias("w")))), lambda x: x["w"])
 
 
 def title_case(s: Column) -> Column:

@@ -15,6 +15,11 @@ from ..functions.core import content_id
 CONTEXT_CAPS = {"verify": 4000, "embedding": 2000, "verdict": 3000, "entity": 8000, "entity_prompt": 4000, "relationship_prompt": 3000}
 
 
+def capped(text: Column, step: str) -> Column:
+    """The beginning of a context that a step may use."""
+    return F.substring(text, 1, CONTEXT_CAPS[step])
+
+
 def _starts(length: Column, size: int, overlap: int) -> Column:
     step = size - overlap
     n = F.ceil(F.greatest(F.lit(0), length - size) / step)
@@ -156,4 +161,4 @@ def has_entity_edges(mentions: DataFrame) -> DataFrame:
 def provenance_edges(rows: DataFrame, id_col: str, edge_type: str, chunks: DataFrame) -> DataFrame:
     """Edges to source chunks that are new (not in old_chunk_ids) and exist."""
     new = rows.select(F.col(id_col).alias("src_id"), F.explode(F.array_except("source_chunk_ids", F.coalesce("old_chunk_ids", F.array().cast("array<string>")))).alias("chunk_id"))
-    return new.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").select("src_id", "chunk_id", F.lit(edge_type).alias("edge_type"))
+    return new.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").select("src_id", F.col("chunk_id").alias("dst_id"), F.lit(edge_type).alias("edge_type"))

@@ -17,7 +17,7 @@ def claim_entities(claims: DataFrame, entities: DataFrame, most: int | None = 50
     """
     terms = claims.select("claim_id", F.explode(search_terms(F.col("text"))).alias("term")).select("claim_id", F.lower("term").alias("term")).distinct()
     names = entities.select("entity_id", F.lower("name").alias("n"))
-    found = in_blocks(terms, "term", lambda some: names.join(some, F.col("n").contains(F.col("term"))).select("claim_id", "entity_id"))
+    found = in_blocks(terms, ["claim_id", "term"], lambda some: names.join(some, F.col("n").contains(F.col("term"))).select("claim_id", "entity_id"))
     found = found.distinct()
     if most is None:
         return found

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import snippet
+from .graph import enrich_endpoints
 
 # The actions that events may name.
 ACTIONS = ("approve_entity", "reject_entity", "correct_entity", "approve_relationship", "reject_relationship", "correct_relationship")
@@ -64,12 +65,26 @@ def curation_summary(audit: DataFrame) -> DataFrame:
 
 
 def curation_queue(entities: DataFrame, edges: DataFrame, status: str | None = None, kind: str | None = None) -> DataFrame:
-    """Items to review in one shape: rejected, flagged, unverified; newest first (``queue_page`` gives the order)."""
-    e = entities.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("item_id"), F.col("name").alias("title"), snippet(F.col("description")).alias("snippet"), F.col("entity_type").alias("type"), "trust", "status", "created")
-    names = entities.select("entity_id", "name")
-    r = edges.join(names.withColumnsRenamed({"entity_id": "source_entity_id", "name": "source_name"}), "source_entity_id", "left").join(names.withColumnsRenamed({"entity_id": "target_entity_id", "name": "target_name"}), "target_entity_id", "left")
+    """Items to review in one shape: rejected, flagged, unverified; newest first (``queue_page`` gives the order).
+
+    ``n_chunks`` and ``n_documents`` count an item's provenance, ``tags`` are its own, and relationships have their ends' names and types.
+    """
+    def extras(df: DataFrame) -> list[Column]:
+        sizes = [(F.coalesce(F.size(c), F.lit(0)) if c in df.columns else F.lit(0)).alias(n) for c, n in (("source_chunk_ids", "n_chunks"), ("source_document_ids", "n_documents"))]
+        return [*sizes, (F.coalesce("tags", F.array().cast("array<string>")) if "tags" in df.columns else F.array().cast("array<string>")).alias("tags")]
+
+    none = F.lit(None).cast("string")
+    ends = ("source_name", "source_type", "target_name", "target_type")
+    e = entities.select(
+        F.lit("entity").alias("kind"), F.col("entity_id").alias("item_id"), F.col("name").alias("title"), snippet(F.col("description")).alias("snippet"), F.col("entity_type").alias("type"),
+        "trust", "status", "created", *extras(entities), *(none.alias(c) for c in ends),
+    )
     title = F.concat_ws(" ", "source_name", "relationship_type", "target_name")
-    r = r.select(F.lit("relationship").alias("kind"), F.col("relationship_id").alias("item_id"), title.alias("title"), snippet(F.col("description")).alias("snippet"), F.col("relationship_type").alias("type"), "trust", "status", "created")
+    r = enrich_endpoints(edges, entities)
+    r = r.select(
+        F.lit("relationship").alias("kind"), F.col("relationship_id").alias("item_id"), title.alias("title"), snippet(F.col("description")).alias("snippet"), F.col("relationship_type").alias("type"),
+        "trust", "status", "created", *extras(edges), *ends,
+    )
     rows = e.unionByName(r).where(F.col("status").isin("rejected", "flagged", "unverified"))
     for c, v in (("status", status), ("kind", kind)):
         rows = rows.where(F.col(c) == v) if v else rows

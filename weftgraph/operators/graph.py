@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import name_similarity, valid_types
 from ..schemas import ENTITY_TYPES, RELATIONSHIP_TYPES
-from ..staging import stage
 from .blocks import in_blocks
+from .stars import star_components
 
 
 def entity_faults(df: DataFrame) -> DataFrame:
@@ -58,9 +58,15 @@ def strict_filter(nodes: DataFrame, edges: DataFrame, node_types: list[str], edg
 
 def check_endpoints(edges: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges whose two ends exist, and the dangling ones."""
-    ids = entities.select("entity_id")
-    ok = edges.join(ids.withColumnRenamed("entity_id", "source_entity_id"), "source_entity_id", "left_semi").join(ids.withColumnRenamed("entity_id", "target_entity_id"), "target_entity_id", "left_semi")
-    return ok, edges.join(ok.select("relationship_id"), "relationship_id", "left_anti")
+    ids = entities.select("entity_id").distinct()
+    found = edges
+    for end in ("source", "target"):
+        found = found.join(ids.select(F.col("entity_id").alias(f"{end}_entity_id"), F.lit(True).alias(f"has_{end}")), f"{end}_entity_id", "left")
+    both = F.col("has_source").isNotNull() & F.col("has_target").isNotNull()
+    inside = edges
+    for end in ("source", "target"):
+        inside = inside.join(ids.select(F.col("entity_id").alias(f"{end}_entity_id")), f"{end}_entity_id", "left_semi")
+    return inside, found.where(~both).select(*edges.columns)
 
 
 def filter_graph(entities: DataFrame, edges: DataFrame, entity_types: list[str] | None = None, edge_types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -106,7 +112,7 @@ def match_rules(chunks: DataFrame, rules: DataFrame) -> DataFrame:
     """(chunk_id, rule_id) where a pattern or keyword of a rule is a substring; rules meet the chunks in blocks."""
     terms = rules.select("rule_id", "case_sensitive", F.explode(F.array_union(F.coalesce("patterns", F.array().cast("array<string>")), F.coalesce("keywords", F.array().cast("array<string>")))).alias("term"))
     hit = F.when(F.col("case_sensitive"), F.col("content").contains(F.col("term"))).otherwise(F.lower("content").contains(F.lower("term")))
-    return in_blocks(terms, "term", lambda some: chunks.join(some, hit).select("chunk_id", "rule_id")).distinct()
+    return in_blocks(terms, ["rule_id", "term"], lambda some: chunks.join(some, hit).select("chunk_id", "rule_id")).distinct()
 
 
 def facet_graph(entities: DataFrame, edges: DataFrame, text: str, types: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -125,11 +131,17 @@ def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 def neighbours(entities: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Entities joined to any of the ids by an edge of either direction."""
-    both = edges.select("source_entity_id", "target_entity_id").unionByName(edges.select(F.col("target_entity_id").alias("source_entity_id"), F.col("source_entity_id").alias("target_entity_id")))
-    near = both.join(ids.select(F.col("entity_id").alias("source_entity_id")), "source_entity_id", "left_semi").select(F.col("target_entity_id").alias("entity_id")).distinct()
+    ways = F.array(F.struct(F.col("source_entity_id").alias("a"), F.col("target_entity_id").alias("b")), F.struct(F.col("target_entity_id").alias("a"), F.col("source_entity_id").alias("b")))
+    both = edges.select(F.explode(ways).alias("way")).select("way.*")
+    near = both.join(ids.select(F.col("entity_id").alias("a")), "a", "left_semi").select(F.col("b").alias("entity_id")).distinct()
     return entities.join(near, "entity_id", "left_semi")
 
 
+def unconnected_page(entities: DataFrame, edges: DataFrame, limit: int = 100) -> DataFrame:
+    """The first unconnected entities by id, with the number of all of them on each row."""
+    return page(unconnected(entities, edges), ["entity_id"], limit)
+
+
 def unconnected(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """Entities without an edge to another entity."""
     real = edges.where("source_entity_id <> target_entity_id")
@@ -198,18 +210,12 @@ def type_breakdown(df: DataFrame, column: str, k: int = 8) -> DataFrame:
     return top.withColumn("percent", F.bround(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0)))).cast("long"))
 
 
-def components(entities: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(entity_id, component) by label propagation of the smallest id; each round is a written table."""
-    both = edges.select(F.col("source_entity_id").alias("a"), F.col("target_entity_id").alias("b"))
-    both = stage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "ends")
-    labels = stage(entities.select("entity_id", F.col("entity_id").alias("component")), "labels")
-    for _ in range(most_rounds):
-        offered = both.join(labels, both["a"] == labels["entity_id"]).groupBy("b").agg(F.min("component").alias("offer"))
-        moved = labels.join(offered, labels["entity_id"] == offered["b"], "left").select("entity_id", F.least("component", "offer").alias("component"), (F.col("offer") < F.col("component")).alias("moved"))
-        labels = stage(moved, "labels")
-        if not labels.where("moved").take(1):
-            break
-    return labels.select("entity_id", "component")
+def components(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(entity_id, component): the smallest id that edges between the entities reach, however long the way."""
+    inside = check_endpoints(edges, entities)[0]
+    roots = star_components(inside.select(F.col("source_entity_id").alias("a"), F.col("target_entity_id").alias("b")))
+    named = entities.select("entity_id").join(roots.withColumnRenamed("node", "entity_id"), "entity_id", "left")
+    return named.select("entity_id", F.coalesce("root", "entity_id").alias("component"))
 
 
 def structure_report(entities: DataFrame, edges: DataFrame) -> DataFrame:

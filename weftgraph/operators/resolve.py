@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import content_id
+from .chunking import CONTEXT_CAPS
+from .vectors import vector_topk
 
 
 def ordered_union(a: Column, b: Column) -> Column:
@@ -18,28 +20,42 @@ def ordered_union(a: Column, b: Column) -> Column:
     return F.array_union(F.coalesce(a, none), F.coalesce(b, none))
 
 
-def _gathered(column: str, order: str) -> Column:
-    """All values of an array column over a group, in order, once each."""
-    return F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: x[column])))
+def _united(rows: DataFrame, keys: list[str], column: str, order: str) -> DataFrame:
+    """(keys, column): an array column's values over a group, once each, in order; a value is reduced to its first place before values meet."""
+    places = rows.select(*keys, F.col(order).alias("o"), F.posexplode(column).alias("p", "v")).groupBy(*keys, "v").agg(F.min(F.struct("o", "p")).alias("at"))
+    return places.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(column))
 
 
 def _last(column: str, order: str) -> Column:
-    """The last value that is not null."""
+    """The last value that is not null (of maps: that is not empty)."""
     return F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order)))
 
 
+def _upsert(rows: DataFrame, keys: list[str], id_col: str, order: str) -> DataFrame:
+    """Rows (with ``fresh``) merged by natural key: first id, united arrays, last values of all other fields, version."""
+    kinds = dict(rows.dtypes)
+    arrays = [c for c in rows.columns if kinds[c] == "array<string>"]
+    others = [c for c in rows.columns if c not in (*keys, id_col, order, "fresh", "version", *arrays)]
+    maps = [c for c in others if kinds[c].startswith("map<")]
+    rows = rows.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in maps}) if maps else rows
+    held = F.coalesce(F.max(F.when(F.col("fresh") == 0, F.col("version"))), F.lit(0)) if "version" in rows.columns else F.lit(0)
+    out = rows.groupBy(*keys).agg(F.min_by(id_col, order).alias(id_col), *(_last(c, order).alias(c) for c in others), (held + F.sum("fresh")).cast("int").alias("version"))
+    for c in arrays:
+        its = _united(rows, keys, c, order)
+        same = [out[k].eqNullSafe(its[k]) for k in keys]
+        out = out.join(its, same, "left").select(*(out[k] for k in out.columns), F.coalesce(its[c], F.array().cast("array<string>")).alias(c))
+    return out
+
+
 def upsert_entities(stored: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
-    """Entities by (name, entity_type): the first id stays, later non-null fields win, provenance and aliases unite.
+    """Entities by (name, entity_type), with all their columns: the first id stays, later non-null fields win.
 
+    Arrays of strings (provenance, aliases, tags) unite in order; a map that is not empty replaces the one before as a whole.
     Stored rows must have lower ``seq`` than new ones. ``version`` grows by the number of new rows of the key.
     Applying the same rows again changes nothing but versions.
     """
     rows = stored.withColumn("fresh", F.lit(0)).unionByName(new.withColumn("fresh", F.lit(1)), allowMissingColumns=True)
-    return rows.groupBy("name", "entity_type").agg(
-        F.min_by("entity_id", order).alias("entity_id"), _last("description", order).alias("description"),
-        _gathered("aliases", order).alias("aliases"), _gathered("source_chunk_ids", order).alias("source_chunk_ids"),
-        (F.coalesce(F.max(F.when(F.col("fresh") == 0, F.col("version"))), F.lit(0)) + F.sum("fresh")).cast("int").alias("version"),
-    )
+    return _upsert(rows, ["name", "entity_type"], "entity_id", order)
 
 
 def upsert_relationships(stored: DataFrame, new: DataFrame, entities: DataFrame, order: str = "seq") -> DataFrame:
@@ -47,42 +63,51 @@ def upsert_relationships(stored: DataFrame, new: DataFrame, entities: DataFrame,
     rows = stored.withColumn("fresh", F.lit(0)).unionByName(new.withColumn("fresh", F.lit(1)), allowMissingColumns=True)
     for c in ("source_entity_id", "target_entity_id"):
         rows = rows.join(entities.select(F.col("entity_id").alias(c)), c, "left_semi")
-    return rows.groupBy("source_entity_id", "target_entity_id", "relationship_type").agg(
-        F.min_by("relationship_id", order).alias("relationship_id"), _last("description", order).alias("description"), _last("strength", order).alias("strength"),
-        _gathered("source_chunk_ids", order).alias("source_chunk_ids"),
-        (F.coalesce(F.max(F.when(F.col("fresh") == 0, F.col("version"))), F.lit(0)) + F.sum("fresh")).cast("int").alias("version"),
-    )
+    return _upsert(rows, ["source_entity_id", "target_entity_id", "relationship_type"], "relationship_id", order)
 
 
 def merge_pairs(pairs: DataFrame) -> DataFrame:
-    """Merge rows that hold two entity structs ``a`` and ``b``: the one with the higher confidence (a on ties) is the base."""
+    """Merge rows that hold two entity structs ``a`` and ``b``: the one with the higher confidence (a on ties) is the base.
+
+    Of each field the base's value counts, else the other's; arrays unite (aliases sorted), and of maps the other's entries win.
+    """
     base_is_a = F.coalesce(F.col("a.confidence"), F.lit(0.0)) >= F.coalesce(F.col("b.confidence"), F.lit(0.0))
 
-    def pick(field: str) -> Column:
-        return F.when(base_is_a, F.coalesce(f"a.{field}", f"b.{field}")).otherwise(F.coalesce(f"b.{field}", f"a.{field}"))
+    def merged(name: str, kind: str) -> Column:
+        a, b = F.col(f"a.`{name}`"), F.col(f"b.`{name}`")
+        if kind == "array<string>":
+            both = ordered_union(F.when(base_is_a, a).otherwise(b), F.when(base_is_a, b).otherwise(a)) if name == "tags" else ordered_union(a, b)
+            return F.array_sort(both) if name == "aliases" else both
+        if kind.startswith("map<"):
+            first, second = F.when(base_is_a, a).otherwise(b), F.when(base_is_a, b).otherwise(a)
+            none = F.create_map().cast(kind)
+            first, second = F.coalesce(first, none), F.coalesce(second, none)
+            return F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)
+        return F.when(base_is_a, F.coalesce(a, b)).otherwise(F.coalesce(b, a))
 
-    return pairs.select(
-        pick("entity_id").alias("entity_id"), pick("name").alias("name"), pick("entity_type").alias("entity_type"), pick("description").alias("description"),
-        F.array_sort(ordered_union(F.col("a.aliases"), F.col("b.aliases"))).alias("aliases"),
-        ordered_union(F.col("a.source_chunk_ids"), F.col("b.source_chunk_ids")).alias("source_chunk_ids"),
-    )
+    fields = pairs.schema["a"].dataType.fields
+    return pairs.select(*(merged(f.name, f.dataType.simpleString()).alias(f.name) for f in fields))
 
 
 def merge_entities(entities: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merge duplicates into primaries: mapping (entity_id -> primary_id).
 
-    Edges move to the primaries, edges within a merge go, equal edges become one (the strongest); the duplicates' names
-    become aliases. Gives entities (with ``aliases``) and edges.
+    Edges move to the primaries and edges within a merge go; equal edges become one, with the smallest id and the strongest
+    one's other fields, and ``merged`` counts them. The duplicates' names become aliases. Gives entities (with ``aliases``) and edges.
     """
     named = mapping.join(entities.select("entity_id", "name"), "entity_id").groupBy("primary_id").agg(F.array_sort(F.collect_set("name")).alias("merged_names"))
     kept = entities.join(mapping.select("entity_id"), "entity_id", "left_anti").join(named.withColumnRenamed("primary_id", "entity_id"), "entity_id", "left")
-    kept = kept.withColumn("aliases", F.array_except(F.coalesce("merged_names", F.array().cast("array<string>")), F.array("name"))).drop("merged_names")
+    own = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in entities.columns else F.array().cast("array<string>")
+    kept = kept.withColumn("aliases", F.array_except(ordered_union(own, F.col("merged_names")), F.array("name"))).drop("merged_names")
     moved = edges
     for end in ("source", "target"):
         to = mapping.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("primary_id").alias(f"{end}_to"))
         moved = moved.join(to, f"{end}_entity_id", "left").withColumn(f"{end}_entity_id", F.coalesce(f"{end}_to", f"{end}_entity_id")).drop(f"{end}_to")
-    moved = moved.where("source_entity_id <> target_entity_id").groupBy("source_entity_id", "target_entity_id", "relationship_type")
-    return kept, moved.agg(F.min("relationship_id").alias("relationship_id"), F.max("strength").alias("strength"), F.count("*").alias("merged"))
+    keys = ["source_entity_id", "target_entity_id", "relationship_type"]
+    rest = [c for c in edges.columns if c not in (*keys, "relationship_id")]
+    strongest = F.max_by(F.struct(*rest), F.struct("strength", "relationship_id"))
+    one = moved.where("source_entity_id <> target_entity_id").groupBy(*keys).agg(F.min("relationship_id").alias("relationship_id"), strongest.alias("rest"), F.count("*").alias("merged"))
+    return kept, one.select(*keys, "relationship_id", "rest.*", "merged")
 
 
 def resolve_endpoints(edges: DataFrame, entities: DataFrame) -> DataFrame:
@@ -104,6 +129,20 @@ def resolve_fallback(edges: DataFrame, entities: DataFrame, decisions: DataFrame
     return resolve_endpoints(edges, entities.select("document_id", "name", "entity_id", F.col("seq").cast("long").alias("seq")).unionByName(alias))
 
 
+def vector_aliases(edges: DataFrame, entities: DataFrame, name_vectors: DataFrame, entity_vectors: DataFrame, k: int = 5, least: float = 0.3) -> DataFrame:
+    """Candidates for names that ``resolve_endpoints`` leaves: (document_id, new_name, existing_id, score), the ``k`` nearest entities each.
+
+    ``name_vectors`` (name, vector) has the names as they stand; ``entity_vectors`` (item_id, vector) the stored entities. Decisions
+    on the candidates go to ``resolve_fallback``.
+    """
+    known = entities.select("document_id", F.lower(F.trim("name")).alias("key")).distinct()
+    names = edges.select("document_id", F.explode(F.array("source_name", "target_name")).alias("new_name")).distinct()
+    open_ = names.withColumn("key", F.lower(F.trim("new_name"))).join(known, ["document_id", "key"], "left_anti")
+    asked = open_.select("new_name").distinct().join(name_vectors.withColumnRenamed("name", "new_name"), "new_name")
+    hits = vector_topk(asked.select(F.col("new_name").alias("query_id"), "vector"), entity_vectors, k).where(F.col("score") >= least)
+    return open_.join(hits, F.col("new_name") == F.col("query_id")).select("document_id", "new_name", F.col("item_id").alias("existing_id"), "score")
+
+
 def rel_dup_candidates(new: DataFrame, stored: DataFrame) -> DataFrame:
     """For each new edge with stored edges on its ordered pair: is the type among them, and the other edges' ids."""
     old = stored.select("source_entity_id", "target_entity_id", F.col("relationship_type").alias("old_type"), F.col("relationship_id").alias("old_id"))
@@ -135,7 +174,7 @@ def apply_rel_decisions(new: DataFrame, candidates: DataFrame, decisions: DataFr
     return rows.withColumn("duplicate_id", F.when(valid, F.get("candidates", index))).select("relationship_id", "duplicate_id")
 
 
-def build_context(edges: DataFrame, chunks: DataFrame, most: int = 4000) -> DataFrame:
+def build_context(edges: DataFrame, chunks: DataFrame, most: int = CONTEXT_CAPS["verify"]) -> DataFrame:
     """Texts of each edge's source chunks in order, joined by blank lines and cut."""
     rows = edges.select("relationship_id", F.posexplode("source_chunk_ids").alias("pos", "chunk_id")).join(chunks.select("chunk_id", "content"), "chunk_id")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"])

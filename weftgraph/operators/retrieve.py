@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import touching
+
 
 def retrieve_documents(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Hits (chunk_id, score) by document: texts joined by a rule, best first, the mean score, and the source."""
@@ -18,7 +20,7 @@ def retrieve_with_graph(hits: DataFrame, mentions: DataFrame, edges: DataFrame,
     """Sections of text around hits: the k entities in most hit chunks, and their edges (0 or 1 hops), sorted."""
     seen = hits.join(mentions, "chunk_id").groupBy("entity_id").agg(F.count_distinct("chunk_id").alias("n"))
     top = seen.orderBy(F.desc("n"), "entity_id").limit(k).join(entities, "entity_id").select("entity_id", "name", "entity_type")
-    near = edges.join(F.broadcast(top.select("entity_id")), (F.col("source_entity_id") == F.col("entity_id")) | (F.col("target_entity_id") == F.col("entity_id"))).select("source_entity_id", "relationship_type", "target_entity_id").distinct()  # top has k rows
+    near = touching(edges, F.broadcast(top.select("entity_id"))).select("source_entity_id", "relationship_type", "target_entity_id").distinct()  # top has k rows
     names = entities.select("entity_id", "name")
     near = near.join(names.withColumnsRenamed({"entity_id": "source_entity_id", "name": "s"}), "source_entity_id").join(names.withColumnsRenamed({"entity_id": "target_entity_id", "name": "t"}), "target_entity_id")
     a = top.select(F.lit("entities").alias("section"), F.concat_ws(":", "entity_type", "name").alias("line"))

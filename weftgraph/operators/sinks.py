@@ -94,9 +94,18 @@ def export_json(entities: DataFrame, edges: DataFrame, path: str) -> None:
         df.write.json(f"{path}/{name}")
 
 
+def report_rows(df: DataFrame) -> DataFrame:
+    """Verified relationships (relationship_id, status, confidence, text_…, embedding_…, llm_… status and confidence) with their stage list.
+
+    ``stages`` has an entry for each stage that ran, in order.
+    """
+    each = [F.when(F.col(f"{p}_status").isNotNull(), F.struct(F.lit(name).alias("stage"), F.col(f"{p}_status").alias("status"), F.col(f"{p}_confidence").cast("double").alias("confidence"))) for p, name in (("text", "text_match"), ("embedding", "embedding"), ("llm", "llm"))]
+    return df.select("relationship_id", "status", "confidence", F.filter(F.array(*each), lambda s: s.isNotNull()).alias("stages"))
+
+
 def write_report(df: DataFrame, path: str) -> None:
-    """One JSON record for each verified relationship."""
-    df.write.json(path)
+    """One JSON record for each verified relationship, with its stage list."""
+    report_rows(df).write.json(path)
 
 
 def append_audit(records: DataFrame, path: str) -> None:

@@ -73,9 +73,9 @@ def vector_topk_relationships(hits: DataFrame, edges: DataFrame, k: int) -> Data
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "relationship_id"))).where(F.col("rank") <= k)
 
 
-def best_match(left: DataFrame, right: DataFrame) -> DataFrame:
+def best_match(left: DataFrame, right: DataFrame, skip_self: bool = False) -> DataFrame:
     """For each vector of the left table (query_id) the most similar of the right (item_id)."""
-    return vector_topk(left, right, 1)
+    return vector_topk(left, right, 1, skip_self=skip_self)
 
 
 def reembed(rows: DataFrame, text, embed) -> DataFrame:

@@ -137,5 +137,11 @@ def decide_reviews(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
     return reviews.join(named, "review_id", "left").withColumn("review_status", F.coalesce("decided", "review_status")).drop("decided")
 
 
+def list_reviews(reviews: DataFrame, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the reviews (review_id, review_status, created), newest first, all or of one status."""
+    some = reviews.where(F.col("review_status") == status) if status else reviews
+    return some.orderBy(F.desc("created"), "review_id").offset(offset).limit(limit)
+
+
 def verification_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("passed", "failed", "skipped")), F.max("confidence").alias("best_confidence"))

@@ -14,10 +14,11 @@ from .fixture import GRAPH_SQL, entities, relationships
 from .registry import query, table
 from .text_queries import fixed
 
-PLACES_SQL = GRAPH_SQL + """, p AS (SELECT * FROM e WHERE entity_type = 'Location'), l AS (SELECT * FROM r WHERE relationship_type = 'PART_OF'),
+CLAIM_SQL = GRAPH_SQL + """, p AS (SELECT * FROM e), l AS (SELECT * FROM r),
   k AS (SELECT n_nationkey AS claim_id, n_name || ' is not part of ' || r_name AS text, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey),
   t AS (SELECT claim_id, lower(n_name) AS term FROM k UNION SELECT claim_id, 'part' FROM k UNION SELECT claim_id, lower(w) FROM k, unnest(regexp_extract_all(r_name, '[A-Za-z0-9_-]+')) AS u(w) WHERE length(w) >= 3),
-  n AS (SELECT DISTINCT claim_id, entity_id FROM t JOIN p ON contains(lower(name), term))"""
+  n AS MATERIALIZED (SELECT DISTINCT claim_id, entity_id FROM t JOIN p ON contains(lower(name), term)),
+  f AS (SELECT claim_id, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY entity_id) AS nth FROM n) WHERE nth <= 50)"""
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
@@ -25,54 +26,53 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.col("n_nationkey").alias("claim_id"), F.concat("n_name", F.lit(" is not part of "), "r_name").alias("text"))
 
 
-def places(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return entities(spark, d).where("entity_type = 'Location'"), relationships(spark, d).where("relationship_type = 'PART_OF'")
+def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return entities(spark, d), relationships(spark, d)
 
 
-@query("claim_entities", PLACES_SQL + " SELECT * FROM n")
+@query("claim_entities", CLAIM_SQL + " SELECT * FROM n")
 def claim_entities(spark, d):
-    return L.claim_entities(claims(spark, d), places(spark, d)[0], None)
+    return L.claim_entities(claims(spark, d), graph(spark, d)[0], None)
 
 
-@query("claim_candidates", PLACES_SQL + " SELECT DISTINCT claim_id, relationship_id FROM l JOIN n ON entity_id IN (source_entity_id, target_entity_id)")
+@query("claim_candidates", CLAIM_SQL + " SELECT DISTINCT claim_id, relationship_id FROM l JOIN f ON entity_id IN (source_entity_id, target_entity_id)")
 def claim_candidates(spark, d):
-    return L.claim_candidates(claims(spark, d), *places(spark, d))[0].select("claim_id", "relationship_id")
+    return L.claim_candidates(claims(spark, d), *graph(spark, d))[0].select("claim_id", "relationship_id")
 
 
-@query("claim_pairs", PLACES_SQL + " SELECT a.claim_id, a.entity_id AS a, b.entity_id AS b FROM n a JOIN n b ON a.claim_id = b.claim_id AND a.entity_id < b.entity_id")
+@query("claim_pairs", CLAIM_SQL + " SELECT a.claim_id, a.entity_id AS a, b.entity_id AS b FROM n a JOIN n b ON a.claim_id = b.claim_id AND a.entity_id < b.entity_id")
 def claim_pairs(spark, d):
-    return L.claim_pairs(claims(spark, d), places(spark, d)[0])
+    return L.claim_pairs(claims(spark, d), graph(spark, d)[0])
 
 
-@query("verify_claims", PLACES_SQL + """, c AS (SELECT DISTINCT claim_id, relationship_id, a.name AS s, b.name AS t FROM l JOIN n ON n.entity_id IN (source_entity_id, target_entity_id) JOIN p a ON a.entity_id = source_entity_id JOIN p b ON b.entity_id = target_entity_id),
-  v AS (SELECT c.claim_id, relationship_id, (contains(lower(text), lower(s))::INT + contains(lower(text), lower(t))::INT) AS m FROM c JOIN k ON k.claim_id = c.claim_id),
-  x AS (SELECT claim_id, relationship_id, round((m + 1) / 3.0, 4)::DOUBLE AS confidence, CASE WHEN m >= 1 THEN 'passed' ELSE 'failed' END AS status FROM v),
+@query("verify_claims", CLAIM_SQL + """, c AS (SELECT DISTINCT claim_id, relationship_id, relationship_type AS y, a.name AS s, b.name AS t FROM l JOIN f ON f.entity_id IN (source_entity_id, target_entity_id) JOIN p a ON a.entity_id = source_entity_id JOIN p b ON b.entity_id = target_entity_id),
+  v AS (SELECT c.claim_id, relationship_id, (contains(lower(text), lower(s))::INT + contains(lower(text), lower(t))::INT) AS m, (y = 'PART_OF')::INT AS o FROM c JOIN k ON k.claim_id = c.claim_id),
+  x AS (SELECT claim_id, relationship_id, round((m + o) / 3.0, 4)::DOUBLE AS confidence, CASE WHEN m >= 1 THEN 'passed' ELSE 'failed' END AS status FROM v),
   y AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY confidence DESC, relationship_id) AS rank FROM x) SELECT * FROM y WHERE rank <= 20""")
 def verify_claims(spark, d):
-    return L.verify_claims(claims(spark, d), *places(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+    return L.verify_claims(claims(spark, d), *graph(spark, d)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("claim_conflicts", PLACES_SQL + """ SELECT concat_ws('|', 'claim', a.claim_id, a.entity_id, b.entity_id) AS new_relationship_id, relationship_id AS old_relationship_id, 'inconsistent' AS conflict_type, 'medium' AS severity, true AS requires_review
-  FROM n a JOIN n b ON a.claim_id = b.claim_id AND a.entity_id < b.entity_id JOIN l ON source_entity_id = a.entity_id AND target_entity_id = b.entity_id""")
+@query("claim_conflicts", CLAIM_SQL + """ SELECT concat_ws('|', 'claim', a.claim_id, a.entity_id, b.entity_id) AS new_relationship_id, relationship_id AS old_relationship_id, 'inconsistent' AS conflict_type, 'medium' AS severity, trust <> 'user' AS requires_review
+  FROM n a JOIN n b ON a.claim_id = b.claim_id AND a.entity_id < b.entity_id JOIN l ON least(source_entity_id, target_entity_id) = a.entity_id AND greatest(source_entity_id, target_entity_id) = b.entity_id WHERE relationship_type <> 'RELATED_TO'""")
 def claim_conflicts(spark, d):
-    return L.claim_conflicts(claims(spark, d), *places(spark, d))
+    return L.claim_conflicts(claims(spark, d), *graph(spark, d))
 
 
-@query("verify_relationships", GRAPH_SQL + """, x AS (SELECT r.relationship_id, r.relationship_type AS t, a.name AS s, b.name AS d, CASE WHEN r.k % 2 = 0 THEN a.name || ' is LOCATED IN ' || b.name ELSE '' END AS c FROM r JOIN e a ON a.entity_id = source_entity_id JOIN e b ON b.entity_id = target_entity_id WHERE relationship_type = 'LOCATED_IN')
+@query("verify_relationships", GRAPH_SQL + """, x AS (SELECT r.relationship_id, r.relationship_type AS t, a.name AS s, b.name AS d, CASE WHEN r.k % 2 = 0 THEN a.name || ' is LOCATED IN ' || b.name ELSE coalesce(r.description, '') END AS c, r.relationship_type AS y FROM r JOIN e a ON a.entity_id = source_entity_id JOIN e b ON b.entity_id = target_entity_id)
   SELECT relationship_id, CASE WHEN c = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN c = '' THEN 'failed' ELSE 'passed' END AS status, CASE WHEN c = '' THEN 'verification_failed' ELSE 'verification_passed' END AS flag FROM x""")
 def verify_relationships(spark, d):
     from ..operators.graph import enrich_endpoints
 
-    e, r = entities(spark, d), relationships(spark, d).where("relationship_type = 'LOCATED_IN'")
+    e, r = entities(spark, d), relationships(spark, d)
     given = enrich_endpoints(r, e).where("k % 2 = 0").select("relationship_id", F.concat("source_name", F.lit(" is LOCATED IN "), "target_name").alias("context"))
     return L.verify_relationships(r, e, given)
 
 
-@query("verify_embedding", GRAPH_SQL + """, m AS (SELECT * FROM r WHERE relationship_type = 'LOCATED_IN'),
-  x AS (SELECT relationship_id, CASE WHEN k % 3 = 0 THEN NULL ELSE (k % 10) / 10.0 END AS sim, CASE WHEN k % 4 = 0 THEN 0.95 WHEN k % 4 = 1 THEN 0.61 END AS ev FROM m)
+@query("verify_embedding", GRAPH_SQL + """, x AS (SELECT relationship_id, CASE WHEN k % 3 = 0 THEN NULL ELSE (k % 10) / 10.0 END AS sim, CASE WHEN k % 4 = 0 THEN 0.95 WHEN k % 4 = 1 THEN 0.61 END AS ev FROM r)
   SELECT relationship_id, round(coalesce(greatest(sim, ev), 0.0), 4)::DOUBLE AS embedding_confidence, CASE WHEN coalesce(greatest(sim, ev), 0.0) >= 0.5 THEN 'passed' ELSE 'failed' END AS embedding_status FROM x""")
 def verify_embedding(spark, d):
-    r = relationships(spark, d).where("relationship_type = 'LOCATED_IN'")
+    r = relationships(spark, d)
     hits = r.where("k % 4 < 2").select("relationship_id", F.lit("source").alias("role"), F.col("source_entity_id").alias("entity_id"), F.lit(0.61).alias("score"))
     hits = hits.unionByName(r.where("k % 4 = 0").select("relationship_id", F.lit("target").alias("role"), F.col("target_entity_id").alias("entity_id"), F.lit(0.6).alias("score")))
     similarity = F.when(F.col("k") % 3 != 0, F.col("k") % 10 / 10)
@@ -114,7 +114,7 @@ def documents_by_status(spark, d):
     return L.documents_by_status(o, "F").select("document_id")
 
 
-@query("document_chunks")
+@query("document_chunks", "SELECT doc_id AS document_id, i AS chunk_index, substring(text, i * 448 + 1, 512) AS content FROM documents, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - 512) / 448.0) AS BIGINT)))) AS u(i) WHERE doc_id = 1")
 def document_chunks(spark, d):
     return L.document_chunks(fixed(spark, d), 1)
 
@@ -146,12 +146,12 @@ def vector_topk_relationships(spark, d):
     return V.vector_topk_relationships(hits, edges, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("best_match", """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 10 = 0 AND b.vec_id % 2 = 1),
+@query("best_match", """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS n FROM s) SELECT query_id, item_id, score FROM k WHERE n = 1""")
 def best_match(spark, d):
     e = table(spark, d, "embeddings")
-    a = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return V.best_match(a, e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))).select("query_id", "item_id", "score")
+    a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return V.best_match(a, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), skip_self=True).select("query_id", "item_id", "score")
 
 
 @query("associations", """WITH a AS (SELECT s_suppkey, p_partkey, max(l_discount * 15) AS score FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_discount * 15 >= 0.3 GROUP BY 1, 2)

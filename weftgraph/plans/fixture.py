@@ -83,6 +83,6 @@ r0 AS (
   UNION ALL SELECT 'supplier:' || l_suppkey, 'MANUFACTURES', 'part:' || l_partkey, CASE WHEN (l_partkey + l_suppkey) % 5 = 0 THEN 'does not supply part ' ELSE 'supplies part ' END || l_partkey, round(1.0 - avg(l_discount), 6), l_suppkey + l_partkey, 'extracted' FROM lineitem GROUP BY l_suppkey, l_partkey
   UNION ALL SELECT 'part:' || p_partkey, 'CATEGORIZED_AS', 'type:' || p_type, NULL, 1.0, p_partkey, 'extracted' FROM part
   UNION ALL SELECT 'part:' || p_partkey, 'RELATED_TO', 'brand:' || p_brand, NULL, 1.0, p_partkey, 'extracted' FROM part),
-e AS (SELECT *, {_STATUS_SQL} FROM e0),
-r AS (SELECT s || '>' || t || '>' || d AS relationship_id, s AS source_entity_id, d AS target_entity_id, t AS relationship_type, description, strength, k, trust, {_STATUS_SQL} FROM r0)
+e AS MATERIALIZED (SELECT *, {_STATUS_SQL} FROM e0),
+r AS MATERIALIZED (SELECT s || '>' || t || '>' || d AS relationship_id, s AS source_entity_id, d AS target_entity_id, t AS relationship_type, description, strength, k, trust, {_STATUS_SQL} FROM r0)
 """

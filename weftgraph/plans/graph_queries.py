@@ -111,11 +111,11 @@ def neighbours(spark, d):
     return G.neighbours(*both(spark, d), _locations(spark, d)).select("entity_id", "name")
 
 
-@query("unconnected", GRAPH_SQL + """, m AS (SELECT * FROM r WHERE relationship_type = 'MANUFACTURES' AND k % 3 = 0)
+@query("unconnected", GRAPH_SQL + """, m AS (SELECT * FROM r WHERE relationship_type = 'MANUFACTURES')
   SELECT entity_id FROM e WHERE entity_id NOT IN (SELECT source_entity_id FROM m UNION SELECT target_entity_id FROM m)""")
 def unconnected(spark, d):
     e, r = both(spark, d)
-    return G.unconnected(e, r.where("relationship_type = 'MANUFACTURES' and k % 3 = 0")).select("entity_id")
+    return G.unconnected(e, r.where("relationship_type = 'MANUFACTURES'")).select("entity_id")
 
 
 @query("delete_entities", GRAPH_SQL + "SELECT relationship_id FROM r WHERE source_entity_id NOT IN (SELECT entity_id FROM e WHERE rejected) AND target_entity_id NOT IN (SELECT entity_id FROM e WHERE rejected)")
@@ -138,24 +138,24 @@ def dangling_edges(spark, d):
     return G.check_endpoints(r, e.where("status <> 'flagged'"))[1].select("relationship_id")
 
 
-@query("similar_by_chars", GRAPH_SQL + """, x AS (SELECT entity_id, lower(name) AS n, entity_type FROM e WHERE entity_type IN ('Location', 'Brand', 'Category')),
+@query("similar_by_chars", GRAPH_SQL + """, x AS (SELECT entity_id, lower(name) AS n, entity_type, k FROM e),
   p AS (SELECT a.entity_id AS a_id, b.entity_id AS b_id, CASE WHEN a.n = b.n THEN 1.0 WHEN contains(a.n, b.n) OR contains(b.n, a.n) THEN 0.8
     ELSE len(list_intersect(list_distinct(string_split(a.n, '')), list_distinct(string_split(b.n, '')))) / len(list_distinct(list_concat(string_split(a.n, ''), string_split(b.n, ''))))::DOUBLE END AS s
-    FROM x a JOIN x b USING (entity_type) WHERE a.entity_id <> b.entity_id)
+    FROM x a JOIN x b USING (entity_type) WHERE a.entity_id <> b.entity_id AND a.k % 100 = 0)
   SELECT a_id, b_id, round(s, 6)::DOUBLE AS score FROM p WHERE round(s, 6) >= 0.8""")
 def similar_by_chars(spark, d):
     e = entities(spark, d)
-    return G.similar_by_chars(e.where("entity_type in ('Location', 'Brand', 'Category')"), e)
+    return G.similar_by_chars(e.where("k % 100 = 0"), e)
 
 
-@query("similar_by_prefix", GRAPH_SQL + """, x AS (SELECT entity_id, lower(name) AS n, entity_type FROM e WHERE entity_type IN ('Location', 'Brand', 'Category')),
+@query("similar_by_prefix", GRAPH_SQL + """, x AS (SELECT entity_id, lower(name) AS n, entity_type, k FROM e),
   p AS (SELECT a.entity_id AS a_id, b.entity_id AS b_id, CASE WHEN a.n = b.n THEN 1.0 WHEN contains(a.n, b.n) OR contains(b.n, a.n) THEN 0.8
-    WHEN contains(b.n, substring(a.n, 1, length(a.n) // 2)) THEN 0.6 ELSE 0.0 END::DOUBLE AS score FROM x a JOIN x b USING (entity_type) WHERE a.entity_id <> b.entity_id),
+    WHEN contains(b.n, substring(a.n, 1, length(a.n) // 2)) THEN 0.6 ELSE 0.0 END::DOUBLE AS score FROM x a JOIN x b USING (entity_type) WHERE a.entity_id <> b.entity_id AND a.k % 100 = 0),
   k AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS rank FROM p WHERE score >= 0.6)
   SELECT a_id, b_id, score, rank FROM k WHERE rank <= 10""")
 def similar_by_prefix(spark, d):
     e = entities(spark, d)
-    found = G.similar_by_prefix(e.where("entity_type in ('Location', 'Brand', 'Category')"), e, 0.6)
+    found = G.similar_by_prefix(e.where("k % 100 = 0"), e, 0.6)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -180,16 +180,37 @@ def coerce_types(spark, d):
     return G.coerce_entities(rows).select("entity_id", "name", "entity_type", "source_trust", "verification_status")
 
 
-@query("components", GRAPH_SQL + """, m AS (SELECT * FROM r WHERE relationship_type IN ('PART_OF', 'LOCATED_IN')),
-  g AS (SELECT 'nation:' || n_nationkey AS id, 'region:' || n_regionkey AS root FROM nation UNION ALL SELECT 'region:' || r_regionkey, 'region:' || r_regionkey FROM region),
-  x AS (SELECT id, root FROM g UNION ALL SELECT source_entity_id, g.root FROM m JOIN g ON g.id = target_entity_id WHERE relationship_type = 'LOCATED_IN'),
-  c AS (SELECT id, min(id) OVER (PARTITION BY root) AS component FROM x)
-  SELECT entity_id, coalesce(component, entity_id) AS component FROM e LEFT JOIN c ON c.id = entity_id""")
+#: All edges hold together what the least id reaches; whatever it doesn't reach has no edge in these tables.
+REACH_SQL = GRAPH_SQL.replace("WITH e0", "WITH RECURSIVE e0") + """, w AS MATERIALIZED (SELECT source_entity_id AS a, target_entity_id AS b FROM r UNION SELECT target_entity_id, source_entity_id FROM r),
+  g AS (SELECT min(entity_id) AS id FROM e UNION SELECT w.b FROM g JOIN w ON w.a = g.id),
+  c AS (SELECT entity_id, CASE WHEN entity_id IN (SELECT id FROM g) THEN (SELECT min(entity_id) FROM e) ELSE entity_id END AS component FROM e)"""
+
+
+@query("components", REACH_SQL + " SELECT * FROM c")
 def components(spark, d):
+    return G.components(*both(spark, d))
+
+
+@query("order_chains", "SELECT 'order:' || o_orderkey AS entity_id, min('order:' || o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders")
+def order_chains(spark, d):
+    """Orders joined to the same customer's next order: chains as long as customers have orders."""
+    from pyspark.sql import Window
+
+    node = F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))
+    o = spark.read.parquet(f"{d}/orders.parquet").select(node.alias("entity_id"), F.lead(node).over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("next"))
+    edges = o.where("next is not null").select(F.concat_ws(">", "entity_id", "next").alias("relationship_id"), F.col("entity_id").alias("source_entity_id"), F.col("next").alias("target_entity_id"))
+    return G.components(o.select("entity_id"), edges)
+
+
+@query("unconnected_page", GRAPH_SQL + """, m AS (SELECT * FROM r WHERE relationship_type = 'MANUFACTURES'),
+  u AS (SELECT entity_id FROM e WHERE entity_id NOT IN (SELECT source_entity_id FROM m UNION SELECT target_entity_id FROM m))
+  SELECT entity_id, (SELECT count(*) FROM u) AS total FROM u ORDER BY entity_id LIMIT 100""")
+def unconnected_page(spark, d):
     e, r = both(spark, d)
-    return G.components(e, r.where("relationship_type in ('PART_OF', 'LOCATED_IN')"))
+    return G.unconnected_page(e, r.where("relationship_type = 'MANUFACTURES'")).select("entity_id", "total")
 
 
-@query("structure_report")
+@query("structure_report", REACH_SQL + """ SELECT (SELECT count(*) FROM e) AS n_entities, (SELECT count(*) FROM r) AS n_relationships, (SELECT count(DISTINCT component) FROM c) AS n_components,
+  2.0::DOUBLE * (SELECT count(*) FROM r) / (SELECT count(*) FROM e) AS average_degree""")
 def structure_report(spark, d):
     return G.structure_report(*both(spark, d))

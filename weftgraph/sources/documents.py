@@ -16,9 +16,19 @@ MIME_WORDS = ("html", "json", "xml", "pdf", "csv", "markdown")
 EXTENSIONS = {"html": "html", "htm": "html", "json": "json", "xml": "xml", "pdf": "pdf", "csv": "csv", "md": "markdown", "markdown": "markdown", "txt": "text"}
 
 
-def documents_from_text(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Inline documents (document_id, content, source_url, tags): texts trimmed, a url made where none is given; and the rejects without a text."""
+def documents_from_text(df: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Inline documents (document_id, content, source_url, tags): texts trimmed, a url made where none is given; and the rejects without a text.
+
+    A document without a text takes that of the page (url, content) stored for its url, where ``pages`` has one.
+    """
     text = F.trim(F.coalesce("content", F.lit("")))
+    if pages is not None:
+        held = pages.groupBy(F.col("url").alias("source_url")).agg(F.max("content").alias("stored"))
+        df = df.join(held, "source_url", "left")
+        text = F.when(text == "", F.trim(F.coalesce("stored", F.lit("")))).otherwise(text)
+        rest = [c for c in df.columns if c != "stored"]
+        df = df.withColumn("content", text).select(*rest)
+        text = F.col("content")
     tags = F.filter(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(F.trim(t))), lambda t: t != "")
     url = F.coalesce("source_url", F.concat(F.lit("text://"), F.col("document_id").cast("string")))
     rows = df.withColumn("content", text).withColumn("source_url", url).withColumn("tags", tags).withColumn("content_length", F.length("content"))
@@ -119,6 +129,23 @@ def rows_to_doc(rows: DataFrame, order: str) -> DataFrame:
     )
 
 
+def csv_to_doc(spark: SparkSession, path: str, lines: int = 10_000) -> DataFrame:
+    """CSV files below ``path`` as texts: file, part, title, content, row_count, column_count, by the rules of ``rows_to_doc``.
+
+    Cells are read by Spark's CSV reader. No file is held in one row: what a task reads of it is cut every ``lines`` rows,
+    each part begins with the headers, and parts rise in the file's order.
+    """
+    rows = spark.read.option("header", True).csv(path)
+    cells = rows.columns
+    at = F.monotonically_increasing_id()
+    placed = rows.select(F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in cells]).alias("line"), F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    held = F.array_sort(F.collect_list(F.struct("at", "line")))
+    return placed.groupBy("file", F.expr(f"shiftright(at, 33) * {1 << 33} + (at & {(1 << 33) - 1}) div {lines}").alias("part")).agg(held.alias("held")).select(
+        "file", "part", F.lit("CSV Data: " + ", ".join(cells[:3])).alias("title"),
+        F.concat_ws("\n", F.lit(" | ".join(cells)), F.array_join("held.line", "\n")).alias("content"), F.size("held").alias("row_count"), F.lit(len(cells)).alias("column_count"),
+    )
+
+
 def xml_to_doc(xml: Column) -> tuple[Column, Column]:
     """(title, text) of XML: the first title element, else the first name; all text nodes."""
     title = F.coalesce(F.nullif(F.xpath_string(xml, F.lit("//title")), F.lit("")), F.nullif(F.xpath_string(xml, F.lit("//name")), F.lit("")))

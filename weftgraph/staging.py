@@ -1,8 +1,8 @@
 """Tables written to the folder the cluster shares, to cut lineage.
 
 ``stage`` writes a DataFrame as Parquet below ``spark.checkpoint.dir`` and reads it back, so that later jobs
-neither recompute it nor depend on one executor's disk. Only where that setting is absent (tests on one
-machine) a folder is made here.
+neither recompute it nor depend on one executor's disk. Only where that setting is absent and the master is this
+machine (tests) a folder is made here.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-weft-")

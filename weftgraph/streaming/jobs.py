@@ -2,24 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.core import job_progress
+from ..operators.resolve import upsert_entities, upsert_relationships
 
 
-def job_snapshots(events: DataFrame, last: int = 200) -> DataFrame:
-    """State of each job from its events (job_id, seq, ts, stage): latest stage, counts, the last events' ids, progress."""
-    held = F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("s"), "seq")))
-    rows = events.groupBy("job_id").agg(F.max_by("stage", "seq").alias("current_stage"), F.max("ts").alias("updated_at"), F.count("*").alias("n_events"), F.collect_set("stage").alias("stages"), F.slice(held, 1, last).alias("held"))
-    return rows.select("job_id", "current_stage", "updated_at", "n_events", F.transform("held", lambda x: x["seq"]).alias("last_events"), F.round(job_progress(F.col("stages"), F.col("current_stage"), F.lit(1.0)), 6).alias("progress"))
+#: Parts of a job's events, each cut to the last ones before they meet.
+SALTS = 16
+
+#: Stages that end a job, and the status they give it; a job with a cancel request counts as cancelled.
+ENDS = {"completed": "completed", "failed": "failed", "cancel": "cancelled"}
+
+
+def _status(stage: Column) -> Column:
+    found = F.lit("running")
+    for end, status in ENDS.items():
+        found = F.when(stage == end, status).otherwise(found)
+    return found
 
 
-def stream_snapshots(events: DataFrame, path: str, name: str, lateness: str = "1 day") -> StreamingQuery:
-    """The same as a stream in update mode: a row leaves when its job's state changes; state is dropped after a day."""
+def job_snapshots(events: DataFrame, last: int = 200) -> DataFrame:
+    """State of each job from its events (job_id, seq, ts, stage): status, latest stage, stages, counts, the last events' ids, progress.
+
+    ``stages`` maps each stage to its number of events and its first and last time.
+    """
+    salted = Window.partitionBy("job_id", F.pmod(F.xxhash64("seq"), F.lit(SALTS))).orderBy(F.desc("seq"))
+    whole = Window.partitionBy("job_id").orderBy(F.desc("seq"))
+    some = events.select("job_id", "seq").withColumn("n", F.row_number().over(salted)).where(F.col("n") <= last)
+    some = some.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= last)
+    held = some.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "seq"))), lambda x: x["seq"]).alias("last_events"))
+    by_stage = events.groupBy("job_id", "stage").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.max("seq").alias("last_seq"))
+    rows = by_stage.groupBy("job_id").agg(
+        F.max_by("stage", "last_seq").alias("current_stage"), F.max("last_at").alias("updated_at"), F.sum("n").alias("n_events"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.struct("n", "first_at", "last_at"))))).alias("stages"),
+    )
+    progress = F.round(job_progress(F.map_keys("stages"), F.col("current_stage"), F.lit(1.0)), 6)
+    return rows.join(held, "job_id").select("job_id", _status(F.col("current_stage")).alias("status"), "current_stage", "stages", "updated_at", "n_events", "last_events", progress.alias("progress"))
+
+
+def changed_snapshots(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Snapshots that differ from those of the same job before."""
+    state = ["job_id", "status", "current_stage", "n_events"]
+    return now.join(before.select(*state), state, "left_anti")
+
+
+def stream_snapshots(events: DataFrame, target: str, checkpoint: str, lateness: str = "1 day") -> StreamingQuery:
+    """Status, stage and counts of jobs as a stream in update mode; a batch's changed jobs are written to ``target``/batch=n.
+
+    State is dropped after a day without events. A repeated batch writes the same folder again.
+    """
     rows = events.withWatermark("ts", lateness).groupBy("job_id").agg(F.max_by("stage", "seq").alias("current_stage"), F.max("ts").alias("updated_at"), F.count("*").alias("n_events"))
-    return rows.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", path).start()
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.withColumn("status", _status(F.col("current_stage"))).write.mode("overwrite").parquet(f"{target}/batch={n}")
+
+    return rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).start()
+
+
+def append_progress(spark: SparkSession, path: str, job_id: str, seq: int, stage: str, message: str = "", level: str = "info", data: dict[str, str] | None = None) -> None:
+    """One progress row at the end of the job log; what a callback of a long run would be told."""
+    kind = "job_id string, seq long, stage string, level string, message string, data map<string,string>"
+    row = spark.createDataFrame([(job_id, seq, stage, level, message, data or {})], kind).withColumn("ts", F.current_timestamp())
+    row.coalesce(1).write.mode("append").parquet(path)
 
 
 def apply_cancellations(events: DataFrame) -> DataFrame:
@@ -29,8 +78,34 @@ def apply_cancellations(events: DataFrame) -> DataFrame:
     return rows.withColumn("cancelled", F.col("cancel_seq").isNotNull()).drop("cancel_seq")
 
 
-def stream_documents(spark: SparkSession, source: str, target: str, checkpoint: str, size: int = 512, overlap: int = 50) -> StreamingQuery:
-    """New Parquet files of documents (doc_id, text) become chunks; ids come from content, so a repeated batch adds nothing."""
+Extractor = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def upsert_graph(spark: SparkSession, path: str, n: int, entities: DataFrame, edges: DataFrame) -> None:
+    """Version ``n`` of the graph tables below ``path``: version n - 1 with new entities and edges; writing it again changes nothing.
+
+    Edges come with the ids that extraction gave their ends; those of entities that are stored already become the stored ids.
+    """
+    def stored(kind: str, like: DataFrame) -> DataFrame:
+        return spark.read.parquet(f"{path}/version={n - 1}/{kind}").withColumn("seq", F.lit(-1).cast("long")) if n else like.limit(0)
+
+    known = upsert_entities(stored("entities", entities), entities)
+    known.write.mode("overwrite").parquet(f"{path}/version={n}/entities")
+    known = spark.read.parquet(f"{path}/version={n}/entities")
+    final = entities.select(F.col("entity_id").alias("was"), "name", "entity_type").distinct().join(known.select("name", "entity_type", "entity_id"), ["name", "entity_type"]).select("was", "entity_id")
+    for end in ("source", "target"):
+        c = f"{end}_entity_id"
+        edges = edges.join(final.withColumnsRenamed({"was": c, "entity_id": "final"}), c, "left").withColumn(c, F.coalesce("final", c)).drop("final")
+    upsert_relationships(stored("relationships", edges), edges, known).write.mode("overwrite").parquet(f"{path}/version={n}/relationships")
+
+
+def stream_documents(spark: SparkSession, source: str, target: str, checkpoint: str, size: int = 512, overlap: int = 50, extract: Extractor | None = None) -> StreamingQuery:
+    """New Parquet files of documents (doc_id, text) become chunks and, with ``extract``, a graph.
+
+    ``extract(chunks)`` gives entities (entity_id, name, entity_type, seq, …) and edges (relationship_id, source_entity_id,
+    target_entity_id, relationship_type, seq, …). Chunks go to ``target``/batch=n, the graph to ``target``-graph/version=n. Ids
+    come from content and batches have numbers, so a repeated batch adds nothing.
+    """
     from ..operators.chunking import chunk_fixed, chunk_identity
 
     schema = "doc_id long, text string"
@@ -38,6 +113,8 @@ def stream_documents(spark: SparkSession, source: str, target: str, checkpoint:
     def take(batch: DataFrame, n: int) -> None:
         chunks = chunk_identity(chunk_fixed(batch.select(F.col("doc_id").alias("document_id"), F.col("text").alias("content")), size, overlap))
         chunks.write.mode("overwrite").parquet(f"{target}/batch={n}")
+        if extract:
+            upsert_graph(spark, f"{target}-graph", n, *extract(spark.read.parquet(f"{target}/batch={n}")))
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
