@@ -12,7 +12,7 @@ from ..operators import verify as W
 from ..sources import documents as S
 from .fixture import GRAPH_SQL, entities, relationships
 from .registry import query, table
-from .text_queries import fixed
+from .text_queries import FIXED_SQL, fixed
 
 CLAIM_SQL = GRAPH_SQL + """, p AS (SELECT * FROM e), l AS (SELECT * FROM r),
   k AS (SELECT n_nationkey AS claim_id, n_name || ' is not part of ' || r_name AS text, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey),
@@ -47,7 +47,7 @@ def claim_pairs(spark, d):
 
 @query("verify_claims", CLAIM_SQL + """, c AS (SELECT DISTINCT claim_id, relationship_id, relationship_type AS y, a.name AS s, b.name AS t FROM l JOIN f ON f.entity_id IN (source_entity_id, target_entity_id) JOIN p a ON a.entity_id = source_entity_id JOIN p b ON b.entity_id = target_entity_id),
   v AS (SELECT c.claim_id, relationship_id, (contains(lower(text), lower(s))::INT + contains(lower(text), lower(t))::INT) AS m, (y = 'PART_OF')::INT AS o FROM c JOIN k ON k.claim_id = c.claim_id),
-  x AS (SELECT claim_id, relationship_id, round((m + o) / 3.0, 4)::DOUBLE AS confidence, CASE WHEN m >= 1 THEN 'passed' ELSE 'failed' END AS status FROM v),
+  x AS (SELECT claim_id, relationship_id, round((m + o) / 3.0, 4)::DOUBLE AS confidence, CASE WHEN m + o >= 2 THEN 'passed' ELSE 'failed' END AS status FROM v),
   y AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY confidence DESC, relationship_id) AS rank FROM x) SELECT * FROM y WHERE rank <= 20""")
 def verify_claims(spark, d):
     return L.verify_claims(claims(spark, d), *graph(spark, d)).withColumn("rank", F.col("rank").cast("long"))
@@ -59,8 +59,8 @@ def claim_conflicts(spark, d):
     return L.claim_conflicts(claims(spark, d), *graph(spark, d))
 
 
-@query("verify_relationships", GRAPH_SQL + """, x AS (SELECT r.relationship_id, r.relationship_type AS t, a.name AS s, b.name AS d, CASE WHEN r.k % 2 = 0 THEN a.name || ' is LOCATED IN ' || b.name ELSE coalesce(r.description, '') END AS c, r.relationship_type AS y FROM r JOIN e a ON a.entity_id = source_entity_id JOIN e b ON b.entity_id = target_entity_id)
-  SELECT relationship_id, CASE WHEN c = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN c = '' THEN 'failed' ELSE 'passed' END AS status, CASE WHEN c = '' THEN 'verification_failed' ELSE 'verification_passed' END AS flag FROM x""")
+@query("verify_relationships", GRAPH_SQL + """, x AS (SELECT r.relationship_id, CASE WHEN r.k % 2 = 1 THEN 0 WHEN relationship_type = 'LOCATED_IN' THEN 3 ELSE 2 END AS m FROM r JOIN e a ON a.entity_id = source_entity_id JOIN e b ON b.entity_id = target_entity_id)
+  SELECT relationship_id, round(m / 3.0, 4)::DOUBLE AS confidence, CASE WHEN m = 0 THEN 'failed' ELSE 'passed' END AS status, CASE WHEN m = 0 THEN 'verification_failed' ELSE 'verification_passed' END AS flag FROM x""")
 def verify_relationships(spark, d):
     from ..operators.graph import enrich_endpoints
 
@@ -114,9 +114,9 @@ def documents_by_status(spark, d):
     return L.documents_by_status(o, "F").select("document_id")
 
 
-@query("document_chunks", "SELECT doc_id AS document_id, i AS chunk_index, substring(text, i * 448 + 1, 512) AS content FROM documents, unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - 512) / 448.0) AS BIGINT)))) AS u(i) WHERE doc_id = 1")
+@query("document_chunks", FIXED_SQL + " SELECT document_id, CAST(chunk_index AS BIGINT) AS chunk_index, content FROM c WHERE document_id = 1")
 def document_chunks(spark, d):
-    return L.document_chunks(fixed(spark, d), 1)
+    return L.document_chunks(fixed(spark, d), 1).select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content")
 
 
 @query("wiki_urls", "SELECT n_nationkey, n_name AS page, CASE n_nationkey % 2 WHEN 0 THEN 'en' ELSE 'de' END AS lang FROM nation")

@@ -98,7 +98,7 @@ def upsert_stored_relationships(spark, d):
         F.concat(F.lit("o"), k.cast("string")).alias("relationship_id"), k.alias("seq"), (k % 3 == 0).alias("old"), F.least(F.lit(1.0), F.col("o_totalprice") / 1000000).alias("strength"),
         F.when(k % 4 != 0, F.col("o_orderpriority")).alias("description"), F.array(F.concat(F.lit("t"), (k % 5).cast("string"))).alias("tags"), F.create_map(F.lit("note"), F.concat(F.lit("q"), k.cast("string"))).alias("properties"), F.lit(4).alias("version"),
     )
-    u = J.upsert_relationships(x.where("old").withColumn("seq", k * 0 + F.col("seq") - 1000000000).drop("old"), x.where("not old").drop("old"), entities(spark, d))
+    u = J.upsert_relationships(x.where("old").withColumn("seq", F.col("seq") - 1000000000).drop("old"), x.where("not old").drop("old"), entities(spark, d))
     return u.select("source_entity_id", "target_entity_id", "relationship_id", "strength", "description", F.array_join("tags", ",").alias("tags"), F.col("properties")["note"].alias("note"), F.col("version").cast("long").alias("version"))
 
 
