@@ -12,8 +12,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import components, jaccard, langid, licenses, media, mixing, packing, quality, repeats, sharding, textbatch, toxicity
+from weftgraph.llm import jaccard, langid, licenses, media, mixing, packing, quality, repeats, sharding, textbatch, toxicity
 from weftgraph.llm.queries import vocabulary
+from weftgraph.operators.stars import star_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KIND = "doc_id long, text string, lang string, source string, n_chars long, key long, row string, part int, word long, size double, mark string"
@@ -502,7 +503,7 @@ def test_components(spark):
             lo, hi = sorted((find(a), find(b)))
             root[hi] = lo
     want = {x: find(x) for a, b in edges for x in (a, b) if a is not None and a != b}
-    got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.root for x in star_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
 
 

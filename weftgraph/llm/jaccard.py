@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.stars import star_components
 from ..staging import stage
-from .components import components
 from .keyfilter import with_may
 from .textbatch import chunks, grouped_sum, lower_ascii, mix, owner, span_hash, words
 
@@ -411,7 +411,7 @@ def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
 
     found = stage(_blocks(met.withColumn("root", F.col("mark")), classes).mapInArrow(_searched(percent, True), "key long, a long, b long"), "forest")
     links = stage(verify(texts, found, percent, k), "links")
-    roots = components(links)
+    roots = star_components(links)
     ends = found
     for x in ("a", "b"):
         ends = ends.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
@@ -421,7 +421,7 @@ def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
     found = _blocks(placed, classes).mapInArrow(_searched(percent, False), "key long, a long, b long")
     more = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stage(verify(texts, more, percent, k), "links")
-    roots = components(links.unionByName(more)) if more.take(1) else roots
+    roots = star_components(links.unionByName(more)) if more.take(1) else roots
 
     its = classes.join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
     least = its.groupBy("root").agg(F.min("first").alias("component"))
