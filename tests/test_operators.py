@@ -322,6 +322,16 @@ def test_csv_files_and_stored_pages(spark, tmp_path):
     assert {(r.document_id, r.content) for r in ok.collect()} == {("1", "stored"), ("2", "own")} and [r.document_id for r in bad.collect()] == ["3"]
 
 
+def test_chunks_by_a_users_function(spark):
+    from weftgraph.operators import chunking
+
+    docs = spark.createDataFrame([(1, "a;b;; c"), (2, None), (3, "")], "document_id int, content string")
+    got = [(r.document_id, r.chunk_index, r.content) for r in chunking.chunk_with(docs, lambda c: F.split(c, ";")).collect()]
+    assert got == [(1, 0, "a"), (1, 1, "b"), (1, 2, " c")]
+    upper = F.udf(lambda t: None if t is None else [t.upper(), None], "array<string>")
+    assert [r.content for r in chunking.chunk_with(docs, upper).collect()] == ["A;B;; C"]
+
+
 def test_crawl_goes_as_deep_as_it_must(spark):
     rows = spark.createDataFrame([(f"http://x.y/{i}", 0, f"http://x.y/{i + 1}") for i in range(80)], "url string, pos int, link string")
     seeds = spark.createDataFrame([("http://x.y/0", 1)], "url string, rank int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,15 @@ def chunk_tokens(docs: DataFrame, size: int = 200, overlap: int = 20) -> DataFra
     return rows.select(*keep, "chunk_index", F.array_join(F.slice("words", F.col("start") + 1, size), " ").alias("content"))
 
 
+def chunk_with(docs: DataFrame, split: Callable[[Column], Column], keep_blank: bool = False) -> DataFrame:
+    """Chunks (document_id, chunk_index, content) by a user's function from a text column to an array of texts.
+
+    The function may be made of built-in functions or be a UDF; null results and null or (unless kept) blank pieces give no chunk.
+    """
+    rows = docs.select("document_id", F.posexplode(F.filter(split(F.col("content")), lambda x: x.isNotNull() & (F.lit(keep_blank) | (F.trim(x) != "")))).alias("chunk_index", "content"))
+    return rows
+
+
 def split_sentences(c: Column) -> Column:
     """Sentences: cut after . ! ? with white space, then at blank lines; blank ones go."""
     parts = F.flatten(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+"), lambda s: F.split(s, r"\n{2,}")))
