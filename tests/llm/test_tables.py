@@ -44,7 +44,8 @@ def auc(scores, labels):
 
 @pytest.fixture(scope="module")
 def larger(sf):
-    path = Path(sf).parent / "sf0.01"
+    """Tables with some hundred held-out labels; the small ones have a handful of toxic rows among theirs."""
+    path = Path(sf).parent / "sf0.1"
     if not path.is_dir():
         pytest.skip("no such tables")
     return str(path)

@@ -71,40 +71,54 @@ def chain_features(h: np.ndarray, head: np.ndarray) -> np.ndarray:
     return np.stack([(x >> shift).astype(np.int64) for x in (*units.T, *pairs)], axis=1)
 
 
-def marginals(unary: np.ndarray, head: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(state 1) of each word and the expected counts of the four moves between neighbours.
+class Chains:
+    """Words laid out step by step over all chains, longest first: a step of all chains is one slice."""
 
-    unary: score of state 1 over state 0; move[i, j]: score of going from state i to j.
-    """
-    n = len(unary)
-    if not n:
-        return np.zeros(0), np.zeros((2, 2))
-    begins = np.flatnonzero(head)
-    length = np.diff(np.concatenate([begins, [n]]))
-    order = np.argsort(-length, kind="stable")
-    begins, length = begins[order], length[order]
-    emit = np.exp(np.clip(unary, -30, 30))
-    m = np.exp(move - move.max())
-    alpha, beta = np.empty((n, 2)), np.ones((n, 2))
-    alpha[begins, 0], alpha[begins, 1] = 1 / (1 + emit[begins]), emit[begins] / (1 + emit[begins])
-    longest = int(length[0])
-    alive = np.searchsorted(-length, -np.arange(1, longest + 1), side="right")
-    for t in range(1, longest):
-        at = begins[: alive[t]] + t
-        a = alpha[at - 1] @ m
-        a[:, 1] *= emit[at]
-        alpha[at] = a / a.sum(axis=1, keepdims=True)
-    moves = np.zeros((2, 2))
-    for t in range(longest - 1, 0, -1):
-        at = begins[: alive[t]] + t
-        b = beta[at].copy()
-        b[:, 1] *= emit[at]
-        back = b @ m.T
-        joint = alpha[at - 1][:, :, None] * m[None] * b[:, None, :]
-        moves += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-        beta[at - 1] = back / back.sum(axis=1, keepdims=True)
-    both = alpha * beta
-    return both[:, 1] / both.sum(axis=1), moves
+    def __init__(self, head: np.ndarray) -> None:
+        begins = np.flatnonzero(head)
+        length = np.diff(np.append(begins, len(head)))
+        order = np.argsort(-length, kind="stable")
+        begins, longest = begins[order], int(length.max(initial=0))
+        alive = np.searchsorted(-length[order], -np.arange(1, longest + 1), side="right")
+        #: places of the words in the order of the steps, and where each step begins
+        self.place = np.concatenate([np.zeros(0, np.int64), *(begins[:n] + t for t, n in enumerate(alive.tolist()))])
+        self.steps = np.concatenate([[0], np.cumsum(alive)]).tolist()
+
+    def marginals(self, unary: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(state 1) of each word and the expected counts of the four moves between neighbours, words in the order of ``place``.
+
+        unary: score of state 1 over state 0; move[i, j]: score of going from state i to j.
+        """
+        moves, n = np.zeros((2, 2)), len(unary)
+        if not n:
+            return np.zeros(0), moves
+        emit, m = np.exp(np.clip(unary, -30, 30)), np.exp(move - move.max())
+        past = np.empty(n)  # P(state 1) by what came before
+        past[: self.steps[1]] = emit[: self.steps[1]] / (1 + emit[: self.steps[1]])
+        for t in range(1, len(self.steps) - 1):
+            x, y = self.steps[t], self.steps[t + 1]
+            before = past[self.steps[t - 1] : self.steps[t - 1] + y - x]
+            up = (m[0, 1] + (m[1, 1] - m[0, 1]) * before) * emit[x:y]
+            past[x:y] = up / (up + m[0, 0] + (m[1, 0] - m[0, 0]) * before)
+        odds = np.ones(n)  # of what comes after, state 1 over state 0
+        for t in range(len(self.steps) - 2, 0, -1):
+            x, y, z = self.steps[t], self.steps[t + 1], self.steps[t - 1]
+            b = emit[x:y] * odds[x:y]
+            one = past[z : z + y - x]
+            from0, from1 = m[0, 0] + m[0, 1] * b, m[1, 0] + m[1, 1] * b
+            total = (1 - one) * from0 + one * from1
+            share0, share1 = (1 - one) / total, one / total
+            moves += [[m[0, 0] * share0.sum(), m[0, 1] * (share0 @ b)], [m[1, 0] * share1.sum(), m[1, 1] * (share1 @ b)]]
+            odds[z : z + y - x] = from1 / from0
+        up = past * odds
+        return up / (1 - past + up), moves
+
+
+def marginals(unary: np.ndarray, head: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``Chains.marginals`` for words in the order of the text."""
+    chains, p = Chains(head), np.empty(len(unary))
+    p[chains.place], moves = chains.marginals(unary[chains.place], move)
+    return p, moves
 
 
 def document_features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -151,17 +165,19 @@ def _fit(epochs: int, rate: float, least_docs: int, least_share: float):
             share = (toxic / n_toxic) / (toxic / n_toxic + clean / n_clean + 1e-12)
             label |= ((toxic >= least_docs) & (share >= least_share))[at]
         label = (label & (y[doc] > 0)).astype(np.float64)
-        code = chain_features(h, head)
+        chains = Chains(head)
+        place, code = chains.place, chain_features(h, head)
         w, move, bias = np.zeros(1 << BITS), np.zeros((2, 2)), -4.0
         gw, gm, gb = np.full(1 << BITS, 1e-8), np.full((2, 2), 1e-8), 1e-8
         step = ~head
         seen = np.zeros((2, 2))
         np.add.at(seen, (label[:-1][step[1:]].astype(int), label[1:][step[1:]].astype(int)), 1)
         count = max(1.0, label.sum())
+        columns, wanted = [np.ascontiguousarray(c[place]) for c in code.T], label[place]
         for _ in range(epochs):
-            p, moves = marginals(w[code].sum(axis=1) + bias, head, move)
-            err = (p - label) / count
-            g = sum(np.bincount(code[:, k], err, minlength=1 << BITS) for k in range(code.shape[1])) + 1e-6 * w
+            p, moves = chains.marginals(sum(w[c] for c in columns) + bias, move)
+            err = (p - wanted) / count
+            g = sum(np.bincount(c, err, minlength=1 << BITS) for c in columns) + 1e-6 * w
             gw += g * g
             w -= rate * g / np.sqrt(gw)
             d = (moves - seen) / count + 1e-3 * move
