@@ -261,6 +261,15 @@ def test_stream_of_documents_makes_a_graph(spark, tmp_path):
     assert second["relationships"].count() == 3 and graph.check_endpoints(second["relationships"], second["entities"])[1].count() == 0
 
 
+def test_staged_tables_can_be_dropped(spark):
+    from weftgraph import staging
+
+    df = staging.stage(spark.range(5), "five")
+    path = df.inputFiles()[0].split("five")[0].removeprefix("file://")
+    assert df.count() == 5 and Path(path).is_dir() and staging.drop_staged(spark) >= 1 and not Path(path).is_dir()
+    assert staging.drop_staged(spark) == 0
+
+
 def test_progress_rows(spark, tmp_path):
     path = str(tmp_path / "events")
     for i, stage in enumerate(("fetch", "chunk", "completed")):

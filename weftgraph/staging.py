@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -31,7 +32,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the scratch folder that nothing else uses."""
-    return f"{scratch_dir(spark)}/weft-{uuid.uuid4().hex[:12]}/{name}"
+    folder = f"{scratch_dir(spark)}/weft-{uuid.uuid4().hex[:12]}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return f"{folder}/{name}"
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete all that this session has staged, once results that read it are written; how many folders went."""
+    folders = _MADE.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(folders)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
