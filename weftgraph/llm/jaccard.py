@@ -200,8 +200,12 @@ def verify(texts: DataFrame, pairs: DataFrame, percent: int, k: int = 3) -> Data
     """
     pairs = stage(pairs.select("a", "b").distinct(), "pairs")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("mark"), F.lit(False).alias("lead"))
-    leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("mark"), F.lit(True).alias("lead"))
+    members = pairs.join(salts, "a").select(
+        "a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("mark"), F.lit(False).alias("lead"),
+    )
+    leaders = salts.select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("mark"), F.lit(True).alias("lead"),
+    )
     held = texts.join(members.unionByName(leaders).hint("shuffle_hash"), "mark")
     dealt = held.select("a", "salt", "lead", "mark", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"), "mark")
     return dealt.mapInArrow(_linked(percent, k), "a long, b long")
@@ -278,7 +282,10 @@ def _small(first: np.ndarray, n: np.ndarray, root: np.ndarray, size: np.ndarray,
     a, b = np.concatenate(a), np.concatenate(b)
     use = (root[a] != root[b]) & (size[a] * 100 >= size[b] * percent) & (size[b] * 100 >= size[a] * percent)
     a, b = a[use], b[use]
-    held = np.concatenate([np.zeros(0, bool), *(np.minimum(vector[a[s : s + 8192]], vector[b[s : s + 8192]]).sum(axis=1, dtype=np.int64) >= enough(size[a[s : s + 8192]], size[b[s : s + 8192]], percent) for s in range(0, len(a), 8192))])
+    held = np.zeros(len(a), bool)
+    for s in range(0, len(a), 8192):
+        x, y = a[s : s + 8192], b[s : s + 8192]
+        held[s : s + 8192] = np.minimum(vector[x], vector[y]).sum(axis=1, dtype=np.int64) >= enough(size[x], size[y], percent)
     a, b = a[held], b[held]
     if not forest:
         return a, b
@@ -344,7 +351,9 @@ def _members(k: int):
             mark = b.column("mark").to_numpy()
             for first, last, data, offsets in chunks(b.column("text"), most=MOST):
                 values, bounds = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([pa.array(mark[first:last][owner(bounds)]), pa.array(values.view(np.int64))], names=["mark", "shingle"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mark[first:last][owner(bounds)]), pa.array(values.view(np.int64))], names=["mark", "shingle"],
+                )
 
     return run
 
@@ -394,9 +403,14 @@ def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
 
     Root is null for texts without words, which belong to no component.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"),
+    )
     marked = stage(rows.mapInArrow(_classes(k), "doc_id long, row_key long, n_shingles long, mark long, vector binary"), "marked")
-    classes = stage(marked.where("n_shingles > 0").groupBy("mark", "n_shingles", "vector").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("row_key")), "classes")
+    classes = stage(
+        marked.where("n_shingles > 0").groupBy("mark", "n_shingles", "vector").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("row_key")),
+        "classes",
+    )
     keys = rows.select("text").mapInArrow(_keys(percent, k), "key long, mark long")
     shared = stage(keys.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("key"), "shared")
     met = stage(with_may(keys, shared).where("may").select("key", "mark").distinct().join(shared, "key"), "met")
@@ -404,7 +418,9 @@ def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
 
     wanted = classes.join(met.select("mark").distinct(), "mark", "left_semi").select("mark", "row_key")
     may = with_may(rows.select("row_key", "text"), wanted.select(F.col("row_key").alias("key")), "row_key").where("may")
-    texts = stage(may.select("row_key", "text").join(wanted.hint("shuffle_hash"), "row_key").groupBy("mark").agg(F.first("text").alias("text")), "texts")
+    texts = stage(
+        may.select("row_key", "text").join(wanted.hint("shuffle_hash"), "row_key").groupBy("mark").agg(F.first("text").alias("text")), "texts",
+    )
     crowded = met.where(F.col("n") > BLOCK)
     if crowded.take(1):
         met = stage(met.where(F.col("n") <= BLOCK).unionByName(_once(_dealt_again(crowded, texts, classes, percent, k))), "trees")
@@ -414,7 +430,9 @@ def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
     roots = star_components(links)
     ends = found
     for x in ("a", "b"):
-        ends = ends.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+        ends = ends.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(
+            f"root_{x}", F.coalesce(f"root_{x}", x),
+        )
     # a tree all of whose forest's pairs are held together has no other candidates to look at
     apart = ends.where("root_a <> root_b").select("key").distinct()
     placed = met.join(apart, "key").join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))

@@ -55,9 +55,13 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         its = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(bounds)).astype(np.int64)
         pair, n = np.unique(its * max(1, len(tokens)) + code, return_counts=True)
         names, found = langs.dictionary.to_pylist(), tokens.to_pylist()
-        rows = [(names[p // len(found)], w, k) for p, k in zip(pair.tolist(), n.tolist(), strict=True) for w in _LETTERS.findall(found[p % len(found)])]
+        rows = [
+            (names[p // len(found)], w, k) for p, k in zip(pair.tolist(), n.tolist(), strict=True) for w in _LETTERS.findall(found[p % len(found)])
+        ]
         cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "gram", "n"],
+        )
 
 
 def _grams(orders: tuple[int, ...]):
@@ -74,7 +78,10 @@ def _grams(orders: tuple[int, ...]):
                         out[key] = out.get(key, 0) + k
             keys = list(zip(*out, strict=True)) or [(), (), ()]
             kinds = (pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(keys, kinds, strict=True)), pa.array(out.values(), pa.int64())], names=["lang", "kind", "gram", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, t) for c, t in zip(keys, kinds, strict=True)), pa.array(out.values(), pa.int64())],
+                names=["lang", "kind", "gram", "n"],
+            )
 
     return run
 
@@ -88,20 +95,33 @@ def fit_languages(
     Fits on ``max_docs`` documents at most (those of the smallest hashes of the id; an id counts once). All words that
     stand there ``least_words`` times or more, and all n-grams of ``least_grams`` times or more, are kept. Rows with a null text or language are left out.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
+    )
     sample = bounded_sample(rows, "id", max_docs).select("lang", "text")
     words = stage(sample.mapInArrow(_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
     grams = words.mapInArrow(_grams(orders), "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     every = words.select("lang", F.lit(0).alias("kind"), "gram", "n").unionByName(grams)
     least = F.when(F.col("kind") == 0, least_words).otherwise(least_grams)
-    table = every.groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by")).where(F.col("total") >= least).select("kind", "gram", "by.lang", "by.n").toArrow()
+    table = (
+        every.groupBy("kind", "gram")
+        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
+        .where(F.col("total") >= least)
+        .select("kind", "gram", "by.lang", "by.n")
+        .toArrow()
+    )
     langs = sorted(table.column("lang").combine_chunks().flatten().unique().to_pylist())
     model: dict = {"langs": langs, "orders": orders, "rows": {}, "logs": {}}
     for k in (0, *orders):
         part = table.filter(pc.equal(table.column("kind"), k)).sort_by("gram")
         seen, by = np.zeros((len(part), len(langs))), part.column("lang").combine_chunks()
         at = np.repeat(np.arange(len(part)), by.value_lengths().to_numpy(zero_copy_only=False))
-        seen[at, np.searchsorted(np.array(langs, dtype=object), np.array(by.flatten().to_pylist(), dtype=object))] = part.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        seen[at, np.searchsorted(np.array(langs, dtype=object), np.array(by.flatten().to_pylist(), dtype=object))] = (
+            part.column("n")
+            .combine_chunks()
+            .flatten()
+            .to_numpy(zero_copy_only=False)
+        )
         logs = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * max(1, len(part))))
         model["rows"][k] = {g: i for i, g in enumerate(part.column("gram").to_pylist())}
         model["logs"][k] = np.round(logs * SCALE).astype(np.int32)
@@ -175,7 +195,9 @@ def identify_languages(docs: DataFrame, model: dict, text_col: str = "text") ->
         for b in batches:
             scorer = scorer or Scorer(shared.value)
             said, share = scorer.texts(b.column(at))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string()), pa.array(share)], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(said, pa.string()), pa.array(share)], names=[*b.schema.names, "lang_pred", "score"],
+            )
 
     kind = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return kept.mapInArrow(run, kind)

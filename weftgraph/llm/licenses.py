@@ -73,7 +73,9 @@ def template_table(spark, templates: tuple[tuple[str, str], ...] = TEMPLATES + N
         raise ValueError(f"templates without a word: {[r.license for r in empty]}")
     its = F.coalesce(*[F.when(F.col("k") == k, F.array_distinct(shingles(F.col("text"), k))) for k in range(1, SHINGLE + 1)])
     rows = rows.select("template", "license", "k", its.alias("its"))
-    return rows.select("*", minima(F.col("its")).alias("its_minima"), (2 * F.size("its")).alias("window"), F.ceil(F.size("its") / 2).cast("int").alias("step"))
+    return rows.select(
+        "*", minima(F.col("its")).alias("its_minima"), (2 * F.size("its")).alias("window"), F.ceil(F.size("its") / 2).cast("int").alias("step"),
+    )
 
 
 def scan_licenses(

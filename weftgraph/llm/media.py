@@ -114,7 +114,10 @@ def store_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                     rows.append((len(raw), digest, shard, *where[digest]))
                 cols = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                    names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"],
+                )
         finally:
             if out:
                 out.write(b"\0" * 1024)
@@ -138,10 +141,18 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             opened.seek(offset)
             image = opened.read(length)
             samples = from_png(image)
-            rows.append((digest, width, height, bits, width * height * bits // 8, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), length, hashlib.sha256(image).hexdigest(), feature(samples, height)))
+            rows.append(
+                (
+                    digest, width, height, bits, width * height * bits // 8, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), length,
+                    hashlib.sha256(image).hexdigest(), feature(samples, height),
+                ),
+            )
         cols = list(zip(*rows, strict=True)) or [()] * 10
         kinds = (pa.binary(), *[pa.int32()] * 3, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["digest", "width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+            names=["digest", "width", "height", "bits", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+        )
     if opened:
         opened.close()
 

@@ -156,7 +156,11 @@ def mix_sources(
         last = blocks <= 1
         order = ["source", "block", F.xxhash64("doc_id", "size"), "doc_id", "size", "p"]
         # a row is few bytes but much work: a task for some blocks, whatever their bytes
-        flown = rows.repartition(max(1, min(n_rows // BLOCK_DOCS, 64), n_rows // (64 * BLOCK_DOCS)), "source", "block").sortWithinPartitions(*order).mapInArrow(_fly(last), kind)
+        flown = (
+            rows.repartition(max(1, min(n_rows // BLOCK_DOCS, 64), n_rows // (64 * BLOCK_DOCS)), "source", "block")
+            .sortWithinPartitions(*order)
+            .mapInArrow(_fly(last), kind)
+        )
         if last:
             parts.append(flown)
             break

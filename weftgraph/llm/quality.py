@@ -125,11 +125,22 @@ def fit_quality(
     max_rows: int = 2500, epochs: int = 60, rate: float = 0.3, decay: float = 1e-7,
 ) -> dict | None:
     """Fit on ``max_rows`` labelled ids at most, one row each (those of the smallest hashes); None when none has a label and a text."""
-    marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
+    marked = (
+        labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.max(label_col).cast("int").alias("label"))
+    )
     chosen = bounded_sample(marked, "doc_id", max_rows).withColumnRenamed("doc_id", "labelled_id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("labelled_id"))
-    rows = one_of_each(rows.where(F.col("text").isNotNull()).select("id", "text", "label"), "id").select("text", "label", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("lot"))
-    found = rows.repartition(1).sortWithinPartitions("lot", "label", F.xxhash64("text")).mapInArrow(_fit(epochs, rate, decay), "weights binary, slope double, shift double").collect()
+    rows = one_of_each(rows.where(F.col("text").isNotNull()).select("id", "text", "label"), "id").select(
+        "text", "label", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int").alias("lot"),
+    )
+    found = (
+        rows.repartition(1)
+        .sortWithinPartitions("lot", "label", F.xxhash64("text"))
+        .mapInArrow(_fit(epochs, rate, decay), "weights binary, slope double, shift double")
+        .collect()
+    )
     if not found:
         return None
     return {"weights": np.frombuffer(found[0]["weights"], np.float32), "slope": found[0]["slope"], "shift": found[0]["shift"]}

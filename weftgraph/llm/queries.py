@@ -71,7 +71,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     scored = score_toxicity(docs, fit_toxicity(docs.where(fold("doc_id", 5) != 0), labels))
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+    return scored.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"),
+    )
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -318,14 +318,23 @@ def _marks(held: DataFrame, finer: tuple[int, ...], length: int) -> DataFrame:
     if finer:
         crowded = stage(held.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("anchor"), "crowded")
         calm = held.join(crowded, "anchor", "left_anti")
-    marks = calm.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(_indexed(length), "anchor long, context long, s long, e long")
+    marks = (
+        calm.repartition("anchor")
+        .sortWithinPartitions("anchor", "context")
+        .mapInArrow(_indexed(length), "anchor long, context long, s long, e long")
+    )
     if not finer or not crowded.take(1):
         return marks
     kind = "anchor long, context long, of long, key long, s long, e long, times long, bytes binary"
     parts = stage(held.join(crowded, "anchor").mapInArrow(_finer(finer[0], length), kind), "finer")
     twice = stage(parts.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "twice")
     places = parts.join(twice.hint("shuffle_hash"), "anchor")
-    each = stage(places.groupBy("anchor", "context").agg(F.sum("times").alias("times"), F.first("bytes").alias("bytes"), F.lit(None).cast("binary").alias("inner")), "contexts")
+    each = stage(
+        places.groupBy("anchor", "context").agg(
+            F.sum("times").alias("times"), F.first("bytes").alias("bytes"), F.lit(None).cast("binary").alias("inner"),
+        ),
+        "contexts",
+    )
     inner = _spread(places.select("anchor", "context", "of", "key", "s"), _marks(each, finer[1:], length), "of", "key")
     return marks.unionByName(inner.select(F.col("of").alias("anchor"), F.col("key").alias("context"), "s", "e"))
 
@@ -345,7 +354,14 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     twice = stage(twice.select("anchor", "several"), "twice")
     may = with_may(found, twice.select(F.col("anchor").alias("key")), "anchor").where("may").drop("may")
     places = stage(may.join(twice.hint("shuffle_hash"), "anchor"), "places")
-    each = stage(places.groupBy("anchor", "context").agg(F.sum("times").alias("times"), F.min(F.struct("key", "s", "e", "several")).alias("at")).select("anchor", "context", "times", "at.*"), "contexts")
+    each = stage(
+        (
+            places.groupBy("anchor", "context")
+            .agg(F.sum("times").alias("times"), F.min(F.struct("key", "s", "e", "several")).alias("at"))
+            .select("anchor", "context", "times", "at.*")
+        ),
+        "contexts",
+    )
     wanted = each.groupBy("key").agg(F.collect_list(F.struct("anchor", "context", "times", "s", "e", "several")).alias("spans"))
     one = with_may(long, each.select("key")).where("may").select("key", "text").dropDuplicates(["key"])
     held = stage(one.join(wanted, "key").mapInArrow(_cut_out, "anchor long, context long, times long, bytes binary, inner binary"), "held")
@@ -367,7 +383,9 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs.append(int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(gone) else 0)
             kept.append(raw[~gone].tobytes())
             said.append(kept[-1].decode(errors="ignore"))
-        columns = [b.column("row"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(said, pa.string())]
+        columns = [
+            b.column("row"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary()), pa.array(said, pa.string()),
+        ]
         yield pa.RecordBatch.from_arrays(columns, names=["row", "n_removed", "n_spans", "kept", "kept_text"])
 
 
@@ -386,9 +404,20 @@ def cut_repeats(docs: DataFrame, length: int = 200, text_col: str = "text") -> D
     spans = stage(repeated_spans(texts, length), "spans")
     flagged = with_may(docs.select(row, key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), spans.select("key"))
     none = F.lit(0).cast("long")
-    clean = flagged.where("not may").select("row", none.alias("n_removed"), none.alias("n_spans"), F.encode("text", "UTF-8").alias("kept"), F.col("text").alias("kept_text"))
+    clean = flagged.where("not may").select(
+        "row", none.alias("n_removed"), none.alias("n_spans"), F.encode("text", "UTF-8").alias("kept"), F.col("text").alias("kept_text"),
+    )
     by_text = spans.groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     struck = flagged.where("may").join(by_text, "key", "left").select("row", "text", "spans")
-    kind = StructType([struck.schema["row"], *(StructField(k, t) for k, t in (("n_removed", LongType()), ("n_spans", LongType()), ("kept", BinaryType()), ("kept_text", StringType())))])
+    kind = StructType(
+        [
+            struck.schema["row"],
+            *(
+                StructField(k, t) for k, t in (("n_removed", LongType()), ("n_spans", LongType()), ("kept", BinaryType()), ("kept_text", StringType()))
+            ),
+        ],
+    )
     done = clean.unionByName(struck.mapInArrow(_apply, kind))
-    return done.select("row.*", (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept", "kept_text")
+    return done.select(
+        "row.*", (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "kept", "kept_text",
+    )

@@ -207,7 +207,11 @@ def fit_toxicity(
     ``least_docs`` and ``least_share`` say which words of toxic documents count as toxic tokens: in how many of them
     at least, and what part of the word's (class-balanced) documents must be toxic.
     """
-    marked = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
+    marked = (
+        labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.max(label_col).cast("int").alias("label"))
+    )
     chosen = bounded_sample(marked, "doc_id", max_rows).withColumnRenamed("doc_id", "labelled_id")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("labelled_id"))
     rows = one_of_each(rows.where(F.col("text").isNotNull()).select("id", "text", "label"), "id").select("text", "label")
@@ -218,7 +222,9 @@ def fit_toxicity(
     if not found:
         return None
     r = found[0]
-    return {"weights": np.frombuffer(r["weights"], np.float32), "move": np.array(r["move"]).reshape(2, 2), "bias": r["bias"], "top": np.array(r["top"])}
+    return {
+        "weights": np.frombuffer(r["weights"], np.float32), "move": np.array(r["move"]).reshape(2, 2), "bias": r["bias"], "top": np.array(r["top"]),
+    }
 
 
 def score_toxicity(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
