@@ -74,7 +74,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     key = F.xxhash64(*COLUMNS)
-    mixed = mix_sources(docs.withColumn("row_key", key), id_col="row_key").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("copies").cast("int").alias("copies"))
+    mixed = (
+        mix_sources(docs.withColumn("row_key", key), id_col="row_key")
+        .groupBy("doc_id")
+        .agg(F.count("*").alias("n"), F.sum("copies").cast("int").alias("copies"))
+    )
     taken = stage(mixed.where("copies > 0").withColumnRenamed("doc_id", "row_key"), "taken")
     return by_row(docs, taken, key).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
