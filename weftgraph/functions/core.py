@@ -124,7 +124,11 @@ def snippet(s: Column, most: int = 220) -> Column:
     """Trimmed text, cut at the last space when longer than ``most``; null for null or empty."""
     t = F.trim(s)
     head = F.substring(t, 1, most - 1)
-    return F.when(s.isNull() | (s == ""), None).when(F.length(t) <= most, t).otherwise(F.concat(F.regexp_replace(head, r"(?s)^(.*) [^ ]*$", "$1"), F.lit("…")))
+    return (
+        F.when(s.isNull() | (s == ""), None)
+        .when(F.length(t) <= most, t)
+        .otherwise(F.concat(F.regexp_replace(head, r"(?s)^(.*) [^ ]*$", "$1"), F.lit("…")))
+    )
 
 
 def entity_text(name: Column, description: Column) -> Column:

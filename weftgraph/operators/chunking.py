@@ -28,9 +28,14 @@ def _starts(length: Column, size: int, overlap: int) -> Column:
 
 def chunk_window(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame:
     """Fixed character windows, untrimmed: document_id, chunk_index, content, start_position, end_position."""
-    text = docs.where(F.length("content") > 0).select("document_id", "content", F.posexplode(_starts(F.length("content"), size, overlap)).alias("chunk_index", "start"))
+    text = docs.where(F.length("content") > 0).select(
+        "document_id", "content", F.posexplode(_starts(F.length("content"), size, overlap)).alias("chunk_index", "start"),
+    )
     piece = F.substring("content", F.col("start") + 1, F.lit(size))
-    return text.select("document_id", "chunk_index", piece.alias("content"), F.col("start").alias("start_position"), (F.col("start") + F.length(piece)).alias("end_position"))
+    return text.select(
+        "document_id", "chunk_index", piece.alias("content"), F.col("start").alias("start_position"),
+        (F.col("start") + F.length(piece)).alias("end_position"),
+    )
 
 
 def chunk_fixed(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
@@ -57,7 +62,12 @@ def chunk_with(docs: DataFrame, split: Callable[[Column], Column], keep_blank: b
 
     The function may be made of built-in functions or be a UDF; null results and null or (unless kept) blank pieces give no chunk.
     """
-    rows = docs.select("document_id", F.posexplode(F.filter(split(F.col("content")), lambda x: x.isNotNull() & (F.lit(keep_blank) | (F.trim(x) != "")))).alias("chunk_index", "content"))
+    rows = docs.select(
+        "document_id",
+        F.posexplode(F.filter(split(F.col("content")), lambda x: x.isNotNull() & (F.lit(keep_blank) | (F.trim(x) != "")))).alias(
+            "chunk_index", "content",
+        ),
+    )
     return rows
 
 
@@ -110,7 +120,9 @@ def chunk_semantic(sentences: DataFrame, most: int = 512, least: int = 30, thres
             yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "content", "token_count"])
 
     kind = sentences.schema["document_id"].dataType.simpleString()
-    return sentences.select("document_id", "sentences", "vectors").mapInPandas(run, f"document_id {kind}, chunk_index int, content string, token_count int")
+    return sentences.select("document_id", "sentences", "vectors").mapInPandas(
+        run, f"document_id {kind}, chunk_index int, content string, token_count int",
+    )
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:
@@ -140,7 +152,11 @@ def chunk_links(chunks: DataFrame) -> DataFrame:
     doc = F.col("document_id").cast("string")
     ranked = chunks.select(doc.alias("doc"), "chunk_id", F.row_number().over(by).alias("n"), F.lead("chunk_id").over(by).alias("next"))
     first = ranked.where("n = 1").select(F.col("doc").alias("src_id"), F.col("chunk_id").alias("dst_id"), F.lit("FIRST_CHUNK").alias("edge_type"))
-    return first.unionByName(ranked.where("next is not null").select(F.col("chunk_id").alias("src_id"), F.col("next").alias("dst_id"), F.lit("NEXT_CHUNK").alias("edge_type")))
+    return first.unionByName(
+        ranked.where("next is not null").select(
+            F.col("chunk_id").alias("src_id"), F.col("next").alias("dst_id"), F.lit("NEXT_CHUNK").alias("edge_type"),
+        ),
+    )
 
 
 def chunk_membership(chunks: DataFrame) -> DataFrame:
@@ -169,5 +185,10 @@ def has_entity_edges(mentions: DataFrame) -> DataFrame:
 
 def provenance_edges(rows: DataFrame, id_col: str, edge_type: str, chunks: DataFrame) -> DataFrame:
     """Edges to source chunks that are new (not in old_chunk_ids) and exist."""
-    new = rows.select(F.col(id_col).alias("src_id"), F.explode(F.array_except("source_chunk_ids", F.coalesce("old_chunk_ids", F.array().cast("array<string>")))).alias("chunk_id"))
-    return new.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").select("src_id", F.col("chunk_id").alias("dst_id"), F.lit(edge_type).alias("edge_type"))
+    new = rows.select(
+        F.col(id_col).alias("src_id"),
+        F.explode(F.array_except("source_chunk_ids", F.coalesce("old_chunk_ids", F.array().cast("array<string>")))).alias("chunk_id"),
+    )
+    return new.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").select(
+        "src_id", F.col("chunk_id").alias("dst_id"), F.lit(edge_type).alias("edge_type"),
+    )

@@ -15,7 +15,11 @@ def claim_entities(claims: DataFrame, entities: DataFrame, most: int | None = 50
 
     Terms are a stated query set held against all entities in blocks.
     """
-    terms = claims.select("claim_id", F.explode(search_terms(F.col("text"))).alias("term")).select("claim_id", F.lower("term").alias("term")).distinct()
+    terms = (
+        claims.select("claim_id", F.explode(search_terms(F.col("text"))).alias("term"))
+        .select("claim_id", F.lower("term").alias("term"))
+        .distinct()
+    )
     names = entities.select("entity_id", F.lower("name").alias("n"))
     found = in_blocks(terms, ["claim_id", "term"], lambda some: names.join(some, F.col("n").contains(F.col("term"))).select("claim_id", "entity_id"))
     found = found.distinct()
@@ -30,7 +34,9 @@ def claim_candidates(claims: DataFrame, entities: DataFrame, edges: DataFrame, m
     named = claim_entities(claims, entities, most)
     by_end = [edges.join(named.select("claim_id", F.col("entity_id").alias(c)), c) for c in ("source_entity_id", "target_entity_id")]
     touched = by_end[0].unionByName(by_end[1]).dropDuplicates(["claim_id", "relationship_id"])
-    ends = touched.select("claim_id", F.col("source_entity_id").alias("entity_id")).unionByName(touched.select("claim_id", F.col("target_entity_id").alias("entity_id")))
+    ends = touched.select("claim_id", F.col("source_entity_id").alias("entity_id")).unionByName(
+        touched.select("claim_id", F.col("target_entity_id").alias("entity_id")),
+    )
     return touched, named.unionByName(ends).distinct()
 
 
@@ -57,10 +63,20 @@ def claim_conflicts(claims: DataFrame, entities: DataFrame, edges: DataFrame, mo
     """Conflicts of what claims say of their pairs (as RELATED_TO, with the claim as description) with stored edges."""
     n = claim_entities(claims, entities, most)
     # only pairs that a stored edge joins can conflict, either way round
-    ends = edges.select(F.least("source_entity_id", "target_entity_id").alias("a"), F.greatest("source_entity_id", "target_entity_id").alias("b")).where("a < b").distinct()
-    named = ends.join(n.select("claim_id", F.col("entity_id").alias("a")), "a").join(n.select("claim_id", F.col("entity_id").alias("b")), ["claim_id", "b"])
+    ends = (
+        edges.select(F.least("source_entity_id", "target_entity_id").alias("a"), F.greatest("source_entity_id", "target_entity_id").alias("b"))
+        .where("a < b")
+        .distinct()
+    )
+    named = ends.join(n.select("claim_id", F.col("entity_id").alias("a")), "a").join(
+        n.select("claim_id", F.col("entity_id").alias("b")), ["claim_id", "b"],
+    )
     pairs = named.join(claims, "claim_id")
-    new = pairs.select(F.concat_ws("|", F.lit("claim"), "claim_id", "a", "b").alias("relationship_id"), F.col("a").alias("source_entity_id"), F.col("b").alias("target_entity_id"), F.lit("RELATED_TO").alias("relationship_type"), F.col("text").alias("description"), F.lit("user").alias("trust"))
+    new = pairs.select(
+        F.concat_ws("|", F.lit("claim"), "claim_id", "a", "b").alias("relationship_id"), F.col("a").alias("source_entity_id"),
+        F.col("b").alias("target_entity_id"), F.lit("RELATED_TO").alias("relationship_type"), F.col("text").alias("description"),
+        F.lit("user").alias("trust"),
+    )
     return detect_conflicts(new, edges)
 
 
@@ -71,7 +87,10 @@ def verify_relationships(edges: DataFrame, entities: DataFrame, contexts: DataFr
     rows = verify_text(rows)
     for p in ("embedding", "llm"):
         rows = rows.withColumn(f"{p}_status", F.lit(None).cast("string")).withColumn(f"{p}_confidence", F.lit(None).cast("double"))
-    return verify_cascade(rows.drop("status")).select("relationship_id", "confidence", "status", F.when(F.col("status") == "passed", "verification_passed").otherwise("verification_failed").alias("flag"))
+    return verify_cascade(rows.drop("status")).select(
+        "relationship_id", "confidence", "status",
+        F.when(F.col("status") == "passed", "verification_passed").otherwise("verification_failed").alias("flag"),
+    )
 
 
 def verify_embedding(rows: DataFrame, similarity: Column, hits: DataFrame, edges: DataFrame, least: float = 0.5) -> DataFrame:
@@ -85,12 +104,20 @@ def verify_embedding(rows: DataFrame, similarity: Column, hits: DataFrame, edges
     t = hits.where("role = 'target'").select("relationship_id", F.col("entity_id").alias("target_entity_id"))
     like = F.col("text_similarity") if "text_similarity" in edges.columns else F.lit(None).cast("double")
     stored = edges.select("source_entity_id", "target_entity_id", F.col("relationship_type").alias("old_type"), like.alias("like"))
-    met = s.join(stored, "source_entity_id").join(t, ["relationship_id", "target_entity_id"]).join(rows.select("relationship_id", "relationship_type"), "relationship_id")
-    credit = met.groupBy("relationship_id").agg(F.max(F.round(rel_credit(F.col("like"), F.col("old_type") == F.col("relationship_type")), 4)).alias("edge_credit"))
+    met = (
+        s.join(stored, "source_entity_id")
+        .join(t, ["relationship_id", "target_entity_id"])
+        .join(rows.select("relationship_id", "relationship_type"), "relationship_id")
+    )
+    credit = met.groupBy("relationship_id").agg(
+        F.max(F.round(rel_credit(F.col("like"), F.col("old_type") == F.col("relationship_type")), 4)).alias("edge_credit"),
+    )
     near = hits.groupBy("relationship_id").agg(F.max("score").alias("hit_score"))
     rows = rows.withColumn("similarity", similarity).join(near, "relationship_id", "left").join(credit, "relationship_id", "left")
     best = F.greatest(F.col("similarity"), F.col("hit_score"), F.col("edge_credit"))  # nulls are skipped
-    return rows.withColumn("embedding_confidence", F.round(F.coalesce(best, F.lit(0.0)), 4)).withColumn("embedding_status", F.when(F.col("embedding_confidence") >= least, "passed").otherwise("failed"))
+    return rows.withColumn("embedding_confidence", F.round(F.coalesce(best, F.lit(0.0)), 4)).withColumn(
+        "embedding_status", F.when(F.col("embedding_confidence") >= least, "passed").otherwise("failed"),
+    )
 
 
 def verification_targets(df: DataFrame, document_id: Column) -> DataFrame:
@@ -101,7 +128,9 @@ def verification_targets(df: DataFrame, document_id: Column) -> DataFrame:
 
 def verify_stage(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Statuses of judged entities and edges (confidence, source_trust; edges also conflict), confidences to 3 places."""
-    return tuple(f(df).withColumn("verification_confidence", F.round("confidence", 3)) for f, df in ((classify_entities, entities), (classify_relationships, edges)))
+    return tuple(
+        f(df).withColumn("verification_confidence", F.round("confidence", 3)) for f, df in ((classify_entities, entities), (classify_relationships, edges))
+    )
 
 
 def subset_graph(entities: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +168,10 @@ def parse_wiki_url(url: Column) -> tuple[Column, Column]:
 
 def crawl_summary(pages: DataFrame) -> DataFrame:
     """Of each job (job_id, status, length): pages, those fetched and failed, characters."""
-    return pages.groupBy("job_id").agg(F.count("*").alias("n_pages"), F.count_if(F.col("status") == "completed").alias("fetched"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("length").alias("characters"))
+    return pages.groupBy("job_id").agg(
+        F.count("*").alias("n_pages"), F.count_if(F.col("status") == "completed").alias("fetched"),
+        F.count_if(F.col("status") == "failed").alias("failed"), F.sum("length").alias("characters"),
+    )
 
 
 def entity_embedding_text(entities: DataFrame) -> DataFrame:

@@ -46,11 +46,17 @@ def apply_curation(targets: DataFrame, events: DataFrame, id_col: str, kind: str
     for f in fields:
         rows = rows.withColumn(f, F.coalesce(F.col(f"new_{f}").cast(targets.schema[f].dataType), f))
     rows = rows.withColumn("curated", F.when(touched, (F.coalesce("decision", F.lit("approve")) == "approve")).otherwise(F.lit(False)))
-    rows = rows.withColumn("rejected", F.when(F.col("decision").isNotNull(), F.col("decision") == "reject").otherwise(F.coalesce("rejected", F.lit(False))))
+    rows = rows.withColumn(
+        "rejected", F.when(F.col("decision").isNotNull(), F.col("decision") == "reject").otherwise(F.coalesce("rejected", F.lit(False))),
+    )
     rows = rows.withColumn("version", F.coalesce("version", F.lit(1)) + F.coalesce("n_events", F.lit(0)).cast("int"))
     if close_on_decision:
-        rows = rows.withColumn("status", F.when(F.col("decision") == "approve", "verified").when(F.col("decision") == "reject", "rejected").otherwise(F.col("status")))
-    missing = mine.join(targets.select(F.col(id_col).alias("target_id")), "target_id", "left_anti").select("seq", F.concat(F.lit(f"{kind} not found: "), F.coalesce("target_id", F.lit(""))).alias("message"))
+        rows = rows.withColumn(
+            "status", F.when(F.col("decision") == "approve", "verified").when(F.col("decision") == "reject", "rejected").otherwise(F.col("status")),
+        )
+    missing = mine.join(targets.select(F.col(id_col).alias("target_id")), "target_id", "left_anti").select(
+        "seq", F.concat(F.lit(f"{kind} not found: "), F.coalesce("target_id", F.lit(""))).alias("message"),
+    )
     return rows.drop("decision", "n_events", *(f"new_{f}" for f in fields)), missing
 
 
@@ -61,7 +67,10 @@ def audit_records(events: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def curation_summary(audit: DataFrame) -> DataFrame:
-    return audit.agg(F.count("*").alias("total"), *(F.count_if((F.col("action") == a) & F.col("success")).alias(a) for a in ACTIONS), F.count_if(~F.col("success")).alias("errors"))
+    return audit.agg(
+        F.count("*").alias("total"), *(F.count_if((F.col("action") == a) & F.col("success")).alias(a) for a in ACTIONS),
+        F.count_if(~F.col("success")).alias("errors"),
+    )
 
 
 def curation_queue(entities: DataFrame, edges: DataFrame, status: str | None = None, kind: str | None = None) -> DataFrame:
@@ -70,8 +79,12 @@ def curation_queue(entities: DataFrame, edges: DataFrame, status: str | None = N
     ``n_chunks`` and ``n_documents`` count an item's provenance, ``tags`` are its own, and relationships have their ends' names and types.
     """
     def extras(df: DataFrame) -> list[Column]:
-        sizes = [(F.coalesce(F.size(c), F.lit(0)) if c in df.columns else F.lit(0)).alias(n) for c, n in (("source_chunk_ids", "n_chunks"), ("source_document_ids", "n_documents"))]
-        return [*sizes, (F.coalesce("tags", F.array().cast("array<string>")) if "tags" in df.columns else F.array().cast("array<string>")).alias("tags")]
+        sizes = [
+            (F.coalesce(F.size(c), F.lit(0)) if c in df.columns else F.lit(0)).alias(n) for c, n in (("source_chunk_ids", "n_chunks"), ("source_document_ids", "n_documents"))
+        ]
+        return [
+            *sizes, (F.coalesce("tags", F.array().cast("array<string>")) if "tags" in df.columns else F.array().cast("array<string>")).alias("tags"),
+        ]
 
     none = F.lit(None).cast("string")
     ends = ("source_name", "source_type", "target_name", "target_type")

@@ -13,25 +13,43 @@ from .stars import star_components
 
 def entity_faults(df: DataFrame) -> DataFrame:
     """Rows with a column ``fault``: why the entity is invalid, or null."""
-    return df.withColumn("fault", F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "blank name").when(~valid_types("entity_type", ENTITY_TYPES), "unknown type"))
+    return df.withColumn(
+        "fault", F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "blank name").when(~valid_types("entity_type", ENTITY_TYPES), "unknown type"),
+    )
 
 
 def relationship_faults(df: DataFrame) -> DataFrame:
     """Rows with a column ``fault``: why the relationship is invalid, or null."""
     s, t = (F.coalesce(c, F.lit("")) for c in ("source_entity_id", "target_entity_id"))
-    fault = F.when((s == "") | (t == ""), "missing endpoint").when(s == t, "self edge").when(~valid_types("relationship_type", RELATIONSHIP_TYPES), "unknown type")
+    fault = (
+        F.when((s == "") | (t == ""), "missing endpoint")
+        .when(s == t, "self edge")
+        .when(~valid_types("relationship_type", RELATIONSHIP_TYPES), "unknown type")
+    )
     return df.withColumn("fault", fault.when(F.col("strength").isNull() | (F.col("strength") < 0) | (F.col("strength") > 1), "strength out of range"))
 
 
 def chunk_faults(df: DataFrame) -> DataFrame:
     """Chunks with counts filled in and a column ``fault``."""
     filled = df.withColumn("character_count", F.coalesce(F.when(F.col("character_count") > 0, F.col("character_count")), F.length("content"))).withColumn("end_position", F.coalesce(F.when(F.col("end_position") > 0, F.col("end_position")), F.col("start_position") + F.length("content")))
-    return filled.withColumn("fault", F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty content").when(F.col("document_id").isNull(), "missing document").when(F.col("chunk_index") < 0, "negative index"))
+    return filled.withColumn(
+        "fault",
+        (
+            F.when(F.trim(F.coalesce("content", F.lit(""))) == "", "empty content")
+            .when(F.col("document_id").isNull(), "missing document")
+            .when(F.col("chunk_index") < 0, "negative index")
+        ),
+    )
 
 
 def document_faults(df: DataFrame) -> DataFrame:
     fault = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", "blank title").when(F.coalesce("source_url", "file_path").isNull(), "no url or path")
-    return df.withColumn("fault", fault.when(F.col("content_length") < 0, "negative length").when(F.col("processed_chunks") > F.col("total_chunks"), "more processed than total"))
+    return df.withColumn(
+        "fault",
+        fault.when(F.col("content_length") < 0, "negative length").when(
+            F.col("processed_chunks") > F.col("total_chunks"), "more processed than total",
+        ),
+    )
 
 
 def coerce_entities(df: DataFrame) -> DataFrame:
@@ -110,7 +128,10 @@ def valid_at(edges: DataFrame, moment: Column) -> DataFrame:
 
 def match_rules(chunks: DataFrame, rules: DataFrame) -> DataFrame:
     """(chunk_id, rule_id) where a pattern or keyword of a rule is a substring; rules meet the chunks in blocks."""
-    terms = rules.select("rule_id", "case_sensitive", F.explode(F.array_union(F.coalesce("patterns", F.array().cast("array<string>")), F.coalesce("keywords", F.array().cast("array<string>")))).alias("term"))
+    terms = rules.select(
+        "rule_id", "case_sensitive",
+        F.explode(F.array_union(F.coalesce("patterns", F.array().cast("array<string>")), F.coalesce("keywords", F.array().cast("array<string>")))).alias("term"),
+    )
     hit = F.when(F.col("case_sensitive"), F.col("content").contains(F.col("term"))).otherwise(F.lower("content").contains(F.lower("term")))
     return in_blocks(terms, ["rule_id", "term"], lambda some: chunks.join(some, hit).select("chunk_id", "rule_id")).distinct()
 
@@ -131,7 +152,10 @@ def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 def neighbours(entities: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Entities joined to any of the ids by an edge of either direction."""
-    ways = F.array(F.struct(F.col("source_entity_id").alias("a"), F.col("target_entity_id").alias("b")), F.struct(F.col("target_entity_id").alias("a"), F.col("source_entity_id").alias("b")))
+    ways = F.array(
+        F.struct(F.col("source_entity_id").alias("a"), F.col("target_entity_id").alias("b")),
+        F.struct(F.col("target_entity_id").alias("a"), F.col("source_entity_id").alias("b")),
+    )
     both = edges.select(F.explode(ways).alias("way")).select("way.*")
     near = both.join(ids.select(F.col("entity_id").alias("a")), "a", "left_semi").select(F.col("b").alias("entity_id")).distinct()
     return entities.join(near, "entity_id", "left_semi")
@@ -160,7 +184,9 @@ def delete_entities(entities: DataFrame, edges: DataFrame, ids: DataFrame) -> tu
 def enrich_endpoints(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges with the names and types of their ends; null where an end is missing."""
     for end in ("source", "target"):
-        side = entities.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("name").alias(f"{end}_name"), F.col("entity_type").alias(f"{end}_type"))
+        side = entities.select(
+            F.col("entity_id").alias(f"{end}_entity_id"), F.col("name").alias(f"{end}_name"), F.col("entity_type").alias(f"{end}_type"),
+        )
         edges = edges.join(side, f"{end}_entity_id", "left")
     return edges
 
@@ -173,7 +199,10 @@ def similar_by_chars(queries: DataFrame, entities: DataFrame, threshold: float =
     a = queries.select(F.col("entity_id").alias("a_id"), F.col("name").alias("a_name"), "entity_type")
     b = entities.select(F.col("entity_id").alias("b_id"), F.col("name").alias("b_name"), "entity_type")
     score = F.round(name_similarity(F.col("a_name"), F.col("b_name")), 6)
-    return in_blocks(a, "a_id", lambda some: b.join(some, "entity_type").where("a_id <> b_id").select("a_id", "b_id", score.alias("score")).where(F.col("score") >= threshold))
+    return in_blocks(
+        a, "a_id",
+        lambda some: b.join(some, "entity_type").where("a_id <> b_id").select("a_id", "b_id", score.alias("score")).where(F.col("score") >= threshold),
+    )
 
 
 def similar_by_prefix(queries: DataFrame, entities: DataFrame, threshold: float = 0.8, k: int = 10) -> DataFrame:
@@ -186,7 +215,10 @@ def similar_by_prefix(queries: DataFrame, entities: DataFrame, threshold: float
     x, y = F.col("x"), F.col("y")
     half = F.substring(x, 1, F.floor(F.length(x) / 2).cast("int"))
     score = F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.8).when(y.contains(half), 0.6).otherwise(0.0)
-    pairs = in_blocks(a, "a_id", lambda some: b.join(some, "entity_type").where("a_id <> b_id").select("a_id", "b_id", score.alias("score")).where(F.col("score") >= threshold))
+    pairs = in_blocks(
+        a, "a_id",
+        lambda some: b.join(some, "entity_type").where("a_id <> b_id").select("a_id", "b_id", score.alias("score")).where(F.col("score") >= threshold),
+    )
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))).where(F.col("rank") <= k)
 
 

@@ -45,7 +45,17 @@ def crawl_order(links: DataFrame, seeds: DataFrame, allow: list[str], block: lis
     Each level joins the frontier to the links and leaves out what has been seen; a level's order is (parent's rank,
     place of the link). Levels are written tables; they go on until no new page is found or ``most`` are.
     """
-    seen = stage(seeds.where(domain_allowed(F.col("url"), allow, block)).groupBy("url").agg(F.min("rank").cast("long").alias("rank")).orderBy("rank").limit(most).withColumn("level", F.lit(0)), "seen")
+    seen = stage(
+        (
+            seeds.where(domain_allowed(F.col("url"), allow, block))
+            .groupBy("url")
+            .agg(F.min("rank").cast("long").alias("rank"))
+            .orderBy("rank")
+            .limit(most)
+            .withColumn("level", F.lit(0))
+        ),
+        "seen",
+    )
     frontier, count = seen, seen.count()
     edges = links.where(domain_allowed(F.col("link"), allow, block)).select("url", "pos", "link")
     level = 0
@@ -53,7 +63,9 @@ def crawl_order(links: DataFrame, seeds: DataFrame, allow: list[str], block: lis
         level += 1
         found = frontier.select("url", "rank").join(edges, "url").groupBy(F.col("link").alias("url")).agg(F.min(F.struct("rank", "pos")).alias("via"))
         new = found.join(seen.select("url"), "url", "left_anti").orderBy("via", "url").limit(most - count)
-        ranked = new.select("url", (F.row_number().over(Window.orderBy("via", "url")) + count).cast("long").alias("rank"), F.lit(level).alias("level"))
+        ranked = new.select(
+            "url", (F.row_number().over(Window.orderBy("via", "url")) + count).cast("long").alias("rank"), F.lit(level).alias("level"),
+        )
         frontier = stage(ranked, "frontier")
         fresh = frontier.count()
         if not fresh:

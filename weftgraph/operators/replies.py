@@ -39,7 +39,9 @@ def parse_relationship_replies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_classifications(rows: DataFrame) -> DataFrame:
     r = parse_reply(F.col("reply"), "classifications array<struct<category:string,confidence:double,reasoning:string>>, primary_category string")
-    return rows.select("request_id", r["primary_category"].alias("primary_category"), F.explode_outer(r["classifications"]).alias("c")).select("request_id", "primary_category", "c.category", "c.confidence")
+    return rows.select("request_id", r["primary_category"].alias("primary_category"), F.explode_outer(r["classifications"]).alias("c")).select(
+        "request_id", "primary_category", "c.category", "c.confidence",
+    )
 
 
 def parse_summaries(rows: DataFrame) -> DataFrame:
@@ -67,12 +69,26 @@ def parse_graph_replies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     node, edge = "array<struct<id:string,type:string>>", "array<struct<source_node_id:string,source_node_type:string,target_node_id:string,target_node_type:string,type:string>>"
     flat = parse_reply(F.col("reply"), f"nodes {node}, relationships {edge}")
     boxed = parse_reply(F.col("reply"), f"nodes struct<Items:{node}>, relationships struct<Items:{edge}>")
-    nodes = rows.select("request_id", F.posexplode(F.coalesce(flat["nodes"], boxed["nodes"]["Items"])).alias("pos", "n")).where("n.id is not null").select("request_id", "pos", title_case(F.col("n.id")).alias("id"), capitalised(F.coalesce("n.type", F.lit("node"))).alias("type"))
-    edges = rows.select("request_id", F.posexplode(F.coalesce(flat["relationships"], boxed["relationships"]["Items"])).alias("pos", "r")).where("r.source_node_id is not null and r.target_node_id is not null and r.type is not null")
+    nodes = (
+        rows.select("request_id", F.posexplode(F.coalesce(flat["nodes"], boxed["nodes"]["Items"])).alias("pos", "n"))
+        .where("n.id is not null")
+        .select("request_id", "pos", title_case(F.col("n.id")).alias("id"), capitalised(F.coalesce("n.type", F.lit("node"))).alias("type"))
+    )
+    edges = rows.select("request_id", F.posexplode(F.coalesce(flat["relationships"], boxed["relationships"]["Items"])).alias("pos", "r")).where(
+        "r.source_node_id is not null and r.target_node_id is not null and r.type is not null",
+    )
     first = nodes.groupBy("request_id", "id").agg(F.min_by("type", "pos").alias("first_type"))
-    edges = edges.select("request_id", "pos", title_case(F.col("r.source_node_id")).alias("source"), F.col("r.source_node_type").alias("source_type"), title_case(F.col("r.target_node_id")).alias("target"), F.col("r.target_node_type").alias("target_type"), relation_name(F.col("r.type")).alias("type"))
+    edges = edges.select(
+        "request_id", "pos", title_case(F.col("r.source_node_id")).alias("source"), F.col("r.source_node_type").alias("source_type"),
+        title_case(F.col("r.target_node_id")).alias("target"), F.col("r.target_node_type").alias("target_type"),
+        relation_name(F.col("r.type")).alias("type"),
+    )
     for end in ("source", "target"):
-        edges = edges.join(first.withColumnsRenamed({"id": end, "first_type": f"{end}_first"}), ["request_id", end], "left").withColumn(f"{end}_type", capitalised(F.coalesce(f"{end}_type", f"{end}_first"))).drop(f"{end}_first")
+        edges = (
+            edges.join(first.withColumnsRenamed({"id": end, "first_type": f"{end}_first"}), ["request_id", end], "left")
+            .withColumn(f"{end}_type", capitalised(F.coalesce(f"{end}_type", f"{end}_first")))
+            .drop(f"{end}_first")
+        )
     return nodes, edges
 
 
@@ -80,7 +96,11 @@ def parse_triples(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct nodes and edges of triple replies (head, head_type, relation, tail, tail_type)."""
     r = F.from_json("reply", "array<struct<head:string,head_type:string,relation:string,tail:string,tail_type:string>>")
     t = rows.select("request_id", F.inline(r))
-    nodes = t.select("request_id", F.col("head").alias("id"), F.col("head_type").alias("type")).unionByName(t.select("request_id", F.col("tail").alias("id"), F.col("tail_type").alias("type"))).distinct()
+    nodes = (
+        t.select("request_id", F.col("head").alias("id"), F.col("head_type").alias("type"))
+        .unionByName(t.select("request_id", F.col("tail").alias("id"), F.col("tail_type").alias("type")))
+        .distinct()
+    )
     return nodes, t.select("request_id", F.col("head").alias("source"), F.col("tail").alias("target"), relation_name(F.col("relation")).alias("type"))
 
 
@@ -92,9 +112,16 @@ def parse_schema_replies(rows: DataFrame) -> DataFrame:
 
 def build_requests(chunks: DataFrame, entities: DataFrame, most: int = 3000) -> DataFrame:
     """Request rows: the chunk's text, cut, and a line ``- name (type): description`` for each of its entities, in order."""
-    line = F.concat(F.lit("- "), F.col("name"), F.lit(" ("), F.col("entity_type"), F.lit(")"), F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), F.col("description"))).otherwise(""))
-    lists = entities.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("name").alias("n"), line.alias("line")))), lambda x: x["line"]), "\n").alias("entity_lines"))
-    return chunks.join(lists, "chunk_id", "left").select("chunk_id", F.substring("content", 1, most).alias("text"), F.coalesce("entity_lines", F.lit("")).alias("entity_lines"))
+    line = F.concat(
+        F.lit("- "), F.col("name"), F.lit(" ("), F.col("entity_type"), F.lit(")"),
+        F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(": "), F.col("description"))).otherwise(""),
+    )
+    lists = entities.groupBy("chunk_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("name").alias("n"), line.alias("line")))), lambda x: x["line"]), "\n").alias("entity_lines"),
+    )
+    return chunks.join(lists, "chunk_id", "left").select(
+        "chunk_id", F.substring("content", 1, most).alias("text"), F.coalesce("entity_lines", F.lit("")).alias("entity_lines"),
+    )
 
 
 def to_graph_rows(edges: DataFrame, properties: str) -> DataFrame:

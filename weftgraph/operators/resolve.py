@@ -22,7 +22,11 @@ def ordered_union(a: Column, b: Column) -> Column:
 
 def _united(rows: DataFrame, keys: list[str], column: str, order: str) -> DataFrame:
     """(keys, column): an array column's values over a group, once each, in order; a value is reduced to its first place before values meet."""
-    places = rows.select(*keys, F.col(order).alias("o"), F.posexplode(column).alias("p", "v")).groupBy(*keys, "v").agg(F.min(F.struct("o", "p")).alias("at"))
+    places = (
+        rows.select(*keys, F.col(order).alias("o"), F.posexplode(column).alias("p", "v"))
+        .groupBy(*keys, "v")
+        .agg(F.min(F.struct("o", "p")).alias("at"))
+    )
     return places.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(column))
 
 
@@ -39,7 +43,9 @@ def _upsert(rows: DataFrame, keys: list[str], id_col: str, order: str) -> DataFr
     maps = [c for c in others if kinds[c].startswith("map<")]
     rows = rows.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in maps}) if maps else rows
     held = F.coalesce(F.max(F.when(F.col("fresh") == 0, F.col("version"))), F.lit(0)) if "version" in rows.columns else F.lit(0)
-    out = rows.groupBy(*keys).agg(F.min_by(id_col, order).alias(id_col), *(_last(c, order).alias(c) for c in others), (held + F.sum("fresh")).cast("int").alias("version"))
+    out = rows.groupBy(*keys).agg(
+        F.min_by(id_col, order).alias(id_col), *(_last(c, order).alias(c) for c in others), (held + F.sum("fresh")).cast("int").alias("version"),
+    )
     for c in arrays:
         its = _united(rows, keys, c, order)
         same = [out[k].eqNullSafe(its[k]) for k in keys]
@@ -95,18 +101,32 @@ def merge_entities(entities: DataFrame, edges: DataFrame, mapping: DataFrame) ->
     Edges move to the primaries and edges within a merge go; equal edges become one, with the smallest id and the strongest
     one's other fields, and ``merged`` counts them. The duplicates' names become aliases. Gives entities (with ``aliases``) and edges.
     """
-    named = mapping.join(entities.select("entity_id", "name"), "entity_id").groupBy("primary_id").agg(F.array_sort(F.collect_set("name")).alias("merged_names"))
-    kept = entities.join(mapping.select("entity_id"), "entity_id", "left_anti").join(named.withColumnRenamed("primary_id", "entity_id"), "entity_id", "left")
+    named = (
+        mapping.join(entities.select("entity_id", "name"), "entity_id")
+        .groupBy("primary_id")
+        .agg(F.array_sort(F.collect_set("name")).alias("merged_names"))
+    )
+    kept = entities.join(mapping.select("entity_id"), "entity_id", "left_anti").join(
+        named.withColumnRenamed("primary_id", "entity_id"), "entity_id", "left",
+    )
     own = F.coalesce("aliases", F.array().cast("array<string>")) if "aliases" in entities.columns else F.array().cast("array<string>")
     kept = kept.withColumn("aliases", F.array_except(ordered_union(own, F.col("merged_names")), F.array("name"))).drop("merged_names")
     moved = edges
     for end in ("source", "target"):
         to = mapping.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("primary_id").alias(f"{end}_to"))
-        moved = moved.join(to, f"{end}_entity_id", "left").withColumn(f"{end}_entity_id", F.coalesce(f"{end}_to", f"{end}_entity_id")).drop(f"{end}_to")
+        moved = (
+            moved.join(to, f"{end}_entity_id", "left")
+            .withColumn(f"{end}_entity_id", F.coalesce(f"{end}_to", f"{end}_entity_id"))
+            .drop(f"{end}_to")
+        )
     keys = ["source_entity_id", "target_entity_id", "relationship_type"]
     rest = [c for c in edges.columns if c not in (*keys, "relationship_id")]
     strongest = F.max_by(F.struct(*rest), F.struct("strength", "relationship_id"))
-    one = moved.where("source_entity_id <> target_entity_id").groupBy(*keys).agg(F.min("relationship_id").alias("relationship_id"), strongest.alias("rest"), F.count("*").alias("merged"))
+    one = (
+        moved.where("source_entity_id <> target_entity_id")
+        .groupBy(*keys)
+        .agg(F.min("relationship_id").alias("relationship_id"), strongest.alias("rest"), F.count("*").alias("merged"))
+    )
     return kept, one.select(*keys, "relationship_id", "rest.*", "merged")
 
 
@@ -125,7 +145,9 @@ def resolve_endpoints(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 def resolve_fallback(edges: DataFrame, entities: DataFrame, decisions: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``resolve_endpoints`` after names that decisions (document_id, new_name, existing_id, confidence) identify are known too."""
-    alias = decisions.where(F.col("confidence") >= threshold).select("document_id", F.col("new_name").alias("name"), F.col("existing_id").alias("entity_id"), F.lit(-1).cast("long").alias("seq"))
+    alias = decisions.where(F.col("confidence") >= threshold).select(
+        "document_id", F.col("new_name").alias("name"), F.col("existing_id").alias("entity_id"), F.lit(-1).cast("long").alias("seq"),
+    )
     return resolve_endpoints(edges, entities.select("document_id", "name", "entity_id", F.col("seq").cast("long").alias("seq")).unionByName(alias))
 
 
@@ -145,10 +167,14 @@ def vector_aliases(edges: DataFrame, entities: DataFrame, name_vectors: DataFram
 
 def rel_dup_candidates(new: DataFrame, stored: DataFrame) -> DataFrame:
     """For each new edge with stored edges on its ordered pair: is the type among them, and the other edges' ids."""
-    old = stored.select("source_entity_id", "target_entity_id", F.col("relationship_type").alias("old_type"), F.col("relationship_id").alias("old_id"))
+    old = stored.select(
+        "source_entity_id", "target_entity_id", F.col("relationship_type").alias("old_type"), F.col("relationship_id").alias("old_id"),
+    )
     met = new.join(old, ["source_entity_id", "target_entity_id"])
     same = F.col("relationship_type") == F.col("old_type")
-    return met.groupBy("relationship_id").agg(F.bool_or(same).alias("exact"), F.array_sort(F.collect_set(F.when(~same, F.col("old_id")))).alias("candidates"))
+    return met.groupBy("relationship_id").agg(
+        F.bool_or(same).alias("exact"), F.array_sort(F.collect_set(F.when(~same, F.col("old_id")))).alias("candidates"),
+    )
 
 
 def apply_entity_decisions(new: DataFrame, stored: DataFrame, decisions: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -157,9 +183,14 @@ def apply_entity_decisions(new: DataFrame, stored: DataFrame, decisions: DataFra
     A merged target gets the union of provenance and the longer description.
     """
     chosen = decisions.where(F.col("confidence") >= threshold).groupBy("new_name").agg(F.max_by("existing_name", "pos").alias("existing_name"))
-    targets = stored.select(F.col("name").alias("existing_name"), "entity_type", F.col("entity_id").alias("target_id"), F.col("description").alias("old"), F.col("source_chunk_ids").alias("old_chunks"))
+    targets = stored.select(
+        F.col("name").alias("existing_name"), "entity_type", F.col("entity_id").alias("target_id"), F.col("description").alias("old"),
+        F.col("source_chunk_ids").alias("old_chunks"),
+    )
     rows = new.join(chosen, new["name"] == chosen["new_name"], "left").join(targets, ["existing_name", "entity_type"], "left")
-    longer = F.when(F.length(F.coalesce("description", F.lit(""))) > F.length(F.coalesce("old", F.lit(""))), F.col("description")).otherwise(F.col("old"))
+    longer = F.when(F.length(F.coalesce("description", F.lit(""))) > F.length(F.coalesce("old", F.lit(""))), F.col("description")).otherwise(
+        F.col("old"),
+    )
     return rows.select(
         "entity_id", F.coalesce("target_id", "entity_id").alias("resolved_id"), F.col("target_id").isNotNull().alias("merged"),
         F.when(F.col("target_id").isNotNull(), longer).otherwise(F.col("description")).alias("description"), ordered_union(F.col("old_chunks"), F.col("source_chunk_ids")).alias("source_chunk_ids"),
@@ -176,7 +207,9 @@ def apply_rel_decisions(new: DataFrame, candidates: DataFrame, decisions: DataFr
 
 def build_context(edges: DataFrame, chunks: DataFrame, most: int = CONTEXT_CAPS["verify"]) -> DataFrame:
     """Texts of each edge's source chunks in order, joined by blank lines and cut."""
-    rows = edges.select("relationship_id", F.posexplode("source_chunk_ids").alias("pos", "chunk_id")).join(chunks.select("chunk_id", "content"), "chunk_id")
+    rows = edges.select("relationship_id", F.posexplode("source_chunk_ids").alias("pos", "chunk_id")).join(
+        chunks.select("chunk_id", "content"), "chunk_id",
+    )
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"])
     return rows.groupBy("relationship_id").agg(F.substring(F.array_join(parts, "\n\n"), 1, most).alias("context"))
 

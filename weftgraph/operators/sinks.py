@@ -45,8 +45,15 @@ def visible(entities: DataFrame, edges: DataFrame, include_rejected: bool = Fals
 def export_cytoscape(entities: DataFrame, edges: DataFrame, include_rejected: bool = False) -> DataFrame:
     """Element rows: group, id, label, type, source, target, strength, colour, description."""
     e, r = visible(entities, edges, include_rejected)
-    nodes = e.select(F.lit("nodes").alias("group"), F.col("entity_id").alias("id"), F.col("name").alias("label"), F.col("entity_type").alias("type"), F.coalesce("description", F.lit("")).alias("description"), colour(F.col("entity_type")).alias("colour"))
-    lines = r.select(F.lit("edges").alias("group"), F.col("relationship_id").alias("id"), F.col("relationship_type").alias("label"), F.coalesce("description", F.lit("")).alias("description"), F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target"), "strength")
+    nodes = e.select(
+        F.lit("nodes").alias("group"), F.col("entity_id").alias("id"), F.col("name").alias("label"), F.col("entity_type").alias("type"),
+        F.coalesce("description", F.lit("")).alias("description"), colour(F.col("entity_type")).alias("colour"),
+    )
+    lines = r.select(
+        F.lit("edges").alias("group"), F.col("relationship_id").alias("id"), F.col("relationship_type").alias("label"),
+        F.coalesce("description", F.lit("")).alias("description"), F.col("source_entity_id").alias("source"),
+        F.col("target_entity_id").alias("target"), "strength",
+    )
     return nodes.unionByName(lines, allowMissingColumns=True)
 
 
@@ -55,7 +62,10 @@ def export_network_rows(entities: DataFrame, edges: DataFrame) -> DataFrame:
     e, r = visible(entities, edges)
     tip = F.concat(F.lit("<b>"), F.col("name"), F.lit("</b><br>"), F.col("entity_type"), F.lit("<br>"), F.coalesce("description", F.lit("")))
     nodes = e.select(F.col("entity_id").alias("id"), F.col("name").alias("label"), tip.alias("title"), colour(F.col("entity_type")).alias("colour"))
-    lines = r.select(F.col("relationship_id").alias("id"), F.col("relationship_type").alias("label"), F.greatest(F.lit(1.0), F.bround(F.col("strength") * 3, 0)).cast("long").alias("width"))
+    lines = r.select(
+        F.col("relationship_id").alias("id"), F.col("relationship_type").alias("label"),
+        F.greatest(F.lit(1.0), F.bround(F.col("strength") * 3, 0)).cast("long").alias("width"),
+    )
     return nodes.unionByName(lines, allowMissingColumns=True)
 
 
@@ -68,17 +78,30 @@ def _xml(c: Column) -> Column:
 def graphml_lines(entities: DataFrame, edges: DataFrame, include_rejected: bool = False) -> DataFrame:
     """GraphML as lines (part, id, value): head, nodes, edges, foot; write them in this order."""
     e, r = visible(entities, edges, include_rejected)
-    keys = [("d0", "node", "label", "string"), ("d1", "node", "type", "string"), ("d2", "node", "description", "string"), ("d3", "node", "curated", "boolean"), ("d4", "node", "rejected", "boolean"), ("d5", "edge", "label", "string"), ("d6", "edge", "strength", "double"), ("d7", "edge", "description", "string"), ("d8", "edge", "curated", "boolean")]
+    keys = [
+        ("d0", "node", "label", "string"), ("d1", "node", "type", "string"), ("d2", "node", "description", "string"),
+        ("d3", "node", "curated", "boolean"), ("d4", "node", "rejected", "boolean"), ("d5", "edge", "label", "string"),
+        ("d6", "edge", "strength", "double"), ("d7", "edge", "description", "string"), ("d8", "edge", "curated", "boolean"),
+    ]
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/graphml">\n' + "\n".join(f'<key id="{k}" for="{f}" attr.name="{n}" attr.type="{t}"/>' for k, f, n, t in keys) + '\n<graph id="G" edgedefault="directed">'
 
     def data(key: str, v: Column) -> Column:
         return F.concat(F.lit(f'<data key="{key}">'), _xml(F.coalesce(v.cast("string"), F.lit(""))), F.lit("</data>"))
 
-    node = F.concat(F.lit('<node id="'), _xml(F.col("entity_id")), F.lit('">'), data("d0", F.col("name")), data("d1", F.col("entity_type")), data("d2", F.col("description")), data("d3", F.lit(False)), data("d4", F.coalesce("rejected", F.lit(False))), F.lit("</node>"))
-    edge = F.concat(F.lit('<edge id="'), _xml(F.col("relationship_id")), F.lit('" source="'), _xml(F.col("source_entity_id")), F.lit('" target="'), _xml(F.col("target_entity_id")), F.lit('">'), data("d5", F.col("relationship_type")), data("d6", F.col("strength")), data("d7", F.col("description")), data("d8", F.lit(False)), F.lit("</edge>"))
+    node = F.concat(
+        F.lit('<node id="'), _xml(F.col("entity_id")), F.lit('">'), data("d0", F.col("name")), data("d1", F.col("entity_type")),
+        data("d2", F.col("description")), data("d3", F.lit(False)), data("d4", F.coalesce("rejected", F.lit(False))), F.lit("</node>"),
+    )
+    edge = F.concat(
+        F.lit('<edge id="'), _xml(F.col("relationship_id")), F.lit('" source="'), _xml(F.col("source_entity_id")), F.lit('" target="'),
+        _xml(F.col("target_entity_id")), F.lit('">'), data("d5", F.col("relationship_type")), data("d6", F.col("strength")),
+        data("d7", F.col("description")), data("d8", F.lit(False)), F.lit("</edge>"),
+    )
     spark = entities.sparkSession
     ends = spark.createDataFrame([(0, "", head), (3, "", "</graph>\n</graphml>")], "part int, id string, value string")
-    return ends.unionByName(e.select(F.lit(1).alias("part"), F.col("entity_id").alias("id"), node.alias("value"))).unionByName(r.select(F.lit(2).alias("part"), F.col("relationship_id").alias("id"), edge.alias("value")))
+    return ends.unionByName(e.select(F.lit(1).alias("part"), F.col("entity_id").alias("id"), node.alias("value"))).unionByName(
+        r.select(F.lit(2).alias("part"), F.col("relationship_id").alias("id"), edge.alias("value")),
+    )
 
 
 def write_graphml(entities: DataFrame, edges: DataFrame, path: str, include_rejected: bool = False) -> None:
@@ -99,7 +122,9 @@ def report_rows(df: DataFrame) -> DataFrame:
 
     ``stages`` has an entry for each stage that ran, in order.
     """
-    each = [F.when(F.col(f"{p}_status").isNotNull(), F.struct(F.lit(name).alias("stage"), F.col(f"{p}_status").alias("status"), F.col(f"{p}_confidence").cast("double").alias("confidence"))) for p, name in (("text", "text_match"), ("embedding", "embedding"), ("llm", "llm"))]
+    each = [
+        F.when(F.col(f"{p}_status").isNotNull(), F.struct(F.lit(name).alias("stage"), F.col(f"{p}_status").alias("status"), F.col(f"{p}_confidence").cast("double").alias("confidence"))) for p, name in (("text", "text_match"), ("embedding", "embedding"), ("llm", "llm"))
+    ]
     return df.select("relationship_id", "status", "confidence", F.filter(F.array(*each), lambda s: s.isNotNull()).alias("stages"))
 
 

@@ -28,7 +28,9 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, least: float = -1.
     rule = (F.col("query_id") != F.col("item_id")) if skip_self else F.lit(True)
     score = cosine(F.col("query_vector"), F.col("vector"))
     score = F.round((1 + score) / 2 if scale == "unit" else score, 6)
-    pairs = in_blocks(q, "query_id", lambda some: items.select("item_id", "vector").join(some, rule).select("query_id", "item_id", score.alias("score")))
+    pairs = in_blocks(
+        q, "query_id", lambda some: items.select("item_id", "vector").join(some, rule).select("query_id", "item_id", score.alias("score")),
+    )
     return _ranked(pairs, k, least)
 
 
@@ -51,7 +53,9 @@ def vector_topk_hashed(queries: DataFrame, items: DataFrame, k: int, least: floa
     def bands(df: DataFrame, id_col: str, vector: str) -> DataFrame:
         keys = []
         for t, table in enumerate(planes):
-            sign = [F.when(F.aggregate(F.zip_with(vector, F.array(*map(F.lit, p)), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v) >= 0, "1").otherwise("0") for p in table]
+            sign = [
+                F.when(F.aggregate(F.zip_with(vector, F.array(*map(F.lit, p)), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v) >= 0, "1").otherwise("0") for p in table
+            ]
             keys.append(F.concat(F.lit(f"{t}:"), *sign))
         return df.select(id_col, vector, F.explode(F.array(*keys)).alias("band"))
 
@@ -68,9 +72,17 @@ def vector_topk_relationships(hits: DataFrame, edges: DataFrame, k: int) -> Data
     """Edges that touch a hit entity (query_id, item_id, score), scored by their better end; the k best of a query."""
     by_end = []
     for end in ("source_entity_id", "target_entity_id"):
-        by_end.append(edges.select("relationship_id", F.col(end).alias("item_id")).join(hits.select("query_id", "item_id", "score"), "item_id").select("query_id", "relationship_id", "score"))
+        by_end.append(
+            (
+                edges.select("relationship_id", F.col(end).alias("item_id"))
+                .join(hits.select("query_id", "item_id", "score"), "item_id")
+                .select("query_id", "relationship_id", "score")
+            ),
+        )
     best = by_end[0].unionByName(by_end[1]).groupBy("query_id", "relationship_id").agg(F.max("score").alias("score"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "relationship_id"))).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "relationship_id"))).where(
+        F.col("rank") <= k,
+    )
 
 
 def best_match(left: DataFrame, right: DataFrame, skip_self: bool = False) -> DataFrame:

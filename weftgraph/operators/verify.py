@@ -17,7 +17,10 @@ def verify_text(rows: DataFrame, least_ratio: float = 0.5, whole_word: bool = Fa
     Names and extra terms are required, the type's words are not. text_confidence is the share of all terms found (4
     places), text_status passed when at least ``least_ratio`` of the required ones are; an empty context fails with 0.
     """
-    required = F.filter(F.concat(F.array("source_name", "target_name"), F.coalesce("extra_terms", F.array().cast("array<string>"))), lambda t: F.coalesce(t, F.lit("")) != "")
+    required = F.filter(
+        F.concat(F.array("source_name", "target_name"), F.coalesce("extra_terms", F.array().cast("array<string>"))),
+        lambda t: F.coalesce(t, F.lit("")) != "",
+    )
     soft = F.filter(F.array(F.replace("relationship_type", F.lit("_"), F.lit(" "))), lambda t: F.coalesce(t, F.lit("")) != "")
     text = F.coalesce("context", F.lit(""))
     rows = rows.withColumn("required", required).withColumn("terms", F.concat("required", soft))
@@ -29,7 +32,11 @@ def verify_text(rows: DataFrame, least_ratio: float = 0.5, whole_word: bool = Fa
     ratio = F.when(F.size("required") > 0, F.size(found("required")) / F.size("required")).otherwise(1.0)
     blank = F.trim(text) == ""
     share = F.when(F.size("terms") > 0, F.size("matched") / F.size("terms")).otherwise(1.0)
-    return rows.withColumn("text_confidence", F.when(blank, 0.0).otherwise(F.round(share, 4))).withColumn("text_status", F.when(~blank & (ratio >= least_ratio), "passed").otherwise("failed")).drop("required", "terms")
+    return (
+        rows.withColumn("text_confidence", F.when(blank, 0.0).otherwise(F.round(share, 4)))
+        .withColumn("text_status", F.when(~blank & (ratio >= least_ratio), "passed").otherwise("failed"))
+        .drop("required", "terms")
+    )
 
 
 def parse_verdict(rows: DataFrame, uncertain: str = "failed") -> DataFrame:
@@ -56,17 +63,32 @@ def verify_cascade(rows: DataFrame, high: float = 0.7, low: float = 0.3) -> Data
 
     ran_embedding = ~decides("text") & F.col("embedding_status").isNotNull()
     ran_llm = ~decides("text") & ~(ran_embedding & decides("embedding")) & F.col("llm_status").isNotNull()
-    decisive = F.when(decides("text"), "text_match").when(ran_embedding & decides("embedding"), "embedding").when(ran_llm & (F.col("llm_status") != "skipped"), "llm")
+    decisive = (
+        F.when(decides("text"), "text_match")
+        .when(ran_embedding & decides("embedding"), "embedding")
+        .when(ran_llm & (F.col("llm_status") != "skipped"), "llm")
+    )
 
     def score(p: str, ran: Column) -> Column:
         return F.when(ran & (F.col(f"{p}_status") != "skipped"), F.col(f"{p}_confidence"))
 
-    stages = [(score("text", F.col("text_status").isNotNull()), STAGE_WEIGHTS["text_match"]), (score("embedding", ran_embedding), STAGE_WEIGHTS["embedding"]), (score("llm", ran_llm), STAGE_WEIGHTS["llm"])]
+    stages = [
+        (score("text", F.col("text_status").isNotNull()), STAGE_WEIGHTS["text_match"]),
+        (score("embedding", ran_embedding), STAGE_WEIGHTS["embedding"]), (score("llm", ran_llm), STAGE_WEIGHTS["llm"]),
+    ]
     rows = rows.withColumn("decisive_stage", decisive).withColumn("confidence", F.round(F.coalesce(weighted_mean(stages), F.lit(0.0)), 4))
     any_ran = F.coalesce("text_status", F.when(ran_embedding, F.col("embedding_status")), F.when(ran_llm, F.col("llm_status"))).isNotNull()
     none_said = sum((F.when(s.isNotNull(), 1).otherwise(0) for s, _ in stages), F.lit(0)) == 0
-    own = F.when(F.col("decisive_stage") == "text_match", F.col("text_status")).when(F.col("decisive_stage") == "embedding", F.col("embedding_status")).when(F.col("decisive_stage") == "llm", F.col("llm_status"))
-    status = F.when(~any_ran, "failed").when(none_said, "skipped").otherwise(F.coalesce(own, F.when(F.col("confidence") >= 0.5, "passed").otherwise("failed")))
+    own = (
+        F.when(F.col("decisive_stage") == "text_match", F.col("text_status"))
+        .when(F.col("decisive_stage") == "embedding", F.col("embedding_status"))
+        .when(F.col("decisive_stage") == "llm", F.col("llm_status"))
+    )
+    status = (
+        F.when(~any_ran, "failed")
+        .when(none_said, "skipped")
+        .otherwise(F.coalesce(own, F.when(F.col("confidence") >= 0.5, "passed").otherwise("failed")))
+    )
     return rows.withColumn("status", status)
 
 
@@ -87,16 +109,35 @@ def classify_relationships(rows: DataFrame, conflict_status: str = "rejected") -
 
 def classify_entities(rows: DataFrame) -> DataFrame:
     c = F.col("confidence")
-    return rows.withColumn("verification_status", F.when(c >= 0.85, "verified").when((F.col("source_trust") == "reviewed") & (c >= 0.60), "verified").when(c < 0.50, "flagged").otherwise("unverified"))
+    return rows.withColumn(
+        "verification_status",
+        (
+            F.when(c >= 0.85, "verified")
+            .when((F.col("source_trust") == "reviewed") & (c >= 0.60), "verified")
+            .when(c < 0.50, "flagged")
+            .otherwise("unverified")
+        ),
+    )
 
 
 def verify_entities(rows: DataFrame) -> DataFrame:
     """Entity check of (name, aliases, context, neighbour_score, has_vectors): text 1 / 0.7 / 0 blended .45 / .55 with the vector credit."""
-    text = F.when(term_present(F.col("context"), F.col("name")), 1.0).when(F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: term_present(F.col("context"), a)), 0.7).otherwise(0.0)
+    text = (
+        F.when(term_present(F.col("context"), F.col("name")), 1.0)
+        .when(F.exists(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: term_present(F.col("context"), a)), 0.7)
+        .otherwise(0.0)
+    )
     text = F.when(F.trim(F.coalesce("context", F.lit(""))) != "", text)
     vector = F.when(F.col("has_vectors"), entity_credit(F.col("neighbour_score")))
     rows = rows.withColumn("confidence", F.round(weighted_mean([(text, 0.45), (vector, 0.55)]), 4))
-    return rows.withColumn("status", F.when(F.col("confidence") >= 0.6, "passed").when(F.col("confidence").isNull() | (F.col("confidence") >= 0.3), "inconclusive").otherwise("failed"))
+    return rows.withColumn(
+        "status",
+        (
+            F.when(F.col("confidence") >= 0.6, "passed")
+            .when(F.col("confidence").isNull() | (F.col("confidence") >= 0.3), "inconclusive")
+            .otherwise("failed")
+        ),
+    )
 
 
 def detect_conflicts(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -128,12 +169,17 @@ def apply_conflict_verdicts(rows: DataFrame) -> DataFrame:
 
 def enqueue_reviews(conflicts: DataFrame) -> DataFrame:
     """One pending review for each conflict that needs one."""
-    return conflicts.where("requires_review").select(content_id(F.col("new_relationship_id"), F.col("old_relationship_id")).alias("review_id"), "new_relationship_id", "old_relationship_id", F.lit("pending").alias("review_status"))
+    return conflicts.where("requires_review").select(
+        content_id(F.col("new_relationship_id"), F.col("old_relationship_id")).alias("review_id"), "new_relationship_id", "old_relationship_id",
+        F.lit("pending").alias("review_status"),
+    )
 
 
 def decide_reviews(reviews: DataFrame, decisions: DataFrame) -> DataFrame:
     """Reviews with the decision (review_id, decision, notes) where there is one."""
-    named = decisions.select("review_id", F.when(F.col("decision") == "approve", "approved").when(F.col("decision") == "reject", "rejected").alias("decided"), "notes")
+    named = decisions.select(
+        "review_id", F.when(F.col("decision") == "approve", "approved").when(F.col("decision") == "reject", "rejected").alias("decided"), "notes",
+    )
     return reviews.join(named, "review_id", "left").withColumn("review_status", F.coalesce("decided", "review_status")).drop("decided")
 
 
@@ -144,4 +190,7 @@ def list_reviews(reviews: DataFrame, status: str | None = None, limit: int = 50,
 
 
 def verification_summary(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("passed", "failed", "skipped")), F.max("confidence").alias("best_confidence"))
+    return rows.agg(
+        F.count("*").alias("total"), *(F.count_if(F.col("status") == s).alias(s) for s in ("passed", "failed", "skipped")),
+        F.max("confidence").alias("best_confidence"),
+    )

@@ -65,7 +65,11 @@ def verify_relationships(spark, d):
     from ..operators.graph import enrich_endpoints
 
     e, r = entities(spark, d), relationships(spark, d)
-    given = enrich_endpoints(r, e).where("k % 2 = 0").select("relationship_id", F.concat("source_name", F.lit(" is LOCATED IN "), "target_name").alias("context"))
+    given = (
+        enrich_endpoints(r, e)
+        .where("k % 2 = 0")
+        .select("relationship_id", F.concat("source_name", F.lit(" is LOCATED IN "), "target_name").alias("context"))
+    )
     return L.verify_relationships(r, e, given)
 
 
@@ -73,8 +77,14 @@ def verify_relationships(spark, d):
   SELECT relationship_id, round(coalesce(greatest(sim, ev), 0.0), 4)::DOUBLE AS embedding_confidence, CASE WHEN coalesce(greatest(sim, ev), 0.0) >= 0.5 THEN 'passed' ELSE 'failed' END AS embedding_status FROM x""")
 def verify_embedding(spark, d):
     r = relationships(spark, d)
-    hits = r.where("k % 4 < 2").select("relationship_id", F.lit("source").alias("role"), F.col("source_entity_id").alias("entity_id"), F.lit(0.61).alias("score"))
-    hits = hits.unionByName(r.where("k % 4 = 0").select("relationship_id", F.lit("target").alias("role"), F.col("target_entity_id").alias("entity_id"), F.lit(0.6).alias("score")))
+    hits = r.where("k % 4 < 2").select(
+        "relationship_id", F.lit("source").alias("role"), F.col("source_entity_id").alias("entity_id"), F.lit(0.61).alias("score"),
+    )
+    hits = hits.unionByName(
+        r.where("k % 4 = 0").select(
+            "relationship_id", F.lit("target").alias("role"), F.col("target_entity_id").alias("entity_id"), F.lit(0.6).alias("score"),
+        ),
+    )
     similarity = F.when(F.col("k") % 3 != 0, F.col("k") % 10 / 10)
     return L.verify_embedding(r, similarity, hits, r).select("relationship_id", "embedding_confidence", "embedding_status")
 
@@ -87,8 +97,15 @@ def verification_targets(spark, d):
 
 @query("verify_stage", GRAPH_SQL + "SELECT relationship_id, CASE WHEN strength >= 0.9 THEN 'verified' WHEN trust = 'reviewed' AND strength >= 0.6 THEN 'verified' WHEN strength < 0.6 THEN 'flagged' ELSE 'unverified' END AS verification_status, round(strength, 3) AS verification_confidence FROM r")
 def verify_stage(spark, d):
-    rows = relationships(spark, d).withColumn("confidence", F.col("strength")).withColumn("source_trust", F.col("trust")).withColumn("conflict", F.lit(False))
-    return L.verify_stage(entities(spark, d).withColumn("confidence", F.lit(1.0)).withColumn("source_trust", F.col("trust")), rows)[1].select("relationship_id", "verification_status", "verification_confidence")
+    rows = (
+        relationships(spark, d)
+        .withColumn("confidence", F.col("strength"))
+        .withColumn("source_trust", F.col("trust"))
+        .withColumn("conflict", F.lit(False))
+    )
+    return L.verify_stage(entities(spark, d).withColumn("confidence", F.lit(1.0)).withColumn("source_trust", F.col("trust")), rows)[1].select(
+        "relationship_id", "verification_status", "verification_confidence",
+    )
 
 
 @query("subset_graph", GRAPH_SQL + ", s AS (SELECT * FROM r WHERE k % 50 = 3) SELECT entity_id, name FROM e WHERE entity_id IN (SELECT source_entity_id FROM s UNION SELECT target_entity_id FROM s)")
@@ -104,13 +121,17 @@ def neighbour_preview(spark, d):
 
 @query("documents_by_url", "SELECT page_id FROM pages WHERE contains(url, 'example.com')")
 def documents_by_url(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.col("url").alias("source_url"), F.col("page_id").alias("created"), F.col("page_id").alias("document_id"))
+    p = table(spark, d, "pages").select(
+        "page_id", F.col("url").alias("source_url"), F.col("page_id").alias("created"), F.col("page_id").alias("document_id"),
+    )
     return L.documents_by_url(p, "example.com").select("page_id")
 
 
 @query("documents_by_status", "SELECT o_orderkey AS document_id FROM orders WHERE o_orderstatus = 'F'")
 def documents_by_status(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("processing_status"), F.col("o_orderdate").alias("created"))
+    o = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("processing_status"), F.col("o_orderdate").alias("created"),
+    )
     return L.documents_by_status(o, "F").select("document_id")
 
 
@@ -122,14 +143,23 @@ def document_chunks(spark, d):
 @query("wiki_urls", "SELECT n_nationkey, n_name AS page, CASE n_nationkey % 2 WHEN 0 THEN 'en' ELSE 'de' END AS lang FROM nation")
 def wiki_urls(spark, d):
     n = table(spark, d, "nation")
-    page, lang = L.parse_wiki_url(F.concat(F.lit("https://"), F.when(F.col("n_nationkey") % 2 == 0, "en").otherwise("de"), F.lit(".wikipedia.org/wiki/"), "n_name", F.lit("?x=1#y")))
+    page, lang = L.parse_wiki_url(
+        F.concat(
+            F.lit("https://"), F.when(F.col("n_nationkey") % 2 == 0, "en").otherwise("de"), F.lit(".wikipedia.org/wiki/"), "n_name", F.lit("?x=1#y"),
+        ),
+    )
     return n.select("n_nationkey", page.alias("page"), lang.alias("lang"))
 
 
 @query("crawl_summary", "SELECT page_id % 7 AS job_id, count(*) AS n_pages, count(*) FILTER (WHERE page_id % 3 > 0) AS fetched, count(*) FILTER (WHERE page_id % 3 = 0) AS failed, CAST(sum(length(html)) AS BIGINT) AS characters FROM pages GROUP BY 1")
 def crawl_summary(spark, d):
     p = table(spark, d, "pages")
-    return L.crawl_summary(p.select((F.col("page_id") % 7).alias("job_id"), F.when(F.col("page_id") % 3 == 0, "failed").otherwise("completed").alias("status"), F.length("html").cast("long").alias("length")))
+    return L.crawl_summary(
+        p.select(
+            (F.col("page_id") % 7).alias("job_id"), F.when(F.col("page_id") % 3 == 0, "failed").otherwise("completed").alias("status"),
+            F.length("html").cast("long").alias("length"),
+        ),
+    )
 
 
 @query("vector_topk_relationships", """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
@@ -142,7 +172,9 @@ def vector_topk_relationships(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
     hits = V.vector_topk(e.where("item_id % 100 = 0").withColumnRenamed("item_id", "query_id"), e, 10, skip_self=True)
     ids = e.select(F.col("item_id").alias("source_entity_id"))
-    edges = ids.join(e.select(F.col("item_id").alias("target_entity_id")), F.col("target_entity_id") == F.col("source_entity_id") + 7).select("source_entity_id", "target_entity_id", F.concat_ws("-", "source_entity_id", "target_entity_id").alias("relationship_id"))
+    edges = ids.join(e.select(F.col("item_id").alias("target_entity_id")), F.col("target_entity_id") == F.col("source_entity_id") + 7).select(
+        "source_entity_id", "target_entity_id", F.concat_ws("-", "source_entity_id", "target_entity_id").alias("relationship_id"),
+    )
     return V.vector_topk_relationships(hits, edges, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -151,14 +183,24 @@ def vector_topk_relationships(spark, d):
 def best_match(spark, d):
     e = table(spark, d, "embeddings")
     a = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return V.best_match(a, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), skip_self=True).select("query_id", "item_id", "score")
+    return V.best_match(a, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), skip_self=True).select(
+        "query_id", "item_id", "score",
+    )
 
 
 @query("associations", """WITH a AS (SELECT s_suppkey, p_partkey, max(l_discount * 15) AS score FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_discount * 15 >= 0.3 GROUP BY 1, 2)
   SELECT sha1('disease:' || s_suppkey) AS source_entity_id, sha1('target:' || p_partkey) AS target_entity_id, 'RELATED_TO' AS relationship_type, greatest(0.0, least(1.0, score))::DOUBLE AS strength FROM a""")
 def associations(spark, d):
-    li = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = li.select(F.col("s_suppkey").alias("disease_id"), F.col("s_name").alias("disease_name"), F.col("p_partkey").alias("target_id"), F.col("p_brand").alias("symbol"), F.col("p_name").alias("target_name"), F.col("p_type").alias("biotype"), (F.col("l_discount") * 15).alias("score"))
+    li = (
+        table(spark, d, "lineitem")
+        .join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    )
+    rows = li.select(
+        F.col("s_suppkey").alias("disease_id"), F.col("s_name").alias("disease_name"), F.col("p_partkey").alias("target_id"),
+        F.col("p_brand").alias("symbol"), F.col("p_name").alias("target_name"), F.col("p_type").alias("biotype"),
+        (F.col("l_discount") * 15).alias("score"),
+    )
     return S.ingest_associations(rows, 0.3)[1].select("source_entity_id", "target_entity_id", "relationship_type", "strength")
 
 
@@ -166,14 +208,19 @@ def associations(spark, d):
   UNION ALL SELECT DISTINCT sha1('article:' || doc_id), sha1('Concept:' || lower(lang)), 'CATEGORIZED_AS' FROM documents""")
 def articles(spark, d):
     t = table(spark, d, "documents")
-    rows = t.select(F.col("doc_id").alias("pmid"), F.substring("text", 1, 30).alias("title"), F.col("text").alias("abstract"), F.array("source", "source").alias("authors"), F.array("lang").alias("mesh_terms"), F.array("lang").alias("keywords"))
+    rows = t.select(
+        F.col("doc_id").alias("pmid"), F.substring("text", 1, 30).alias("title"), F.col("text").alias("abstract"),
+        F.array("source", "source").alias("authors"), F.array("lang").alias("mesh_terms"), F.array("lang").alias("keywords"),
+    )
     return S.ingest_articles(rows)[1]
 
 
 @query("product_texts", "SELECT p_partkey, concat_ws(chr(10), 'Title: ' || p_name, 'Keywords: ' || p_brand || ', ' || p_type, 'Specification: Size: ' || p_size) AS text FROM part")
 def product_texts(spark, d):
     spec = F.array(F.create_map(F.lit("Size"), F.col("p_size").cast("string")))
-    return table(spark, d, "part").select("p_partkey", S.product_text(F.col("p_name"), F.array("p_brand", "p_type"), F.lit(None).cast("string"), spec).alias("text"))
+    return table(spark, d, "part").select(
+        "p_partkey", S.product_text(F.col("p_name"), F.array("p_brand", "p_type"), F.lit(None).cast("string"), spec).alias("text"),
+    )
 
 
 @query("entity_texts", GRAPH_SQL + "SELECT entity_id, CASE WHEN coalesce(description, '') = '' THEN name ELSE name || ' — ' || description END AS text FROM e")
@@ -190,5 +237,7 @@ def conflict_verdicts(spark, d):
 
 @query("encoded_props", "SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE '{\"t\":\"' || event_type || '\"}' END AS props FROM events")
 def encoded_props(spark, d):
-    e = table(spark, d, "events").select("event_id", F.create_map(F.lit("t"), F.when(F.col("event_type") != "view", F.col("event_type"))).alias("props"))
+    e = table(spark, d, "events").select(
+        "event_id", F.create_map(F.lit("t"), F.when(F.col("event_type") != "view", F.col("event_type"))).alias("props"),
+    )
     return K.encode_props(e, ["props"])

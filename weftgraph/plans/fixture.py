@@ -52,7 +52,10 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = {n: table(spark, sf_dir, n) for n in ("nation", "supplier", "customer", "part", "lineitem")}
     made = t["lineitem"].groupBy("l_suppkey", "l_partkey").agg(F.round(F.lit(1.0) - F.avg("l_discount"), 6).alias("strength"))
-    supplies = F.concat(F.when((F.col("l_partkey") + F.col("l_suppkey")) % 5 == 0, "does not supply part ").otherwise("supplies part "), F.col("l_partkey").cast("string"))
+    supplies = F.concat(
+        F.when((F.col("l_partkey") + F.col("l_suppkey")) % 5 == 0, "does not supply part ").otherwise("supplies part "),
+        F.col("l_partkey").cast("string"),
+    )
     rows = edge(t["nation"], node("nation", "n_nationkey"), "PART_OF", node("region", "n_regionkey"), F.col("n_nationkey"))
     for more in (
         edge(t["supplier"], node("supplier", "s_suppkey"), "LOCATED_IN", node("nation", "s_nationkey"), F.col("s_suppkey"), trust="reviewed"),

@@ -168,15 +168,23 @@ def entity_faults(spark, d):
 
 @query("relationship_faults", GRAPH_SQL + """SELECT relationship_id, CASE WHEN k % 13 = 0 THEN 'self edge' WHEN relationship_type = 'PART_OF' THEN 'unknown type' WHEN k % 17 = 0 THEN 'strength out of range' END AS fault FROM r""")
 def relationship_faults(spark, d):
-    rows = relationships(spark, d).withColumn("target_entity_id", F.when(F.col("k") % 13 == 0, F.col("source_entity_id")).otherwise(F.col("target_entity_id")))
+    rows = relationships(spark, d).withColumn(
+        "target_entity_id", F.when(F.col("k") % 13 == 0, F.col("source_entity_id")).otherwise(F.col("target_entity_id")),
+    )
     rows = rows.withColumn("relationship_type", F.when(F.col("relationship_type") == "PART_OF", "part of").otherwise(F.col("relationship_type")))
-    return G.relationship_faults(rows.withColumn("strength", F.when(F.col("k") % 17 == 0, 1.5).otherwise(F.col("strength")))).select("relationship_id", "fault")
+    return G.relationship_faults(rows.withColumn("strength", F.when(F.col("k") % 17 == 0, 1.5).otherwise(F.col("strength")))).select(
+        "relationship_id", "fault",
+    )
 
 
 @query("coerce_types", GRAPH_SQL + """SELECT entity_id, trim(name) AS name, CASE WHEN entity_type = 'Location' THEN 'Concept' ELSE entity_type END AS entity_type, 'extracted' AS source_trust, 'unverified' AS verification_status
   FROM e WHERE trim(name) <> ''""")
 def coerce_types(spark, d):
-    rows = entities(spark, d).withColumn("entity_type", F.when(F.col("entity_type") == "Location", "LOCATION").otherwise(F.col("entity_type"))).withColumn("name", F.concat(F.lit(" "), "name"))
+    rows = (
+        entities(spark, d)
+        .withColumn("entity_type", F.when(F.col("entity_type") == "Location", "LOCATION").otherwise(F.col("entity_type")))
+        .withColumn("name", F.concat(F.lit(" "), "name"))
+    )
     return G.coerce_entities(rows).select("entity_id", "name", "entity_type", "source_trust", "verification_status")
 
 
@@ -197,8 +205,13 @@ def order_chains(spark, d):
     from pyspark.sql import Window
 
     node = F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))
-    o = spark.read.parquet(f"{d}/orders.parquet").select(node.alias("entity_id"), F.lead(node).over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("next"))
-    edges = o.where("next is not null").select(F.concat_ws(">", "entity_id", "next").alias("relationship_id"), F.col("entity_id").alias("source_entity_id"), F.col("next").alias("target_entity_id"))
+    o = spark.read.parquet(f"{d}/orders.parquet").select(
+        node.alias("entity_id"), F.lead(node).over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("next"),
+    )
+    edges = o.where("next is not null").select(
+        F.concat_ws(">", "entity_id", "next").alias("relationship_id"), F.col("entity_id").alias("source_entity_id"),
+        F.col("next").alias("target_entity_id"),
+    )
     return G.components(o.select("entity_id"), edges)
 
 

@@ -47,7 +47,10 @@ def upsert_entities(spark, d):
     m = mentions(spark, d)
     stored = m.where("not is_new").withColumn("seq", F.col("seq") - 1000000000).drop("is_new")
     u = J.upsert_entities(stored, m.where("is_new").drop("is_new"))
-    return u.select("name", "entity_type", "entity_id", "description", F.array_join("source_chunk_ids", ",").alias("chunks"), F.col("version").cast("long").alias("version"))
+    return u.select(
+        "name", "entity_type", "entity_id", "description", F.array_join("source_chunk_ids", ",").alias("chunks"),
+        F.col("version").cast("long").alias("version"),
+    )
 
 
 @query("upsert_relationships", GRAPH_SQL + """, x AS (SELECT 'customer:' || o_custkey AS s, 'region:' || (o_orderkey % 5) AS d, CASE WHEN o_orderkey % 2 = 0 THEN 'INFLUENCES' ELSE 'RELATED_TO' END AS t, o_orderkey AS seq, o_totalprice AS p FROM orders)
@@ -61,7 +64,9 @@ def upsert_relationships(spark, d):
         F.least(F.lit(1.0), F.col("o_totalprice") / 1000000).alias("strength"), F.lit(None).cast("string").alias("description"), F.array(k.cast("string")).alias("source_chunk_ids"), F.lit(0).alias("version"),
     )
     u = J.upsert_relationships(rows.limit(0), rows, entities(spark, d))
-    return u.select("source_entity_id", "target_entity_id", "relationship_type", "relationship_id", "strength", F.col("version").cast("long").alias("version"))
+    return u.select(
+        "source_entity_id", "target_entity_id", "relationship_type", "relationship_id", "strength", F.col("version").cast("long").alias("version"),
+    )
 
 
 @query("merge_entities", GRAPH_SQL + """, g AS (SELECT 'nation:' || n_nationkey AS id, 'nation:' || min(n_nationkey) OVER (PARTITION BY n_regionkey) AS p FROM nation), mp AS (SELECT * FROM g WHERE id <> p),
@@ -72,8 +77,17 @@ def merge_entities(spark, d):
     e, r = both(spark, d)
     n = table(spark, d, "nation")
     first = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("p"))
-    pairs = n.join(first, "n_regionkey").where("n_nationkey <> p").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.concat(F.lit("nation:"), F.col("p").cast("string")).alias("primary_id"))
-    return J.merge_entities(e, r, pairs)[1].select("source_entity_id", "target_entity_id", "relationship_type", "relationship_id", "strength", "status", "merged")
+    pairs = (
+        n.join(first, "n_regionkey")
+        .where("n_nationkey <> p")
+        .select(
+            F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("entity_id"),
+            F.concat(F.lit("nation:"), F.col("p").cast("string")).alias("primary_id"),
+        )
+    )
+    return J.merge_entities(e, r, pairs)[1].select(
+        "source_entity_id", "target_entity_id", "relationship_type", "relationship_id", "strength", "status", "merged",
+    )
 
 
 @query("merged_aliases", GRAPH_SQL + """, g AS (SELECT n_name, 'nation:' || n_nationkey AS id, 'nation:' || min(n_nationkey) OVER (PARTITION BY n_regionkey) AS p FROM nation)
@@ -82,7 +96,14 @@ def merged_aliases(spark, d):
     e, r = both(spark, d)
     n = table(spark, d, "nation")
     first = n.groupBy("n_regionkey").agg(F.min("n_nationkey").alias("p"))
-    pairs = n.join(first, "n_regionkey").where("n_nationkey <> p").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.concat(F.lit("nation:"), F.col("p").cast("string")).alias("primary_id"))
+    pairs = (
+        n.join(first, "n_regionkey")
+        .where("n_nationkey <> p")
+        .select(
+            F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("entity_id"),
+            F.concat(F.lit("nation:"), F.col("p").cast("string")).alias("primary_id"),
+        )
+    )
     return J.merge_entities(e, r, pairs)[0].where("size(aliases) > 0").select("entity_id", F.array_join("aliases", ",").alias("aliases"))
 
 
@@ -90,16 +111,28 @@ def merged_aliases(spark, d):
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part q ON q.p_partkey = l_partkey JOIN (SELECT lower(trim(p_name)) AS n, max(p_partkey) AS k FROM part GROUP BY 1) p ON p.n = lower(trim(q.p_name))""")
 def resolve_endpoints(spark, d):
     li = table(spark, d, "lineitem")
-    named = li.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    edges = named.select(F.lit(1).alias("document_id"), F.upper("s_name").alias("source_name"), F.concat(F.lit(" "), "p_name").alias("target_name"), "l_orderkey", "l_linenumber")
-    e = entities(spark, d).where("entity_type in ('Organization', 'Product')").where("entity_id not like 'customer%'").select(F.lit(1).alias("document_id"), "name", "entity_id", F.col("k").alias("seq"))
+    named = li.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(
+        table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"),
+    )
+    edges = named.select(
+        F.lit(1).alias("document_id"), F.upper("s_name").alias("source_name"), F.concat(F.lit(" "), "p_name").alias("target_name"), "l_orderkey",
+        "l_linenumber",
+    )
+    e = (
+        entities(spark, d)
+        .where("entity_type in ('Organization', 'Product')")
+        .where("entity_id not like 'customer%'")
+        .select(F.lit(1).alias("document_id"), "name", "entity_id", F.col("k").alias("seq"))
+    )
     return J.resolve_endpoints(edges, e).select("l_orderkey", "l_linenumber", "source_entity_id", "target_entity_id")
 
 
 @query("rel_dup_candidates", GRAPH_SQL + """SELECT relationship_id || '+' AS relationship_id, k % 2 = 0 AS exact, CASE WHEN k % 2 = 0 THEN '' ELSE relationship_id END AS candidates FROM r WHERE relationship_type = 'MANUFACTURES'""")
 def rel_dup_candidates(spark, d):
     r = relationships(spark, d).where("relationship_type = 'MANUFACTURES'")
-    new = r.withColumn("relationship_id", F.concat("relationship_id", F.lit("+"))).withColumn("relationship_type", F.when(F.col("k") % 2 == 0, "MANUFACTURES").otherwise("DEVELOPS"))
+    new = r.withColumn("relationship_id", F.concat("relationship_id", F.lit("+"))).withColumn(
+        "relationship_type", F.when(F.col("k") % 2 == 0, "MANUFACTURES").otherwise("DEVELOPS"),
+    )
     return J.rel_dup_candidates(new, r).withColumn("candidates", F.array_join("candidates", ","))
 
 
@@ -107,17 +140,36 @@ def rel_dup_candidates(spark, d):
   SELECT 'n' || n.k AS entity_id, CASE WHEN name LIKE '%1' THEN 's' || s.k ELSE 'n' || n.k END AS resolved_id, name LIKE '%1' AS merged FROM n JOIN s USING (t)""")
 def apply_entity_decisions(spark, d):
     p = table(spark, d, "part")
-    new = p.select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_brand").alias("name"), F.col("p_type").alias("entity_type"), F.col("p_name").alias("description"), F.array(F.lit("c1")).alias("source_chunk_ids"))
-    stored = p.groupBy("p_type").agg(F.min("p_partkey").alias("k")).select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("entity_id"), F.lit("stored").alias("name"), F.col("p_type").alias("entity_type"), F.lit("x").alias("description"), F.array(F.lit("c0")).alias("source_chunk_ids"))
+    new = p.select(
+        F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_brand").alias("name"),
+        F.col("p_type").alias("entity_type"), F.col("p_name").alias("description"), F.array(F.lit("c1")).alias("source_chunk_ids"),
+    )
+    stored = (
+        p.groupBy("p_type")
+        .agg(F.min("p_partkey").alias("k"))
+        .select(
+            F.concat(F.lit("s"), F.col("k").cast("string")).alias("entity_id"), F.lit("stored").alias("name"), F.col("p_type").alias("entity_type"),
+            F.lit("x").alias("description"), F.array(F.lit("c0")).alias("source_chunk_ids"),
+        )
+    )
     b = p.select("p_brand").distinct()
-    decisions = b.select(F.col("p_brand").alias("new_name"), F.lit("stored").alias("existing_name"), F.when(F.col("p_brand").endswith("1"), 0.9).otherwise(0.5).alias("confidence"), F.lit(1).alias("pos"))
+    decisions = b.select(
+        F.col("p_brand").alias("new_name"), F.lit("stored").alias("existing_name"),
+        F.when(F.col("p_brand").endswith("1"), 0.9).otherwise(0.5).alias("confidence"), F.lit(1).alias("pos"),
+    )
     return J.apply_entity_decisions(new, stored, decisions).select("entity_id", "resolved_id", "merged")
 
 
 @query("build_context", """WITH c AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS t FROM conversations GROUP BY 1) SELECT 'r' || conv_id AS relationship_id, substring(t, 1, 4000) AS context FROM c""")
 def build_context(spark, d):
-    c = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), F.col("text").alias("content"), "conv_id", "turn")
-    edges = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "chunk_id"))).alias("h")).select(F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("relationship_id"), F.col("h.chunk_id").alias("source_chunk_ids"))
+    c = table(spark, d, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), F.col("text").alias("content"), "conv_id", "turn",
+    )
+    edges = (
+        c.groupBy("conv_id")
+        .agg(F.array_sort(F.collect_list(F.struct("turn", "chunk_id"))).alias("h"))
+        .select(F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("relationship_id"), F.col("h.chunk_id").alias("source_chunk_ids"))
+    )
     return J.build_context(edges, c)
 
 
@@ -125,12 +177,17 @@ def build_context(spark, d):
 def seed_graph(spark, d):
     c = table(spark, d, "customer")
     stored = c.select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("entity_id"), F.col("c_name").alias("name"))
-    return J.seed_graph(stored, c.select(F.concat(F.lit("customer:"), (F.col("c_custkey") + 100).cast("string")).alias("entity_id"), F.lit("seed").alias("name")), "entity_id")
+    return J.seed_graph(
+        stored, c.select(F.concat(F.lit("customer:"), (F.col("c_custkey") + 100).cast("string")).alias("entity_id"), F.lit("seed").alias("name")),
+        "entity_id",
+    )
 
 
 @query("dedup_requests", "SELECT count(*) AS n, count(DISTINCT p_brand || p_type) AS distinct_n FROM part")
 def dedup_requests(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("request_id"), F.array("p_type", "p_brand").alias("new_names"), F.array(F.lit("a")).alias("candidates"))
+    rows = table(spark, d, "part").select(
+        F.col("p_partkey").alias("request_id"), F.array("p_type", "p_brand").alias("new_names"), F.array(F.lit("a")).alias("candidates"),
+    )
     keyed, once = J.dedup_requests(rows)
     return keyed.agg(F.count("*").alias("n")).crossJoin(once.agg(F.count("*").alias("distinct_n")))
 
@@ -148,7 +205,10 @@ TEXT_SQL = """t AS (SELECT s.doc_id, s.source_name, s.target_name, s.context, CA
 
 
 def text_verified(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("source_name"), F.col("source").alias("target_name"), F.array().cast("array<string>").alias("extra_terms"), F.lit("LOCATED_IN").alias("relationship_type"), F.col("text").alias("context"))
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.col("lang").alias("source_name"), F.col("source").alias("target_name"), F.array().cast("array<string>").alias("extra_terms"),
+        F.lit("LOCATED_IN").alias("relationship_type"), F.col("text").alias("context"),
+    )
     return W.verify_text(rows)
 
 
@@ -170,7 +230,11 @@ CASCADE_SQL = "WITH " + TEXT_SQL + """, w AS (SELECT *, CASE doc_id % 4 WHEN 0 T
 def cascaded(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
     verdict = F.when(k % 3 == 1, '{"verdict":"valid","confidence":0.8}').when(k % 3 == 2, '```json\n{"verdict":"invalid","confidence":0.4}\n```')
-    rows = text_verified(spark, d).withColumn("embedding_status", F.when(k % 4 == 1, "skipped").when(k % 4 > 1, "passed")).withColumn("embedding_confidence", F.when(k % 4 == 2, 0.9).when(k % 4 == 3, 0.5).otherwise(0.0))
+    rows = (
+        text_verified(spark, d)
+        .withColumn("embedding_status", F.when(k % 4 == 1, "skipped").when(k % 4 > 1, "passed"))
+        .withColumn("embedding_confidence", F.when(k % 4 == 2, 0.9).when(k % 4 == 3, 0.5).otherwise(0.0))
+    )
     return W.verify_cascade(W.parse_verdict(rows.withColumn("reply", verdict)))
 
 
@@ -186,7 +250,12 @@ def verification_summary(spark, d):
 
 @query("classify_relationships", GRAPH_SQL + "SELECT relationship_id, CASE WHEN k % 41 = 0 THEN 'rejected' WHEN strength >= 0.9 THEN 'verified' WHEN trust = 'reviewed' AND strength >= 0.6 THEN 'verified' WHEN strength < 0.6 THEN 'flagged' ELSE 'unverified' END AS verification_status FROM r")
 def classify_relationships(spark, d):
-    rows = relationships(spark, d).withColumn("confidence", F.col("strength")).withColumn("source_trust", F.col("trust")).withColumn("conflict", F.col("k") % 41 == 0)
+    rows = (
+        relationships(spark, d)
+        .withColumn("confidence", F.col("strength"))
+        .withColumn("source_trust", F.col("trust"))
+        .withColumn("conflict", F.col("k") % 41 == 0)
+    )
     return W.classify_relationships(rows).select("relationship_id", "verification_status")
 
 
@@ -201,7 +270,10 @@ def classify_entities(spark, d):
   SELECT doc_id, confidence, CASE WHEN confidence >= 0.6 THEN 'passed' WHEN confidence >= 0.3 THEN 'inconclusive' ELSE 'failed' END AS status FROM u""")
 def verify_entities(spark, d):
     k = F.col("doc_id")
-    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("name"), F.array(F.lit("the")).alias("aliases"), F.col("text").alias("context"), F.when(k % 3 != 0, 0.7).alias("neighbour_score"), (k % 2 == 0).alias("has_vectors"))
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.col("lang").alias("name"), F.array(F.lit("the")).alias("aliases"), F.col("text").alias("context"),
+        F.when(k % 3 != 0, 0.7).alias("neighbour_score"), (k % 2 == 0).alias("has_vectors"),
+    )
     return W.verify_entities(rows.where("trim(context) <> ''")).select("doc_id", "confidence", "status")
 
 
@@ -227,7 +299,9 @@ def detect_conflicts(spark, d):
 @query("review_decisions", CONFLICT_SQL + ", q AS (SELECT sha1(concat_ws(':', new_relationship_id, old_relationship_id)) AS review_id FROM c WHERE conflict_type IS NOT NULL) SELECT review_id, CASE WHEN review_id < '4' THEN 'approved' WHEN review_id < '8' THEN 'rejected' ELSE 'pending' END AS review_status FROM q")
 def review_decisions(spark, d):
     q = W.enqueue_reviews(conflicts(spark, d))
-    decided = q.where("review_id < '8'").select("review_id", F.when(F.col("review_id") < "4", "approve").otherwise("reject").alias("decision"), F.lit("seen").alias("notes"))
+    decided = q.where("review_id < '8'").select(
+        "review_id", F.when(F.col("review_id") < "4", "approve").otherwise("reject").alias("decision"), F.lit("seen").alias("notes"),
+    )
     return W.decide_reviews(q, decided).select("review_id", "review_status")
 
 
@@ -240,9 +314,18 @@ EVENT_SQL = GRAPH_SQL + """, v AS (SELECT event_id AS seq, CASE event_type WHEN
 
 def curation_events(spark: SparkSession, d: str) -> DataFrame:
     t, k = F.col("event_type"), F.col("event_id")
-    action = F.when(t == "signup", "approve_entity").when(t == "purchase", "correct_entity").when(t == "error", "reject_entity").when(t == "click", "approve_relationship").otherwise("view")
+    action = (
+        F.when(t == "signup", "approve_entity")
+        .when(t == "purchase", "correct_entity")
+        .when(t == "error", "reject_entity")
+        .when(t == "click", "approve_relationship")
+        .otherwise("view")
+    )
     note = F.concat(F.lit("v"), k.cast("string"))
-    return table(spark, d, "events").select(k.alias("seq"), action.alias("action"), F.concat(F.lit("customer:"), F.col("user_id").cast("string")).alias("target_id"), F.lit("c").alias("curator"), F.lit("r").alias("reason"), F.create_map(F.lit("description"), note).alias("corrections"))
+    return table(spark, d, "events").select(
+        k.alias("seq"), action.alias("action"), F.concat(F.lit("customer:"), F.col("user_id").cast("string")).alias("target_id"),
+        F.lit("c").alias("curator"), F.lit("r").alias("reason"), F.create_map(F.lit("description"), note).alias("corrections"),
+    )
 
 
 @query("apply_curation", EVENT_SQL + """ SELECT entity_id, coalesce(d, description) AS description, CASE WHEN n IS NULL THEN false ELSE coalesce(decision, 'approve_entity') = 'approve_entity' END AS curated,
@@ -297,7 +380,13 @@ def tag_sample(spark, d):
 
 def entity_replies(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    item = F.to_json(F.struct(F.array(F.struct(F.col("p_name").alias("name"), F.when(k % 4 != 1, F.col("p_type")).alias("type"), F.lit(0.9).alias("confidence"))).alias("entities")))
+    item = F.to_json(
+        F.struct(
+            F.array(F.struct(F.col("p_name").alias("name"), F.when(k % 4 != 1, F.col("p_type")).alias("type"), F.lit(0.9).alias("confidence"))).alias(
+                "entities",
+            ),
+        ),
+    )
     reply = F.when(k % 4 == 0, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).when(k % 4 == 3, "no json").otherwise(item)
     return table(spark, d, "part").select(k.alias("request_id"), reply.alias("reply"))
 
@@ -314,7 +403,11 @@ def failed_replies(spark, d):
 
 @query("parse_relationship_replies", "SELECT n_nationkey AS request_id, n_name AS source_entity, 'r' || n_regionkey AS target_entity FROM nation")
 def parse_relationship_replies(spark, d):
-    item = F.to_json(F.struct(F.array(F.struct(F.col("n_name").alias("source_entity"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("target_entity"), F.lit("PART_OF").alias("relationship_type"))).alias("relationships")))
+    item = F.to_json(
+        F.struct(
+            F.array(F.struct(F.col("n_name").alias("source_entity"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("target_entity"), F.lit("PART_OF").alias("relationship_type"))).alias("relationships"),
+        ),
+    )
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("request_id"), item.alias("reply"))
     return E.parse_relationship_replies(rows)[0].select("request_id", "source_entity", "target_entity")
 
@@ -322,34 +415,50 @@ def parse_relationship_replies(spark, d):
 @query("parse_rel_duplicates", "SELECT event_id AS request_id, CASE WHEN k >= 0 AND k < 40 THEN k ELSE -1 END AS duplicate_of FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) - 5 AS k FROM events)")
 def parse_rel_duplicates(spark, d):
     n = (F.get_json_object("props", "$.k").cast("int") - 5).cast("string")
-    rows = table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit('{"duplicate_of": '), n, F.lit(', "confidence": 0.8}')).alias("reply"), F.lit(40).alias("n_candidates"))
+    rows = table(spark, d, "events").select(
+        F.col("event_id").alias("request_id"), F.concat(F.lit('{"duplicate_of": '), n, F.lit(', "confidence": 0.8}')).alias("reply"),
+        F.lit(40).alias("n_candidates"),
+    )
     return E.parse_rel_duplicate(rows).select("request_id", F.coalesce("duplicate_of", F.lit(-1)).alias("duplicate_of"))
 
 
 @query("parse_triples", "SELECT DISTINCT n_name AS id, 'Nation' AS type FROM nation UNION SELECT r_name, 'Region' FROM nation JOIN region ON r_regionkey = n_regionkey")
 def parse_triples(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    reply = F.to_json(F.array(F.struct(F.col("n_name").alias("head"), F.lit("Nation").alias("head_type"), F.lit("part of").alias("relation"), F.col("r_name").alias("tail"), F.lit("Region").alias("tail_type"))))
+    reply = F.to_json(
+        F.array(
+            F.struct(
+                F.col("n_name").alias("head"), F.lit("Nation").alias("head_type"), F.lit("part of").alias("relation"), F.col("r_name").alias("tail"),
+                F.lit("Region").alias("tail_type"),
+            ),
+        ),
+    )
     return E.parse_triples(n.select(F.lit(1).alias("request_id"), reply.alias("reply")))[0].select("id", "type").distinct()
 
 
 @query("build_requests", """WITH l AS (SELECT p_brand AS b, string_agg('- ' || p_name || ' (' || p_type || ')' || ': x', chr(10) ORDER BY p_name, '- ' || p_name || ' (' || p_type || ')' || ': x') AS t FROM part GROUP BY 1) SELECT b AS chunk_id, b AS text, t AS entity_lines FROM l""")
 def build_requests(spark, d):
     p = table(spark, d, "part")
-    e = p.select(F.col("p_brand").alias("chunk_id"), F.col("p_name").alias("name"), F.col("p_type").alias("entity_type"), F.lit("x").alias("description"))
+    e = p.select(
+        F.col("p_brand").alias("chunk_id"), F.col("p_name").alias("name"), F.col("p_type").alias("entity_type"), F.lit("x").alias("description"),
+    )
     return E.build_requests(p.select(F.col("p_brand").alias("chunk_id"), F.col("p_brand").alias("content")).distinct(), e)
 
 
 @query("name_forms", "SELECT p_partkey, upper(replace(p_type || ' of', ' ', '_')) AS relation, upper(substring(p_type, 1, 1)) || lower(substring(p_type, 2)) AS kind FROM part")
 def name_forms(spark, d):
-    return table(spark, d, "part").select("p_partkey", N.relation_name(F.concat("p_type", F.lit(" of"))).alias("relation"), N.capitalised(F.col("p_type")).alias("kind"))
+    return table(spark, d, "part").select(
+        "p_partkey", N.relation_name(F.concat("p_type", F.lit(" of"))).alias("relation"), N.capitalised(F.col("p_type")).alias("kind"),
+    )
 
 
 @query("score_rules", """SELECT event_id, CASE WHEN s < 0.4 THEN 'low' WHEN s < 0.7 THEN 'medium' WHEN s < 0.9 THEN 'high' ELSE 'very_high' END AS level, CASE WHEN s >= 0.85 THEN 1.0 ELSE round(greatest(0.0, (s - 0.55) / 0.30), 3) END::DOUBLE AS credit,
   greatest(0.0, least(1.0, value / 100))::DOUBLE AS clamped FROM (SELECT event_id, value, (event_id % 100)::DOUBLE / 100 AS s FROM events)""")
 def score_rules(spark, d):
     s = F.col("event_id") % 100 / 100
-    return table(spark, d, "events").select("event_id", N.confidence_level(s).alias("level"), N.entity_credit(s).alias("credit"), N.clamp01(F.col("value") / 100).alias("clamped"))
+    return table(spark, d, "events").select(
+        "event_id", N.confidence_level(s).alias("level"), N.entity_credit(s).alias("credit"), N.clamp01(F.col("value") / 100).alias("clamped"),
+    )
 
 
 # ---- vectors, retrieval, exports, logs ----
@@ -381,20 +490,36 @@ def retrieve_documents(spark, d):
     e = table(spark, d, "embeddings")
     key = F.concat_ws("/", "query_id", "item_id")
     hits = vector_hits(spark, d).select(key.alias("chunk_id"), "score", "item_id")
-    chunks = hits.join(e, F.col("item_id") == F.col("vec_id")).select("chunk_id", F.col("label").alias("document_id"), F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("content"))
-    docs = e.select(F.col("label").alias("document_id")).distinct().select("document_id", F.lit("None").alias("source_url"), F.concat(F.lit("file"), F.col("document_id").cast("string")).alias("file_name"))
-    return A.retrieve_documents(hits.select("chunk_id", "score"), chunks, docs).select("document_id", "source", F.round("score", 6).alias("score"), "text")
+    chunks = hits.join(e, F.col("item_id") == F.col("vec_id")).select(
+        "chunk_id", F.col("label").alias("document_id"), F.concat(F.lit("t"), F.col("item_id").cast("string")).alias("content"),
+    )
+    docs = (
+        e.select(F.col("label").alias("document_id"))
+        .distinct()
+        .select("document_id", F.lit("None").alias("source_url"), F.concat(F.lit("file"), F.col("document_id").cast("string")).alias("file_name"))
+    )
+    return A.retrieve_documents(hits.select("chunk_id", "score"), chunks, docs).select(
+        "document_id", "source", F.round("score", 6).alias("score"), "text",
+    )
 
 
 @query("processing_stats", "WITH s AS (SELECT o_orderstatus AS processing_status, count(*) AS n, avg(o_totalprice) AS a, sum(o_custkey) AS chunks FROM orders GROUP BY 1) SELECT processing_status, n, round(a, 6) AS avg_length, CAST(chunks AS BIGINT) AS chunks, round(sum(a * n) OVER () / sum(n) OVER (), 6) AS overall_avg FROM s")
 def processing_stats(spark, d):
-    s = A.processing_stats(table(spark, d, "orders").select(F.col("o_orderstatus").alias("processing_status"), F.col("o_totalprice").alias("content_length"), F.col("o_custkey").alias("total_chunks")))
+    s = A.processing_stats(
+        table(spark, d, "orders").select(
+            F.col("o_orderstatus").alias("processing_status"), F.col("o_totalprice").alias("content_length"),
+            F.col("o_custkey").alias("total_chunks"),
+        ),
+    )
     return s.select("processing_status", "n", F.round("avg_length", 6).alias("avg_length"), "chunks", F.round("overall_avg", 6).alias("overall_avg"))
 
 
 @query("usage_metrics", "SELECT event_type AS call_type, count(*) AS calls, sum(user_id)::BIGINT AS tokens, round(avg(value) FILTER (WHERE event_id % 3 <> 0), 6) AS avg_latency, count(*) FILTER (WHERE event_id % 3 = 0) / count(*)::DOUBLE AS hit_rate FROM events GROUP BY 1")
 def usage_metrics(spark, d):
-    calls = table(spark, d, "events").select(F.col("event_type").alias("call_type"), F.col("user_id").alias("tokens"), F.col("value").alias("latency"), (F.col("event_id") % 3 == 0).alias("cached"))
+    calls = table(spark, d, "events").select(
+        F.col("event_type").alias("call_type"), F.col("user_id").alias("tokens"), F.col("value").alias("latency"),
+        (F.col("event_id") % 3 == 0).alias("cached"),
+    )
     return A.usage_metrics(calls).withColumn("avg_latency", F.round("avg_latency", 6))
 
 
@@ -476,7 +601,9 @@ def job_snapshots(spark, d):
     stage = F.element_at(F.array(*map(F.lit, names)), F.get_json_object("props", "$.k").cast("int") % 8 + 1)
     e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "ts", stage.alias("stage"))
     stages = F.array_join(F.transform(F.map_entries("stages"), lambda x: F.concat(x["key"], F.lit("="), x["value"]["n"].cast("string"))), ",")
-    return T.job_snapshots(e).select("job_id", "status", "current_stage", "n_events", stages.alias("stages"), F.array_join("last_events", ",").alias("last_events"), "progress")
+    return T.job_snapshots(e).select(
+        "job_id", "status", "current_stage", "n_events", stages.alias("stages"), F.array_join("last_events", ",").alias("last_events"), "progress",
+    )
 
 
 @query("apply_cancellations", "WITH c AS (SELECT user_id, min(event_id) AS s FROM events WHERE event_type = 'error' GROUP BY 1) SELECT event_id AS seq, s IS NOT NULL AS cancelled FROM events e LEFT JOIN c ON c.user_id = e.user_id WHERE s IS NULL OR event_id <= s")
@@ -493,5 +620,8 @@ def chunk_requests(spark, d):
     from ..operators.chunking import chunk_identity
 
     c = chunk_identity(fixed(spark, d))
-    e = c.select("chunk_id", F.substring("content", 1, 10).alias("name"), F.lit("Concept").alias("entity_type"), F.lit(None).cast("string").alias("description"))
+    e = c.select(
+        "chunk_id", F.substring("content", 1, 10).alias("name"), F.lit("Concept").alias("entity_type"),
+        F.lit(None).cast("string").alias("description"),
+    )
     return E.build_requests(c, e)

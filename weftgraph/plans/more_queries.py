@@ -47,13 +47,23 @@ def document_faults(spark, d):
 @query("coerce_relationships", GRAPH_SQL + "SELECT relationship_id, CASE WHEN relationship_type IN ('PART_OF') OR relationship_type = 'LOCATED_IN' AND k % 2 = 0 THEN 'RELATED_TO' ELSE relationship_type END AS relationship_type, CASE WHEN k % 3 = 0 THEN 1.0 ELSE strength END::DOUBLE AS strength FROM r")
 def coerce_relationships(spark, d):
     t = F.col("relationship_type")
-    rows = relationships(spark, d).withColumn("relationship_type", F.when(t == "PART_OF", "part of").when((t == "LOCATED_IN") & (F.col("k") % 2 == 0), "located_in").otherwise(t)).withColumn("confidence", F.when(F.col("k") % 3 != 0, F.col("strength")))
+    rows = (
+        relationships(spark, d)
+        .withColumn(
+            "relationship_type", F.when(t == "PART_OF", "part of").when((t == "LOCATED_IN") & (F.col("k") % 2 == 0), "located_in").otherwise(t),
+        )
+        .withColumn("confidence", F.when(F.col("k") % 3 != 0, F.col("strength")))
+    )
     return G.coerce_relationships(rows).select("relationship_id", "relationship_type", "strength")
 
 
 @query("page_acceptable", "SELECT page_id, page_id % 3 < 2 AND octet_length(encode(html)) <= 4000 AS ok FROM pages")
 def page_acceptable(spark, d):
-    kind = F.when(F.col("page_id") % 3 == 0, "Text/HTML; charset=utf-8").when(F.col("page_id") % 3 == 1, "application/xhtml+xml").otherwise("image/png")
+    kind = (
+        F.when(F.col("page_id") % 3 == 0, "Text/HTML; charset=utf-8")
+        .when(F.col("page_id") % 3 == 1, "application/xhtml+xml")
+        .otherwise("image/png")
+    )
     return table(spark, d, "pages").select("page_id", P.page_acceptable(kind, F.octet_length("html"), ["html", "text/plain"], 4000).alias("ok"))
 
 
@@ -64,14 +74,20 @@ def allowed_by_list(spark, d):
 
 @query("has_entity_edges", "SELECT DISTINCT 'c' || l_orderkey AS src_id, 'part:' || l_partkey AS dst_id, 'HAS_ENTITY' AS edge_type FROM lineitem")
 def has_entity_edges(spark, d):
-    li = table(spark, d, "lineitem").select(F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("entity_id"), F.array(F.concat(F.lit("c"), F.col("l_orderkey").cast("string"))).alias("source_chunk_ids"))
+    li = table(spark, d, "lineitem").select(
+        F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("entity_id"),
+        F.array(F.concat(F.lit("c"), F.col("l_orderkey").cast("string"))).alias("source_chunk_ids"),
+    )
     return C.has_entity_edges(li)
 
 
 @query("provenance_edges", "SELECT 'customer:' || o_custkey AS src_id, 'c' || o_orderkey AS dst_id, 'EXTRACTED_FROM' AS edge_type FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")
 def provenance_edges(spark, d):
     chunk = F.concat(F.lit("c"), F.col("o_orderkey").cast("string"))
-    rows = table(spark, d, "orders").select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("entity_id"), F.array(chunk).alias("source_chunk_ids"), F.when(F.col("o_orderstatus") == "F", F.array(chunk)).alias("old_chunk_ids"))
+    rows = table(spark, d, "orders").select(
+        F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("entity_id"), F.array(chunk).alias("source_chunk_ids"),
+        F.when(F.col("o_orderstatus") == "F", F.array(chunk)).alias("old_chunk_ids"),
+    )
     chunks = table(spark, d, "lineitem").where("l_linenumber = 2").select(F.concat(F.lit("c"), F.col("l_orderkey").cast("string")).alias("chunk_id"))
     return C.provenance_edges(rows, "entity_id", "EXTRACTED_FROM", chunks)
 
@@ -80,9 +96,14 @@ def provenance_edges(spark, d):
   SELECT 'n' || a || '-' || b AS relationship_id, CASE WHEN (a + b) % 4 < len(c) AND a % 3 > 0 THEN c[(a + b) % 4 + 1] END AS duplicate_id FROM s""")
 def apply_rel_decisions(spark, d):
     pair = F.concat(F.lit("n"), F.concat_ws("-", "l_suppkey", "l_partkey")).alias("relationship_id")
-    li = table(spark, d, "lineitem").select(pair, "l_suppkey", "l_partkey", F.concat(F.lit("r"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("old"))
+    li = table(spark, d, "lineitem").select(
+        pair, "l_suppkey", "l_partkey", F.concat(F.lit("r"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("old"),
+    )
     candidates = li.groupBy("relationship_id", "l_suppkey", "l_partkey").agg(F.array_sort(F.collect_set("old")).alias("candidates"))
-    decisions = candidates.select("relationship_id", ((F.col("l_suppkey") + F.col("l_partkey")) % 4).cast("int").alias("duplicate_of"), F.when(F.col("l_suppkey") % 3 > 0, 0.7).otherwise(0.69).alias("confidence"))
+    decisions = candidates.select(
+        "relationship_id", ((F.col("l_suppkey") + F.col("l_partkey")) % 4).cast("int").alias("duplicate_of"),
+        F.when(F.col("l_suppkey") % 3 > 0, 0.7).otherwise(0.69).alias("confidence"),
+    )
     return J.apply_rel_decisions(candidates.select("relationship_id"), candidates, decisions)
 
 
@@ -98,8 +119,13 @@ def upsert_stored_relationships(spark, d):
         F.concat(F.lit("o"), k.cast("string")).alias("relationship_id"), k.alias("seq"), (k % 3 == 0).alias("old"), F.least(F.lit(1.0), F.col("o_totalprice") / 1000000).alias("strength"),
         F.when(k % 4 != 0, F.col("o_orderpriority")).alias("description"), F.array(F.concat(F.lit("t"), (k % 5).cast("string"))).alias("tags"), F.create_map(F.lit("note"), F.concat(F.lit("q"), k.cast("string"))).alias("properties"), F.lit(4).alias("version"),
     )
-    u = J.upsert_relationships(x.where("old").withColumn("seq", F.col("seq") - 1000000000).drop("old"), x.where("not old").drop("old"), entities(spark, d))
-    return u.select("source_entity_id", "target_entity_id", "relationship_id", "strength", "description", F.array_join("tags", ",").alias("tags"), F.col("properties")["note"].alias("note"), F.col("version").cast("long").alias("version"))
+    u = J.upsert_relationships(
+        x.where("old").withColumn("seq", F.col("seq") - 1000000000).drop("old"), x.where("not old").drop("old"), entities(spark, d),
+    )
+    return u.select(
+        "source_entity_id", "target_entity_id", "relationship_id", "strength", "description", F.array_join("tags", ",").alias("tags"),
+        F.col("properties")["note"].alias("note"), F.col("version").cast("long").alias("version"),
+    )
 
 
 @query("merge_pairs", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS entity_id, CASE WHEN o_orderkey % 2 = 0 THEN coalesce(da, db) ELSE coalesce(db, da) END AS description, CASE WHEN o_orderkey % 2 = 0 THEN 'vb' ELSE 'va' END AS v,
@@ -114,8 +140,12 @@ def merge_pairs(spark, d):
             F.array(alias).alias("aliases"), F.array(F.lit("c" + name)).alias("source_chunk_ids"), F.create_map(F.lit("v"), F.lit("v" + name)).alias("properties"),
         ).alias(name)
 
-    rows = table(spark, d, "orders").select("o_orderkey", side("a", F.lit(0.5), 3, "o_orderstatus"), side("b", F.when(k % 2 == 0, 0.5).otherwise(0.6), 5, "o_orderpriority"))
-    merged = J.merge_pairs(rows.select("a", "b", "o_orderkey").withColumn("a", F.struct("a.*", "o_orderkey")).withColumn("b", F.struct("b.*", "o_orderkey")))
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", side("a", F.lit(0.5), 3, "o_orderstatus"), side("b", F.when(k % 2 == 0, 0.5).otherwise(0.6), 5, "o_orderpriority"),
+    )
+    merged = J.merge_pairs(
+        rows.select("a", "b", "o_orderkey").withColumn("a", F.struct("a.*", "o_orderkey")).withColumn("b", F.struct("b.*", "o_orderkey")),
+    )
     return merged.select("o_orderkey", "entity_id", "description", F.col("properties")["v"].alias("v"), F.array_join("aliases", ",").alias("aliases"))
 
 
@@ -150,14 +180,18 @@ def delete_documents(spark, d):
 @query("rel_texts", GRAPH_SQL + "SELECT relationship_id, concat_ws(' ', a.name, relationship_type, b.name, CASE WHEN r.description <> '' THEN r.description END) AS text FROM r JOIN e a ON a.entity_id = source_entity_id JOIN e b ON b.entity_id = target_entity_id")
 def rel_texts(spark, d):
     rows = G.enrich_endpoints(relationships(spark, d), entities(spark, d))
-    return rows.select("relationship_id", N.rel_text(F.col("source_name"), F.col("relationship_type"), F.col("target_name"), F.col("description")).alias("text"))
+    return rows.select(
+        "relationship_id", N.rel_text(F.col("source_name"), F.col("relationship_type"), F.col("target_name"), F.col("description")).alias("text"),
+    )
 
 
 @query("list_reviews", CONFLICT_SQL + """, q AS (SELECT sha1(concat_ws(':', new_relationship_id, old_relationship_id)) AS review_id, md5(old_relationship_id) AS created FROM c WHERE conflict_type IS NOT NULL),
   z AS (SELECT *, CASE WHEN review_id < '4' THEN 'approved' WHEN review_id < '8' THEN 'rejected' ELSE 'pending' END AS review_status FROM q) SELECT review_id, review_status FROM z WHERE review_status = 'rejected' ORDER BY created DESC, review_id LIMIT 50 OFFSET 10""")
 def list_reviews(spark, d):
     q = W.enqueue_reviews(conflicts(spark, d)).withColumn("created", F.md5("old_relationship_id"))
-    decided = q.where("review_id < '8'").select("review_id", F.when(F.col("review_id") < "4", "approve").otherwise("reject").alias("decision"), F.lit("seen").alias("notes"))
+    decided = q.where("review_id < '8'").select(
+        "review_id", F.when(F.col("review_id") < "4", "approve").otherwise("reject").alias("decision"), F.lit("seen").alias("notes"),
+    )
     return W.list_reviews(W.decide_reviews(q, decided), "rejected", 50, 10).select("review_id", "review_status")
 
 

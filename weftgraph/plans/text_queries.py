@@ -31,7 +31,10 @@ IDENTITY_SQL = FIXED_SQL + """, i AS (SELECT *, sha1(concat_ws(':', document_id,
 
 @query("chunk_documents", FIXED_SQL + " SELECT document_id, CAST(chunk_index AS BIGINT) AS chunk_index, content, CAST(start_position AS BIGINT) AS start_position FROM c")
 def chunk_documents(spark, d):
-    return fixed(spark, d).select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content", F.col("start_position").cast("long").alias("start_position"))
+    return fixed(spark, d).select(
+        "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content",
+        F.col("start_position").cast("long").alias("start_position"),
+    )
 
 
 @query("chunk_window", "WITH " + WINDOW_SQL.format(step=900, size=1000) + " SELECT document_id, CAST(chunk_index AS BIGINT) AS chunk_index, content FROM w")
@@ -63,7 +66,11 @@ def chunk_semantic(spark, d):
     s = docs(spark, d).select("document_id", C.split_sentences(F.col("content")).alias("sentences"))
     each = s.select("document_id", F.posexplode("sentences").alias("pos", "sentence")).withColumn("vector", hashed_embedding("sentence"))
     held = F.array_sort(F.collect_list(F.struct("pos", "sentence", "vector")))
-    rows = each.groupBy("document_id").agg(held.alias("held")).select("document_id", F.col("held.sentence").alias("sentences"), F.col("held.vector").alias("vectors"))
+    rows = (
+        each.groupBy("document_id")
+        .agg(held.alias("held"))
+        .select("document_id", F.col("held.sentence").alias("sentences"), F.col("held.vector").alias("vectors"))
+    )
     return C.chunk_semantic(rows)
 
 
@@ -72,7 +79,11 @@ def chunk_semantic(spark, d):
   round(list_sum(list_transform(words, lambda x: length(x))) / len(words)::DOUBLE, 9) AS avg_word_length, round(len(words) / length(content)::DOUBLE, 9) AS content_density FROM v""")
 def chunk_stats(spark, d):
     s = C.chunk_stats(fixed(spark, d))
-    return s.select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("word_count").cast("long").alias("word_count"), F.col("sentence_count").cast("long").alias("sentence_count"), F.round("avg_word_length", 9).alias("avg_word_length"), F.round("content_density", 9).alias("content_density"))
+    return s.select(
+        "document_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("word_count").cast("long").alias("word_count"),
+        F.col("sentence_count").cast("long").alias("sentence_count"), F.round("avg_word_length", 9).alias("avg_word_length"),
+        F.round("content_density", 9).alias("content_density"),
+    )
 
 
 @query("chunk_identity", IDENTITY_SQL + """ SELECT document_id, chunk_index, chunk_id, length(content) AS length, row_number() OVER w AS position,
@@ -101,7 +112,10 @@ COMBINED_SQL = IDENTITY_SQL + """, b AS (SELECT document_id, chunk_index // 4 AS
 @query("combine_chunks", COMBINED_SQL + " SELECT document_id, batch, md5(content) AS digest, array_to_string(ids, ',') AS ids FROM b")
 def combine_chunks(spark, d):
     s = C.combine_chunks(C.chunk_identity(fixed(spark, d)), 4)
-    return s.select("document_id", F.col("batch").cast("long").alias("batch"), F.md5("content").alias("digest"), F.array_join("combined_chunk_ids", ",").alias("ids"))
+    return s.select(
+        "document_id", F.col("batch").cast("long").alias("batch"), F.md5("content").alias("digest"),
+        F.array_join("combined_chunk_ids", ",").alias("ids"),
+    )
 
 
 @query("spread_combined", COMBINED_SQL + " SELECT unnest(ids) AS chunk_id, document_id, batch FROM b")
@@ -136,7 +150,9 @@ def snippets(spark, d):
 
 @query("content_ids", "SELECT doc_id, sha1(concat_ws(':', doc_id, source)) AS id, sha256(text) AS content_hash FROM documents")
 def content_ids(spark, d):
-    return table(spark, d, "documents").select("doc_id", N.content_id(F.col("doc_id"), F.col("source")).alias("id"), F.sha2("text", 256).alias("content_hash"))
+    return table(spark, d, "documents").select(
+        "doc_id", N.content_id(F.col("doc_id"), F.col("source")).alias("id"), F.sha2("text", 256).alias("content_hash"),
+    )
 
 
 @query("negations", "SELECT doc_id, {} AS negated FROM (SELECT doc_id, lower(trim(text)) AS t FROM documents)".format(" OR ".join(f"starts_with(t, '{w.replace(chr(39), chr(39) * 2)}') OR contains(t, ' {w.replace(chr(39), chr(39) * 2)}')" for w in N.NEGATIONS)))
@@ -167,7 +183,9 @@ def text_to_doc(spark, d):
 
 @query("markdown_to_doc", "WITH t AS (SELECT doc_id, '# Part ' || doc_id || chr(10) || '*' || text || '*' AS m FROM documents) SELECT doc_id, trim(regexp_extract(m, '(?m)^#\\s+(.+)$', 1)) AS title, " + CLEAN.format("translate(m, '#*_`[]()', '')") + " AS body FROM t")
 def markdown_to_doc(spark, d):
-    m = table(spark, d, "documents").select("doc_id", F.concat(F.lit("# Part "), F.col("doc_id").cast("string"), F.lit("\n*"), "text", F.lit("*")).alias("m"))
+    m = table(spark, d, "documents").select(
+        "doc_id", F.concat(F.lit("# Part "), F.col("doc_id").cast("string"), F.lit("\n*"), "text", F.lit("*")).alias("m"),
+    )
     title, body = S.markdown_to_doc(F.col("m"))
     return m.select("doc_id", title.alias("title"), body.alias("body"))
 
@@ -180,7 +198,9 @@ def json_to_doc(spark, d):
 
 @query("rows_to_doc", """SELECT n_regionkey::VARCHAR AS file, 'CSV Data: n_nationkey, n_name' AS title, 'n_nationkey | n_name' || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS content, count(*) AS row_count FROM nation GROUP BY 1""")
 def rows_to_doc(spark, d):
-    rows = table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("file"), F.col("n_nationkey").alias("place"), "n_nationkey", "n_name")
+    rows = table(spark, d, "nation").select(
+        F.col("n_regionkey").cast("string").alias("file"), F.col("n_nationkey").alias("place"), "n_nationkey", "n_name",
+    )
     return S.rows_to_doc(rows, "place").select("file", "title", "content", F.col("row_count").cast("long").alias("row_count"))
 
 
@@ -193,9 +213,14 @@ def elements_to_pages(spark, d):
 
 @query("documents_from_text", "SELECT doc_id AS document_id, trim(text) AS content, 'text://' || doc_id AS source_url, length(trim(text)) AS content_length, array_to_string(CASE WHEN trim(source) = '' THEN [] ELSE [lower(trim(source))] END, ',') AS tags FROM documents WHERE trim(coalesce(text, '')) <> ''")
 def documents_from_text(spark, d):
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.lit(None).cast("string").alias("source_url"), F.array(F.upper("source"), F.lit(" ")).alias("tags"))
+    t = table(spark, d, "documents").select(
+        F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.lit(None).cast("string").alias("source_url"),
+        F.array(F.upper("source"), F.lit(" ")).alias("tags"),
+    )
     ok, _ = S.documents_from_text(t)
-    return ok.select("document_id", "content", "source_url", F.col("content_length").cast("long").alias("content_length"), F.array_join("tags", ",").alias("tags"))
+    return ok.select(
+        "document_id", "content", "source_url", F.col("content_length").cast("long").alias("content_length"), F.array_join("tags", ",").alias("tags"),
+    )
 
 
 @query("content_types", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'html' WHEN 1 THEN 'json' WHEN 2 THEN 'markdown' ELSE 'text' END AS kind FROM pages")

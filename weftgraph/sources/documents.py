@@ -13,7 +13,9 @@ from ..functions.core import clamp01, clean_text, content_id
 
 # The order in which a MIME type's words decide a reader, and file extensions.
 MIME_WORDS = ("html", "json", "xml", "pdf", "csv", "markdown")
-EXTENSIONS = {"html": "html", "htm": "html", "json": "json", "xml": "xml", "pdf": "pdf", "csv": "csv", "md": "markdown", "markdown": "markdown", "txt": "text"}
+EXTENSIONS = {
+    "html": "html", "htm": "html", "json": "json", "xml": "xml", "pdf": "pdf", "csv": "csv", "md": "markdown", "markdown": "markdown", "txt": "text",
+}
 
 
 def documents_from_text(df: DataFrame, pages: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +140,10 @@ def csv_to_doc(spark: SparkSession, path: str, lines: int = 10_000) -> DataFrame
     rows = spark.read.option("header", True).csv(path)
     cells = rows.columns
     at = F.monotonically_increasing_id()
-    placed = rows.select(F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in cells]).alias("line"), F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    placed = rows.select(
+        F.concat_ws(" | ", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in cells]).alias("line"), F.col("_metadata.file_path").alias("file"),
+        at.alias("at"),
+    )
     held = F.array_sort(F.collect_list(F.struct("at", "line")))
     return placed.groupBy("file", F.expr(f"shiftright(at, 33) * {1 << 33} + (at & {(1 << 33) - 1}) div {lines}").alias("part")).agg(held.alias("held")).select(
         "file", "part", F.lit("CSV Data: " + ", ".join(cells[:3])).alias("title"),
@@ -154,7 +159,9 @@ def xml_to_doc(xml: Column) -> tuple[Column, Column]:
 
 def json_pages(spark: SparkSession, path: str) -> DataFrame:
     """A page for each item of JSON array files: file, page_number, total_pages, text (list values joined by line feeds)."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", "array<map<string,string>>").alias("items"))
+    raw = spark.read.text(path, wholetext=True).select(
+        F.input_file_name().alias("file"), F.from_json("value", "array<map<string,string>>").alias("items"),
+    )
     lists = F.transform_values("item", lambda k, v: F.coalesce(F.array_join(F.from_json(v, "array<string>"), "\n"), v))
     rows = raw.select("file", F.size("items").alias("total_pages"), F.posexplode("items").alias("pos", "item"))
     return rows.select("file", (F.col("pos") + 1).alias("page_number"), "total_pages", F.array_join(F.map_values(lists), "\n").alias("text"))
@@ -162,7 +169,10 @@ def json_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def product_text(title: Column, keywords: Column, description: Column, specification: Column) -> Column:
     """Labelled text of a product; lists by line feeds, lists of maps as ``k: v`` lines."""
-    spec = F.array_join(F.transform(specification, lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n")), "\n")
+    spec = F.array_join(
+        F.transform(specification, lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n")),
+        "\n",
+    )
     parts = [("Title", title), ("Keywords", F.array_join(keywords, ", ")), ("Description", description), ("Specification", spec)]
     return F.concat_ws("\n", *[F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k}: "), v)) for k, v in parts])
 
@@ -170,7 +180,9 @@ def product_text(title: Column, keywords: Column, description: Column, specifica
 def elements_to_pages(elements: DataFrame) -> DataFrame:
     """Elements (file, page, pos, text) of one page joined in order; those without a number form one page."""
     held = F.array_sort(F.collect_list(F.struct("pos", "text")))
-    return elements.groupBy("file", F.coalesce("page", F.lit(0)).alias("page_number")).agg(F.array_join(F.transform(held, lambda x: x["text"]), "\n").alias("text"))
+    return elements.groupBy("file", F.coalesce("page", F.lit(0)).alias("page_number")).agg(
+        F.array_join(F.transform(held, lambda x: x["text"]), "\n").alias("text"),
+    )
 
 
 def documents_from_pages(pages: DataFrame, least: int = 50) -> DataFrame:
@@ -179,7 +191,10 @@ def documents_from_pages(pages: DataFrame, least: int = 50) -> DataFrame:
     text = clean_text(F.regexp_replace(bare, r"<[^>]+>", " "))
     title = html_title(F.col("html"))
     rows = pages.withColumn("content", text).where(F.length("content") >= least)
-    return rows.select(F.sha1("url").alias("document_id"), "url", F.when(title != "", title).otherwise(F.col("url")).alias("title"), "content", F.array(F.lit("web-crawl")).alias("tags"))
+    return rows.select(
+        F.sha1("url").alias("document_id"), "url", F.when(title != "", title).otherwise(F.col("url")).alias("title"), "content",
+        F.array(F.lit("web-crawl")).alias("tags"),
+    )
 
 
 def ingest_associations(rows: DataFrame, least_score: float = 0.0, tag: str = "associations") -> tuple[DataFrame, DataFrame]:
@@ -189,9 +204,16 @@ def ingest_associations(rows: DataFrame, least_score: float = 0.0, tag: str = "a
     its name, which becomes an alias where they differ.
     """
     kept = rows.where(F.col("score") >= least_score)
-    disease = kept.select(content_id(F.lit("disease"), F.col("disease_id")).alias("entity_id"), F.col("disease_name").alias("name"), F.lit(None).cast("string").alias("alias"), F.concat_ws(",", F.lit(tag), F.lit("disease")).alias("tags"))
+    disease = kept.select(
+        content_id(F.lit("disease"), F.col("disease_id")).alias("entity_id"), F.col("disease_name").alias("name"),
+        F.lit(None).cast("string").alias("alias"), F.concat_ws(",", F.lit(tag), F.lit("disease")).alias("tags"),
+    )
     name = F.coalesce("symbol", "target_name")
-    target = kept.select(content_id(F.lit("target"), F.col("target_id")).alias("entity_id"), name.alias("name"), F.when(F.col("symbol") != F.col("target_name"), F.col("target_name")).alias("alias"), F.concat_ws(",", F.lit(tag), F.lit("target"), "biotype").alias("tags"))
+    target = kept.select(
+        content_id(F.lit("target"), F.col("target_id")).alias("entity_id"), name.alias("name"),
+        F.when(F.col("symbol") != F.col("target_name"), F.col("target_name")).alias("alias"),
+        F.concat_ws(",", F.lit(tag), F.lit("target"), "biotype").alias("tags"),
+    )
     nodes = disease.unionByName(target).distinct().select("*", F.lit("Concept").alias("entity_type"), F.lit("reviewed").alias("trust"))
     edges = kept.groupBy("disease_id", "target_id").agg(F.max("score").alias("score")).select(
         content_id(F.lit("disease"), F.col("disease_id")).alias("source_entity_id"), content_id(F.lit("target"), F.col("target_id")).alias("target_entity_id"), F.lit("RELATED_TO").alias("relationship_type"),
@@ -205,13 +227,22 @@ def ingest_articles(rows: DataFrame, mesh: bool = True, keywords: bool = True) -
     none = F.array().cast("array<string>")
     terms = F.array_union(F.coalesce("mesh_terms", none) if mesh else none, F.coalesce("keywords", none) if keywords else none)
     article = content_id(F.lit("article"), F.col("pmid"))
-    docs = rows.select(article.alias("entity_id"), F.col("title").alias("name"), F.lit("Document").alias("entity_type"), F.substring("abstract", 1, 500).alias("description"))
+    docs = rows.select(
+        article.alias("entity_id"), F.col("title").alias("name"), F.lit("Document").alias("entity_type"),
+        F.substring("abstract", 1, 500).alias("description"),
+    )
     people = rows.select(article.alias("source_entity_id"), F.explode(F.array_distinct(F.coalesce("authors", none))).alias("name"))
     topics = rows.select(article.alias("source_entity_id"), F.explode(terms).alias("name"))
     nodes, edges = docs, None
     for df, kind, label in ((people, "Person", "AUTHORED_BY"), (topics, "Concept", "CATEGORIZED_AS")):
         named = df.withColumn("target_entity_id", content_id(F.lit(kind), F.lower(F.trim("name"))))
-        nodes = nodes.unionByName(named.groupBy(F.col("target_entity_id").alias("entity_id")).agg(F.min("name").alias("name")).select("entity_id", "name", F.lit(kind).alias("entity_type"), F.lit(None).cast("string").alias("description")))
+        nodes = nodes.unionByName(
+            (
+                named.groupBy(F.col("target_entity_id").alias("entity_id"))
+                .agg(F.min("name").alias("name"))
+                .select("entity_id", "name", F.lit(kind).alias("entity_type"), F.lit(None).cast("string").alias("description"))
+            ),
+        )
         more = named.select("source_entity_id", "target_entity_id", F.lit(label).alias("relationship_type")).distinct()
         edges = more if edges is None else edges.unionByName(more)
     return nodes, edges
@@ -219,7 +250,11 @@ def ingest_articles(rows: DataFrame, mesh: bool = True, keywords: bool = True) -
 
 def read_curation_events(spark: SparkSession, path: str) -> DataFrame:
     """Curation events from JSON array files."""
-    return spark.read.schema("action string, target_id string, reason string, curator string, corrections map<string,string>").option("multiLine", "true").json(path)
+    return (
+        spark.read.schema("action string, target_id string, reason string, curator string, corrections map<string,string>")
+        .option("multiLine", "true")
+        .json(path)
+    )
 
 
 def read_context_map(spark: SparkSession, path: str) -> DataFrame:

@@ -36,13 +36,18 @@ def job_snapshots(events: DataFrame, last: int = 200) -> DataFrame:
     some = events.select("job_id", "seq").withColumn("n", F.row_number().over(salted)).where(F.col("n") <= last)
     some = some.withColumn("n", F.row_number().over(whole)).where(F.col("n") <= last)
     held = some.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "seq"))), lambda x: x["seq"]).alias("last_events"))
-    by_stage = events.groupBy("job_id", "stage").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.max("seq").alias("last_seq"))
+    by_stage = events.groupBy("job_id", "stage").agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.max("seq").alias("last_seq"),
+    )
     rows = by_stage.groupBy("job_id").agg(
         F.max_by("stage", "last_seq").alias("current_stage"), F.max("last_at").alias("updated_at"), F.sum("n").alias("n_events"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.struct("n", "first_at", "last_at"))))).alias("stages"),
     )
     progress = F.round(job_progress(F.map_keys("stages"), F.col("current_stage"), F.lit(1.0)), 6)
-    return rows.join(held, "job_id").select("job_id", _status(F.col("current_stage")).alias("status"), "current_stage", "stages", "updated_at", "n_events", "last_events", progress.alias("progress"))
+    return rows.join(held, "job_id").select(
+        "job_id", _status(F.col("current_stage")).alias("status"), "current_stage", "stages", "updated_at", "n_events", "last_events",
+        progress.alias("progress"),
+    )
 
 
 def changed_snapshots(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -56,7 +61,11 @@ def stream_snapshots(events: DataFrame, target: str, checkpoint: str, lateness:
 
     State is dropped after a day without events. A repeated batch writes the same folder again.
     """
-    rows = events.withWatermark("ts", lateness).groupBy("job_id").agg(F.max_by("stage", "seq").alias("current_stage"), F.max("ts").alias("updated_at"), F.count("*").alias("n_events"))
+    rows = (
+        events.withWatermark("ts", lateness)
+        .groupBy("job_id")
+        .agg(F.max_by("stage", "seq").alias("current_stage"), F.max("ts").alias("updated_at"), F.count("*").alias("n_events"))
+    )
 
     def put(batch: DataFrame, n: int) -> None:
         batch.withColumn("status", _status(F.col("current_stage"))).write.mode("overwrite").parquet(f"{target}/batch={n}")
@@ -92,7 +101,12 @@ def upsert_graph(spark: SparkSession, path: str, n: int, entities: DataFrame, ed
     known = upsert_entities(stored("entities", entities), entities)
     known.write.mode("overwrite").parquet(f"{path}/version={n}/entities")
     known = spark.read.parquet(f"{path}/version={n}/entities")
-    final = entities.select(F.col("entity_id").alias("was"), "name", "entity_type").distinct().join(known.select("name", "entity_type", "entity_id"), ["name", "entity_type"]).select("was", "entity_id")
+    final = (
+        entities.select(F.col("entity_id").alias("was"), "name", "entity_type")
+        .distinct()
+        .join(known.select("name", "entity_type", "entity_id"), ["name", "entity_type"])
+        .select("was", "entity_id")
+    )
     for end in ("source", "target"):
         c = f"{end}_entity_id"
         edges = edges.join(final.withColumnsRenamed({"was": c, "entity_id": "final"}), c, "left").withColumn(c, F.coalesce("final", c)).drop("final")
@@ -116,10 +130,24 @@ def stream_documents(spark: SparkSession, source: str, target: str, checkpoint:
         if extract:
             upsert_graph(spark, f"{target}-graph", n, *extract(spark.read.parquet(f"{target}/batch={n}")))
 
-    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return (
+        spark.readStream.schema(schema)
+        .parquet(source)
+        .writeStream.foreachBatch(take)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def stream_curation(spark: SparkSession, source: str, apply, checkpoint: str) -> StreamingQuery:
     """JSON curation events by batches to ``apply(events, batch number)``, which must be idempotent by the number."""
     schema = "seq long, action string, target_id string, curator string, reason string, corrections map<string,string>"
-    return spark.readStream.schema(schema).json(source).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return (
+        spark.readStream.schema(schema)
+        .json(source)
+        .writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
