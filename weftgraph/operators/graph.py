@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import name_similarity, valid_types
 from ..schemas import ENTITY_TYPES, RELATIONSHIP_TYPES
+from ..staging import stage
 from .blocks import in_blocks
 from .stars import star_components
 
@@ -104,6 +105,19 @@ def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))  # one row
 
 
+def with_place(df: DataFrame, order: list[str], name: str = "place") -> DataFrame:
+    """Rows with their place (from 1) in an order of the whole table, which no task sorts alone.
+
+    Range partitions hold neighbouring rows; their totals, one row each, give the place at which each partition starts.
+    """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    spread = stage(spread, "places").withColumn("_part", F.shiftright("_id", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spread.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    return spread.join(F.broadcast(starts), "_part").select(*df.columns, place.alias(name))
+
+
 def list_entities(entities: DataFrame, entity_type: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     return page(entities.where(F.col("entity_type") == entity_type) if entity_type else entities, ["entity_id"], limit, offset)
 

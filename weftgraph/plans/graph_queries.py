@@ -71,12 +71,9 @@ def list_relationships(spark, d):
     return G.list_relationships(relationships(spark, d), "MANUFACTURES", "supplier:7", limit=20).select("relationship_id", "strength", "total")
 
 
-@query("entities_by_type_ordered", GRAPH_SQL + "SELECT name, entity_id, row_number() OVER (ORDER BY name, entity_id) AS place FROM e WHERE entity_type = 'Location'")
+@query("entities_by_type_ordered", GRAPH_SQL + "SELECT name, entity_id, row_number() OVER (ORDER BY name, entity_id) AS place FROM e WHERE entity_type = 'Organization'")
 def entities_by_type_ordered(spark, d):
-    from pyspark.sql import Window
-
-    found = entities(spark, d).where("entity_type = 'Location'")
-    return found.select("name", "entity_id", F.row_number().over(Window.orderBy("name", "entity_id")).cast("long").alias("place"))
+    return G.with_place(entities(spark, d).where("entity_type = 'Organization'").select("name", "entity_id"), ["name", "entity_id"])
 
 
 @query("lookup_with_missing", GRAPH_SQL + """, w AS (SELECT DISTINCT 'customer:' || user_id AS entity_id FROM events)
