@@ -143,7 +143,9 @@ def _classes(k: int):
     return run
 
 
-def _keys(percent: int, k: int):
+def _keys(percent: int, k: int, spans: bool = False):
+    """Bucket keys and marks; with ``spans`` the keys of a chunk once each, with the least and the largest mark that has it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for b in batches:
@@ -153,7 +155,15 @@ def _keys(percent: int, k: int):
                 new = np.array([not (m in seen or seen.add(m)) for m in mark.tolist()], dtype=bool)
                 key, which = signatures(values, bounds, bands)
                 use = new[which]
-                yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(mark[which[use]])], names=["key", "mark"])
+                key, mark = key[use], mark[which[use]]
+                if spans:
+                    order = np.lexsort((mark, key))
+                    key, mark = key[order], mark[order]
+                    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+                    last = np.append(head[1:], len(key))[: len(head)] - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(key[head]), pa.array(mark[head]), pa.array(mark[last])], names=["key", "low", "high"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mark)], names=["key", "mark"])
             if len(seen) > 100_000:
                 seen.clear()
 
@@ -412,7 +422,9 @@ def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
         "classes",
     )
     keys = rows.select("text").mapInArrow(_keys(percent, k), "key long, mark long")
-    shared = stage(keys.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("key"), "shared")
+    # chunks are combined where they are made; few keys stand in two chunks of a task, so a hash table there would cost memory for nothing
+    spans = rows.select("text").mapInArrow(_keys(percent, k, True), "key long, low long, high long").repartition("key")
+    shared = stage(spans.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key"), "shared")
     met = stage(with_may(keys, shared).where("may").select("key", "mark").distinct().join(shared, "key"), "met")
     met = stage(_once(met), "trees")
 

@@ -23,7 +23,7 @@ from ..staging import stage
 _LETTERS = regex.compile(r"\p{L}+")
 
 #: Tokens beyond which a worker forgets those it has scored; rows scored at a time; steps of a unit of log frequency.
-MEMORY_TOKENS, ROWS, SCALE = 300_000, 200, 1 << 16
+MEMORY_TOKENS, ROWS, SCALE = 150_000, 200, 1 << 16
 
 
 def one_of_each(rows: DataFrame, key: str) -> DataFrame:
@@ -133,22 +133,21 @@ class Scorer:
 
     def __init__(self, model: dict) -> None:
         self.model, self.width, self.rows = model, len(model["langs"]), model["rows"]
-        self.logs = {k: [tuple(r) for r in v.tolist()] for k, v in model["logs"].items()}
         self.places: dict[str, int] = {}
         self.table = np.zeros((0, self.width + 1), np.int64)
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> list[int]:
         """Scores of one word: its own when known, else the mean over its n-grams of the longest known order."""
         at = self.rows[0].get(word)
         if at is not None:
-            return self.logs[0][at]
+            return self.model["logs"][0][at].tolist()
         framed = f" {word} "
         for n in self.model["orders"]:
-            known, logs = self.rows[n].get, self.logs[n]
-            found = [logs[i] for k in range(len(framed) - n + 1) if (i := known(framed[k : k + n])) is not None]
+            known = self.rows[n].get
+            found = [i for k in range(len(framed) - n + 1) if (i := known(framed[k : k + n])) is not None]
             if found:
-                return tuple([sum(c) // len(found) for c in zip(*found, strict=True)])
-        return (0,) * self.width
+                return (self.model["logs"][n][found].sum(axis=0, dtype=np.int64) // len(found)).tolist()
+        return [0] * self.width
 
     def token(self, token: str) -> list[int]:
         words = _LETTERS.findall(token)
