@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_texts
 from .jaccard import jaccard_components
 from .langid import fit_languages, fold, identify_languages
 from .licenses import scan_licenses
@@ -16,7 +17,10 @@ from .packing import pack_documents
 from .quality import fit_quality, judge_quality
 from .repeats import cut_repeats
 from .sharding import shard_documents
+from .tokens import decode_documents, encode_documents, piece_table
 from .toxicity import fit_toxicity, score_toxicity
+from .variants import count_words, variant_groups
+from .vocabularies import rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +96,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir)).drop("shard")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_groups(count_words(documents(spark, sf_dir), 6, 5, drop_every=199), 5)
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary()
+    found = decode_documents(encode_documents(documents(spark, sf_dir), path), piece_table(spark, path), rules(path).joint)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_texts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))[0]
+
+
 QUERIES: dict[str, Query] = {
     "op1_repeats": op1_repeats,
     "op2_quality": op2_quality,
@@ -103,6 +121,9 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard": op8_jaccard,
     "op9_langid": op9_langid,
     "op10_media": op10_media,
+    "op11_variants": op11_variants,
+    "op12_bpe": op12_bpe,
+    "op13_alignment": op13_alignment,
 }
 
 #: None of these can be expressed in SQL that DuckDB runs: tests hold them against brute force.
