@@ -6,22 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import entity_text, rel_credit, search_terms
-from .blocks import in_blocks
+from .automaton import find_terms
 from .graph import check_endpoints, enrich_endpoints
 from .verify import classify_entities, classify_relationships, detect_conflicts, verify_cascade, verify_text
 
 def claim_entities(claims: DataFrame, entities: DataFrame, most: int | None = 50) -> DataFrame:
     """(claim_id, entity_id): entities whose name holds a term of the claim; the first ``most`` by id (None: all).
 
-    Terms are a stated query set held against all entities in blocks.
+    All terms are found in one pass over the names by an automaton; claims join by the terms that were found.
     """
     terms = (
         claims.select("claim_id", F.explode(search_terms(F.col("text"))).alias("term"))
         .select("claim_id", F.lower("term").alias("term"))
         .distinct()
     )
-    names = entities.select("entity_id", F.lower("name").alias("n"))
-    found = in_blocks(terms, ["claim_id", "term"], lambda some: names.join(some, F.col("n").contains(F.col("term"))).select("claim_id", "entity_id"))
+    hits = find_terms(entities.select("entity_id", F.lower("name").alias("text")), terms, ["entity_id"])
+    found = hits.join(terms, "term").select("claim_id", "entity_id")
     found = found.distinct()
     if most is None:
         return found

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import snippet
+from ..schemas import RELATIONSHIP_TYPES
 from .graph import enrich_endpoints
 
 # The actions that events may name.
@@ -26,30 +27,62 @@ def validate_events(events: DataFrame) -> DataFrame:
     return events.select("seq", message.alias("message")).where("message is not null")
 
 
+def _faults(kind: str, fields: tuple[str, ...]) -> Column:
+    """What makes a correction impossible: a type out of the closed set, a strength that is no number; else null."""
+    said, fault = F.col("corrections"), F.lit(None).cast("string")
+    if kind == "relationship" and "strength" in fields:
+        bad = said["strength"].isNotNull() & said["strength"].try_cast("double").isNull()
+        fault = F.when(bad, F.concat(F.lit("not a number: "), said["strength"])).otherwise(fault)
+    if kind == "relationship" and "relationship_type" in fields:
+        bad = said["relationship_type"].isNotNull() & ~said["relationship_type"].isin(*RELATIONSHIP_TYPES)
+        fault = F.when(bad, F.concat(F.lit("not a relationship type: "), said["relationship_type"])).otherwise(fault)
+    return F.when(F.col("action").startswith("correct"), fault)
+
+
 def apply_curation(targets: DataFrame, events: DataFrame, id_col: str, kind: str, fields: tuple[str, ...], close_on_decision: bool = False) -> tuple[DataFrame, DataFrame]:
     """Targets after all events of their kind, and error rows (seq, message) for events that apply to none.
 
-    Events (seq, action, target_id, curator, reason, corrections map) of one target are folded in order of seq: the
-    last decision sets curated and rejected, a correction sets fields (the last value of each) and curated, every event
-    raises version. With ``close_on_decision`` a decision also sets the status verified or rejected.
+    Events (seq, action, target_id, curator, reason, corrections map) of one target are folded in order of seq over what is stored:
+    every event sets curated and curated_by, a reason that is not empty sets curation_reason, the last decision sets rejected, the last
+    correction of a field sets it, and version counts the events. Fields without an event keep their stored values, so batches
+    applied one after the other give what all their events at once give. ``properties`` as a field takes corrections as JSON text and merges their keys.
+    An event with an impossible correction changes nothing and is an error. With ``close_on_decision`` a decision also sets the
+    status verified or rejected.
     """
     known = [a for a in ACTIONS if a.endswith(kind)]
-    mine = events.where(F.col("action").isin(known))
+    called = events.where(F.col("action").isin(known)).withColumn("fault", _faults(kind, fields))
+    mine = called.where("fault is null")
     decision = F.when(F.col("action").startswith("approve"), "approve").when(F.col("action").startswith("reject"), "reject")
+    corrects = F.col("action").startswith("correct")
+    plain = [f for f in fields if f != "properties"]
+
+    def last(value: Column, where: Column) -> Column:
+        return F.max_by(value, F.when(where, F.col("seq")))
+
     by_target = mine.groupBy(F.col("target_id").alias(id_col)).agg(
-        F.max_by(decision, F.when(decision.isNotNull(), F.col("seq"))).alias("decision"), F.count("*").alias("n_events"),
-        F.max_by("curator", "seq").alias("curated_by"), F.max_by("reason", "seq").alias("curation_reason"),
-        *(F.max_by(F.col("corrections")[f], F.when(F.col("corrections")[f].isNotNull() & F.col("action").startswith("correct"), F.col("seq"))).alias(f"new_{f}") for f in fields),
+        last(decision, decision.isNotNull()).alias("decision"), F.count("*").alias("n_events"), F.max_by("curator", "seq").alias("new_curated_by"),
+        last(F.col("reason"), F.coalesce("reason", F.lit("")) != "").alias("new_curation_reason"),
+        *(last(F.col("corrections")[f], F.col("corrections")[f].isNotNull() & corrects).alias(f"new_{f}") for f in plain),
     )
-    rows = targets.join(by_target, id_col, "left")
-    touched = F.col("n_events").isNotNull()
-    for f in fields:
-        rows = rows.withColumn(f, F.coalesce(F.col(f"new_{f}").cast(targets.schema[f].dataType), f))
-    rows = rows.withColumn("curated", F.when(touched, (F.coalesce("decision", F.lit("approve")) == "approve")).otherwise(F.lit(False)))
-    rows = rows.withColumn(
-        "rejected", F.when(F.col("decision").isNotNull(), F.col("decision") == "reject").otherwise(F.coalesce("rejected", F.lit(False))),
+    stored = {"curated": "boolean", "curated_by": "string", "curation_reason": "string", "rejected": "boolean", "version": "int"}
+    rows = targets.withColumns({c: F.lit(None).cast(t) for c, t in stored.items() if c not in targets.columns}).join(by_target, id_col, "left")
+    for f in (*plain, "curated_by", "curation_reason"):
+        rows = rows.withColumn(f, F.coalesce(F.col(f"new_{f}").cast(rows.schema[f].dataType), f))
+    if "properties" in fields:
+        each = mine.where(corrects).select("seq", F.col("target_id").alias(id_col), F.explode(F.from_json(F.col("corrections")["properties"], "map<string,string>")).alias("key", "value"))
+        each = each.groupBy(id_col, "key").agg(F.max_by("value", "seq").alias("value"))
+        rows = rows.join(each.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("more")), id_col, "left")
+        old, more = F.coalesce("properties", F.create_map().cast("map<string,string>")), F.col("more")
+        rows = rows.withColumn(
+            "properties", F.when(more.isNull(), F.col("properties")).otherwise(F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(more, k)), more)),
+        ).drop("more")
+    rows = rows.withColumns(
+        {
+            "curated": F.col("n_events").isNotNull() | F.coalesce("curated", F.lit(False)),
+            "rejected": F.coalesce(F.col("decision") == "reject", "rejected", F.lit(False)),
+            "version": (F.coalesce("version", F.lit(1)) + F.coalesce("n_events", F.lit(0))).cast("int"),
+        }
     )
-    rows = rows.withColumn("version", F.coalesce("version", F.lit(1)) + F.coalesce("n_events", F.lit(0)).cast("int"))
     if close_on_decision:
         rows = rows.withColumn(
             "status", F.when(F.col("decision") == "approve", "verified").when(F.col("decision") == "reject", "rejected").otherwise(F.col("status")),
@@ -57,7 +90,8 @@ def apply_curation(targets: DataFrame, events: DataFrame, id_col: str, kind: str
     missing = mine.join(targets.select(F.col(id_col).alias("target_id")), "target_id", "left_anti").select(
         "seq", F.concat(F.lit(f"{kind} not found: "), F.coalesce("target_id", F.lit(""))).alias("message"),
     )
-    return rows.drop("decision", "n_events", *(f"new_{f}" for f in fields)), missing
+    errors = missing.unionByName(called.where("fault is not null").select("seq", F.col("fault").alias("message")))
+    return rows.drop("decision", "n_events", "new_curated_by", "new_curation_reason", *(f"new_{f}" for f in plain)), errors
 
 
 def audit_records(events: DataFrame, errors: DataFrame) -> DataFrame:

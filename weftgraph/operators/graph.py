@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.core import name_similarity, valid_types
 from ..schemas import ENTITY_TYPES, RELATIONSHIP_TYPES
 from ..staging import stage
+from .automaton import find_terms
 from .blocks import in_blocks
 from .stars import star_components
 
@@ -141,13 +142,24 @@ def valid_at(edges: DataFrame, moment: Column) -> DataFrame:
 
 
 def match_rules(chunks: DataFrame, rules: DataFrame) -> DataFrame:
-    """(chunk_id, rule_id) where a pattern or keyword of a rule is a substring; rules meet the chunks in blocks."""
+    """(chunk_id, rule_id) where a pattern or keyword of a rule is a substring of the content.
+
+    Terms that ignore case are looked for in lower case; each kind takes one pass over the chunks by an automaton. A null
+    ``case_sensitive`` counts as false.
+    """
+    none = F.array().cast("array<string>")
     terms = rules.select(
-        "rule_id", "case_sensitive",
-        F.explode(F.array_union(F.coalesce("patterns", F.array().cast("array<string>")), F.coalesce("keywords", F.array().cast("array<string>")))).alias("term"),
+        "rule_id", F.coalesce("case_sensitive", F.lit(False)).alias("exact"),
+        F.explode(F.array_union(F.coalesce("patterns", none), F.coalesce("keywords", none))).alias("term"),
     )
-    hit = F.when(F.col("case_sensitive"), F.col("content").contains(F.col("term"))).otherwise(F.lower("content").contains(F.lower("term")))
-    return in_blocks(terms, ["rule_id", "term"], lambda some: chunks.join(some, hit).select("chunk_id", "rule_id")).distinct()
+    terms = terms.withColumn("term", F.when(F.col("exact"), F.col("term")).otherwise(F.lower("term"))).distinct()
+    found = None
+    for exact in (False, True):
+        some = terms.where(F.col("exact") == exact).select("rule_id", "term")
+        text = F.col("content") if exact else F.lower("content")
+        hits = find_terms(chunks.select("chunk_id", text.alias("text")), some, ["chunk_id"]).join(some, "term").select("chunk_id", "rule_id")
+        found = hits if found is None else found.unionByName(hits)
+    return found.distinct()
 
 
 def facet_graph(entities: DataFrame, edges: DataFrame, text: str, types: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -42,17 +42,27 @@ def visible(entities: DataFrame, edges: DataFrame, include_rejected: bool = Fals
     return entities, check_endpoints(edges, entities)[0]
 
 
+def _flag(df: DataFrame, name: str) -> Column:
+    """A flag that a table may lack; without it, or where it is null, it is false."""
+    return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+
+
 def export_cytoscape(entities: DataFrame, edges: DataFrame, include_rejected: bool = False) -> DataFrame:
-    """Element rows: group, id, label, type, source, target, strength, colour, description."""
+    """Element rows: group, id, label, type, source, target, strength, colour, description, curated, rejected, properties.
+
+    ``properties`` is a node's map where the table has one; edges have neither it nor ``rejected``. Flags that a table lacks are false.
+    """
     e, r = visible(entities, edges, include_rejected)
+    props = F.col("properties") if "properties" in e.columns else F.lit(None).cast("map<string,string>")
     nodes = e.select(
         F.lit("nodes").alias("group"), F.col("entity_id").alias("id"), F.col("name").alias("label"), F.col("entity_type").alias("type"),
         F.coalesce("description", F.lit("")).alias("description"), colour(F.col("entity_type")).alias("colour"),
+        _flag(e, "curated").alias("curated"), _flag(e, "rejected").alias("rejected"), props.alias("properties"),
     )
     lines = r.select(
         F.lit("edges").alias("group"), F.col("relationship_id").alias("id"), F.col("relationship_type").alias("label"),
         F.coalesce("description", F.lit("")).alias("description"), F.col("source_entity_id").alias("source"),
-        F.col("target_entity_id").alias("target"), "strength",
+        F.col("target_entity_id").alias("target"), "strength", _flag(r, "curated").alias("curated"),
     )
     return nodes.unionByName(lines, allowMissingColumns=True)
 
@@ -78,6 +88,7 @@ def _xml(c: Column) -> Column:
 def graphml_lines(entities: DataFrame, edges: DataFrame, include_rejected: bool = False) -> DataFrame:
     """GraphML as lines (part, id, value): head, nodes, edges, foot; write them in this order."""
     e, r = visible(entities, edges, include_rejected)
+    # The keys of the format's attributes.
     keys = [
         ("d0", "node", "label", "string"), ("d1", "node", "type", "string"), ("d2", "node", "description", "string"),
         ("d3", "node", "curated", "boolean"), ("d4", "node", "rejected", "boolean"), ("d5", "edge", "label", "string"),
@@ -90,12 +101,12 @@ def graphml_lines(entities: DataFrame, edges: DataFrame, include_rejected: bool
 
     node = F.concat(
         F.lit('<node id="'), _xml(F.col("entity_id")), F.lit('">'), data("d0", F.col("name")), data("d1", F.col("entity_type")),
-        data("d2", F.col("description")), data("d3", F.lit(False)), data("d4", F.coalesce("rejected", F.lit(False))), F.lit("</node>"),
+        data("d2", F.col("description")), data("d3", _flag(e, "curated")), data("d4", _flag(e, "rejected")), F.lit("</node>"),
     )
     edge = F.concat(
         F.lit('<edge id="'), _xml(F.col("relationship_id")), F.lit('" source="'), _xml(F.col("source_entity_id")), F.lit('" target="'),
         _xml(F.col("target_entity_id")), F.lit('">'), data("d5", F.col("relationship_type")), data("d6", F.col("strength")),
-        data("d7", F.col("description")), data("d8", F.lit(False)), F.lit("</edge>"),
+        data("d7", F.col("description")), data("d8", _flag(r, "curated")), F.lit("</edge>"),
     )
     spark = entities.sparkSession
     ends = spark.createDataFrame([(0, "", head), (3, "", "</graph>\n</graphml>")], "part int, id string, value string")

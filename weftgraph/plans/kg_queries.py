@@ -307,9 +307,15 @@ def review_decisions(spark, d):
 
 # ---- curation ----
 
-EVENT_SQL = GRAPH_SQL + """, v AS (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'approve_entity' WHEN 'purchase' THEN 'correct_entity' WHEN 'error' THEN 'reject_entity' WHEN 'click' THEN 'approve_relationship' ELSE 'view' END AS action, 'customer:' || user_id AS target_id FROM events),
-  g AS (SELECT target_id, arg_max(action, seq) FILTER (WHERE action IN ('approve_entity', 'reject_entity')) AS decision, count(*) AS n, arg_max('v' || seq, seq) FILTER (WHERE action = 'correct_entity') AS d FROM v WHERE action LIKE '%entity' GROUP BY 1),
-  a AS (SELECT e.*, g.* FROM e LEFT JOIN g ON target_id = entity_id)"""
+EVENT_SQL = GRAPH_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, v AS (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'approve_entity' WHEN 'purchase' THEN 'correct_entity' WHEN 'error' THEN 'reject_entity' WHEN 'click' THEN 'approve_relationship' ELSE 'view' END AS action, 'customer:' || user_id AS target_id,
+  'c' || event_id % 5 AS curator, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'r' || event_id % 7 END AS reason FROM events)"""
+
+#: One event after the other, each on the state that the one before has left.
+FOLD_SQL = EVENT_SQL + """, x AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY seq) AS nth FROM v WHERE action LIKE '%entity'),
+  s AS (SELECT entity_id, 0 AS nth, description, k % 7 = 2 AS curated, rejected, CAST(NULL AS VARCHAR) AS curated_by, CAST(NULL AS VARCHAR) AS curation_reason, CAST(1 AS BIGINT) AS version FROM e
+    UNION ALL SELECT s.entity_id, s.nth + 1, CASE action WHEN 'correct_entity' THEN 'v' || seq ELSE s.description END, true, CASE action WHEN 'approve_entity' THEN false WHEN 'reject_entity' THEN true ELSE s.rejected END,
+      curator, CASE WHEN reason IS NULL OR reason = '' THEN s.curation_reason ELSE reason END, s.version + 1 FROM s JOIN x ON x.target_id = s.entity_id AND x.nth = s.nth + 1)
+  SELECT entity_id, description, curated, rejected, curated_by, curation_reason, version FROM s QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY nth DESC) = 1"""
 
 
 def curation_events(spark: SparkSession, d: str) -> DataFrame:
@@ -324,16 +330,34 @@ def curation_events(spark: SparkSession, d: str) -> DataFrame:
     note = F.concat(F.lit("v"), k.cast("string"))
     return table(spark, d, "events").select(
         k.alias("seq"), action.alias("action"), F.concat(F.lit("customer:"), F.col("user_id").cast("string")).alias("target_id"),
-        F.lit("c").alias("curator"), F.lit("r").alias("reason"), F.create_map(F.lit("description"), note).alias("corrections"),
-    )
+        F.concat(F.lit("c"), (k % 5).cast("string")).alias("curator"),
+        F.when(k % 3 == 0, "").when(k % 3 == 2, F.concat(F.lit("r"), (k % 7).cast("string"))).alias("reason"),
+        F.create_map(F.lit("description"), note).alias("corrections"),
+    )
+
+
+CURATED = ("entity_id", "description", "curated", "rejected", "curated_by", "curation_reason", F.col("version").cast("long").alias("version"))
+
 
+def stored_entities(spark: SparkSession, d: str) -> DataFrame:
+    return entities(spark, d).withColumn("version", F.lit(1)).withColumn("curated", F.col("k") % 7 == 2)
 
-@query("apply_curation", EVENT_SQL + """ SELECT entity_id, coalesce(d, description) AS description, CASE WHEN n IS NULL THEN false ELSE coalesce(decision, 'approve_entity') = 'approve_entity' END AS curated,
-  CASE WHEN decision IS NOT NULL THEN decision = 'reject_entity' ELSE rejected END AS rejected, 1 + coalesce(n, 0) AS version FROM a""")
+
+@query("apply_curation", FOLD_SQL)
 def apply_curation(spark, d):
-    e = entities(spark, d).withColumn("version", F.lit(1))
-    done, _ = Q.apply_curation(e, curation_events(spark, d), "entity_id", "entity", ("description",))
-    return done.select("entity_id", "description", "curated", "rejected", F.col("version").cast("long").alias("version"))
+    done, _ = Q.apply_curation(stored_entities(spark, d), curation_events(spark, d), "entity_id", "entity", ("description",))
+    return done.select(*CURATED)
+
+
+@query("apply_curation_batches", FOLD_SQL)
+def apply_curation_batches(spark, d):
+    """Three batches of events, each applied to what the batch before has left."""
+    rows, events = stored_entities(spark, d), curation_events(spark, d)
+    most = table(spark, d, "events").agg(F.max("event_id")).first()[0]
+    cuts = [-1, most // 3, 2 * most // 3, most]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        rows, _ = Q.apply_curation(rows, events.where((F.col("seq") > low) & (F.col("seq") <= high)), "entity_id", "entity", ("description",))
+    return rows.select(*CURATED)
 
 
 @query("curation_errors", EVENT_SQL + " SELECT seq, 'entity not found: ' || target_id AS message FROM v WHERE action LIKE '%entity' AND target_id NOT IN (SELECT entity_id FROM e) UNION ALL SELECT seq, 'unknown action: view' FROM v WHERE action = 'view'")
@@ -540,10 +564,17 @@ VISIBLE_SQL = GRAPH_SQL + """, ev AS (SELECT * FROM e WHERE NOT rejected), rv AS
 COLOUR_SQL = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.COLOURS.items()) + f" ELSE '{K.DEFAULT_COLOUR}' END"
 
 
-@query("export_cytoscape", VISIBLE_SQL + f""" SELECT 'nodes' AS "group", entity_id AS id, name AS label, entity_type AS type, coalesce(description, '') AS description, {COLOUR_SQL} AS colour, NULL::VARCHAR AS source, NULL::VARCHAR AS target, NULL::DOUBLE AS strength FROM ev
-  UNION ALL SELECT 'edges', relationship_id, relationship_type, NULL, coalesce(description, ''), NULL, source_entity_id, target_entity_id, strength FROM rv""")
+def curated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The graph with flags of curation, and properties of its nodes."""
+    e, r = (df.withColumn("curated", F.col("k") % 7 == 2) for df in both(spark, d))
+    return e.withColumn("properties", F.create_map(F.lit("k"), F.col("k").cast("string"))), r
+
+
+@query("export_cytoscape", VISIBLE_SQL + f""" SELECT 'nodes' AS "group", entity_id AS id, name AS label, entity_type AS type, coalesce(description, '') AS description, {COLOUR_SQL} AS colour, NULL::VARCHAR AS source, NULL::VARCHAR AS target, NULL::DOUBLE AS strength, k % 7 = 2 AS curated, rejected, '{{"k":"' || k || '"}}' AS properties FROM ev
+  UNION ALL SELECT 'edges', relationship_id, relationship_type, NULL, coalesce(description, ''), NULL, source_entity_id, target_entity_id, strength, k % 7 = 2, NULL, NULL FROM rv""")
 def export_cytoscape(spark, d):
-    return K.export_cytoscape(*both(spark, d))
+    e, r = curated(spark, d)
+    return K.export_cytoscape(e, r).withColumn("properties", F.to_json("properties"))
 
 
 @query("export_network_rows", VISIBLE_SQL + f""" SELECT entity_id AS id, name AS label, '<b>' || name || '</b><br>' || entity_type || '<br>' || coalesce(description, '') AS title, {COLOUR_SQL} AS colour, CAST(0 AS BIGINT) AS width FROM ev
@@ -562,14 +593,14 @@ def _data_sql(key: str, c: str) -> str:
     return f"""'<data key="{key}">' || {_xml_sql(f"coalesce(CAST({c} AS VARCHAR), '')")} || '</data>'"""
 
 
-GRAPHML_SQL = VISIBLE_SQL + f""" SELECT 1 AS part, entity_id AS id, '<node id="' || {_xml_sql('entity_id')} || '">' || {_data_sql('d0', 'name')} || {_data_sql('d1', 'entity_type')} || {_data_sql('d2', 'description')} || {_data_sql('d3', 'false')} || {_data_sql('d4', 'coalesce(rejected, false)')} || '</node>' AS value FROM ev
-  UNION ALL SELECT 2, relationship_id, '<edge id="' || {_xml_sql('relationship_id')} || '" source="' || {_xml_sql('source_entity_id')} || '" target="' || {_xml_sql('target_entity_id')} || '">' || {_data_sql('d5', 'relationship_type')} || {_data_sql('d6', 'strength')} || {_data_sql('d7', 'description')} || {_data_sql('d8', 'false')} || '</edge>' FROM rv"""
+GRAPHML_SQL = VISIBLE_SQL + f""" SELECT 1 AS part, entity_id AS id, '<node id="' || {_xml_sql('entity_id')} || '">' || {_data_sql('d0', 'name')} || {_data_sql('d1', 'entity_type')} || {_data_sql('d2', 'description')} || {_data_sql('d3', '(k % 7 = 2)')} || {_data_sql('d4', 'coalesce(rejected, false)')} || '</node>' AS value FROM ev
+  UNION ALL SELECT 2, relationship_id, '<edge id="' || {_xml_sql('relationship_id')} || '" source="' || {_xml_sql('source_entity_id')} || '" target="' || {_xml_sql('target_entity_id')} || '">' || {_data_sql('d5', 'relationship_type')} || {_data_sql('d6', 'strength')} || {_data_sql('d7', 'description')} || {_data_sql('d8', '(k % 7 = 2)')} || '</edge>' FROM rv"""
 
 
 @query("graphml_lines", GRAPHML_SQL)
 def graphml_lines(spark, d):
     """Nodes and edges; the document's head and foot are fixed lines."""
-    return K.graphml_lines(*both(spark, d)).where("part in (1, 2)")
+    return K.graphml_lines(*curated(spark, d)).where("part in (1, 2)")
 
 
 @query("audit_tail", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")

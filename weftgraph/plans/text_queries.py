@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core as N
 from ..operators import chunking as C
+from ..operators import graph as G
 from ..operators import pages as X
 from ..sources import documents as S
 from .registry import query, table
@@ -49,6 +50,18 @@ def chunk_tokens(spark, d):
     return C.chunk_tokens(docs(spark, d)).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
+@query("match_rules", r"""WITH t AS (SELECT item_id AS rule_id, item_id % 2 = 0 AS exact, unnest(list_distinct(list_append(list_filter(string_split_regex(text, '\s+'), lambda x: length(x) > 8), substring(text, 1, 12)))) AS term FROM benchmark)
+  SELECT DISTINCT doc_id AS chunk_id, rule_id FROM documents JOIN t ON CASE WHEN exact THEN contains(text, term) ELSE contains(lower(text), lower(term)) END""")
+def match_rules(spark, d):
+    """Each benchmark item is a rule: its beginning as a pattern, its long words as keywords; every other one minds case."""
+    b = table(spark, d, "benchmark")
+    rules = b.select(
+        F.col("item_id").alias("rule_id"), (F.col("item_id") % 2 == 0).alias("case_sensitive"), F.array(F.substring("text", 1, 12)).alias("patterns"),
+        F.filter(F.split("text", r"\s+"), lambda x: F.length(x) > 8).alias("keywords"),
+    )
+    return G.match_rules(docs(spark, d).select(F.col("document_id").alias("chunk_id"), "content"), rules)
+
+
 SENTENCE_SQL = r"""WITH s AS (SELECT doc_id AS document_id, list_filter(flatten(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)),
   lambda x: string_split_regex(x, '\n{2,}'))), lambda x: trim(x) <> '') AS sentences FROM documents)"""
 
