@@ -17,15 +17,16 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..staging import stage
 from .textbatch import span_hash
 from .vocabularies import blocks, from_varints, ragged, rules, to_varints
 
-#: Bytes of text whose words are named together.
-CHUNK_BYTES = 32 << 20
+#: Characters of text whose words are named together.
+CHUNK_BYTES = 16 << 20
 #: Words that are put in, and ids that are decoded, at a time.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Ids beyond which a vocabulary is not sent to every task.
 MOST_IDS = 1 << 21
 
@@ -64,16 +65,19 @@ def _named(path: str, buckets: int):
             [pa.array(np.full(n, chunk)), pa.array(full.astype(np.int32)), lists, pa.array(ranks, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
             names=_fields(_NAMED),
         )
-        packed, ends = to_varints(rank[codes])
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        bounds = np.concatenate([[0], ends])[bounds]
-        whole = packed.tobytes()
-        texts = [whole[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        n = len(texts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, chunk)), pa.nulls(n, pa.int32()), pa.nulls(n, lists.type), pa.nulls(n, pa.binary()), pa.array(ids, pa.int64()), pa.array(texts, pa.binary())],
-            names=_fields(_NAMED),
-        )
+        first = 0
+        while first < len(ids):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + STEP, side="right")) - 1)
+            packed, ends = to_varints(rank[codes[bounds[first] : bounds[last]]])
+            at = np.concatenate([[0], ends])[bounds[first : last + 1] - bounds[first]].tolist()
+            whole, n = packed.tobytes(), last - first
+            texts = [whole[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, chunk)), pa.nulls(n, pa.int32()), pa.nulls(n, lists.type), pa.nulls(n, pa.binary()), pa.array(ids[first:last], pa.int64()), pa.array(texts, pa.binary())],
+                names=_fields(_NAMED),
+            )
+            first = last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, chunk = rules(path).split, TaskContext.get().partitionId() << 32
@@ -207,5 +211,5 @@ def decode_documents(encoded: DataFrame, pieces: DataFrame, joint: bytes = b" ",
                 texts = [text_of(x.as_py()) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, kept.withColumn("decoded", F.lit("")).schema)
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("decoded", StringType())]))
 
