@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import name_similarity, valid_types
+from ..functions.core import valid_types
 from ..schemas import ENTITY_TYPES, RELATIONSHIP_TYPES
 from ..staging import stage
 from .automaton import find_terms
-from .blocks import in_blocks
 from .stars import star_components
 
 
@@ -217,37 +216,6 @@ def enrich_endpoints(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return edges
 
 
-def similar_by_chars(queries: DataFrame, entities: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Entities of a query's type with a similar name: equal, one in the other, or like character sets.
-
-    ``queries`` is a stated set of entities; it is held against all entities in blocks.
-    """
-    a = queries.select(F.col("entity_id").alias("a_id"), F.col("name").alias("a_name"), "entity_type")
-    b = entities.select(F.col("entity_id").alias("b_id"), F.col("name").alias("b_name"), "entity_type")
-    score = F.round(name_similarity(F.col("a_name"), F.col("b_name")), 6)
-    return in_blocks(
-        a, "a_id",
-        lambda some: b.join(some, "entity_type").where("a_id <> b_id").select("a_id", "b_id", score.alias("score")).where(F.col("score") >= threshold),
-    )
-
-
-def similar_by_prefix(queries: DataFrame, entities: DataFrame, threshold: float = 0.8, k: int = 10) -> DataFrame:
-    """Best k entities of a query's type by name: equal 1, one in the other 0.8, half the query's beginning in the other 0.6.
-
-    ``queries`` is a stated set of entities; it is held against all entities in blocks.
-    """
-    a = queries.select(F.col("entity_id").alias("a_id"), F.lower("name").alias("x"), "entity_type")
-    b = entities.select(F.col("entity_id").alias("b_id"), F.lower("name").alias("y"), "entity_type")
-    x, y = F.col("x"), F.col("y")
-    half = F.substring(x, 1, F.floor(F.length(x) / 2).cast("int"))
-    score = F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.8).when(y.contains(half), 0.6).otherwise(0.0)
-    pairs = in_blocks(
-        a, "a_id",
-        lambda some: b.join(some, "entity_type").where("a_id <> b_id").select("a_id", "b_id", score.alias("score")).where(F.col("score") >= threshold),
-    )
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))).where(F.col("rank") <= k)
-
-
 def graph_stats(entities: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: counts, average degree 2R/E and density R/(E(E-1)/2)."""
     e, r = entities.agg(F.count("*").alias("n_entities")), edges.agg(F.count("*").alias("n_relationships"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import content_id
 from .chunking import CONTEXT_CAPS
+from .stars import star_components
 from .vectors import vector_topk
 
 
@@ -95,12 +96,31 @@ def merge_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(*(merged(f.name, f.dataType.simpleString()).alias(f.name) for f in fields))
 
 
+def close_mapping(mapping: DataFrame) -> DataFrame:
+    """A mapping (entity_id -> primary_id) whose chains are followed to their ends; rows that map an id to itself go.
+
+    Ids that belong together by the mapping get one primary: the one that is not mapped on (the smallest of several, and in a
+    circle the smallest of all).
+    """
+    pairs = mapping.select("entity_id", "primary_id").where("entity_id <> primary_id").distinct()
+    onward = pairs.select(F.col("entity_id").alias("primary_id"))
+    twice = pairs.groupBy("entity_id").count().where("count > 1")
+    if pairs.join(onward, "primary_id", "left_semi").isEmpty() and twice.isEmpty():
+        return pairs
+    groups = star_components(pairs.select(F.col("entity_id").alias("a"), F.col("primary_id").alias("b")))
+    mapped = pairs.select(F.col("entity_id").alias("node"), F.lit(True).alias("mapped")).distinct()
+    ends = groups.join(mapped, "node", "left").groupBy("root").agg(F.min(F.when(F.col("mapped").isNull(), F.col("node"))).alias("end"))
+    closed = groups.join(ends, "root").select(F.col("node").alias("entity_id"), F.coalesce("end", "root").alias("primary_id"))
+    return closed.where("entity_id <> primary_id")
+
+
 def merge_entities(entities: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merge duplicates into primaries: mapping (entity_id -> primary_id).
+    """Merge duplicates into primaries: mapping (entity_id -> primary_id), whose chains are followed.
 
-    Edges move to the primaries and edges within a merge go; equal edges become one, with the smallest id and the strongest
+    Edges (of distinct ids) move to the primaries and edges within a merge go; equal edges become one, with the smallest id and the strongest
     one's other fields, and ``merged`` counts them. The duplicates' names become aliases. Gives entities (with ``aliases``) and edges.
     """
+    mapping = close_mapping(mapping)
     named = (
         mapping.join(entities.select("entity_id", "name"), "entity_id")
         .groupBy("primary_id")
@@ -120,14 +140,17 @@ def merge_entities(entities: DataFrame, edges: DataFrame, mapping: DataFrame) ->
             .drop(f"{end}_to")
         )
     keys = ["source_entity_id", "target_entity_id", "relationship_type"]
-    rest = [c for c in edges.columns if c not in (*keys, "relationship_id")]
-    strongest = F.max_by(F.struct(*rest), F.struct("strength", "relationship_id"))
+    # ids decide first; the other fields follow the strongest edge alone
+    strongest = F.max(F.struct("strength", "relationship_id"))
     one = (
         moved.where("source_entity_id <> target_entity_id")
         .groupBy(*keys)
-        .agg(F.min("relationship_id").alias("relationship_id"), strongest.alias("rest"), F.count("*").alias("merged"))
+        .agg(F.min("relationship_id").alias("first_id"), strongest.alias("top"), F.count("*").alias("merged"))
     )
-    return kept, one.select(*keys, "relationship_id", "rest.*", "merged")
+    rest = [c for c in edges.columns if c not in (*keys, "relationship_id")]
+    fields = edges.select("relationship_id", *rest)
+    kept_edges = one.withColumn("relationship_id", F.col("top.relationship_id")).join(fields, "relationship_id")
+    return kept, kept_edges.select(*keys, F.col("first_id").alias("relationship_id"), *rest, "merged")
 
 
 def resolve_endpoints(edges: DataFrame, entities: DataFrame) -> DataFrame:

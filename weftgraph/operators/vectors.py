@@ -1,15 +1,14 @@
-"""Vector search: exact for a stated query set, hashed bands for many queries."""
+"""Vector search: all pairs for a stated query set, cells for many queries; both exact."""
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.core import cosine
 from .blocks import in_blocks
+from .cells import VectorCells
 
 
 def _ranked(pairs: DataFrame, k: int, least: float) -> DataFrame:
@@ -21,8 +20,8 @@ def _ranked(pairs: DataFrame, k: int, least: float) -> DataFrame:
 def vector_topk(queries: DataFrame, items: DataFrame, k: int, least: float = -1.0, skip_self: bool = False, scale: str = "raw") -> DataFrame:
     """query_id, item_id, score, rank: the k nearest items of each query by cosine (6 places), exactly.
 
-    The queries are a stated set, held against all items in blocks. For very many queries ``vector_topk_hashed`` looks at
-    fewer pairs. scale "unit" gives (1 + cosine) / 2.
+    The queries are a stated set, held against all items in blocks. For very many queries, or vectors that lie in clusters,
+    ``vector_topk_cells`` scores fewer pairs. scale "unit" gives (1 + cosine) / 2.
     """
     q = queries.select("query_id", F.col("vector").alias("query_vector"))
     rule = (F.col("query_id") != F.col("item_id")) if skip_self else F.lit(True)
@@ -34,38 +33,14 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, least: float = -1.
     return _ranked(pairs, k, least)
 
 
-def _planes(size: int, bits: int, tables: int, seed: int) -> list[list[list[float]]]:
-    r = random.Random(seed)
-    return [[[r.gauss(0, 1) for _ in range(size)] for _ in range(bits)] for _ in range(tables)]
-
+def vector_topk_cells(queries: DataFrame, items: DataFrame, k: int, least: float = -1.0, skip_self: bool = False, scale: str = "raw") -> DataFrame:
+    """What ``vector_topk`` gives, through an index of cells (``cells.VectorCells``): for very many queries, or clustered vectors."""
+    return VectorCells(items).search(queries, k, least, skip_self, scale)
 
-def vector_topk_hashed(queries: DataFrame, items: DataFrame, k: int, least: float = -1.0, skip_self: bool = False, scale: str = "raw", bits: int = 4, tables: int = 24, seed: int = 7) -> DataFrame:
-    """Approximate top k by sign bands of random projections: vectors meet where all signs of a table agree.
 
-    Recall grows with ``tables`` and falls with ``bits``; the pairs that meet are scored exactly. With the defaults about
-    four fifths of the pairs meet, so that nine tenths of the true neighbours or more are found.
-    """
-    first = items.select(F.size("vector").alias("n")).first()
-    if first is None:
-        return vector_topk(queries.limit(0), items, k, least)
-    planes = _planes(first["n"], bits, tables, seed)
-
-    def bands(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-        keys = []
-        for t, table in enumerate(planes):
-            sign = [
-                F.when(F.aggregate(F.zip_with(vector, F.array(*map(F.lit, p)), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v) >= 0, "1").otherwise("0") for p in table
-            ]
-            keys.append(F.concat(F.lit(f"{t}:"), *sign))
-        return df.select(id_col, vector, F.explode(F.array(*keys)).alias("band"))
-
-    q = bands(queries.select("query_id", F.col("vector").alias("query_vector")), "query_id", "query_vector")
-    i = bands(items.select("item_id", "vector"), "item_id", "vector")
-    met = q.join(i, "band")
-    met = met.where("query_id <> item_id") if skip_self else met
-    score = cosine(F.col("query_vector"), F.col("vector"))
-    pairs = met.select("query_id", "item_id", F.round((1 + score) / 2 if scale == "unit" else score, 6).alias("score")).distinct()
-    return _ranked(pairs, k, least)
+def vector_topk_hashed(queries: DataFrame, items: DataFrame, k: int, least: float = -1.0, skip_self: bool = False, scale: str = "raw") -> DataFrame:
+    """The former approximate search by hashed bands; the cells that took its place find all neighbours."""
+    return vector_topk_cells(queries, items, k, least, skip_self, scale)
 
 
 def vector_topk_relationships(hits: DataFrame, edges: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators import names as M
 from .fixture import GRAPH_SQL, entities, relationships
 from .registry import query
 
@@ -142,7 +143,7 @@ def dangling_edges(spark, d):
   SELECT a_id, b_id, round(s, 6)::DOUBLE AS score FROM p WHERE round(s, 6) >= 0.8""")
 def similar_by_chars(spark, d):
     e = entities(spark, d)
-    return G.similar_by_chars(e.where("k % 100 = 0"), e)
+    return M.similar_by_chars(e.where("k % 100 = 0"), e)
 
 
 @query("similar_by_prefix", GRAPH_SQL + """, x AS (SELECT entity_id, lower(name) AS n, entity_type, k FROM e),
@@ -152,7 +153,7 @@ def similar_by_chars(spark, d):
   SELECT a_id, b_id, score, rank FROM k WHERE rank <= 10""")
 def similar_by_prefix(spark, d):
     e = entities(spark, d)
-    found = G.similar_by_prefix(e.where("k % 100 = 0"), e, 0.6)
+    found = M.similar_by_prefix(e.where("k % 100 = 0"), e, 0.6)
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 

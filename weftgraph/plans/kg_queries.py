@@ -502,10 +502,18 @@ def vector_topk(spark, d):
     return vector_hits(spark, d).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("vector_topk_hashed")
+@query("vector_topk_cells", TOPK_SQL)
+def vector_topk_cells(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    found = V.vector_topk_cells(e.where("item_id % 100 = 0").withColumnRenamed("item_id", "query_id"), e, 5, skip_self=True)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("vector_topk_hashed", TOPK_SQL)
 def vector_topk_hashed(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
-    return V.vector_topk_hashed(e.where("item_id % 100 = 0").withColumnRenamed("item_id", "query_id"), e, 5, skip_self=True)
+    found = V.vector_topk_hashed(e.where("item_id % 100 = 0").withColumnRenamed("item_id", "query_id"), e, 5, skip_self=True)
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("retrieve_documents", "WITH h AS (" + TOPK_SQL + """), c AS (SELECT query_id, item_id, score, label FROM h JOIN embeddings ON vec_id = item_id)
