@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.core import job_progress
+from ..operators.curate import apply_curation, audit_records, validate_events
 from ..operators.resolve import upsert_entities, upsert_relationships
-
+from ..store import BucketStore
+from .job_state import STATE_STORE, job_state_stream
 
 #: Parts of a job's events, each cut to the last ones before they meet.
 SALTS = 16
@@ -26,6 +28,10 @@ def _status(stage: Column) -> Column:
     return found
 
 
+def _progress() -> Column:
+    return F.round(job_progress(F.map_keys("stages"), F.col("current_stage"), F.lit(1.0)), 6)
+
+
 def job_snapshots(events: DataFrame, last: int = 200) -> DataFrame:
     """State of each job from its events (job_id, seq, ts, stage): status, latest stage, stages, counts, the last events' ids, progress.
 
@@ -43,10 +49,9 @@ def job_snapshots(events: DataFrame, last: int = 200) -> DataFrame:
         F.max_by("stage", "last_seq").alias("current_stage"), F.max("last_at").alias("updated_at"), F.sum("n").alias("n_events"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", F.struct("n", "first_at", "last_at"))))).alias("stages"),
     )
-    progress = F.round(job_progress(F.map_keys("stages"), F.col("current_stage"), F.lit(1.0)), 6)
     return rows.join(held, "job_id").select(
         "job_id", _status(F.col("current_stage")).alias("status"), "current_stage", "stages", "updated_at", "n_events", "last_events",
-        progress.alias("progress"),
+        _progress().alias("progress"),
     )
 
 
@@ -73,6 +78,31 @@ def stream_snapshots(events: DataFrame, target: str, checkpoint: str, lateness:
     return rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).start()
 
 
+def stream_job_states(events: DataFrame, target: str, checkpoint: str, last: int = 200, keep_hours: int = 24, lateness: str = "1 day", once: bool = False) -> StreamingQuery:
+    """Whole snapshots of jobs as a stream: those that a batch has changed are written to ``target``/batch=n.
+
+    The latest row of each job equals its row of ``job_snapshots`` over all events so far, after a restart from the checkpoint too. State is kept for
+    ``keep_hours`` after a job's last event. With ``once`` the stream ends when it has read all there is.
+    """
+    spark = events.sparkSession
+    rows = job_state_stream(events, last, keep_hours, lateness)
+    rows = rows.select("job_id", _status(F.col("current_stage")).alias("status"), "current_stage", "stages", "updated_at", "n_events", "last_events", _progress().alias("progress"))
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={n}")
+
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        writer = rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE[0])
+        else:
+            spark.conf.set(STATE_STORE[0], before)
+
+
 def append_progress(spark: SparkSession, path: str, job_id: str, seq: int, stage: str, message: str = "", level: str = "info", data: dict[str, str] | None = None) -> None:
     """One progress row at the end of the job log; what a callback of a long run would be told."""
     kind = "job_id string, seq long, stage string, level string, message string, data map<string,string>"
@@ -90,35 +120,42 @@ def apply_cancellations(events: DataFrame) -> DataFrame:
 Extractor = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
-def upsert_graph(spark: SparkSession, path: str, n: int, entities: DataFrame, edges: DataFrame) -> None:
-    """Version ``n`` of the graph tables below ``path``: version n - 1 with new entities and edges; writing it again changes nothing.
+def graph_stores(spark: SparkSession, path: str, buckets: int = 64) -> tuple[BucketStore, BucketStore]:
+    """The stored graph below ``path``: entities by (name, type), relationships by (source, target, type)."""
+    return (
+        BucketStore(spark, f"{path}/entities", ["name", "entity_type"], buckets),
+        BucketStore(spark, f"{path}/relationships", ["source_entity_id", "target_entity_id", "relationship_type"], buckets),
+    )
 
-    Edges come with the ids that extraction gave their ends; those of entities that are stored already become the stored ids.
-    """
-    def stored(kind: str, like: DataFrame) -> DataFrame:
-        return spark.read.parquet(f"{path}/version={n - 1}/{kind}").withColumn("seq", F.lit(-1).cast("long")) if n else like.limit(0)
 
-    known = upsert_entities(stored("entities", entities), entities)
-    known.write.mode("overwrite").parquet(f"{path}/version={n}/entities")
-    known = spark.read.parquet(f"{path}/version={n}/entities")
+def upsert_graph(spark: SparkSession, path: str, n: int, entities: DataFrame, edges: DataFrame, buckets: int = 64) -> tuple[int, int]:
+    """Batch ``n`` of new entities and edges into the stored graph: only buckets that the batch's keys fall into are written.
+
+    Edges come with the ids that extraction gave their ends; those of entities that are stored already become the stored ids. Edges whose
+    ends the graph lacks go. A batch that is stored already changes nothing. Gives the numbers of buckets written.
+    """
+    nodes, links = graph_stores(spark, path, buckets)
+    first = nodes.upsert(n, entities, upsert_entities)
+    keys = entities.select("name", "entity_type").distinct()
     final = (
         entities.select(F.col("entity_id").alias("was"), "name", "entity_type")
         .distinct()
-        .join(known.select("name", "entity_type", "entity_id"), ["name", "entity_type"])
+        .join(nodes.read(nodes.touched(keys)).select("name", "entity_type", "entity_id"), ["name", "entity_type"])
         .select("was", "entity_id")
     )
     for end in ("source", "target"):
         c = f"{end}_entity_id"
         edges = edges.join(final.withColumnsRenamed({"was": c, "entity_id": "final"}), c, "left").withColumn(c, F.coalesce("final", c)).drop("final")
-    upsert_relationships(stored("relationships", edges), edges, known).write.mode("overwrite").parquet(f"{path}/version={n}/relationships")
+    known = nodes.read().select("entity_id")
+    return first, links.upsert(n, edges, lambda stored, new: upsert_relationships(stored, new, known))
 
 
 def stream_documents(spark: SparkSession, source: str, target: str, checkpoint: str, size: int = 512, overlap: int = 50, extract: Extractor | None = None) -> StreamingQuery:
     """New Parquet files of documents (doc_id, text) become chunks and, with ``extract``, a graph.
 
     ``extract(chunks)`` gives entities (entity_id, name, entity_type, seq, …) and edges (relationship_id, source_entity_id,
-    target_entity_id, relationship_type, seq, …). Chunks go to ``target``/batch=n, the graph to ``target``-graph/version=n. Ids
-    come from content and batches have numbers, so a repeated batch adds nothing.
+    target_entity_id, relationship_type, seq, …). Chunks go to ``target``/batch=n, the graph to ``target``-graph
+    (``graph_stores``). Ids come from content and batches have numbers, so a repeated batch adds nothing.
     """
     from ..operators.chunking import chunk_fixed, chunk_identity
 
@@ -151,3 +188,34 @@ def stream_curation(spark: SparkSession, source: str, apply, checkpoint: str) ->
         .trigger(availableNow=True)
         .start()
     )
+
+
+def curate_stored(spark: SparkSession, path: str, n: int, events: DataFrame, buckets: int = 64) -> DataFrame:
+    """Batch ``n`` of curation events into the stored graph; gives an audit record for each event.
+
+    Only buckets with targets of the batch (and those that renamed ones move to) are written. The records of a batch that was stored before say the same.
+    """
+    kinds = (("entity", ("name", "description")), ("relationship", ("relationship_type", "description", "strength")))
+    errors = None
+    for (kind, fields), store in zip(kinds, graph_stores(spark, path, buckets), strict=True):
+        id_col = f"{kind}_id"
+        wanted = events.where(F.col("action").endswith(kind)).select(F.col("target_id").alias(id_col)).distinct()
+
+        def curated(stored: DataFrame, kind=kind, fields=fields, id_col=id_col) -> tuple[DataFrame, DataFrame]:
+            return apply_curation(stored, events, id_col, kind, tuple(f for f in fields if f in stored.columns))
+
+        store.rewrite(n, wanted, lambda stored, curated=curated: curated(stored)[0])
+        now = store.read()
+        now = spark.createDataFrame([], f"{id_col} string") if now is None else now
+        wrong = curated(now)[1]
+        errors = wrong if errors is None else errors.unionByName(wrong)
+    return audit_records(events, errors.unionByName(validate_events(events)))
+
+
+def stream_curated_graph(spark: SparkSession, source: str, path: str, audit: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """JSON curation events by batches into the stored graph below ``path``, with an audit record for each below ``audit``/batch=n."""
+
+    def take(batch: DataFrame, n: int) -> None:
+        curate_stored(spark, path, n, batch, buckets).write.mode("overwrite").json(f"{audit}/batch={n}")
+
+    return stream_curation(spark, source, take, checkpoint)
