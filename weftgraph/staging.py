@@ -37,6 +37,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}"
 
 
+def result_path(spark: SparkSession, name: str) -> str:
+    """A path below the scratch folder for results, which ``drop_staged`` leaves alone."""
+    return f"{scratch_dir(spark)}/weft-{uuid.uuid4().hex[:12]}/{name}"
+
+
 def drop_staged(spark: SparkSession) -> int:
     """Delete all that this session has staged, once results that read it are written; how many folders went."""
     folders = _MADE.pop(spark.sparkContext.applicationId, [])
