@@ -601,3 +601,100 @@ def test_words_match_the_pattern():
         for i in range(last - first):
             got = [data[a:b].tobytes().decode() for a, b in zip(s[bounds[i] : bounds[i + 1]], e[bounds[i] : bounds[i + 1]], strict=True)]
             assert got == WORD.findall(texts[first + i] or "")
+
+
+# ---- scores ----
+
+def test_language_scores_by_force(spark):
+    """Own frequencies of known words, else the longest order of n-grams with a known one, from counts of the whole sample."""
+    rows = [(i, prose(60, i, 60) + " " + prose(5, 1000 + i), ("p", "q")[i % 3 == 0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(df)
+    count = {k: collections.defaultdict(lambda: np.zeros(2)) for k in (0, 5, 4, 3, 2, 1)}
+    letters = re.compile(r"[^\W\d_]+")
+    for _, text, lang in rows:
+        for w in letters.findall(text.lower()):
+            count[0][w]["pq".index(lang)] += 1
+            for k in (5, 4, 3, 2, 1):
+                for i in range(len(w) + 3 - k):
+                    count[k][f" {w} "[i : i + k]]["pq".index(lang)] += 1
+    kept = {k: {g: c for g, c in its.items() if c.sum() >= (5 if k else 2)} for k, its in count.items()}
+    logs = {}
+    for k, its in kept.items():
+        total = sum(its.values(), np.zeros(2)) + 0.5 * max(1, len(its))
+        logs[k] = {g: np.round(np.log((c + 0.5) / total) * langid.SCALE).astype(np.int64) for g, c in its.items()}
+
+    def word(w):
+        if w in logs[0]:
+            return logs[0][w]
+        for k in (5, 4, 3, 2, 1):
+            found = [logs[k][g] for i in range(len(w) + 3 - k) if (g := f" {w} "[i : i + k]) in logs[k]]
+            if found:
+                return sum(found) // len(found)
+        return np.zeros(2, np.int64)
+
+    words = sorted({w for _, t, _ in rows for w in letters.findall(t.lower())} | {"wwww", "éw", "zq", "w"})
+    got = langid.Scorer(model).words(words)
+    assert [tuple(x) for x in got.tolist()] == [tuple(word(w).tolist()) for w in words]
+
+
+def test_fits_keep_to_bytes(spark):
+    rows = spark.createDataFrame([(i, "é" * 50) for i in range(40)], "id long, text string")
+    assert langid.within_bytes(rows, "id", "text", 1000).count() == 10 and langid.within_bytes(rows, "id", "text", 10).count() == 1
+    assert langid.within_bytes(rows, "id", "text", 1 << 20).count() == 40 and langid.within_bytes(rows.limit(0), "id", "text", 5).count() == 0
+
+
+def test_large_models_raise(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_BYTES", 100)
+    with pytest.raises(ValueError, match="a model of"):
+        langid.fit_languages(spark.createDataFrame([(1, prose(50, 1) * 2, "p")], "doc_id long, text string, lang string"))
+
+
+def test_equal_texts_score_alike_wherever_they_stand(spark):
+    """Toxicity and quality scores of a text to the last bit, at several places of several batches."""
+    text = prose(70, 5)
+    rows = [(i, prose(30 + i % 7, i) if i % 10 else text, i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("quality", F.col("toxic"))
+    marks = df.select("doc_id", "toxic", "quality")
+    toxic, quality_model = toxicity.fit_toxicity(df, marks, least_docs=1), quality.fit_quality(df, marks)
+    for n in (1, 4):
+        some = df.repartition(n)
+        same = {r.score for r in toxicity.score_toxicity(some, toxic).collect() if r.doc_id % 10 == 0}
+        assert len(same) == 1
+        assert len({r.probability for r in quality.judge_quality(some, quality_model).collect() if r.doc_id % 10 == 0}) == 1
+
+
+# ---- results that stay, other vocabularies ----
+
+def test_media_outlive_staged_tables(spark, docs):
+    """Payloads are results: dropping intermediate tables leaves them, and rows find them by folder, shard, offset and length."""
+    from weftgraph.staging import drop_staged
+
+    rows = media.media_columns(docs).collect()
+    assert drop_staged(spark) > 0 and {r.shard for r in rows} <= {f"shard-{i:06d}.tar" for i in range(99)}
+    for r in rows:
+        with media._open(f"{r.folder}/{r.shard}", False) as f:
+            f.seek(r.offset)
+            image = f.read(r.length)
+        assert hashlib.sha256(image).hexdigest() == r.media_sha256 and hashlib.sha256(media.from_png(image)).hexdigest() == r.payload_sha256
+    with pytest.raises(FileExistsError):
+        media.media_columns(docs, folder=rows[0].folder)
+
+
+def test_packing_by_another_vocabulary(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    texts = ["Hello  World\n\nit's", " a<|endoftext|> b ", None, "", "\r\n x\x1c!", prose(50, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = collections.defaultdict(list)
+    for r in packing.pack_documents(df, path, 16).collect():
+        whole[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    tokenizer = Tokenizer.from_file(path)
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        assert all(zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) == crc for a, n, crc in whole[i]) and sum(n for _, n, _ in whole[i]) == len(ids)
+    other = tmp_path / "t.json"
+    other.write_text('{"model": {"type": "WordPiece", "vocab": {}, "merges": []}}')
+    with pytest.raises(ValueError, match="not among those"):
+        packing.pack_documents(df, str(other))

@@ -3,7 +3,8 @@
 A word seen in training is scored by its log frequency in each language; an unseen word by the longest order of
 character n-grams of which training has seen at least one. Counts come from a Spark aggregation over a bounded
 sample of labelled documents; all words and n-grams from a floor of occurrences up are kept. Scores are fixed-point
-integers, so a text's sums do not depend on their order or on what a worker remembers.
+integers, so a text's sums do not depend on their order or on what a worker remembers. The model is arrays alone: sorted
+64-bit hashes of words and n-grams, and a row of scores for each; its size is checked before it goes to every task.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -24,6 +26,8 @@ _LETTERS = regex.compile(r"\p{L}+")
 
 #: Tokens beyond which a worker forgets those it has scored; rows scored at a time; steps of a unit of log frequency.
 MEMORY_TOKENS, ROWS, SCALE = 150_000, 200, 1 << 16
+#: Bytes that a model may have.
+MODEL_BYTES = 256 << 20
 
 
 def one_of_each(rows: DataFrame, key: str) -> DataFrame:
@@ -39,6 +43,21 @@ def bounded_sample(rows: DataFrame, key: str, max_rows: int) -> DataFrame:
     return one_of_each(rows.where(h <= F.lit(edge).cast("long")), key)
 
 
+def within_bytes(rows: DataFrame, key: str, text_col: str, max_bytes: int) -> DataFrame:
+    """Of a bounded sample with one row for each ``key``, those of the smallest hashes whose texts have ``max_bytes`` together; one row at least."""
+    sizes = rows.select(F.xxhash64(F.col(key), F.lit("sample")).alias("h"), F.octet_length(text_col).alias("n")).toArrow().sort_by("h")
+    ends = np.cumsum(sizes.column("n").to_numpy(zero_copy_only=False).astype(np.int64))
+    last = int(np.searchsorted(ends, max_bytes, side="right"))
+    if last >= len(ends):
+        return rows
+    return rows.where(F.xxhash64(F.col(key), F.lit("sample")) <= F.lit(sizes.column("h")[max(0, last - 1)].as_py()).cast("long"))
+
+
+def hash_of(gram: str) -> int:
+    """What Spark's xxhash64 gives for a string, as an unsigned number."""
+    return xxhash.xxh64_intdigest(gram.encode(), 42)
+
+
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct tokens of some texts in lower case, each token's number among them, and the texts' bounds."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")))
@@ -87,44 +106,39 @@ def _grams(orders: tuple[int, ...]):
 
 
 def fit_languages(
-    labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_docs: int = 12_000,
+    labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_docs: int = 12_000, max_bytes: int = 128 << 20,
     least_words: int = 2, least_grams: int = 5, orders: tuple[int, ...] = (5, 4, 3, 2, 1),
 ) -> dict:
     """Per-language log frequencies of words and character n-grams.
 
-    Fits on ``max_docs`` documents at most (those of the smallest hashes of the id; an id counts once). All words that
-    stand there ``least_words`` times or more, and all n-grams of ``least_grams`` times or more, are kept. Rows with a null text or language are left out.
+    Fits on ``max_docs`` documents and ``max_bytes`` of text at most (those of the smallest hashes of the id; an id counts once). All words that
+    stand there ``least_words`` times or more, and all n-grams of ``least_grams`` times or more, are kept; they are told apart by 64-bit hashes.
+    Rows with a null text or language are left out. A model of more than MODEL_BYTES raises ValueError.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
     )
-    sample = bounded_sample(rows, "id", max_docs).select("lang", "text")
+    sample = within_bytes(stage(bounded_sample(rows, "id", max_docs), "sample"), "id", "text", max_bytes).select("lang", "text")
     words = stage(sample.mapInArrow(_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "words")
     grams = words.mapInArrow(_grams(orders), "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     every = words.select("lang", F.lit(0).alias("kind"), "gram", "n").unionByName(grams)
     least = F.when(F.col("kind") == 0, least_words).otherwise(least_grams)
-    table = (
-        every.groupBy("kind", "gram")
-        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        .where(F.col("total") >= least)
-        .select("kind", "gram", "by.lang", "by.n")
-        .toArrow()
-    )
-    langs = sorted(table.column("lang").combine_chunks().flatten().unique().to_pylist())
-    model: dict = {"langs": langs, "orders": orders, "rows": {}, "logs": {}}
+    table = stage(
+        every.groupBy("kind", F.xxhash64("gram").alias("h")).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+        .where(F.col("total") >= least),
+        "grams",
+    )
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
+    if (size := table.count() * (8 + 4 * len(langs))) > MODEL_BYTES:
+        raise ValueError(f"a model of {size} bytes: fewer documents, or higher floors")
+    model: dict = {"langs": langs, "orders": orders, "keys": {}, "logs": {}}
     for k in (0, *orders):
-        part = table.filter(pc.equal(table.column("kind"), k)).sort_by("gram")
-        seen, by = np.zeros((len(part), len(langs))), part.column("lang").combine_chunks()
-        at = np.repeat(np.arange(len(part)), by.value_lengths().to_numpy(zero_copy_only=False))
-        seen[at, np.searchsorted(np.array(langs, dtype=object), np.array(by.flatten().to_pylist(), dtype=object))] = (
-            part.column("n")
-            .combine_chunks()
-            .flatten()
-            .to_numpy(zero_copy_only=False)
-        )
-        logs = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * max(1, len(part))))
-        model["rows"][k] = {g: i for i, g in enumerate(part.column("gram").to_pylist())}
-        model["logs"][k] = np.round(logs * SCALE).astype(np.int32)
+        part = table.where(F.col("kind") == k).select("h", *[F.coalesce(F.col("by")[x], F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]).toArrow()
+        keys = part.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+        order = np.argsort(keys)
+        seen = np.stack([part.column(f"n{i}").to_numpy(zero_copy_only=False) for i in range(len(langs))], axis=1)[order].astype(np.float64) if langs else np.zeros((len(keys), 0))
+        model["keys"][k] = keys[order]
+        model["logs"][k] = np.round(np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * max(1, len(keys)))) * SCALE).astype(np.int32)
     return model
 
 
@@ -132,26 +146,49 @@ class Scorer:
     """Scores tokens once and sums them over texts; a score is a fixed-point integer for each language, and the number of words."""
 
     def __init__(self, model: dict) -> None:
-        self.model, self.width, self.rows = model, len(model["langs"]), model["rows"]
+        self.model, self.width, self.keys = model, len(model["langs"]), model["keys"]
         self.places: dict[str, int] = {}
         self.table = np.zeros((0, self.width + 1), np.int64)
 
-    def word(self, word: str) -> list[int]:
-        """Scores of one word: its own when known, else the mean over its n-grams of the longest known order."""
-        at = self.rows[0].get(word)
-        if at is not None:
-            return self.model["logs"][0][at].tolist()
-        framed = f" {word} "
+    def find(self, kind: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known words (kind 0) or n-grams of an order, and their rows."""
+        keys = self.keys[kind]
+        at = np.minimum(np.searchsorted(keys, hashes), max(0, len(keys) - 1))
+        return (keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)), at
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of words: a word's own when known, else the mean over its n-grams of the longest known order; 0 without any."""
+        out = np.zeros((len(words), self.width), np.int64)
+        known, at = self.find(0, np.fromiter(map(hash_of, words), np.uint64, len(words)))
+        out[known] = self.model["logs"][0][at[known]] if len(self.keys[0]) else 0
+        left = np.flatnonzero(~known)
         for n in self.model["orders"]:
-            known = self.rows[n].get
-            found = [i for k in range(len(framed) - n + 1) if (i := known(framed[k : k + n])) is not None]
-            if found:
-                return (self.model["logs"][n][found].sum(axis=0, dtype=np.int64) // len(found)).tolist()
-        return [0] * self.width
-
-    def token(self, token: str) -> list[int]:
-        words = _LETTERS.findall(token)
-        return [sum(c) for c in zip(*map(self.word, words), strict=True)] + [len(words)] if words else [0] * (self.width + 1)
+            framed = [f" {words[i]} " for i in left.tolist()]
+            counts = np.array([max(0, len(w) - n + 1) for w in framed], np.int64)
+            hashes = np.fromiter((hash_of(w[k : k + n]) for w in framed for k in range(len(w) - n + 1)), np.uint64, int(counts.sum()))
+            hit, at = self.find(n, hashes)
+            its, found = np.repeat(np.arange(len(left)), counts)[hit], np.zeros((len(left), self.width), np.int64)
+            if len(its):
+                begin = np.flatnonzero(np.diff(its, prepend=-1))
+                sums = np.add.reduceat(self.model["logs"][n][at[hit]].astype(np.int64), begin, axis=0)
+                found = sums // np.diff(begin, append=len(its))[:, None]
+                out[left[its[begin]]] = found
+                left = np.delete(left, its[begin])
+            if not len(left):
+                break
+        return out
+
+    def tokens(self, tokens: list[str]) -> np.ndarray:
+        """Sums over the words of each token, and how many words it has."""
+        words = [_LETTERS.findall(t) for t in tokens]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        out = np.zeros((len(tokens), self.width + 1), np.int64)
+        full = np.flatnonzero(counts)
+        if len(full):
+            scores = self.words([w for its in words for w in its])
+            out[full, :-1] = np.add.reduceat(scores, (np.cumsum(counts) - counts)[full], axis=0)
+            out[:, -1] = counts
+        return out
 
     def texts(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """The best language of each text and its share of the likelihood; ("und", 0) for a text without a letter."""
@@ -163,7 +200,7 @@ class Scorer:
             tokens = tokens.to_pylist()
             new = [t for t in tokens if t not in self.places]
             if new:
-                self.table = np.concatenate([self.table, np.array([self.token(t) for t in new], np.int64)])
+                self.table = np.concatenate([self.table, self.tokens(new)])
                 self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
             held = self.table[np.fromiter(map(self.places.__getitem__, tokens), np.int64, len(tokens))]
             full = np.flatnonzero(np.diff(bounds))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import new_path, stage
+from ..staging import result_path, stage
 
 #: Samples in an image row; bytes of a PNG up to the end of its header chunk.
 WIDTH, HEADER_BYTES = 192, 33
@@ -84,17 +84,27 @@ def _open(uri: str, write: bool):
     return fs.open_output_stream(path)
 
 
+def _put(draft: str, final: str) -> None:
+    """A whole file gets its name; one that another run of the same task has put there is replaced by its like."""
+    fs, path = pafs.FileSystem.from_uri(final if re.match(r"\w+:", final) else f"file://{final}")
+    draft = pafs.FileSystem.from_uri(draft if re.match(r"\w+:", draft) else f"file://{draft}")[1]
+    if not isinstance(fs, pafs.LocalFileSystem) and fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_file(path)
+    fs.move(draft, path)
+
+
 def store_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the tar shards below ``folder`` and return doc_id, n_bytes, digest, shard, offset, length for every row.
+    """Write the tar shards below ``folder`` and return doc_id, n_bytes, digest, shard (its name there), offset, length for every row.
 
-    A task that runs again writes a shard of another name; rows name the shard that their own run has written, and a
-    failed run's shard stays in the folder with nothing that refers to it.
+    A shard is named by its task. A task writes a draft and gives it the name when it is whole; one that runs again reads the same
+    rows, and so puts an equal shard in its place. A failed run's draft stays in the folder with nothing that refers to it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, where, out = 0, {}, None
         task = TaskContext.get()
-        shard = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.tar"
+        shard = f"shard-{task.partitionId():06d}.tar"
+        draft = f"{folder}/draft-{task.partitionId():06d}-{task.taskAttemptId()}"
         try:
             for b in batches:
                 rows = []
@@ -103,7 +113,7 @@ def store_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                     payload = pad(raw)
                     digest = hashlib.sha256(payload).digest()
                     if digest not in where:
-                        out = out or _open(shard, True)
+                        out = out or _open(draft, True)
                         image = to_png(payload)
                         entry = tarfile.TarInfo(f"{digest.hex()}.png")
                         entry.size = len(image)
@@ -118,16 +128,24 @@ def store_payloads(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                     [b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
                     names=["doc_id", "n_bytes", "digest", "shard", "offset", "length"],
                 )
-        finally:
             if out:
                 out.write(b"\0" * 1024)
                 out.close()
+                _put(draft, f"{folder}/{shard}")
+                out = None
+        finally:
+            if out:
+                out.close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, digest binary, shard string, offset long, length long")
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(folder: str):
+    return lambda batches: _described(folder, batches)
+
+
+def _described(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     opened, name = None, None
     for b in batches:
         rows = []
@@ -135,7 +153,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if shard != name:
                 if opened:
                     opened.close()
-                opened, name = _open(shard, False), shard
+                opened, name = _open(f"{folder}/{shard}", False), shard
             opened.seek(offset)
             width, height, bits, _colour = read_header(opened.read(HEADER_BYTES))
             opened.seek(offset)
@@ -161,22 +179,25 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Store every payload and describe it: one row for each row of ``docs``.
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, then width,
-    height, bits (read from headers alone), shard, offset and length of the stored image. ``folder`` is where the
-    shards go (a new one in the shared scratch folder by default). Nulls: a null text is an empty one, whose payload
+    height, bits (read from headers alone), folder, and shard (its name there), offset and length of the stored image. ``folder`` is where the
+    shards go (by default a new one in the shared folder, which ``drop_staged`` leaves alone); a folder that holds shards already raises FileExistsError. Nulls: a null text is an empty one, whose payload
     is one row of spaces; a null id stays null. Equal texts have equal values, the place included. Extra columns are
     not read; an empty table writes no shard and gives no rows.
     """
-    folder = folder or new_path(docs.sparkSession, "media")
+    folder = (folder or result_path(docs.sparkSession, "media")).rstrip("/")
+    fs, path = pafs.FileSystem.from_uri(folder if re.match(r"\w+:", folder) else f"file://{folder}")
+    if any(f.base_name.startswith("shard-") for f in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))):
+        raise FileExistsError(f"{folder} holds shards, which rows of an earlier run may name")
     placed = stage(store_payloads(docs, folder, id_col, text_col), "placed")
     chosen = placed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
     # a row is few bytes but names a whole image: a task for each shard, whatever its rows' bytes
     shards = placed.agg(F.count_distinct("shard")).first()[0]
     described = chosen.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "offset").mapInArrow(
-        _describe,
+        _describe(folder),
         "digest binary, width int, height int, bits int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
     found = chosen.join(described, "digest")
     return placed.select("doc_id", "n_bytes", "digest").join(found, "digest").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
-        "width", "height", "bits", "shard", "offset", "length",
+        "width", "height", "bits", F.lit(folder).alias("folder"), "shard", "offset", "length",
     )

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
+from .vocabularies import blocks, rules
 
 #: Words kept by each worker's memory; beyond it further words are looked up without being kept.
 MEMORY_WORDS = 400_000
@@ -41,8 +42,6 @@ class Memory(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.runs = Tokenizer.from_file(path), {}
-        if self.tokenizer.get_vocab_size() > 65536:
-            raise ValueError(f"{path} has more than 65536 ids")
         self.model = self.tokenizer.model
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(visible)]
@@ -67,12 +66,27 @@ class Memory(dict):
         return ids
 
 
+class Words(dict):
+    """The same for any vocabulary whose rules keep words apart: each word goes through the whole tokenizer when it is first met."""
+
+    def __init__(self, path: str) -> None:
+        self.rules = rules(path)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(self.rules.encode([word])[0], dtype="<u2").tobytes()
+        if len(self) < MEMORY_WORDS:
+            self[word] = ids
+        return ids
+
+
 def token_ids(path: str, texts: list[str | None]) -> list[bytes]:
     """For each text the ids of the vocabulary at ``path`` as little-endian unsigned 16-bit values."""
     memory = _MEMORIES.get(path)
     if memory is None:
-        memory = _MEMORIES[path] = Memory(path)
+        memory = _MEMORIES[path] = Words(path) if rules(path).byte_level else Memory(path)
     look = memory.__getitem__
+    if isinstance(memory, Words):
+        return [b"".join([look(w) for block in blocks(t) for w in memory.rules.split(block)]) if t else b"" for t in texts]
     return [b"".join(map(look, [t] if _ODD.search(t) else t.split())) if t else b"" for t in texts]
 
 
@@ -81,13 +95,15 @@ def pack_documents(
 ) -> DataFrame:
     """Lay all documents' tokens end to end and cut them every ``window`` tokens.
 
-    ``vocabulary`` is a tokenizers file with 65536 ids at most (else ValueError). Each document's ids are followed by ``end_id``.
+    ``vocabulary`` is a tokenizers file with 65536 ids at most whose rules keep words apart (``vocabularies.Rules``; else ValueError). Each document's ids are followed by ``end_id``.
     Returns one row for each piece: doc_id, start, length, ids_crc32 (of little-endian unsigned 32-bit ids),
     doc_tokens, sequence_id, offset. Every sequence but the last is full, so no padding is needed.
     Nulls: a null text is an empty one and has the end id alone; a null id stays null. Repeated rows are packed
     each. Extra columns are not read. An empty table gives an empty result. The order of documents is that of the
     table's files, so reruns agree.
     """
+    if rules(vocabulary).size > 65536:
+        raise ValueError(f"{vocabulary} has more than 65536 ids")
     end = np.array([end_id], dtype="<u2").tobytes()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

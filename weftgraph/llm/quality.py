@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import bounded_sample, one_of_each
-from .textbatch import SPACE, chunks, grouped_sum, mix, owner, span_hash, words
+from .textbatch import SPACE, chunks, grouped_sum, mix, owner, span_hash, span_sums, words
 
 #: Hash bits of each kind of feature; the kinds are word, word pair, 3 characters, 4 characters.
 BITS, KINDS = 16, 4
@@ -60,7 +60,7 @@ def raw_scores(column: pa.Array, weights: np.ndarray) -> np.ndarray:
     out = np.full(len(column), float(weights[-1]))
     for first, last, data, offsets in chunks(column):
         for code, bounds in features(data, offsets):
-            out[first:last] += grouped_sum(weights[code].astype(np.float64), bounds) / np.maximum(1, np.diff(bounds))
+            out[first:last] += span_sums(weights[code], bounds) / np.maximum(1, np.diff(bounds))
     return out
 
 

@@ -93,7 +93,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(documents(spark, sf_dir)).drop("shard")
+    return media_columns(documents(spark, sf_dir)).drop("folder")
 
 
 def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import bounded_sample, one_of_each
-from .textbatch import chunks, grouped_sum, lower_ascii, mix, owner, span_hash
+from .textbatch import chunks, lower_ascii, mix, owner, span_hash, span_sums
 
 BITS = 18
 #: Words a chain has at most; sentences longer than that are parted.
@@ -129,7 +129,7 @@ def document_features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if len(full):
         top[full] = np.maximum.reduceat(p, bounds[:-1][full])
     top = np.clip(top, 1e-4, 1 - 1e-4)
-    total = grouped_sum(p, bounds)
+    total = span_sums(p, bounds)
     return np.stack([np.log(top / (1 - top)), np.log1p(total), np.log((total + 0.05) / (np.diff(bounds) + 10)), np.ones(n)], axis=1)
 
 
@@ -242,7 +242,7 @@ def score_toxicity(docs: DataFrame, model: dict | None, id_col: str = "doc_id",
             for first, last, data, offsets in chunks(b.column(1)) if fit else ():
                 s, e, h, bounds, head = tokens(data, offsets)
                 p, _ = marginals(fit["weights"][chain_features(h, head)].sum(axis=1) + fit["bias"], head, fit["move"])
-                z = document_features(p, bounds) @ fit["top"]
+                z = (document_features(p, bounds) * fit["top"]).sum(axis=1)  # row by row: no bit depends on the batch
                 score[first:last] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 hit = np.flatnonzero(p >= 0.5)
                 if len(hit):
