@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _MADE: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -44,6 +45,8 @@ def result_path(spark: SparkSession, name: str) -> str:
 
 def drop_staged(spark: SparkSession) -> int:
     """Delete all that this session has staged, once results that read it are written; how many folders went."""
+    for table in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     folders = _MADE.pop(spark.sparkContext.applicationId, [])
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -51,6 +54,19 @@ def drop_staged(spark: SparkSession) -> int:
     return len(folders)
 
 
+def stage_bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """Write ``df`` once in buckets of a column: joins and groups by that column then read it without a shuffle.
+
+    The table is registered in the session's catalog under a name of its own, with its files in the scratch folder.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"weft_{name}_{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(buckets, column).option("path", path).format("parquet").saveAsTable(table)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return spark.table(table)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession
