@@ -1,5 +1,6 @@
 """Curation over stored state, pattern matching, the vector index, names by keys, merge chains, keyed job state, the bucket store."""
 
+import json
 import random
 import re
 import xml.etree.ElementTree as ET
@@ -10,7 +11,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators import automaton, cells, curate, graph, names, resolve, sinks, vectors
+from weftgraph.operators import automaton, cells, chunking, curate, graph, names, resolve, sinks, vectors, verify
+from weftgraph.sources.json_split import json_items
 from weftgraph.store import BucketStore
 from weftgraph.streaming import jobs
 
@@ -257,3 +259,133 @@ def test_exports_say_what_is_curated(spark):
     root = ET.fromstring(text.encode())
     said = {(x.get("id"), d.get("key")): d.text for x in root.iter() if x.get("id") for d in x.findall(f"{space}data")}
     assert (said["e1", "d3"], said["e2", "d3"], said["r1", "d8"], said["e1", "d0"]) == ("true", "false", "true", "A<b")
+
+
+# ---- stages, conflicts ----
+
+def test_stages_see_only_open_rows(spark):
+    rows = spark.createDataFrame([(i, float(i % 5)) for i in range(50)], "relationship_id long, x double").withColumn("text_status", F.lit("old"))
+    seen = {}
+
+    def said(p, confidence):
+        def run(some):
+            seen[p] = sorted(r.relationship_id for r in some.collect())
+            return some.select("relationship_id", F.lit("passed").alias(f"{p}_status"), confidence.alias(f"{p}_confidence"))
+
+        return run
+
+    stages = {
+        "text": said("text", F.when(F.col("x") == 0, 0.9).when(F.col("x") == 1, 0.1).otherwise(0.5)),
+        "embedding": said("embedding", F.when(F.col("x") == 2, 0.8).otherwise(0.4)), "llm": said("llm", F.lit(0.6)),
+    }
+    got = {r.relationship_id: r for r in verify.run_cascade(rows, stages).collect()}
+    assert seen == {"text": list(range(50)), "embedding": [i for i in range(50) if i % 5 > 1], "llm": [i for i in range(50) if i % 5 > 2]}
+    assert {i % 5: got[i].decisive_stage for i in range(5)} == {0: "text_match", 1: "text_match", 2: "embedding", 3: "llm", 4: "llm"}
+    assert got[0].reasoning == "PASSED — decided at text_match stage (confidence 0.90). Weighted confidence 0.9000. text_match: PASS (0.90)"
+    assert got[3].reasoning == "PASSED — decided at llm stage (confidence 0.60). Weighted confidence 0.5100. text_match: PASS (0.50); embedding: PASS (0.40); llm: PASS (0.60)"
+    assert verify.run_cascade(rows.limit(0), stages).collect() == []
+    with pytest.raises(ValueError, match="stages"):
+        verify.run_cascade(rows, {"vision": stages["text"]})
+    assert {r.reasoning for r in verify.run_cascade(rows, {}).collect()} == {"No stages were run."}
+
+
+EDGE = "relationship_id string, source_entity_id string, target_entity_id string, relationship_type string, description string, trust string"
+
+
+def test_conflict_classes_expand_to_pairs(spark):
+    r = random.Random(3)
+    words = ["is it", "is not it", "", None, " Without it", "has", "HAS"]
+
+    def edges(prefix, n):
+        return [(f"{prefix}{i}", *r.sample("abc", 2), r.choice(["T", "U"]), r.choice(words), r.choice(["user", "curated", None])) for i in range(n)]
+
+    old = edges("o", 40)
+    new = edges("n", 30) + old[:5]
+    a, b = spark.createDataFrame(new, EDGE), spark.createDataFrame(old, EDGE)
+    classes, members = verify.conflict_classes(a, b)
+    want = Counter(tuple(x) for x in verify.detect_conflicts(a, b).collect())
+    assert Counter(tuple(x) for x in verify.expand_conflicts(classes, members).collect()) == want
+    assert sum(x.n_pairs for x in classes.collect()) == sum(want.values()) > 100
+
+
+def test_a_hot_pair_of_ends_costs_its_edges(spark):
+    def edges(prefix, kind):
+        return spark.range(10_000).select(F.concat(F.lit(prefix), "id").alias("relationship_id"), F.lit("a").alias("source_entity_id"), F.lit("b").alias("target_entity_id"), F.lit(kind).alias("relationship_type"), F.lit("x").alias("description"), F.lit("user").alias("trust"))
+
+    classes, members = verify.conflict_classes(edges("n", "T"), edges("o", "U"))
+    assert [x.n_pairs for x in classes.collect()] == [100_000_000] and members.count() == 20_000
+
+
+# ---- JSON files, streamed chunks ----
+
+@pytest.mark.parametrize("split", [40, 1 << 20])
+def test_json_files_are_split(spark, tmp_path, split):
+    """Commas, brackets and quotes in strings, escapes, nested items, several files; four splits and more of one file."""
+    r = random.Random(5)
+    odd = ["a,b", "[", "]", '"', '\\', "}{", "é, ü", "", "\n", "x\\\",y"]
+
+    def value(depth):
+        kind = r.randrange(4 if depth else 2)
+        if kind == 0:
+            return r.choice(odd)
+        if kind == 1:
+            return r.randrange(1000)
+        return [value(depth - 1) for _ in range(r.randrange(3))] if kind == 2 else {r.choice(odd) + str(i): value(depth - 1) for i in range(r.randrange(3))}
+
+    (tmp_path / "in").mkdir()
+    files = {f"{i}.json": [value(3) for _ in range(n)] for i, n in enumerate((0, 1, 37))}
+    files |= {"o.json": {f"k{i},": value(2) for i in range(20)}, "empty.json": {}}
+    for k, (name, data) in enumerate(files.items()):
+        (tmp_path / "in" / name).write_text(("﻿ " if k == 2 else " \n") + json.dumps(data, indent=[None, 1][k % 2], ensure_ascii=k % 2 == 0) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = json_items(spark, str(tmp_path / "in")).collect()
+        splits = spark.read.option("lineSep", ",").text(str(tmp_path / "in" / "2.json")).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert splits >= 4 or split > 40
+    got = {}
+    for x in sorted(rows, key=lambda x: (x.file, x.pos)):
+        name = x.file.rsplit("/", 1)[1]
+        if name == "o.json":
+            got.setdefault(name, {}).update(json.loads("{" + x.item + "}"))
+        else:
+            assert x.pos == len(got.setdefault(name, []))
+            got[name].append(json.loads(x.item))
+        assert x.n_items == len(files[name])
+    assert got == {k: v for k, v in files.items() if v}
+
+
+def test_chunks_are_streamed(spark):
+    texts = ["", " ", "abc", "x" * 512, "ab  " * 400, "é" * 513, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "document_id int, content string")
+    got = {tuple(r) for r in chunking.chunk_streamed(docs, chunking.fixed_pieces(100, 20)).collect()}
+    want = {(r.document_id, r.chunk_index, r.content, r.start_position) for r in chunking.chunk_fixed(docs, 100, 20).collect()}
+    assert got == want
+    # a generator is asked for no more than what has left
+    asked = []
+
+    def pieces(text):
+        for i in range(10**9):
+            asked.append(i)
+            yield i, "p"
+
+    import itertools
+
+    import pyarrow as pa
+
+    class Held:
+        schema = docs.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    run = chunking.chunk_streamed(Held(), pieces)
+    list(itertools.islice(run(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["t"])], names=["a", "b"])])), 3))
+    assert len(asked) <= 4 * chunking.STREAMED

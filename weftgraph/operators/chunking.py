@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.core import content_id
 
@@ -15,6 +18,10 @@ from ..functions.core import content_id
 CONTEXT_CAPS = {"verify": 4000, "embedding": 2000, "verdict": 3000, "entity": 8000, "entity_prompt": 4000, "relationship_prompt": 3000}
 
 
+#: Chunks that leave a task together, and the white space that windows lose at their ends.
+STREAMED, BLANKS = 500, "".join(chr(i) for i in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def capped(text: Column, step: str) -> Column:
     """The beginning of a context that a step may use."""
     return F.substring(text, 1, CONTEXT_CAPS[step])
@@ -71,6 +78,40 @@ def chunk_with(docs: DataFrame, split: Callable[[Column], Column], keep_blank: b
     return rows
 
 
+def chunk_streamed(docs: DataFrame, pieces: Callable[[str], Iterator[tuple[int, str]]]) -> DataFrame:
+    """Chunks (document_id, chunk_index, content, start_position) by a generator of (start, piece) from a text.
+
+    Chunks leave the task as the generator makes them, STREAMED at a time, so that no document's chunks are ever held together, by Python or
+    in an array; blank pieces use no index. A null text has no chunks; a null document_id stays null.
+    """
+    kind = docs.schema["document_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, text in enumerate(b.column(1)):
+                found, nth = pieces(text.as_py() or ""), 0
+                while some := list(itertools.islice(found, STREAMED)):
+                    some = [x for x in some if x[1].strip()]
+                    who = b.column(0).take(pa.array([i] * len(some), pa.int64()))
+                    cols = [pa.array(range(nth, nth + len(some)), pa.int64()), pa.array([x[1] for x in some], pa.string()), pa.array([x[0] for x in some], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([who, *cols], names=["document_id", "chunk_index", "content", "start_position"])
+                    nth += len(some)
+
+    out = StructType([StructField("document_id", kind), *StructType.fromDDL("chunk_index long, content string, start_position long").fields])
+    return docs.select("document_id", "content").mapInArrow(run, out)
+
+
+def fixed_pieces(size: int = 512, overlap: int = 50) -> Callable[[str], Iterator[tuple[int, str]]]:
+    """The windows of ``chunk_fixed``, one by one, trimmed."""
+
+    def run(text: str) -> Iterator[tuple[int, str]]:
+        step = size - overlap
+        for start in range(0, max(0, -(-(len(text) - size) // step)) * step + 1 if text else 0, step):
+            yield start, text[start : start + size].strip(BLANKS)
+
+    return run
+
+
 def split_sentences(c: Column) -> Column:
     """Sentences: cut after . ! ? with white space, then at blank lines; blank ones go."""
     parts = F.flatten(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+"), lambda s: F.split(s, r"\n{2,}")))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import clamp01, content_id, entity_credit, has_negation, parse_reply, term_present, trust_priority, weighted_mean
+from ..staging import stage as written
 
 STAGE_WEIGHTS = {"text_match": 0.20, "embedding": 0.35, "llm": 0.45}
 VERDICT_SCHEMA = "verdict string, confidence double, reasoning string"
@@ -98,6 +101,54 @@ def undecided(rows: DataFrame, stage: str, high: float = 0.7, low: float = 0.3)
     return rows.where(~F.coalesce(F.col(f"{stage}_status").isin("passed", "failed") & ((c >= high) | (c < low)), F.lit(False)))
 
 
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def run_cascade(rows: DataFrame, stages: dict[str, Stage], id_col: str = "relationship_id", high: float = 0.7, low: float = 0.3) -> DataFrame:
+    """Run verification stages one after the other, each on the rows that the ones before have left undecided.
+
+    ``stages`` has functions for ``text``, ``embedding`` and ``llm``, or some of them: each takes the rows that are still open,
+    with all columns of ``rows``, and gives ``id_col``, <stage>_status and <stage>_confidence for them (more columns are not kept; a row that
+    it leaves out has not run). What a stage says is written before the next one starts, so a stage is paid for once, and only for open rows.
+    Returns ``rows`` with the stages' columns, decisive_stage, confidence, status (``verify_cascade``) and reasoning. ``id_col`` is distinct and
+    not null; an empty table runs every stage on no rows. Another stage's name raises ValueError.
+    """
+    names = ("text", "embedding", "llm")
+    if unknown := sorted(set(stages) - set(names)):
+        raise ValueError(f"stages {unknown}")
+    rows = rows.drop(*(f"{p}_{c}" for p in names for c in ("status", "confidence")))
+    still, out = rows, rows
+    for p in names:
+        status, confidence = f"{p}_status", f"{p}_confidence"
+        if p not in stages:
+            out = out.withColumns({status: F.lit(None).cast("string"), confidence: F.lit(None).cast("double")})
+            continue
+        said = written(stages[p](still).select(id_col, status, F.col(confidence).cast("double").alias(confidence)), f"stage-{p}")
+        decided = said.select(id_col).exceptAll(undecided(said, p, high, low).select(id_col))
+        still = still.join(decided, id_col, "left_anti")
+        out = out.join(said, id_col, "left")
+    return verify_cascade(out, high, low).withColumn("reasoning", cascade_reasoning())
+
+
+def cascade_reasoning(threshold: float = 0.5) -> Column:
+    """What a cascade decided, where, and what each stage that ran has said, as text."""
+    names = {"text": "text_match", "embedding": "embedding", "llm": "llm"}
+    status, c = ({p: F.col(f"{p}_{x}") for p in names} for x in ("status", "confidence"))
+    said = F.when(F.col("decisive_stage") == "text_match", c["text"]).when(F.col("decisive_stage") == "embedding", c["embedding"]).otherwise(c["llm"])
+    # The wording of the text.
+    how = F.when(
+        F.col("decisive_stage").isNotNull(), F.format_string("decided at %s stage (confidence %.2f)", "decisive_stage", said),
+    ).otherwise(f"no decisive stage; weighted confidence vs threshold {threshold}")
+    mark = {p: F.when(status[p] == "passed", "PASS").when(status[p] == "skipped", "SKIP").otherwise("FAIL") for p in names}
+    each = F.concat_ws("; ", *[F.when(status[p].isNotNull(), F.format_string(f"{n}: %s (%.2f)", mark[p], c[p])) for p, n in names.items()])
+    verdict = F.when(F.col("status") == "passed", "PASSED").otherwise("FAILED")
+    return (
+        F.when(F.coalesce(*status.values()).isNull(), "No stages were run.")
+        .when(F.col("status") == "skipped", "All stages were skipped.")
+        .otherwise(F.concat(verdict, F.lit(" — "), how, F.lit(". Weighted confidence "), F.format_string("%.4f", "confidence"), F.lit(". "), each))
+    )
+
+
 def classify_relationships(rows: DataFrame, conflict_status: str = "rejected") -> DataFrame:
     """verification_status from confidence, source_trust and conflict: the rules in their order."""
     c = F.col("confidence")
@@ -161,6 +212,81 @@ def detect_conflicts(new: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def conflict_classes(new: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The conflicts of ``detect_conflicts`` by classes: n + m rows where a pair of ends has n new and m stored edges.
+
+    Edges of a pair of ends (p, q) that the rules can't tell apart are one class: type, whether the description is empty, plain or negated, and trust.
+    Returns conflicts between classes (p, q, new_class, old_class, conflict_type, severity, requires_review, n_new, n_old, n_pairs, and the
+    smallest id of either as new_example, old_example), and membership (side, relationship_id, p, q, class). ``n_pairs`` leaves out an edge and itself,
+    where both tables have it. ``expand_conflicts`` gives the single pairs.
+    """
+    keys = ["p", "q"]
+
+    def classed(edges: DataFrame, side: str) -> DataFrame:
+        text = F.lower(F.trim(F.coalesce("description", F.lit(""))))
+        kind = F.when(text == "", "empty").when(has_negation(text), "negated").otherwise("plain")
+        return edges.select(
+            F.lit(side).alias("side"), "relationship_id", F.least("source_entity_id", "target_entity_id").alias("p"), F.greatest("source_entity_id", "target_entity_id").alias("q"),
+            F.struct(F.col("relationship_type").alias("type"), kind.alias("kind"), trust_priority(F.col("trust")).alias("trust")).alias("class"),
+        ).where("p is not null and q is not null and class.type is not null")
+
+    def counted(rows: DataFrame, side: str) -> DataFrame:
+        return rows.groupBy(*keys, F.col("class").alias(f"{side}_class")).agg(F.count("*").alias(f"n_{side}"), F.min("relationship_id").alias(f"{side}_example"))
+
+    a, b = classed(new, "new"), classed(stored, "old")
+    met = counted(a, "new").join(counted(b, "old"), keys)
+    other = F.col("new_class.type") != F.col("old_class.type")
+    kinds = F.array_sort(F.array("new_class.kind", "old_class.kind"))
+    found = met.withColumn("conflict_type", F.when(other, "inconsistent").when(kinds == F.array(F.lit("negated"), F.lit("plain")), "contradictory"))
+    both = a.join(b.select("relationship_id", *keys, F.col("class").alias("old_class")), ["relationship_id", *keys])
+    own = both.groupBy(*keys, F.col("class").alias("new_class"), "old_class").agg(F.count("*").alias("n_own"))
+    found = found.where("conflict_type is not null").join(own, [*keys, "new_class", "old_class"], "left")
+    found = found.select(
+        *keys, "new_class", "old_class", "conflict_type", F.when(F.col("conflict_type") == "contradictory", "high").otherwise("medium").alias("severity"),
+        (F.col("old_class.trust") > F.col("new_class.trust")).alias("requires_review"), "n_new", "n_old",
+        (F.col("n_new") * F.col("n_old") - F.coalesce("n_own", F.lit(0))).alias("n_pairs"), "new_example", "old_example",
+    )
+    return found.where("n_pairs > 0"), a.unionByName(b)
+
+
+def expand_conflicts(classes: DataFrame, membership: DataFrame) -> DataFrame:
+    """The single conflicts of ``detect_conflicts``: every new member of a class with every old one of the other."""
+    new, old = (
+        membership.where(F.col("side") == side).select("p", "q", F.col("class").alias(f"{side}_class"), F.col("relationship_id").alias(f"{side}_relationship_id"))
+        for side in ("new", "old")
+    )
+    rows = classes.join(new, ["p", "q", "new_class"]).join(old, ["p", "q", "old_class"])
+    return rows.where("new_relationship_id <> old_relationship_id").select(
+        "new_relationship_id", "old_relationship_id", "conflict_type", "severity", "requires_review",
+    )
+
+
+def conflict_reasoning(conflicts: DataFrame, new: DataFrame, stored: DataFrame, entities: DataFrame) -> DataFrame:
+    """Conflicts (new_relationship_id, old_relationship_id, conflict_type, requires_review, …) with ``reasoning``, the text that a reviewer reads."""
+    fields = {"relationship_type": "type", "description": "text", "trust": "trust"}
+    a = new.select(F.col("relationship_id").alias("new_relationship_id"), "source_entity_id", "target_entity_id", *(F.col(c).alias(f"new_{n}") for c, n in fields.items()))
+    b = stored.select(F.col("relationship_id").alias("old_relationship_id"), *(F.col(c).alias(f"old_{n}") for c, n in fields.items()))
+    rows = conflicts.join(a, "new_relationship_id").join(b, "old_relationship_id")
+    for end in ("source", "target"):
+        names = entities.select(F.col("entity_id").alias(f"{end}_entity_id"), F.col("name").alias(f"{end}_name"))
+        rows = rows.join(names, f"{end}_entity_id", "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", f"{end}_entity_id"))
+    # The wording of the text.
+    differs = F.format_string(
+        "Existing relationship type '%s' differs from new type '%s' between %s and %s.", "old_type", "new_type", "source_name", "target_name",
+    )
+    negated = F.format_string(
+        "Potential contradiction: one description contains negation while the other does not. Existing: '%s' vs New: '%s'", "old_text", "new_text",
+    )
+    trust = F.format_string(
+        " [TRUST] Existing comes from '%s' source (priority %d), new comes from '%s' (priority %d). Review required before overwriting trusted knowledge.",
+        F.coalesce("old_trust", F.lit("unknown")), trust_priority(F.col("old_trust")).cast("int"),
+        F.coalesce("new_trust", F.lit("unknown")), trust_priority(F.col("new_trust")).cast("int"),
+    )
+    said = F.when(F.col("conflict_type") == "inconsistent", differs).otherwise(negated)
+    rows = rows.withColumn("reasoning", F.concat(said, F.when(F.col("requires_review"), trust).otherwise("")))
+    return rows.select(*conflicts.columns, "reasoning")
+
+
 def apply_conflict_verdicts(rows: DataFrame) -> DataFrame:
     """Same-type pairs whose model verdict (``reply``) is contradictory, with severity high."""
     r = parse_reply(F.col("reply"), VERDICT_SCHEMA)

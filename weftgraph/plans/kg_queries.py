@@ -243,6 +243,28 @@ def verify_cascade(spark, d):
     return cascaded(spark, d).select("doc_id", "confidence", "decisive_stage", "status")
 
 
+def stages_of(spark: SparkSession, d: str) -> dict:
+    """The stages of ``cascaded`` as functions, which look only at the rows that they are given."""
+    k = F.col("doc_id")
+    verdict = F.when(k % 3 == 1, '{"verdict":"valid","confidence":0.8}').when(k % 3 == 2, '```json\n{"verdict":"invalid","confidence":0.4}\n```')
+    status = F.when(k % 4 == 1, "skipped").otherwise("passed").alias("embedding_status")
+    confidence = F.when(k % 4 == 2, 0.9).when(k % 4 == 3, 0.5).otherwise(0.0).alias("embedding_confidence")
+    return {
+        "text": W.verify_text, "embedding": lambda rows: rows.where(k % 4 > 0).select("doc_id", status, confidence),
+        "llm": lambda rows: W.parse_verdict(rows.withColumn("reply", verdict)).where("llm_status is not null"),
+    }
+
+
+@query("run_cascade", CASCADE_SQL + """, u AS (SELECT *, CASE decisive_stage WHEN 'text_match' THEN text_confidence WHEN 'embedding' THEN ec WHEN 'llm' THEN lc END AS dc FROM z JOIN (SELECT doc_id AS id, status FROM y) ON id = doc_id)
+  SELECT doc_id, confidence, decisive_stage, status, upper(status) || ' — ' || CASE WHEN decisive_stage IS NULL THEN 'no decisive stage; weighted confidence vs threshold 0.5' ELSE 'decided at ' || decisive_stage || ' stage (confidence ' || printf('%.2f', dc) || ')' END
+    || '. Weighted confidence ' || printf('%.4f', confidence) || '. text_match: ' || CASE text_status WHEN 'passed' THEN 'PASS' ELSE 'FAIL' END || ' (' || printf('%.2f', text_confidence) || ')'
+    || CASE WHEN re THEN '; embedding: ' || CASE es WHEN 'passed' THEN 'PASS' WHEN 'skipped' THEN 'SKIP' ELSE 'FAIL' END || ' (' || printf('%.2f', ec) || ')' ELSE '' END
+    || CASE WHEN rl THEN '; llm: ' || CASE ls WHEN 'passed' THEN 'PASS' ELSE 'FAIL' END || ' (' || printf('%.2f', lc) || ')' ELSE '' END AS reasoning FROM u""")
+def run_cascade(spark, d):
+    rows = text_verified(spark, d).drop("text_status", "text_confidence", "matched", "unmatched")
+    return W.run_cascade(rows, stages_of(spark, d), "doc_id").select("doc_id", "confidence", "decisive_stage", "status", "reasoning")
+
+
 @query("verification_summary", CASCADE_SQL + " SELECT count(*) AS total, count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped, max(confidence) AS best_confidence FROM y")
 def verification_summary(spark, d):
     return W.verification_summary(cascaded(spark, d))
@@ -282,13 +304,18 @@ CONFLICT_SQL = GRAPH_SQL + """, n AS (SELECT 'x' || relationship_id AS id, sourc
   FROM n JOIN r ON s = source_entity_id AND d = target_entity_id)"""
 
 
-def conflicts(spark: SparkSession, d: str) -> DataFrame:
+def claimed_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """New edges that turn the stored MANUFACTURES edges round, with another type or a negated description; and the stored edges."""
     r = relationships(spark, d)
     new = r.where("relationship_type = 'MANUFACTURES'").select(
         F.concat(F.lit("x"), "relationship_id").alias("relationship_id"), F.col("target_entity_id").alias("source_entity_id"), F.col("source_entity_id").alias("target_entity_id"),
         F.when(F.col("k") % 2 == 0, "DEVELOPS").otherwise("MANUFACTURES").alias("relationship_type"), F.concat(F.lit("Without "), "description").alias("description"), F.lit("user").alias("trust"),
     )
-    return W.detect_conflicts(new, r)
+    return new, r
+
+
+def conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return W.detect_conflicts(*claimed_edges(spark, d))
 
 
 @query("detect_conflicts", CONFLICT_SQL + " SELECT * FROM c WHERE conflict_type IS NOT NULL")
@@ -296,6 +323,32 @@ def detect_conflicts(spark, d):
     return conflicts(spark, d)
 
 
+@query("conflict_classes", CONFLICT_SQL + " SELECT conflict_type, severity, requires_review, count(*) AS n_pairs FROM c WHERE conflict_type IS NOT NULL GROUP BY 1, 2, 3")
+def conflict_classes(spark, d):
+    """Conflicts counted by class pairs, without a row for each pair of edges."""
+    classes, _ = W.conflict_classes(*claimed_edges(spark, d))
+    return classes.groupBy("conflict_type", "severity", "requires_review").agg(F.sum("n_pairs").alias("n_pairs"))
+
+
+@query("expand_conflicts", CONFLICT_SQL + " SELECT * FROM c WHERE conflict_type IS NOT NULL")
+def expand_conflicts(spark, d):
+    return W.expand_conflicts(*W.conflict_classes(*claimed_edges(spark, d)))
+
+
+REASON_SQL = CONFLICT_SQL.replace("END AS severity", "END AS severity, t AS new_type, ds, relationship_type AS old_type, r.description AS old_ds, r.trust AS old_trust, s AS src, d AS dst") + """
+  SELECT new_relationship_id, old_relationship_id, CASE conflict_type WHEN 'inconsistent' THEN format('Existing relationship type ''{}'' differs from new type ''{}'' between {} and {}.', old_type, new_type, coalesce(b.name, dst), coalesce(a.name, src))
+    ELSE format('Potential contradiction: one description contains negation while the other does not. Existing: ''{}'' vs New: ''{}''', old_ds, ds) END
+    || format(' [TRUST] Existing comes from ''{}'' source (priority 50), new comes from ''user'' (priority 25). Review required before overwriting trusted knowledge.', old_trust) AS reasoning
+  FROM c LEFT JOIN e a ON a.entity_id = src LEFT JOIN e b ON b.entity_id = dst WHERE conflict_type IS NOT NULL"""
+
+
+@query("conflict_reasoning", REASON_SQL)
+def conflict_reasoning(spark, d):
+    new, r = claimed_edges(spark, d)
+    found = W.conflict_reasoning(W.detect_conflicts(new, r), new, r, entities(spark, d))
+    return found.select("new_relationship_id", "old_relationship_id", "reasoning")
+
+
 @query("review_decisions", CONFLICT_SQL + ", q AS (SELECT sha1(concat_ws(':', new_relationship_id, old_relationship_id)) AS review_id FROM c WHERE conflict_type IS NOT NULL) SELECT review_id, CASE WHEN review_id < '4' THEN 'approved' WHEN review_id < '8' THEN 'rejected' ELSE 'pending' END AS review_status FROM q")
 def review_decisions(spark, d):
     q = W.enqueue_reviews(conflicts(spark, d))

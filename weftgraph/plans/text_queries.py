@@ -38,6 +38,11 @@ def chunk_documents(spark, d):
     )
 
 
+@query("chunk_streamed", FIXED_SQL + " SELECT document_id, CAST(chunk_index AS BIGINT) AS chunk_index, content, CAST(start_position AS BIGINT) AS start_position FROM c")
+def chunk_streamed(spark, d):
+    return C.chunk_streamed(docs(spark, d), C.fixed_pieces())
+
+
 @query("chunk_window", "WITH " + WINDOW_SQL.format(step=900, size=1000) + " SELECT document_id, CAST(chunk_index AS BIGINT) AS chunk_index, content FROM w")
 def chunk_window(spark, d):
     return C.chunk_window(docs(spark, d)).select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content")

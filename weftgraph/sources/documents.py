@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.core import clamp01, clean_text, content_id
+from .json_split import json_items
 
 # The order in which a MIME type's words decide a reader, and file extensions.
 MIME_WORDS = ("html", "json", "xml", "pdf", "csv", "markdown")
@@ -158,13 +159,13 @@ def xml_to_doc(xml: Column) -> tuple[Column, Column]:
 
 
 def json_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A page for each item of JSON array files: file, page_number, total_pages, text (list values joined by line feeds)."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.from_json("value", "array<map<string,string>>").alias("items"),
-    )
+    """A page for each item of JSON array files: file, page_number, total_pages, text (list values joined by line feeds).
+
+    Several tasks read one file (``json_items``).
+    """
+    items = json_items(spark, path).withColumn("item", F.from_json("item", "map<string,string>"))
     lists = F.transform_values("item", lambda k, v: F.coalesce(F.array_join(F.from_json(v, "array<string>"), "\n"), v))
-    rows = raw.select("file", F.size("items").alias("total_pages"), F.posexplode("items").alias("pos", "item"))
-    return rows.select("file", (F.col("pos") + 1).alias("page_number"), "total_pages", F.array_join(F.map_values(lists), "\n").alias("text"))
+    return items.select("file", (F.col("pos") + 1).cast("int").alias("page_number"), F.col("n_items").cast("int").alias("total_pages"), F.array_join(F.map_values(lists), "\n").alias("text"))
 
 
 def product_text(title: Column, keywords: Column, description: Column, specification: Column) -> Column:
@@ -249,14 +250,13 @@ def ingest_articles(rows: DataFrame, mesh: bool = True, keywords: bool = True) -
 
 
 def read_curation_events(spark: SparkSession, path: str) -> DataFrame:
-    """Curation events from JSON array files."""
-    return (
-        spark.read.schema("action string, target_id string, reason string, curator string, corrections map<string,string>")
-        .option("multiLine", "true")
-        .json(path)
-    )
+    """Curation events from JSON array files, in their order (``seq``, from 0 in each file)."""
+    kind = "action string, target_id string, reason string, curator string, corrections map<string,string>"
+    items = json_items(spark, path).withColumn("event", F.from_json("item", kind))
+    return items.select("event.*", F.col("pos").alias("seq"))
 
 
 def read_context_map(spark: SparkSession, path: str) -> DataFrame:
-    """relationship_id and passage from a JSON object file."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("relationship_id", "context"))
+    """relationship_id and passage from JSON object files."""
+    pair = F.from_json(F.concat(F.lit("{"), "item", F.lit("}")), "map<string,string>")
+    return json_items(spark, path).select(F.explode(pair).alias("relationship_id", "context"))
