@@ -9,17 +9,20 @@ and are put in by position. Decoding looks each id up in the table of pieces, wh
 from __future__ import annotations
 
 import collections
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..staging import stage
+from ..staging import stage_bucketed
 from .textbatch import span_hash
 from .vocabularies import blocks, from_varints, ragged, rules, to_varints
 
@@ -30,7 +33,17 @@ STEP = 1 << 18
 #: Ids beyond which a vocabulary is not sent to every task.
 MOST_IDS = 1 << 21
 
-_NAMED = "chunk long, bucket int, words array<string>, ranks binary, doc_id long, codes binary"
+#: Rows of distinct words (bucket 0 and on), of a chunk's order of words (ORDER) and of runs of texts (TEXTS).
+_NAMED = "chunk long, bucket int, sizes binary, data binary, ids array<long>"
+_FIELDS = ["chunk", "bucket", "sizes", "data", "ids"]
+ORDER, TEXTS = -1, -2
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine: workers live on between tasks, and others start beside them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def numbered() -> collections.defaultdict:
@@ -41,42 +54,39 @@ def numbered() -> collections.defaultdict:
 
 
 def _named(path: str, buckets: int):
-    """Rows of distinct words (bucket, words, ranks) and of texts (doc_id, codes) for each chunk of a task's texts.
+    """A chunk's distinct words, dealt out to buckets, and its texts as codes of words; numbers and words are compressed.
 
-    A code is a word's rank by how often it stands in the chunk, so most take one or two bytes.
+    A code is a word's rank by how often it stands in the chunk, so most take one or two bytes. Words are sorted in each bucket; the
+    order row has their ranks, bucket after bucket.
     """
 
+    def rows(chunk: int, bucket: list[int], sizes: list[np.ndarray], data: list[np.ndarray], ids: pa.Array | None = None) -> pa.RecordBatch:
+        n = len(bucket)
+        cols = [pa.array(np.full(n, chunk)), pa.array(bucket, pa.int32()), *(pa.array([squeeze(x) for x in c], pa.binary()) for c in (sizes, data))]
+        return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.list_(pa.int64())) if ids is None else ids], names=_FIELDS)
+
     def flush(chunk: int, names: dict[str, int], ids: list, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        codes, sizes = np.concatenate([*held, np.zeros(0, np.uint32)]), np.array([len(x) for x in held], np.int64)
-        order = np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")
+        codes, bounds = np.concatenate([*held, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in held])])
         rank = np.empty(len(names), np.uint32)
-        rank[order] = np.arange(len(names), dtype=np.uint32)
+        rank[np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")] = np.arange(len(names), dtype=np.uint32)
         words = pa.array(names, pa.large_string())
-        offsets = np.frombuffer(words.buffers()[1], np.int64, count=len(words) + 1) if len(words) else np.zeros(1, np.int64)
-        data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) and words.buffers()[2] else np.zeros(0, np.uint8)
+        by = pc.sort_indices(words).to_numpy()
+        words = words.take(pa.array(by))
+        offsets, data = _buffers(words)
         bucket = (span_hash(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
-        by = np.lexsort((rank, bucket))
-        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(cuts))
-        lists = pa.ListArray.from_arrays(pa.array(np.append(cuts[full], cuts[-1]), pa.int32()), words.take(pa.array(by)).cast(pa.string()))
-        ranks = [rank[by[cuts[k] : cuts[k + 1]]].astype("<u4").tobytes() for k in full]
-        n = len(full)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, chunk)), pa.array(full.astype(np.int32)), lists, pa.array(ranks, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
-            names=_fields(_NAMED),
-        )
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        dealt = np.argsort(bucket, kind="stable")
+        words, by = words.take(pa.array(dealt)), by[dealt]
+        offsets, data = _buffers(words)
+        cuts = np.searchsorted(bucket[dealt], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        sizes = [to_varints(np.diff(offsets[cuts[k] : cuts[k + 1] + 1]))[0] for k in full]
+        yield rows(chunk, full, sizes, [data[offsets[cuts[k]] : offsets[cuts[k + 1]]] for k in full])
+        yield rows(chunk, [ORDER], [np.zeros(0, np.uint8)], [rank[by].astype("<u4").view(np.uint8)])
         first = 0
         while first < len(ids):
             last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + STEP, side="right")) - 1)
-            packed, ends = to_varints(rank[codes[bounds[first] : bounds[last]]])
-            at = np.concatenate([[0], ends])[bounds[first : last + 1] - bounds[first]].tolist()
-            whole, n = packed.tobytes(), last - first
-            texts = [whole[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, chunk)), pa.nulls(n, pa.int32()), pa.nulls(n, lists.type), pa.nulls(n, pa.binary()), pa.array(ids[first:last], pa.int64()), pa.array(texts, pa.binary())],
-                names=_fields(_NAMED),
-            )
+            packed = to_varints(rank[codes[bounds[first] : bounds[last]]])[0]
+            yield rows(chunk, [TEXTS], [to_varints(np.diff(bounds[first : last + 1]))[0]], [packed], pa.array([ids[first:last]], pa.list_(pa.int64())))
             first = last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,53 +108,78 @@ def _named(path: str, buckets: int):
                 if size >= CHUNK_BYTES:
                     yield from flush(chunk, names, ids, held)
                     names, ids, held, size, chunk = numbered(), [], [], 0, chunk + 1
+                    give_back()
         if ids:
             yield from flush(chunk, names, ids, held)
+        del names, held
+        give_back()
 
     return run
 
 
-def _fields(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
+def _buffers(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of an array that begins at its buffer ends, and all words' bytes."""
+    if not len(words):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    _, offsets, data = words.buffers()
+    return np.frombuffer(offsets, np.int64, count=len(words) + 1), np.frombuffer(data or b"", np.uint8)
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(values.tobytes())
+
+
+def unsqueeze(data: bytes, kind: str = "u1") -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
 def _encoded(path: str):
-    """The ids of each word of a bucket's lists; a word that several chunks ask for is encoded when first met."""
+    """The ids of a bucket's words, in their order; a word that several chunks ask for is encoded when first met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, known = rules(path).encode, {}
         for b in batches:
-            lists = b.column("words")
-            words = lists.flatten().to_pylist()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            known.update(zip(new, (np.array(x, "<u4").tobytes() for x in encode(new)), strict=True))
-            found = [known[w] for w in words]
-            at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).tolist()
-            spans = list(zip(at[:-1], at[1:], strict=True))
-            sizes = [np.array([len(x) >> 2 for x in found[a:z]], "<u4").tobytes() for a, z in spans]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("chunk"), b.column("ranks"), pa.array(sizes, pa.binary()), pa.array([b"".join(found[a:z]) for a, z in spans], pa.binary())],
-                names=["chunk", "ranks", "sizes", "ids"],
-            )
+            for chunk, bucket, sizes, data in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                ends = np.concatenate([[0], np.cumsum(from_varints(unsqueeze(sizes))[0].astype(np.int64))])
+                words = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(unsqueeze(data))).to_pylist()
+                new = [w for w in words if w not in known]
+                known.update(zip(new, (np.array(x, "<u4").tobytes() for x in encode(new)), strict=True))
+                found = [known[w] for w in words]
+                counts = to_varints(np.fromiter(map(len, found), np.int64, len(found)) >> 2)[0]
+                its = np.frombuffer(b"".join(found), np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([squeeze(counts)], pa.binary()), pa.array([squeeze(its)], pa.binary())],
+                    names=_FIELDS[:4],
+                )
+        known.clear()
+        give_back()
 
     return run
 
 
 def _placed(asked: pa.Table, texts: pa.Table) -> pa.Table:
     """The ids of a chunk's texts: each word's ids put in where its code stands."""
-
-    def joined(name: str) -> np.ndarray:
-        return np.frombuffer(b"".join(asked.column(name).to_pylist()), "<u4")
-
-    ranks, counts, flat = joined("ranks").astype(np.int64), joined("sizes").astype(np.int64), joined("ids")
-    starts, sizes = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
-    starts[ranks], sizes[ranks] = np.cumsum(counts) - counts, counts
+    give_back()
+    asked, kinds = asked.sort_by("bucket"), texts.column("bucket").to_pylist()
+    counts = [from_varints(unsqueeze(x))[0] for x in asked.column("sizes").to_pylist()]
+    counts = np.concatenate([*counts, np.zeros(0, np.uint32)]).astype(np.int64)
+    flat = np.concatenate([*(unsqueeze(x, "<u4") for x in asked.column("data").to_pylist()), np.zeros(0, "<u4")])
+    order = unsqueeze(texts.column("data")[kinds.index(ORDER)].as_py(), "<u4")
+    starts, sizes = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    starts[order], sizes[order] = np.cumsum(counts) - counts, counts
     out: list[bytes] = []
-    for text in texts.column("codes"):
-        codes = from_varints(np.frombuffer(text.as_py(), np.uint8))[0]
-        parts = [flat[ragged(starts[c], sizes[c])].tobytes() for c in (codes[i : i + STEP] for i in range(0, len(codes), STEP))]
-        out.append(parts[0] if len(parts) == 1 else b"".join(parts))
-    return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array([len(x) >> 2 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())})
+    ids: list = []
+    for i in (i for i, kind in enumerate(kinds) if kind == TEXTS):
+        codes = from_varints(unsqueeze(texts.column("data")[i].as_py()))[0]
+        n = from_varints(unsqueeze(texts.column("sizes")[i].as_py()))[0].astype(np.int64)
+        ids += texts.column("ids")[i].as_py()
+        if len(n) == 1:  # may be very long
+            out.append(b"".join(flat[ragged(starts[c], sizes[c])].tobytes() for c in (codes[at : at + STEP] for at in range(0, len(codes), STEP))))
+            continue
+        whole = flat[ragged(starts[codes], sizes[codes])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes[codes])])[np.concatenate([[0], np.cumsum(n)])] * 4
+        out += [whole[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array([len(x) >> 2 for x in out], pa.int64()), "ids": pa.array(out, pa.binary())})
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,11 +194,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, buckets: int | None = Non
     rules(vocabulary)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    named = stage(rows.mapInArrow(_named(vocabulary, buckets), _NAMED), "named")
-    words = named.where("bucket is not null").select("chunk", "bucket", "words", "ranks").repartitionById(buckets, F.col("bucket"))
-    asked = words.mapInArrow(_encoded(vocabulary), "chunk long, ranks binary, sizes binary, ids binary")
-    texts = named.where("bucket is null").select("chunk", "doc_id", "codes")
-    return asked.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_placed, "doc_id long, n_tokens long, ids binary")
+    # in buckets of the chunk: texts need no shuffle to meet their words' ids
+    named = stage_bucketed(rows.mapInArrow(_named(vocabulary, buckets), _NAMED), "named", buckets, "chunk")
+    words = named.where("bucket >= 0").drop("ids").repartitionById(buckets, F.col("bucket"))
+    asked = words.mapInArrow(_encoded(vocabulary), "chunk long, bucket int, sizes binary, data binary")
+    asked = asked.withColumnRenamed("chunk", "of")
+    texts = named.where("bucket < 0")
+    return asked.groupBy("of").cogroup(texts.groupBy("chunk")).applyInArrow(_placed, "doc_id long, n_tokens long, ids binary")
 
 
 def piece_table(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -210,6 +247,7 @@ def decode_documents(encoded: DataFrame, pieces: DataFrame, joint: bytes = b" ",
                 part = b.slice(first, 200)
                 texts = [text_of(x.as_py()) for x in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
+        give_back()
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("decoded", StringType())]))
 
