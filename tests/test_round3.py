@@ -389,3 +389,47 @@ def test_chunks_are_streamed(spark):
     run = chunking.chunk_streamed(Held(), pieces)
     list(itertools.islice(run(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["t"])], names=["a", "b"])])), 3))
     assert len(asked) <= 4 * chunking.STREAMED
+
+
+# ---- one document ----
+
+def test_documents_are_one_valid_file(spark, sf, tmp_path):
+    from weftgraph.plans.fixture import entities, relationships
+
+    e, r = entities(spark, sf).drop("k"), relationships(spark, sf).drop("k")
+    path = tmp_path / "graph.graphml"
+    sinks.write_graphml_document(e, r, str(path))
+    root = ET.parse(path).getroot()
+    space = "{http://graphml.graphdrawing.org/graphml}"
+    nodes, links = sinks.visible(e, r)
+    assert (len(root.findall(f".//{space}node")), len(root.findall(f".//{space}edge")), len(root.findall(f"{space}key"))) == (nodes.count(), links.count(), 9)
+    sinks.write_json_document(e, r, str(tmp_path / "g.json"))
+    said = json.loads((tmp_path / "g.json").read_text())
+    assert [x["entity_id"] for x in said["entities"]] == sorted(x.entity_id for x in e.collect())
+    assert len(said["relationships"]) == r.count() == said["statistics"]["n_relationships"]
+    sinks.write_json_document(e.limit(0), r.limit(0), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text())["entities"] == []
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["g.json", "graph.graphml", "none.json"]
+
+
+def test_a_failed_document_leaves_what_was(spark, tmp_path):
+    from weftgraph.sources.document_writer import write_document
+
+    path = tmp_path / "d.txt"
+    write_document(spark.range(100).selectExpr("id", "cast(id as string) as value"), str(path), "<", ">", ["id"], "")
+    assert path.read_text() == "<" + "".join(map(str, range(100))) + ">"
+    broken = spark.range(100).selectExpr("id", "if(id = 77, raise_error('broken'), cast(id as string)) as value")
+    with pytest.raises(Exception, match="broken"):
+        write_document(broken, str(path), "<", ">", ["id"])
+    assert path.read_text().endswith("99>") and [p.name for p in tmp_path.iterdir()] == ["d.txt"]
+
+
+def test_audit_logs_pass_over_corrupt_lines(spark, tmp_path):
+    log = tmp_path / "audit"
+    kind = "seq long, ts long, action string"
+    sinks.append_audit(spark.createDataFrame([(i, i // 2, "a") for i in range(10)], kind).coalesce(1), str(log))
+    (log / "half.json").write_text('{"seq": 99, "ts": 99, "action": "b"}\n{"seq": 100, "ts"')
+    rows = sinks.read_audit(spark, str(log), kind)
+    assert [r.seq for r in sinks.audit_tail(rows, 3).collect()] == [99, 9, 8]
+    sinks.keep_audit(spark, str(log), str(tmp_path / "kept"), kind, 4)
+    assert sorted(r.seq for r in sinks.read_audit(spark, str(tmp_path / "kept"), kind).collect()) == [7, 8, 9, 99]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import TERMINAL_JOBS
+from ..sources.document_writer import write_document
 from .graph import check_endpoints, drop_rejected
 
 # Colours of nodes by type, and of any other.
@@ -116,10 +117,17 @@ def graphml_lines(entities: DataFrame, edges: DataFrame, include_rejected: bool
 
 
 def write_graphml(entities: DataFrame, edges: DataFrame, path: str, include_rejected: bool = False) -> None:
-    """Text part files that, one after the other, are the GraphML document."""
+    """Text part files that, one after the other, are the GraphML document; for graphs too large for one file."""
     graphml_lines(entities, edges, include_rejected).orderBy("part", "id").select("value").write.text(path)
 
 
+def write_graphml_document(entities: DataFrame, edges: DataFrame, path: str, include_rejected: bool = False) -> None:
+    """One GraphML file at ``path``, which appears whole or not at all."""
+    lines = graphml_lines(entities, edges, include_rejected)
+    head, foot = (r.value for r in lines.where("part in (0, 3)").orderBy("part").collect())
+    write_document(lines.where("part in (1, 2)"), path, head + "\n", foot + "\n", ["part", "id"])
+
+
 def export_json(entities: DataFrame, edges: DataFrame, path: str) -> None:
     """JSON lines below ``path``: entities, relationships and statistics."""
     from .graph import graph_stats
@@ -128,6 +136,32 @@ def export_json(entities: DataFrame, edges: DataFrame, path: str) -> None:
         df.write.json(f"{path}/{name}")
 
 
+def json_document_rows(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """The lines of a JSON document {entities, relationships, statistics} (part, id, value); write them in this order.
+
+    Null fields are left out. Sections without rows are empty arrays.
+    """
+    from .graph import graph_stats
+
+    spark = entities.sparkSession
+
+    def items(df: DataFrame, part: int, id_col: str) -> DataFrame:
+        first = df.agg(F.min(id_col).alias("first_id"))
+        rows = df.crossJoin(F.broadcast(first))  # one row
+        comma = F.when(F.col(id_col) == F.col("first_id"), "").otherwise(",")
+        return rows.select(F.lit(part).alias("part"), F.col(id_col).cast("string").alias("id"), F.concat(comma, F.to_json(F.struct(*df.columns))).alias("value"))
+
+    ends = spark.createDataFrame([(0, "", '{"entities": ['), (2, "", '], "relationships": ['), (4, "", '], "statistics": '), (6, "", "}")], "part int, id string, value string")
+    stats = graph_stats(entities, edges)
+    stats = stats.select(F.lit(5).alias("part"), F.lit("").alias("id"), F.to_json(F.struct(*stats.columns)).alias("value"))
+    return ends.unionByName(items(entities, 1, "entity_id")).unionByName(items(edges, 3, "relationship_id")).unionByName(stats)
+
+
+def write_json_document(entities: DataFrame, edges: DataFrame, path: str) -> None:
+    """One JSON file {entities, relationships, statistics} at ``path``, which appears whole or not at all; ids are distinct and not null."""
+    write_document(json_document_rows(entities, edges), path, "", "", ["part", "id"])
+
+
 def report_rows(df: DataFrame) -> DataFrame:
     """Verified relationships (relationship_id, status, confidence, text_…, embedding_…, llm_… status and confidence) with their stage list.
 
@@ -148,6 +182,16 @@ def append_audit(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+def read_audit(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Audit records below ``path``; lines that are no JSON of that schema are passed over, as half-written ones are."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def keep_audit(spark: SparkSession, path: str, target: str, schema: str, n: int = 5000) -> None:
+    """The newest ``n`` records of the log at ``path`` as a log at ``target``, for the next appends to go to."""
+    audit_tail(read_audit(spark, path, schema), n).write.mode("overwrite").json(target)
+
+
 def audit_tail(records: DataFrame, n: int = 5000) -> DataFrame:
     """The newest n records, newest first."""
     return records.orderBy(F.desc("ts"), F.desc("seq")).limit(n)
