@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import content_id
 from .chunking import CONTEXT_CAPS
+from .evidence import bounded_context
 from .stars import star_components
 from .vectors import vector_topk
 
@@ -200,6 +201,30 @@ def rel_dup_candidates(new: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def rel_dup_rows(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """The stored edges on each new edge's ordered pair, a row each: relationship_id, old_id, same_type, nth.
+
+    ``nth`` numbers the edges of another type from 0 in order of id, as a decision's index does; it is null for the same type. A pair with
+    very many stored edges makes rows, no array.
+    """
+    old = stored.select(
+        "source_entity_id", "target_entity_id", F.col("relationship_type").alias("old_type"), F.col("relationship_id").alias("old_id"),
+    ).distinct()
+    met = new.join(old, ["source_entity_id", "target_entity_id"]).withColumn("same_type", F.col("relationship_type") == F.col("old_type"))
+    nth = F.row_number().over(Window.partitionBy("relationship_id", "same_type").orderBy("old_id")) - 1
+    return met.select("relationship_id", "old_id", "same_type", F.when(~F.col("same_type"), nth).alias("nth"))
+
+
+def apply_rel_rows(new: DataFrame, candidates: DataFrame, decisions: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """New edges with the candidate they duplicate by a decision (relationship_id, duplicate_of, confidence), or null to insert.
+
+    What ``apply_rel_decisions`` gives, from the rows of ``rel_dup_rows``.
+    """
+    sure = decisions.where(F.col("confidence") >= threshold).select("relationship_id", F.col("duplicate_of").cast("int").alias("nth"))
+    chosen = sure.join(candidates.where("nth is not null").select("relationship_id", "nth", "old_id"), ["relationship_id", "nth"])
+    return new.join(chosen, "relationship_id", "left").select("relationship_id", F.col("old_id").alias("duplicate_id"))
+
+
 def apply_entity_decisions(new: DataFrame, stored: DataFrame, decisions: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Outcome of each new entity: the stored one it is decided to be (confident, same type, last decision), or its own.
 
@@ -229,12 +254,8 @@ def apply_rel_decisions(new: DataFrame, candidates: DataFrame, decisions: DataFr
 
 
 def build_context(edges: DataFrame, chunks: DataFrame, most: int = CONTEXT_CAPS["verify"]) -> DataFrame:
-    """Texts of each edge's source chunks in order, joined by blank lines and cut."""
-    rows = edges.select("relationship_id", F.posexplode("source_chunk_ids").alias("pos", "chunk_id")).join(
-        chunks.select("chunk_id", "content"), "chunk_id",
-    )
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"])
-    return rows.groupBy("relationship_id").agg(F.substring(F.array_join(parts, "\n\n"), 1, most).alias("context"))
+    """Texts of each edge's source chunks in order, joined by blank lines and cut (``bounded_context``)."""
+    return bounded_context(edges, chunks, "relationship_id", most)
 
 
 def seed_graph(stored: DataFrame, seed: DataFrame, id_col: str) -> DataFrame:

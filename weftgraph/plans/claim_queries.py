@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import claims as L
+from ..operators import evidence as D
+from ..operators import resolve as J
 from ..operators import sinks as K
 from ..operators import vectors as V
 from ..operators import verify as W
 from ..sources import documents as S
+from ..staging import new_path
 from .fixture import GRAPH_SQL, entities, relationships
 from .registry import query, table
 from .text_queries import FIXED_SQL, fixed
@@ -241,3 +244,77 @@ def encoded_props(spark, d):
         "event_id", F.create_map(F.lit("t"), F.when(F.col("event_type") != "view", F.col("event_type"))).alias("props"),
     )
     return K.encode_props(e, ["props"])
+
+
+# ---- evidence within verification ----
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("k"), F.col("embedding").alias("vector"))
+
+
+VECTOR_SQL = "v AS (SELECT vec_id AS k, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+@query("verify_entities_in_graph", "WITH " + VECTOR_SQL + """, n AS (SELECT a.k, b.k AS o, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM v a JOIN v b ON a.k <> b.k),
+  t AS (SELECT k, o, s FROM n WHERE s >= 0.4 QUALIFY row_number() OVER (PARTITION BY k ORDER BY s DESC, 'customer:' || o) = 1),
+  c AS (SELECT c_custkey AS k, c_name, lower(substring(array_to_string([a.text, b.text], ' ' || chr(10) || ' '), 1, 8000)) AS x FROM customer LEFT JOIN documents a ON a.doc_id = c_custkey LEFT JOIN documents b ON b.doc_id = c_custkey * 2),
+  y AS (SELECT c.k, CASE WHEN trim(coalesce(x, '')) = '' THEN NULL WHEN contains(x, lower(c_name)) THEN 1.0 WHEN contains(x, 'tion') THEN 0.7 ELSE 0.0 END AS f,
+    CASE WHEN c.k IN (SELECT k FROM v) THEN CASE WHEN s IS NULL THEN 0.4 WHEN s >= 0.85 THEN 1.0 ELSE round(greatest(0.0, (s - 0.55) / 0.30), 3) END END AS g, o, s FROM c LEFT JOIN t ON t.k = c.k),
+  z AS (SELECT k, o, s, round((coalesce(f * 0.45, 0) + coalesce(g * 0.55, 0))::DOUBLE / nullif(CASE WHEN f IS NULL THEN 0 ELSE 0.45 END + CASE WHEN g IS NULL THEN 0 ELSE 0.55 END, 0)::DOUBLE, 4) AS confidence FROM y)
+  SELECT 'customer:' || k AS entity_id, confidence, CASE WHEN confidence >= 0.6 THEN 'passed' WHEN confidence IS NULL OR confidence >= 0.3 THEN 'inconclusive' ELSE 'failed' END AS status, 'customer:' || o AS neighbour_id, s AS neighbour_score FROM z""")
+def verify_entities_in_graph(spark, d):
+    """Customers against two documents each and the vectors of all customers that have one."""
+    v = vectors(spark, d)
+    name = lambda c: F.concat(F.lit("customer:"), F.col(c).cast("string"))
+    e = table(spark, d, "customer").join(v, F.col("c_custkey") == F.col("k"), "left").select(
+        name("c_custkey").alias("entity_id"), F.col("c_name").alias("name"), F.array(F.lit("tion")).alias("aliases"),
+        F.array(F.col("c_custkey").cast("long"), (F.col("c_custkey") * 2).cast("long")).alias("source_chunk_ids"), "vector",
+    )
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return D.verify_entities_in_graph(e, chunks, v.select(name("k").alias("item_id"), "vector"), 5, 0.4)
+
+
+@query("verify_by_vectors", "WITH " + VECTOR_SQL + """, x AS (SELECT s_suppkey AS i, q.v AS qv, c.v AS cv, CASE s_suppkey % 2 WHEN 0 THEN 'A' ELSE 'B' END AS y, s_suppkey % 50 AS sk, (s_suppkey * 3) % 50 AS tk FROM supplier LEFT JOIN v q ON q.k = s_suppkey LEFT JOIN v c ON c.k = s_suppkey + 1 AND s_suppkey % 4 > 0),
+  n AS (SELECT a.k AS n, b.k AS o, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM v a JOIN v b ON true WHERE a.k < 50), h AS (SELECT n, o, round(s, 4) AS s FROM n WHERE s >= 0.3 QUALIFY row_number() OVER (PARTITION BY n ORDER BY s DESC, o) <= 3),
+  hs AS (SELECT i, 'source' AS role, o, s FROM x JOIN h ON n = sk UNION ALL SELECT i, 'target', o, s FROM x JOIN h ON n = tk), b AS (SELECT i, max(s) AS hit FROM hs GROUP BY 1),
+  d AS (SELECT a.k AS src, b.k AS dst, CASE a.k % 3 WHEN 0 THEN 'A' ELSE 'C' END AS y, a.v FROM v a JOIN v b ON b.k = (a.k * 3) % 500),
+  m AS (SELECT x.i, round(CASE WHEN x.y = d.y THEN 0.95 WHEN list_cosine_similarity(x.qv, d.v) >= 0.6 THEN 0.75 + (list_cosine_similarity(x.qv, d.v) - 0.6) * 0.5 END, 4) AS c FROM x JOIN hs a ON a.i = x.i AND a.role = 'source' JOIN hs b ON b.i = x.i AND b.role = 'target' JOIN d ON src = a.o AND dst = b.o),
+  r AS (SELECT x.i, round(coalesce(greatest(list_cosine_similarity(qv, cv), hit, (SELECT max(c) FROM m WHERE m.i = x.i)), 0.0), 4)::DOUBLE AS embedding_confidence FROM x LEFT JOIN b ON b.i = x.i)
+  SELECT i AS relationship_id, embedding_confidence, CASE WHEN embedding_confidence >= 0.5 THEN 'passed' ELSE 'failed' END AS embedding_status FROM r""")
+def verify_by_vectors(spark, d):
+    """Edges of suppliers, whose names have the vectors of fifty items, against edges between all items."""
+    v, k = vectors(spark, d), F.col("s_suppkey")
+    q, c = v.select(F.col("k").alias("qk"), F.col("vector").alias("query_vector")), v.select(F.col("k").alias("ck"), F.col("vector").alias("context_vector"))
+    rows = table(spark, d, "supplier").join(q, F.col("qk") == k, "left").join(c, (F.col("ck") == k + 1) & (k % 4 > 0), "left").select(
+        k.alias("relationship_id"), F.when(k % 2 == 0, "A").otherwise("B").alias("relationship_type"), (k % 50).cast("string").alias("source_name"),
+        (k * 3 % 50).cast("string").alias("target_name"), "query_vector", "context_vector",
+    )
+    names = v.where("k < 50").select(F.col("k").cast("string").alias("name"), "vector")
+    ends = v.select(F.col("k").alias("target_entity_id"))
+    edges = v.withColumn("target_entity_id", F.col("k") * 3 % 500).join(ends, "target_entity_id").select(
+        F.col("k").alias("source_entity_id"), "target_entity_id", F.when(F.col("k") % 3 == 0, "A").otherwise("C").alias("relationship_type"), "vector",
+    )
+    found = D.verify_by_vectors(rows, names, v.select(F.col("k").alias("item_id"), "vector"), edges, 3, 0.3)
+    return found.select("relationship_id", "embedding_confidence", "embedding_status")
+
+
+@query("rel_dup_rows", """WITH r AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS t, l_returnflag AS y, l_suppkey || '-' || l_partkey || '-' || l_returnflag AS id FROM lineitem), n AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS t, 'R' AS y, 'n' || l_suppkey || '-' || l_partkey AS id FROM lineitem WHERE l_linestatus = 'F')
+  SELECT n.id AS relationship_id, r.id AS old_id, n.y = r.y AS same_type, CASE WHEN n.y <> r.y THEN row_number() OVER (PARTITION BY n.id, n.y = r.y ORDER BY r.id) - 1 END AS nth FROM n JOIN r ON n.s = r.s AND n.t = r.t""")
+def rel_dup_rows(spark, d):
+    li, kinds = table(spark, d, "lineitem"), ["source_entity_id", "target_entity_id", "relationship_type", "relationship_id"]
+    ends = F.concat_ws("-", "l_suppkey", "l_partkey")
+    stored = li.select(F.col("l_suppkey").alias(kinds[0]), F.col("l_partkey").alias(kinds[1]), F.col("l_returnflag").alias(kinds[2]), F.concat_ws("-", ends, "l_returnflag").alias(kinds[3])).distinct()
+    new = li.where("l_linestatus = 'F'").select(F.col("l_suppkey").alias(kinds[0]), F.col("l_partkey").alias(kinds[1]), F.lit("R").alias(kinds[2]), F.concat(F.lit("n"), ends).alias(kinds[3])).distinct()
+    return J.rel_dup_rows(new, stored).withColumn("nth", F.col("nth").cast("long"))
+
+
+@query("csv_to_doc", """WITH l AS (SELECT p_brand, p_partkey, concat_ws(' | ', p_partkey, p_name, p_size) AS line FROM part)
+  SELECT p_brand AS brand, 'CSV Data: p_partkey, p_name, p_size' AS title, 'p_partkey | p_name | p_size' || chr(10) || string_agg(line, chr(10) ORDER BY p_partkey) AS content, count(*) AS row_count, CAST(3 AS BIGINT) AS column_count FROM l GROUP BY 1""")
+def csv_to_doc(spark, d):
+    """The parts of each brand, written as a CSV file and read again."""
+    path = new_path(spark, "csv")
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_brand")
+    parts.repartition("p_brand").sortWithinPartitions("p_brand", "p_partkey").write.partitionBy("p_brand").option("header", True).csv(path)
+    found = S.csv_to_doc(spark, f"{path}/*")
+    brand = F.url_decode(F.url_decode(F.regexp_extract("file", "p_brand=([^/]*)/", 1)))
+    return found.select(brand.alias("brand"), "title", "content", F.col("row_count").cast("long").alias("row_count"), F.col("column_count").cast("long").alias("column_count"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import core as N
@@ -13,6 +13,7 @@ from ..operators import retrieve as A
 from ..operators import sinks as K
 from ..operators import vectors as V
 from ..operators import verify as W
+from ..staging import new_path
 from ..streaming import jobs as T
 from .fixture import GRAPH_SQL, entities, relationships
 from .registry import query, table
@@ -299,11 +300,17 @@ def verify_entities(spark, d):
     return W.verify_entities(rows.where("trim(context) <> ''")).select("doc_id", "confidence", "status")
 
 
-CONFLICT_SQL = GRAPH_SQL + """, n AS (SELECT 'x' || relationship_id AS id, source_entity_id AS s, target_entity_id AS d, CASE WHEN k % 2 = 0 THEN 'DEVELOPS' ELSE 'MANUFACTURES' END AS t, 'Without ' || description AS ds, 'user' AS trust, k FROM r WHERE relationship_type = 'MANUFACTURES'),
+WHOLE_CONFLICT_SQL = GRAPH_SQL + """, n AS (SELECT 'x' || relationship_id AS id, source_entity_id AS s, target_entity_id AS d, CASE WHEN k % 2 = 0 THEN 'DEVELOPS' ELSE 'MANUFACTURES' END AS t, 'Without ' || description AS ds, 'user' AS trust, k FROM r WHERE relationship_type = 'MANUFACTURES'),
   c AS (SELECT id AS new_relationship_id, relationship_id AS old_relationship_id, CASE WHEN t <> relationship_type THEN 'inconsistent' WHEN NOT contains(r.description, ' not ') THEN 'contradictory' END AS conflict_type, CASE WHEN t <> relationship_type THEN 'medium' ELSE 'high' END AS severity, true AS requires_review
   FROM n JOIN r ON s = source_entity_id AND d = target_entity_id)"""
 
 
+#: The same conflicts from lineitem alone: each new edge meets the one it was made of, since a supplier and a part have one edge.
+CONFLICT_SQL = """WITH m AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
+  i AS (SELECT 'supplier:' || l_suppkey || '>MANUFACTURES>part:' || l_partkey AS id, l_suppkey + l_partkey AS k FROM m),
+  c AS (SELECT 'x' || id AS new_relationship_id, id AS old_relationship_id, CASE WHEN k % 2 = 0 THEN 'inconsistent' WHEN k % 5 > 0 THEN 'contradictory' END AS conflict_type, CASE WHEN k % 2 = 0 THEN 'medium' ELSE 'high' END AS severity, true AS requires_review FROM i)"""
+
+
 def claimed_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """New edges that turn the stored MANUFACTURES edges round, with another type or a negated description; and the stored edges."""
     r = relationships(spark, d)
@@ -335,7 +342,7 @@ def expand_conflicts(spark, d):
     return W.expand_conflicts(*W.conflict_classes(*claimed_edges(spark, d)))
 
 
-REASON_SQL = CONFLICT_SQL.replace("END AS severity", "END AS severity, t AS new_type, ds, relationship_type AS old_type, r.description AS old_ds, r.trust AS old_trust, s AS src, d AS dst") + """
+REASON_SQL = WHOLE_CONFLICT_SQL.replace("END AS severity", "END AS severity, t AS new_type, ds, relationship_type AS old_type, r.description AS old_ds, r.trust AS old_trust, s AS src, d AS dst") + """
   SELECT new_relationship_id, old_relationship_id, CASE conflict_type WHEN 'inconsistent' THEN format('Existing relationship type ''{}'' differs from new type ''{}'' between {} and {}.', old_type, new_type, coalesce(b.name, dst), coalesce(a.name, src))
     ELSE format('Potential contradiction: one description contains negation while the other does not. Existing: ''{}'' vs New: ''{}''', old_ds, ds) END
     || format(' [TRUST] Existing comes from ''{}'' source (priority 50), new comes from ''user'' (priority 25). Review required before overwriting trusted knowledge.', old_trust) AS reasoning
@@ -431,10 +438,18 @@ QUEUE_SQL = GRAPH_SQL + """, q AS (SELECT 'entity' AS kind, entity_id AS item_id
   UNION ALL SELECT 'relationship', relationship_id, concat_ws(' ', a.name, relationship_type, b.name), r.description, relationship_type, r.trust, r.status, r.created FROM r LEFT JOIN e a ON a.entity_id = source_entity_id LEFT JOIN e b ON b.entity_id = target_entity_id WHERE r.status <> 'verified')"""
 
 
-@query("curation_queue", QUEUE_SQL + """ SELECT q.*, 0 AS n_chunks, 0 AS n_documents, a.name AS source_name, a.entity_type AS source_type, b.name AS target_name, b.entity_type AS target_type
+@query("curation_queue", QUEUE_SQL + """ SELECT kind, item_id, q.trust, q.status, q.created, CAST(0 AS BIGINT) AS n_chunks, CAST(0 AS BIGINT) AS n_documents, 't' || item_id AS tags,
+    md5(concat_ws('|', title, coalesce(snippet, ''), type, a.name, a.entity_type, b.name, b.entity_type)) AS texts
   FROM q LEFT JOIN r ON kind = 'relationship' AND relationship_id = item_id LEFT JOIN e a ON a.entity_id = source_entity_id LEFT JOIN e b ON b.entity_id = target_entity_id""")
 def curation_queue(spark, d):
-    return Q.curation_queue(*both(spark, d)).drop("tags")
+    """Title, snippet, type and the ends' names and types are compared by their digest."""
+    e, r = both(spark, d)
+    e, r = (df.withColumn("tags", F.array(F.concat(F.lit("t"), f"{n}_id"))) for df, n in ((e, "entity"), (r, "relationship")))
+    texts = ("title", F.coalesce("snippet", F.lit("")), "type", "source_name", "source_type", "target_name", "target_type")
+    return Q.curation_queue(e, r).select(
+        "kind", "item_id", "trust", "status", "created", F.col("n_chunks").cast("long").alias("n_chunks"), F.col("n_documents").cast("long").alias("n_documents"),
+        F.array_join("tags", ",").alias("tags"), F.md5(F.concat_ws("|", *texts)).alias("texts"),
+    )
 
 
 @query("queue_page", QUEUE_SQL + " SELECT item_id, status FROM q ORDER BY CASE status WHEN 'rejected' THEN 0 WHEN 'flagged' THEN 1 ELSE 2 END, created DESC, item_id LIMIT 50 OFFSET 20")
@@ -682,22 +697,45 @@ def upsert_documents(spark, d):
     return K.upsert_documents(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "event_id")
 
 
-@query("job_snapshots", """WITH v AS (SELECT user_id, event_id, ['fetch', 'chunk', 'entities', 'relationships', 'verify', 'finalize', 'completed', 'failed'][CAST(json_extract(props, '$.k') AS INTEGER) % 8 + 1] AS stage FROM events),
+JOB_SQL = """WITH v AS (SELECT user_id, event_id, ['fetch', 'chunk', 'entities', 'relationships', 'verify', 'finalize', 'completed', 'failed'][CAST(json_extract(props, '$.k') AS INTEGER) % 8 + 1] AS stage FROM events),
   w AS (SELECT user_id, stage, count(*) AS n FROM v GROUP BY 1, 2), m AS (SELECT user_id, string_agg(stage || '=' || n, ',' ORDER BY stage) AS stages, list(stage) AS seen FROM w GROUP BY 1),
   s AS (SELECT user_id, arg_max(stage, event_id) AS current_stage, count(*) AS n_events, list(event_id ORDER BY event_id DESC) AS l FROM v GROUP BY 1),
   p AS (SELECT stage, weight, place FROM (VALUES ('fetch', 0.04, 1), ('chunk', 0.04, 2), ('entities', 0.38, 3), ('relationships', 0.34, 4), ('verify', 0.16, 5), ('finalize', 0.04, 6)) t(stage, weight, place)),
   g AS (SELECT s.user_id, round(coalesce(sum(p.weight) FILTER (WHERE p.stage = current_stage OR list_contains(seen, p.stage) AND p.place < c.place), 0)::DOUBLE, 6) AS progress FROM s JOIN m USING (user_id) CROSS JOIN p LEFT JOIN p c ON c.stage = current_stage GROUP BY 1)
-  SELECT user_id AS job_id, CASE current_stage WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'failed' ELSE 'running' END AS status, current_stage, n_events, stages, array_to_string(l[1:200], ',') AS last_events, progress FROM s JOIN m USING (user_id) JOIN g USING (user_id)""")
-def job_snapshots(spark, d):
+  SELECT user_id AS job_id, CASE current_stage WHEN 'completed' THEN 'completed' WHEN 'failed' THEN 'failed' ELSE 'running' END AS status, current_stage, n_events, stages, array_to_string(l[1:200], ',') AS last_events, progress FROM s JOIN m USING (user_id) JOIN g USING (user_id)"""
+
+
+def job_events(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The events table as a log of jobs: users are jobs, a property says the stage."""
     names = ("fetch", "chunk", "entities", "relationships", "verify", "finalize", "completed", "failed")
     stage = F.element_at(F.array(*map(F.lit, names)), F.get_json_object("props", "$.k").cast("int") % 8 + 1)
-    e = table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "ts", stage.alias("stage"))
-    stages = F.array_join(F.transform(F.map_entries("stages"), lambda x: F.concat(x["key"], F.lit("="), x["value"]["n"].cast("string"))), ",")
-    return T.job_snapshots(e).select(
-        "job_id", "status", "current_stage", "n_events", stages.alias("stages"), F.array_join("last_events", ",").alias("last_events"), "progress",
+    return rows.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), "ts", stage.alias("stage"))
+
+
+def shown_jobs(rows: DataFrame) -> DataFrame:
+    stages = F.array_join(F.transform(F.array_sort(F.map_entries("stages")), lambda x: F.concat(x["key"], F.lit("="), x["value"]["n"].cast("string"))), ",")
+    return rows.select(
+        F.col("job_id").cast("long").alias("job_id"), "status", "current_stage", "n_events", stages.alias("stages"), F.array_join("last_events", ",").alias("last_events"), "progress",
     )
 
 
+@query("job_snapshots", JOB_SQL)
+def job_snapshots(spark, d):
+    return shown_jobs(T.job_snapshots(job_events(spark, table(spark, d, "events"))))
+
+
+@query("stream_job_states", JOB_SQL)
+def stream_job_states(spark, d):
+    """The latest row of each job from a run of the stream over the whole table."""
+    whole = table(spark, d, "events")
+    events = job_events(spark, spark.readStream.schema(whole.schema).parquet(f"{d}/event[s].parquet"))  # a pattern, since streams take no single file
+    out = new_path(spark, "jobs")
+    T.stream_job_states(events, f"{out}/rows", f"{out}/checkpoint", keep_hours=24 * 3650, lateness="3650 days", once=True).awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    newest = Window.partitionBy("job_id").orderBy(F.desc("batch"))
+    return shown_jobs(rows.withColumn("nth", F.row_number().over(newest)).where("nth = 1"))
+
+
 @query("apply_cancellations", "WITH c AS (SELECT user_id, min(event_id) AS s FROM events WHERE event_type = 'error' GROUP BY 1) SELECT event_id AS seq, s IS NOT NULL AS cancelled FROM events e LEFT JOIN c ON c.user_id = e.user_id WHERE s IS NULL OR event_id <= s")
 def apply_cancellations(spark, d):
     stage = F.when(F.col("event_type") == "error", "cancel").otherwise(F.col("event_type"))
