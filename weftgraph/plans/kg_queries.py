@@ -396,7 +396,7 @@ def curation_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-CURATED = ("entity_id", "description", "curated", "rejected", "curated_by", "curation_reason", F.col("version").cast("long").alias("version"))
+CURATED = ("entity_id", "description", "curated", "rejected", "curated_by", "curation_reason", "cast(version as bigint) as version")
 
 
 def stored_entities(spark: SparkSession, d: str) -> DataFrame:
@@ -406,7 +406,7 @@ def stored_entities(spark: SparkSession, d: str) -> DataFrame:
 @query("apply_curation", FOLD_SQL)
 def apply_curation(spark, d):
     done, _ = Q.apply_curation(stored_entities(spark, d), curation_events(spark, d), "entity_id", "entity", ("description",))
-    return done.select(*CURATED)
+    return done.selectExpr(*CURATED)
 
 
 @query("apply_curation_batches", FOLD_SQL)
@@ -417,7 +417,7 @@ def apply_curation_batches(spark, d):
     cuts = [-1, most // 3, 2 * most // 3, most]
     for low, high in zip(cuts, cuts[1:], strict=False):
         rows, _ = Q.apply_curation(rows, events.where((F.col("seq") > low) & (F.col("seq") <= high)), "entity_id", "entity", ("description",))
-    return rows.select(*CURATED)
+    return rows.selectExpr(*CURATED)
 
 
 @query("curation_errors", EVENT_SQL + " SELECT seq, 'entity not found: ' || target_id AS message FROM v WHERE action LIKE '%entity' AND target_id NOT IN (SELECT entity_id FROM e) UNION ALL SELECT seq, 'unknown action: view' FROM v WHERE action = 'view'")
