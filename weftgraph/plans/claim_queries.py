@@ -215,7 +215,42 @@ def articles(spark, d):
         F.col("doc_id").alias("pmid"), F.substring("text", 1, 30).alias("title"), F.col("text").alias("abstract"),
         F.array("source", "source").alias("authors"), F.array("lang").alias("mesh_terms"), F.array("lang").alias("keywords"),
     )
-    return S.ingest_articles(rows)[1]
+    return S.ingest_articles(rows)[1].select("source_entity_id", "target_entity_id", "relationship_type")
+
+
+@query("article_nodes", """WITH n AS (SELECT sha1('article:' || doc_id) AS entity_id, substring(text, 1, 30) AS name, 'Document' AS entity_type, substring(text, 1, 500) AS description, 'lit' AS tags, '{"pmid":"' || doc_id || '","journal":"' || source || '"}' AS properties FROM documents
+  UNION ALL SELECT sha1('Person:' || lower(source)), min(source), 'Person', NULL, 'lit,author', '{}' FROM documents GROUP BY lower(source) UNION ALL SELECT sha1('Concept:' || lower(lang)), min(lang), 'Concept', NULL, 'lit,mesh', '{}' FROM documents GROUP BY lower(lang))
+  SELECT *, 'reviewed' AS trust FROM n""")
+def article_nodes(spark, d):
+    t = table(spark, d, "documents")
+    rows = t.select(
+        F.col("doc_id").alias("pmid"), F.substring("text", 1, 30).alias("title"), F.col("text").alias("abstract"), F.col("source").alias("journal"),
+        F.array("source", "source").alias("authors"), F.array("lang").alias("mesh_terms"), F.array("lang").alias("keywords"),
+    )
+    return S.ingest_articles(rows, tag="lit")[0].withColumn("properties", F.to_json("properties"))
+
+
+@query("association_nodes", """WITH a AS (SELECT s_suppkey, s_name, s_nationkey, p_partkey, p_brand, p_name, p_type, max(l_discount * 15) AS score FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_discount * 15 >= 0.3 GROUP BY ALL),
+  k AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, p_partkey) <= 20)
+  SELECT DISTINCT sha1('disease:' || s_suppkey) AS entity_id, s_name AS name, NULL::VARCHAR AS description, 'syn' || s_suppkey AS aliases, 'ot,disease' AS tags, '{"therapeutic_areas":"area' || s_nationkey || ',all"}' AS annotations, '{}' AS properties FROM k
+  UNION ALL SELECT DISTINCT sha1('target:' || p_partkey), p_brand, 'does ' || p_type, p_name, 'ot,target,' || p_type, '{}', '{"biotype":"' || p_type || '","approved_name":"' || p_name || '"}' FROM k""")
+def association_nodes(spark, d):
+    """The twenty strongest associations of each disease."""
+    li = (
+        table(spark, d, "lineitem")
+        .join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    )
+    rows = li.select(
+        F.col("s_suppkey").alias("disease_id"), F.col("s_name").alias("disease_name"), F.array(F.concat(F.lit("syn"), F.col("s_suppkey").cast("string"))).alias("synonyms"),
+        F.array(F.concat(F.lit("area"), F.col("s_nationkey").cast("string")), F.lit("all")).alias("therapeutic_areas"), F.col("p_partkey").alias("target_id"),
+        F.col("p_brand").alias("symbol"), F.col("p_name").alias("target_name"), F.col("p_type").alias("biotype"),
+        F.array(F.concat(F.lit("does "), F.col("p_type"))).alias("functions"), (F.col("l_discount") * 15).alias("score"),
+    )
+    nodes = S.ingest_associations(rows, 0.3, "ot", max_n=20)[0]
+    return nodes.select(
+        "entity_id", "name", "description", F.array_join("aliases", ",").alias("aliases"), "tags", F.to_json("annotations").alias("annotations"), F.to_json("properties").alias("properties"),
+    )
 
 
 @query("product_texts", "SELECT p_partkey, concat_ws(chr(10), 'Title: ' || p_name, 'Keywords: ' || p_brand || ', ' || p_type, 'Specification: Size: ' || p_size) AS text FROM part")

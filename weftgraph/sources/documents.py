@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -198,55 +198,86 @@ def documents_from_pages(pages: DataFrame, least: int = 50) -> DataFrame:
     )
 
 
-def ingest_associations(rows: DataFrame, least_score: float = 0.0, tag: str = "associations") -> tuple[DataFrame, DataFrame]:
+def _given(df: DataFrame, name: str, kind: str) -> Column:
+    """A column that a table may lack; null without it."""
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def ingest_associations(rows: DataFrame, least_score: float = 0.0, tag: str = "associations", max_n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Disease–target associations as entities and RELATED_TO edges.
 
-    Rows: disease_id, disease_name, target_id, symbol, target_name, biotype, score. A target's name is its symbol, else
-    its name, which becomes an alias where they differ.
+    Rows: disease_id, disease_name, target_id, symbol, target_name, biotype, score; optionally disease_description, synonyms (array), therapeutic_areas
+    (array of names), functions (array: the first is a target's description). A target's name is its symbol, else its name. ``max_n`` keeps a
+    disease's strongest associations (ties by target). Nodes: entity_id, name, entity_type, description, alias (a target's name beside its symbol), aliases,
+    tags, annotations and properties (maps), trust; one row for each id, from its first row by name. Edges: ids, type, description, strength, trust.
+    Rows with a null score, disease_id or target_id are left out; an empty table gives two empty tables.
     """
-    kept = rows.where(F.col("score") >= least_score)
+    none = F.array().cast("array<string>")
+    kept = rows.where((F.col("score") >= least_score) & F.col("disease_id").isNotNull() & F.col("target_id").isNotNull())
+    if max_n is not None:
+        best = kept.groupBy("disease_id", "target_id").agg(F.max("score").alias("s"))
+        nth = F.row_number().over(Window.partitionBy("disease_id").orderBy(F.desc("s"), "target_id"))
+        best = best.withColumn("nth", nth).where(F.col("nth") <= max_n).select("disease_id", "target_id")
+        kept = kept.join(best, ["disease_id", "target_id"], "left_semi")
+    blank = F.create_map().cast("map<string,string>")
+    areas = F.array_join(F.coalesce(_given(rows, "therapeutic_areas", "array<string>"), none), ",")
     disease = kept.select(
         content_id(F.lit("disease"), F.col("disease_id")).alias("entity_id"), F.col("disease_name").alias("name"),
-        F.lit(None).cast("string").alias("alias"), F.concat_ws(",", F.lit(tag), F.lit("disease")).alias("tags"),
-    )
-    name = F.coalesce("symbol", "target_name")
+        F.nullif(_given(rows, "disease_description", "string"), F.lit("")).alias("description"), F.lit(None).cast("string").alias("alias"),
+        F.coalesce(_given(rows, "synonyms", "array<string>"), none).alias("aliases"), F.concat_ws(",", F.lit(tag), F.lit("disease")).alias("tags"),
+        F.when(areas != "", F.create_map(F.lit("therapeutic_areas"), areas)).otherwise(blank).alias("annotations"), blank.alias("properties"),
+    )
+    alias = F.when(F.col("symbol") != F.col("target_name"), F.col("target_name"))
     target = kept.select(
-        content_id(F.lit("target"), F.col("target_id")).alias("entity_id"), name.alias("name"),
-        F.when(F.col("symbol") != F.col("target_name"), F.col("target_name")).alias("alias"),
-        F.concat_ws(",", F.lit(tag), F.lit("target"), "biotype").alias("tags"),
+        content_id(F.lit("target"), F.col("target_id")).alias("entity_id"), F.coalesce(F.nullif("symbol", F.lit("")), "target_name").alias("name"),
+        F.get(_given(rows, "functions", "array<string>"), 0).alias("description"), alias.alias("alias"), F.array_compact(F.array(alias)).alias("aliases"),
+        F.concat_ws(",", F.lit(tag), F.lit("target"), "biotype").alias("tags"), blank.alias("annotations"),
+        F.map_filter(F.create_map(F.lit("biotype"), F.col("biotype"), F.lit("approved_name"), F.col("target_name")), lambda _, v: v.isNotNull()).alias("properties"),
+    )
+    nodes = disease.unionByName(target)
+    rest = [c for c in nodes.columns if c not in ("entity_id", "name")]
+    nodes = nodes.groupBy("entity_id").agg(F.min("name").alias("name"), F.min_by(F.struct(*rest), "name").alias("rest")).select(
+        "entity_id", "name", "rest.*", F.lit("Concept").alias("entity_type"), F.lit("reviewed").alias("trust"),
     )
-    nodes = disease.unionByName(target).distinct().select("*", F.lit("Concept").alias("entity_type"), F.lit("reviewed").alias("trust"))
     edges = kept.groupBy("disease_id", "target_id").agg(F.max("score").alias("score")).select(
         content_id(F.lit("disease"), F.col("disease_id")).alias("source_entity_id"), content_id(F.lit("target"), F.col("target_id")).alias("target_entity_id"), F.lit("RELATED_TO").alias("relationship_type"),
-        F.format_string("Association score: %.3f", "score").alias("description"), clamp01(F.col("score")).alias("strength"),
+        F.format_string("Association score: %.3f", "score").alias("description"), clamp01(F.col("score")).alias("strength"), F.lit("reviewed").alias("trust"),
     )
     return nodes, edges
 
 
-def ingest_articles(rows: DataFrame, mesh: bool = True, keywords: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Articles (pmid, title, abstract, authors, mesh_terms, keywords) as Document, Person and Concept nodes and their edges."""
+def ingest_articles(rows: DataFrame, mesh: bool = True, keywords: bool = True, tag: str = "articles") -> tuple[DataFrame, DataFrame]:
+    """Articles (pmid, title, abstract, authors, mesh_terms, keywords; optionally doi, journal, publication_date) as nodes and edges.
+
+    Nodes: entity_id, name, entity_type (Document, Person, Concept), description, tags, properties, trust; people and concepts are one node each over all
+    articles, whatever the case of their names. Edges: ids, type, description, trust. Rows with a null pmid are left out.
+    """
+    rows = rows.where("pmid is not null")
     none = F.array().cast("array<string>")
     terms = F.array_union(F.coalesce("mesh_terms", none) if mesh else none, F.coalesce("keywords", none) if keywords else none)
-    article = content_id(F.lit("article"), F.col("pmid"))
+    article, pmid = content_id(F.lit("article"), F.col("pmid")), F.col("pmid").cast("string").alias("pmid")
+    props = F.create_map(*[x for c in ("pmid", "journal", "publication_date", "doi") for x in (F.lit(c), _given(rows, c, "string").cast("string"))])
     docs = rows.select(
         article.alias("entity_id"), F.col("title").alias("name"), F.lit("Document").alias("entity_type"),
-        F.substring("abstract", 1, 500).alias("description"),
-    )
-    people = rows.select(article.alias("source_entity_id"), F.explode(F.array_distinct(F.coalesce("authors", none))).alias("name"))
-    topics = rows.select(article.alias("source_entity_id"), F.explode(terms).alias("name"))
+        F.substring("abstract", 1, 500).alias("description"), F.lit(tag).alias("tags"), F.map_filter(props, lambda _, v: v.isNotNull()).alias("properties"),
+    )
+    people = rows.select(pmid, article.alias("source_entity_id"), F.explode(F.array_distinct(F.coalesce("authors", none))).alias("name"))
+    topics = rows.select(pmid, article.alias("source_entity_id"), F.explode(terms).alias("name"))
     nodes, edges = docs, None
-    for df, kind, label in ((people, "Person", "AUTHORED_BY"), (topics, "Concept", "CATEGORIZED_AS")):
+    for df, kind, label, mark, said in ((people, "Person", "AUTHORED_BY", "author", "authored by"), (topics, "Concept", "CATEGORIZED_AS", "mesh", "categorised as")):
         named = df.withColumn("target_entity_id", content_id(F.lit(kind), F.lower(F.trim("name"))))
         nodes = nodes.unionByName(
-            (
-                named.groupBy(F.col("target_entity_id").alias("entity_id"))
-                .agg(F.min("name").alias("name"))
-                .select("entity_id", "name", F.lit(kind).alias("entity_type"), F.lit(None).cast("string").alias("description"))
-            ),
-        )
-        more = named.select("source_entity_id", "target_entity_id", F.lit(label).alias("relationship_type")).distinct()
+            named.groupBy(F.col("target_entity_id").alias("entity_id"))
+            .agg(F.min("name").alias("name"))
+            .select(
+                "entity_id", "name", F.lit(kind).alias("entity_type"), F.lit(None).cast("string").alias("description"), F.lit(f"{tag},{mark}").alias("tags"),
+                F.create_map().cast("map<string,string>").alias("properties"),
+            )
+        )
+        told = F.concat_ws(f" {said} ", F.min("pmid"), F.min("name")).alias("description")
+        more = named.groupBy("source_entity_id", "target_entity_id").agg(told).withColumn("relationship_type", F.lit(label)).withColumn("trust", F.lit("reviewed"))
         edges = more if edges is None else edges.unionByName(more)
-    return nodes, edges
+    return nodes.withColumn("trust", F.lit("reviewed")), edges
 
 
 def read_curation_events(spark: SparkSession, path: str) -> DataFrame:
