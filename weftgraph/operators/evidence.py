@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import cosine, rel_credit
+from ..functions.core import annotate, cosine, rel_credit
+from ..staging import stage
 from .chunking import CONTEXT_CAPS
+from .graph import enrich_endpoints
 from .vectors import vector_topk, vector_topk_cells
-from .verify import verify_entities
+from .verify import Stage, classify_entities, classify_relationships, run_cascade, verify_entities, verify_text
 
 #: Distinct query vectors beyond which an index of cells is searched instead of all pairs.
 MANY_QUERIES = 100_000
@@ -79,3 +81,50 @@ def verify_entities_in_graph(entities: DataFrame, chunks: DataFrame, entity_vect
     near = near.select(F.col("query_id").alias("entity_id"), F.col("item_id").alias("neighbour_id"), F.col("score").alias("neighbour_score"))
     rows = entities.join(contexts, "entity_id", "left").join(near, "entity_id", "left").withColumn("has_vectors", F.col("vector").isNotNull())
     return verify_entities(rows).select("entity_id", "confidence", "status", "neighbour_id", "neighbour_score")
+
+
+def verify_documents(
+    documents: DataFrame, entities: DataFrame, edges: DataFrame, chunks: DataFrame, entity_vectors: DataFrame, stages: dict[str, Stage] | None = None, conflicts: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The verify stage of a run over documents: entities first, then the edges between them; both tables as they are afterwards, and counts.
+
+    What is judged has one of the ``documents`` (document_id) in source_document_ids and no status yet (null, empty or unverified). Entities are
+    checked by ``verify_entities_in_graph`` (a table without ``vector`` by text alone). Edges get their ends' names and their source texts as context and
+    run through the cascade (``stages``; text match alone by default, as in batches without a model); those among ``conflicts`` (relationship_id)
+    are rejected. Judged rows get status, verification_confidence (3 places) and the annotations verification_status and verification_confidence, where the table has a
+    map of annotations; all others stay. Counts: kind, status, n. Ids are distinct and not null; without targets nothing changes.
+    """
+    wanted = documents.select(F.col("document_id").cast("string").alias("document_id")).distinct()
+
+    def targets(df: DataFrame, id_col: str) -> DataFrame:
+        fresh = df.where(F.trim(F.coalesce("status", F.lit(""))).isin("", "unverified"))
+        named = fresh.select(id_col, F.explode(F.col("source_document_ids").cast("array<string>")).alias("document_id"))
+        return fresh.join(named.join(wanted, "document_id", "left_semi").select(id_col).distinct(), id_col, "left_semi")
+
+    def kept(df: DataFrame, judged: DataFrame, id_col: str) -> DataFrame:
+        said = judged.select(id_col, F.col("verification_status").alias("said"), F.round("confidence", 3).alias("sure"))
+        out = df.drop("verification_confidence").join(said, id_col, "left")
+        if "annotations" in df.columns:
+            notes = annotate(F.col("annotations"), verification_status=F.col("said"), verification_confidence=F.col("sure"))
+            out = out.withColumn("annotations", F.when(F.col("said").isNotNull(), notes).otherwise(F.col("annotations")))
+        return out.withColumn("status", F.coalesce("said", "status")).withColumnRenamed("sure", "verification_confidence").drop("said")
+
+    some = targets(entities, "entity_id")
+    for name, kind in (("vector", "array<double>"), ("aliases", "array<string>")):
+        some = some if name in some.columns else some.withColumn(name, F.lit(None).cast(kind))
+    trusts = entities.select("entity_id", F.col("trust").alias("source_trust"))
+    first = stage(classify_entities(verify_entities_in_graph(some, chunks, entity_vectors).join(trusts, "entity_id")), "verified-entities")
+    nodes = kept(entities, first, "entity_id")
+
+    rows = enrich_endpoints(targets(edges, "relationship_id"), entities).drop("context")
+    rows = rows.join(bounded_context(rows, chunks, "relationship_id", CONTEXT_CAPS["verify"]), "relationship_id", "left")
+    rows = rows.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("extra_terms", F.array().cast("array<string>"))
+    judged = run_cascade(rows.drop("status", "confidence"), stages or {"text": verify_text}).withColumn("source_trust", F.col("trust"))
+    against = conflicts.select("relationship_id", F.lit(True).alias("conflict")).distinct() if conflicts is not None else None
+    judged = judged.withColumn("conflict", F.lit(False)) if against is None else judged.drop("conflict").join(against, "relationship_id", "left")
+    second = stage(classify_relationships(judged).select("relationship_id", "confidence", "verification_status", "reasoning"), "verified-edges")
+    counts = None
+    for kind, df in (("entity", first), ("relationship", second)):
+        n = df.groupBy(F.lit(kind).alias("kind"), F.col("verification_status").alias("status")).agg(F.count("*").alias("n"))
+        counts = n if counts is None else counts.unionByName(n)
+    return nodes, kept(edges, second, "relationship_id"), counts

@@ -353,3 +353,32 @@ def csv_to_doc(spark, d):
     found = S.csv_to_doc(spark, f"{path}/*")
     brand = F.url_decode(F.url_decode(F.regexp_extract("file", "p_brand=([^/]*)/", 1)))
     return found.select(brand.alias("brand"), "title", "content", F.col("row_count").cast("long").alias("row_count"), F.col("column_count").cast("long").alias("column_count"))
+
+
+RUN_SQL = """WITH d AS (SELECT doc_id, text, lower(substring(text, 1, 4000)) AS x FROM documents WHERE length(text) >= 20),
+  n AS (SELECT 'a' || doc_id AS id, 'entity' AS kind, 1.0 AS c, doc_id FROM d UNION ALL SELECT 'b' || doc_id, 'entity', CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END, doc_id FROM d
+    UNION ALL SELECT 'r' || doc_id, 'relationship', round((1 + (doc_id % 2 = 0)::INT + contains(x, 'and the')::INT) / 3.0, 4), doc_id FROM d),
+  j AS (SELECT id, kind, c, CASE WHEN doc_id % 5 = 0 THEN 'verified' WHEN c >= 0.9 THEN 'verified' WHEN kind = 'relationship' AND doc_id % 7 = 0 THEN 'rejected' WHEN c < 0.6 THEN 'flagged' ELSE 'unverified' END AS status, doc_id % 5 > 0 AS judged FROM n)"""
+
+
+@query("verify_documents", RUN_SQL.replace("WHEN c >= 0.9", "WHEN kind = 'relationship' AND doc_id % 7 = 0 THEN 'rejected' WHEN c >= 0.9") + " SELECT id, kind, status, CASE WHEN judged THEN round(c, 3)::DOUBLE END AS verification_confidence, CASE WHEN judged THEN status END AS note FROM j")
+def verify_documents(spark, d):
+    """An edge for each document, between a word that it holds and one that every other document lacks; a fifth has been judged before."""
+    t, k = table(spark, d, "documents").where("length(text) >= 20"), F.col("doc_id")
+    name = lambda p: F.concat(F.lit(p), k.cast("string"))
+    common = [
+        F.lit("user").alias("trust"), F.when(k % 5 == 0, "verified").when(k % 5 == 1, "unverified").alias("status"), F.array(k.cast("string")).alias("source_document_ids"),
+        F.array(k).alias("source_chunk_ids"), F.create_map(F.lit("by"), F.lit("x")).alias("annotations"),
+    ]
+    e = t.select(name("a").alias("entity_id"), F.substring("text", 1, 8).alias("name"), *common)
+    e = e.unionByName(t.select(name("b").alias("entity_id"), F.when(k % 2 == 0, F.substring("text", 3, 5)).otherwise("zzzzq").alias("name"), *common))
+    r = t.select(name("r").alias("relationship_id"), name("a").alias("source_entity_id"), name("b").alias("target_entity_id"), F.lit("AND_THE").alias("relationship_type"), *common)
+    chunks = t.select(k.alias("chunk_id"), F.col("text").alias("content"))
+    e = e.withColumn("entity_type", F.lit("Concept"))
+    none = vectors(spark, d).select(F.col("k").cast("string").alias("item_id"), "vector")
+    against = t.where(k % 7 == 0).select(name("r").alias("relationship_id"))
+    nodes, edges, _ = D.verify_documents(t.select(k.alias("document_id")), e, r, chunks, none, conflicts=against)
+    shown = [F.lit(x) for x in ("entity", "relationship")]
+    cols = ["status", "verification_confidence", F.col("annotations")["verification_status"].alias("note")]
+    out = nodes.select(F.col("entity_id").alias("id"), shown[0].alias("kind"), *cols)
+    return out.unionByName(edges.select(F.col("relationship_id").alias("id"), shown[1].alias("kind"), *cols))
