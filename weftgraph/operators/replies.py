@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import camel_key, capitalised, parse_reply, relation_name, title_case
+from .chunking import CONTEXT_CAPS
 
 ENTITY_REPLY = "entities array<struct<name:string,type:string,description:string,confidence:double>>"
 RELATIONSHIP_REPLY = "relationships array<struct<source_entity:string,target_entity:string,relationship_type:string,description:string,confidence:double,evidence:string>>"
@@ -110,7 +111,7 @@ def parse_schema_replies(rows: DataFrame) -> DataFrame:
     return a.unionByName(rows.select(F.lit("relationship").alias("kind"), F.explode(r["relationshipTypes"]).alias("value"))).distinct()
 
 
-def build_requests(chunks: DataFrame, entities: DataFrame, most: int = 3000) -> DataFrame:
+def build_requests(chunks: DataFrame, entities: DataFrame, most: int = CONTEXT_CAPS["relationship_prompt"]) -> DataFrame:
     """Request rows: the chunk's text, cut, and a line ``- name (type): description`` for each of its entities, in order."""
     line = F.concat(
         F.lit("- "), F.col("name"), F.lit(" ("), F.col("entity_type"), F.lit(")"),
