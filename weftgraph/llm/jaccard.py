@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..operators.stars import star_components
 from ..staging import stage
 from .keyfilter import with_may
-from .textbatch import chunks, grouped_sum, lower_ascii, mix, owner, span_hash, words
+from .textbatch import chunks, give_back, grouped_sum, lower_ascii, mix, owner, span_hash, words
 
 #: Groups of the count vector, classes of a tree's leaf, of a tree, of trees searched many at once, and members verified against one copy of a leader.
 GROUPS, LEAF, BLOCK, FEW, SALT = 128, 64, 2048, 12, 128
@@ -139,6 +139,7 @@ def _classes(k: int):
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("row_key"), pa.array(size), pa.array(mark), pa.array(vector, pa.binary())], names=["doc_id", "row_key", "n_shingles", "mark", "vector"]
             )
+            give_back()
 
     return run
 
@@ -164,6 +165,7 @@ def _keys(percent: int, k: int, spans: bool = False):
                     yield pa.RecordBatch.from_arrays([pa.array(key[head]), pa.array(mark[head]), pa.array(mark[last])], names=["key", "low", "high"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mark)], names=["key", "mark"])
+            give_back()
             if len(seen) > 100_000:
                 seen.clear()
 
@@ -199,6 +201,7 @@ def _linked(percent: int, k: int):
                         if int((leader[at] == own).sum()) >= enough(len(own), len(leader), percent):
                             out.append((keys[r][0], int(mark[r])))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+            give_back()
 
     return run
 
@@ -349,6 +352,8 @@ def _searched(percent: int, forest: bool):
             held = rows.slice(whole).to_batches()
         if held:
             yield flush(pa.Table.from_batches(held))
+        held.clear()
+        give_back()
 
     return run
 

@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..staging import stage
+from .textbatch import give_back
 
 _LETTERS = regex.compile(r"\p{L}+")
 
 #: Tokens beyond which a worker forgets those it has scored; rows scored at a time; steps of a unit of log frequency.
-MEMORY_TOKENS, ROWS, SCALE = 150_000, 200, 1 << 16
+MEMORY_TOKENS, ROWS, SCALE = 100_000, 100, 1 << 16
 #: Bytes that a model may have.
 MODEL_BYTES = 256 << 20
 
@@ -101,6 +102,8 @@ def _grams(orders: tuple[int, ...]):
                 [*(pa.array(c, t) for c, t in zip(keys, kinds, strict=True)), pa.array(out.values(), pa.int64())],
                 names=["lang", "kind", "gram", "n"],
             )
+            out.clear()
+            give_back()
 
     return run
 
@@ -234,6 +237,9 @@ def identify_languages(docs: DataFrame, model: dict, text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(said, pa.string()), pa.array(share)], names=[*b.schema.names, "lang_pred", "score"],
             )
+            give_back()
+        del scorer
+        give_back()
 
     kind = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return kept.mapInArrow(run, kind)

@@ -9,8 +9,6 @@ and are put in by position. Decoding looks each id up in the table of pieces, wh
 from __future__ import annotations
 
 import collections
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..staging import stage_bucketed
-from .textbatch import span_hash
+from .textbatch import give_back, span_hash
 from .vocabularies import blocks, from_varints, ragged, rules, to_varints
 
 #: Characters of text whose words are named together.
@@ -39,13 +37,6 @@ _FIELDS = ["chunk", "bucket", "sizes", "data", "ids"]
 ORDER, TEXTS = -1, -2
 
 
-def give_back() -> None:
-    """Freed memory goes back to the machine: workers live on between tasks, and others start beside them."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def numbered() -> collections.defaultdict:
     """A dictionary that numbers its keys as they are first asked for."""
     out: collections.defaultdict = collections.defaultdict()
