@@ -19,14 +19,14 @@ MANY_QUERIES = 1_000_000
 def bounded_context(rows: DataFrame, chunks: DataFrame, id_col: str, most: int, between: str = "\n\n") -> DataFrame:
     """(id, context): texts of each row's ``source_chunk_ids`` in order, joined and cut after ``most`` characters.
 
-    Lengths come first: a chunk's text is fetched only if it begins before the cut, so no row gathers more than that, however many
+    Lengths come first: a chunk's text is fetched only if it, or what stands between it and the one before, begins before the cut, so no row gathers more than that, however many
     chunks it names. Ids without a chunk, and nulls, have no text; a row without any text has no context row.
     """
     places = rows.select(id_col, F.posexplode("source_chunk_ids").alias("pos", "chunk_id"))
     sized = places.join(chunks.select("chunk_id", F.length("content").alias("n")).where("n is not null"), "chunk_id")
     before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     begins = F.coalesce(F.sum(F.col("n") + len(between)).over(before), F.lit(0))
-    kept = sized.withColumn("begins", begins).where(F.col("begins") < most).select(id_col, "pos", "chunk_id")
+    kept = sized.withColumn("begins", begins).where(F.col("begins") < most + len(between)).select(id_col, "pos", "chunk_id")
     held = kept.join(chunks.select("chunk_id", F.substring("content", 1, most).alias("content")), "chunk_id")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"])
     return held.groupBy(id_col).agg(F.substring(F.array_join(parts, between), 1, most).alias("context"))
