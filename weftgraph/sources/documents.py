@@ -132,11 +132,11 @@ def rows_to_doc(rows: DataFrame, order: str) -> DataFrame:
     )
 
 
-def csv_to_doc(spark: SparkSession, path: str, lines: int = 10_000) -> DataFrame:
+def csv_to_doc(spark: SparkSession, path: str, lines: int | None = 10_000) -> DataFrame:
     """CSV files below ``path`` as texts: file, part, title, content, row_count, column_count, by the rules of ``rows_to_doc``.
 
     Cells are read by Spark's CSV reader. No file is held in one row: what a task reads of it is cut every ``lines`` rows,
-    each part begins with the headers, and parts rise in the file's order.
+    each part begins with the headers, and parts rise in the file's order. Without ``lines`` each file is one whole text, part 0.
     """
     rows = spark.read.option("header", True).csv(path)
     cells = rows.columns
@@ -146,7 +146,8 @@ def csv_to_doc(spark: SparkSession, path: str, lines: int = 10_000) -> DataFrame
         at.alias("at"),
     )
     held = F.array_sort(F.collect_list(F.struct("at", "line")))
-    return placed.groupBy("file", F.expr(f"shiftright(at, 33) * {1 << 33} + (at & {(1 << 33) - 1}) div {lines}").alias("part")).agg(held.alias("held")).select(
+    part = F.lit(0).cast("long") if lines is None else F.expr(f"shiftright(at, 33) * {1 << 33} + (at & {(1 << 33) - 1}) div {lines}")
+    return placed.groupBy("file", part.alias("part")).agg(held.alias("held")).select(
         "file", "part", F.lit("CSV Data: " + ", ".join(cells[:3])).alias("title"),
         F.concat_ws("\n", F.lit(" | ".join(cells)), F.array_join("held.line", "\n")).alias("content"), F.size("held").alias("row_count"), F.lit(len(cells)).alias("column_count"),
     )
