@@ -104,11 +104,9 @@ def verify_embedding(rows: DataFrame, similarity: Column, hits: DataFrame, edges
     t = hits.where("role = 'target'").select("relationship_id", F.col("entity_id").alias("target_entity_id"))
     like = F.col("text_similarity") if "text_similarity" in edges.columns else F.lit(None).cast("double")
     stored = edges.select("source_entity_id", "target_entity_id", F.col("relationship_type").alias("old_type"), like.alias("like"))
-    met = (
-        s.join(stored, "source_entity_id")
-        .join(t, ["relationship_id", "target_entity_id"])
-        .join(rows.select("relationship_id", "relationship_type"), "relationship_id")
-    )
+    # an edge's own hits meet first: a few pairs each, however many edges an entity has
+    ends = s.join(t, "relationship_id").join(rows.select("relationship_id", "relationship_type"), "relationship_id")
+    met = ends.join(stored, ["source_entity_id", "target_entity_id"])
     credit = met.groupBy("relationship_id").agg(
         F.max(F.round(rel_credit(F.col("like"), F.col("old_type") == F.col("relationship_type")), 4)).alias("edge_credit"),
     )

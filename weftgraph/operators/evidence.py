@@ -57,7 +57,8 @@ def verify_by_vectors(
     best_hit = hits.groupBy("relationship_id").agg(F.max("score").alias("hit_score"))
     source, target = (hits.where(F.col("role") == r).select("relationship_id", F.col("entity_id").alias(f"{r}_entity_id")) for r in ("source", "target"))
     stored = edges.select("source_entity_id", "target_entity_id", F.col("relationship_type").alias("old_type"), F.col("vector").alias("old_vector"))
-    met = source.join(stored, "source_entity_id").join(target, ["relationship_id", "target_entity_id"])
+    # an edge's own hits meet first: k times k pairs at most, however many edges an entity has
+    met = source.join(target, "relationship_id").join(stored, ["source_entity_id", "target_entity_id"])
     met = met.join(rows.select("relationship_id", "relationship_type", "query_vector"), "relationship_id")
     credit = rel_credit(cosine(F.col("query_vector"), F.col("old_vector")), F.col("relationship_type") == F.col("old_type"))
     credits = met.groupBy("relationship_id").agg(F.max(F.round(credit, 4)).alias("edge_credit"))
