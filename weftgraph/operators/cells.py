@@ -21,6 +21,8 @@ from ..staging import stage
 
 #: Vectors of the sample that centres are fitted on; centres; shells of the half turn; vectors of a block; queries that meet a block at once.
 SAMPLE, CENTRES, SHELLS, BLOCK_ITEMS, BLOCK_QUERIES = 20_000, 1024, 48, 20_000, 4096
+#: Rows of a plan, with a vector each, that a task makes at once.
+PLANNED_ROWS = 8192
 #: Blocks at most, since a row for each goes to every task.
 MOST_BLOCKS = 1 << 19
 #: What rounding to six places and floating point may hide.
@@ -119,7 +121,7 @@ class VectorCells:
             for b in batches:
                 x, _ = _unit(b.column("query_vector"))
                 bound = b.column("bound").to_numpy(zero_copy_only=False)
-                step = max(1, (1 << 22) // max(1, len(blocks)))
+                step = max(1, (1 << 20) // max(1, len(blocks)))
                 for first in range(0, len(x), step):
                     some = x[first : first + step]
                     angle = np.arccos(np.clip(some @ centres.T, -1.0, 1.0)) if len(centres) else np.zeros((len(some), 1))
@@ -131,12 +133,14 @@ class VectorCells:
                     np.put_along_axis(taken, order, before < wanted, axis=1)
                     if later:
                         taken = ~taken & (np.cos(least) >= bound[first : first + step, None] - _SLACK)
-                    row, which = np.nonzero(taken)
-                    at = pa.array(row + first)
-                    yield pa.RecordBatch.from_arrays(
-                        [*(c.take(at) for c in b.columns), pa.array(which.astype(np.int32)), pa.array(sizes[which])],
-                        names=["query_id", "query_vector", "bound", "block", "n"],
-                    )
+                    rows, whiches = np.nonzero(taken)
+                    for begin in range(0, len(rows), PLANNED_ROWS):  # each row repeats its query's vector
+                        row, which = rows[begin : begin + PLANNED_ROWS], whiches[begin : begin + PLANNED_ROWS]
+                        at = pa.array(row + first)
+                        yield pa.RecordBatch.from_arrays(
+                            [*(c.take(at) for c in b.columns), pa.array(which.astype(np.int32)), pa.array(sizes[which])],
+                            names=["query_id", "query_vector", "bound", "block", "n"],
+                        )
 
         return stage(queries.mapInArrow(plan, _with(queries, "block int, n long")), "planned")
 
