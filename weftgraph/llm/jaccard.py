@@ -14,7 +14,7 @@ rarest shingles: of sets that link, the prefixes in order of frequency share one
 
 Trees are searched twice. First each gives a forest of surviving pairs, enough to hold its candidates together; verified
 pairs make components. Then each tree some pair of whose forest is still apart gives all surviving pairs between different
-components. So the number of pairs grows with a crowd's size where its classes link, and no link is lost where they don't.
+components, but for those that a tree of a smaller key gives: a class knows its ``FIRST`` smallest keys. So the number of pairs grows with a crowd's size where its classes link, and no link is lost where they don't.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .textbatch import chunks, give_back, grouped_sum, lower_ascii, mix, owner,
 
 #: Groups of the count vector, classes of a tree's leaf, of a tree, of trees searched many at once, and members verified against one copy of a leader.
 GROUPS, LEAF, BLOCK, FEW, SALT = 128, 64, 2048, 12, 128
+#: Keys that a class knows of the trees it stands in, and what fills their places where it stands in fewer.
+FIRST, NONE = 32, np.iinfo(np.int64).max
 #: The largest count a vector tells; it stands for any larger one.
 FULL = 65535
 #: Bits of a shingle's hash; the ten above them number the texts of a chunk.
@@ -314,6 +316,25 @@ def _small(first: np.ndarray, n: np.ndarray, root: np.ndarray, size: np.ndarray,
     return a[use], b[use]
 
 
+def first_keys(lists: pa.ChunkedArray) -> np.ndarray:
+    """A row of the ``FIRST`` smallest keys of each class."""
+    held = pa.concat_arrays(lists.chunks)
+    n = held.value_lengths().to_numpy()
+    out = np.full((len(n), FIRST), NONE)
+    out[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = held.flatten().to_numpy()
+    return out
+
+
+def given_before(key: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share a key smaller than theirs, as far as their first keys tell: the smallest key they share gives them."""
+    out = np.zeros(len(a), bool)
+    for s in range(0, len(a), 4096):
+        x, y = first[a[s : s + 4096]], first[b[s : s + 4096]]
+        before = x < key[a[s : s + 4096], None]
+        out[s : s + 4096] = ((x[:, :, None] == y[:, None, :]).any(axis=2) & before).any(axis=1)
+    return out
+
+
 def _searched(percent: int, forest: bool):
     """Candidate pairs (a, b) of classes of the trees' blocks, with the block's key; rows come sorted by block."""
     search = _forest if forest else _apart
@@ -335,6 +356,9 @@ def _searched(percent: int, forest: bool):
                     found = np.array(list(search(Tree(vector[x:y], size[x:y]), root[x:y], percent)), np.int64).reshape(-1, 2) + x
                     pairs.append((found[:, 0], found[:, 1]))
             a, b = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in pairs)]) for i in (0, 1))
+            if not forest:
+                new = ~given_before(key, first_keys(rows.column("first")), a, b)
+                a, b = a[new], b[new]
             return pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(mark[a]), pa.array(mark[b])], names=["key", "a", "b"])
 
         for b in batches:
@@ -402,7 +426,7 @@ def _blocks(met: DataFrame, classes: DataFrame) -> DataFrame:
         .withColumn("part", F.pmod(F.xxhash64("mark"), "parts").cast("int"))
         .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("key", "mark", "root", F.least("part", "to").alias("low"), F.greatest("part", "to").alias("high"))
-        .join(classes.select("mark", "n_shingles", "vector"), "mark")
+        .join(classes, "mark")
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high", "mark")
     )
@@ -442,7 +466,8 @@ def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
     if crowded.take(1):
         met = stage(met.where(F.col("n") <= BLOCK).unionByName(_once(_dealt_again(crowded, texts, classes, percent, k))), "trees")
 
-    found = stage(_blocks(met.withColumn("root", F.col("mark")), classes).mapInArrow(_searched(percent, True), "key long, a long, b long"), "forest")
+    points = classes.select("mark", "n_shingles", "vector")
+    found = stage(_blocks(met.withColumn("root", F.col("mark")), points).mapInArrow(_searched(percent, True), "key long, a long, b long"), "forest")
     links = stage(verify(texts, found, percent, k), "links")
     roots = star_components(links)
     ends = found
@@ -453,7 +478,8 @@ def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
     # a tree all of whose forest's pairs are held together has no other candidates to look at
     apart = ends.where("root_a <> root_b").select("key").distinct()
     placed = met.join(apart, "key").join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    found = _blocks(placed, classes).mapInArrow(_searched(percent, False), "key long, a long, b long")
+    first = placed.groupBy("mark").agg(F.slice(F.array_sort(F.collect_list("key")), 1, FIRST).alias("first"))
+    found = _blocks(placed, points.join(first, "mark")).mapInArrow(_searched(percent, False), "key long, a long, b long")
     more = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stage(verify(texts, more, percent, k), "links")
     roots = star_components(links.unionByName(more)) if more.take(1) else roots
