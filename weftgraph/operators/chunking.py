@@ -121,24 +121,30 @@ def split_sentences(c: Column) -> Column:
 def group_sentences(vectors: np.ndarray, words: list[int], most: int, least: int, threshold: float) -> list[list[int]]:
     """Numbers of the sentences of each chunk: break on a turn of topic or a full chunk, then merge small ones."""
     groups: list[list[int]] = []
+    sizes: list[int] = []
     for i, n in enumerate(words):
         if groups:
             now = groups[-1]
-            held = sum(words[j] for j in now)
-            centre = vectors[now].mean(axis=0)
+            centre = total / len(now)
             scale = np.linalg.norm(centre) * np.linalg.norm(vectors[i])
             alike = float(centre @ vectors[i] / scale) if scale else 0.0
-            if held < least or (alike >= threshold and held + n <= most):
+            if sizes[-1] < least or (alike >= threshold and sizes[-1] + n <= most):
                 now.append(i)
+                sizes[-1] += n
+                total += vectors[i]
                 continue
         groups.append([i])
+        sizes.append(n)
+        total = vectors[i].astype(float)
     merged: list[list[int]] = []
-    for g in groups:
-        small = sum(words[j] for j in g) < least
-        if merged and (small or sum(words[j] for j in merged[-1]) < least):
-            merged[-1] = merged[-1] + g
+    held: list[int] = []
+    for g, n in zip(groups, sizes, strict=True):
+        if merged and (n < least or held[-1] < least):
+            merged[-1] += g
+            held[-1] += n
         else:
             merged.append(g)
+            held.append(n)
     return merged
 
 
@@ -156,7 +162,7 @@ def chunk_semantic(sentences: DataFrame, most: int = 512, least: int = 30, thres
                 words = [len(s.split()) for s in said]
                 if not words:
                     continue
-                for k, g in enumerate(group_sentences(np.array([list(v) for v in vecs], float), words, most, least, threshold)):
+                for k, g in enumerate(group_sentences(np.array(list(vecs), float), words, most, least, threshold)):
                     rows.append((doc, k, " ".join(said[i] for i in g), sum(words[i] for i in g)))
             yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "content", "token_count"])
 

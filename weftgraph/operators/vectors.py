@@ -196,16 +196,46 @@ def reembed(rows: DataFrame, text, embed) -> DataFrame:
 @F.pandas_udf(ArrayType(FloatType()))
 def hashed_embedding(texts):
     """Default vectors: signed feature hashing of character trigrams into 64 places (not a trained model)."""
-    import zlib
-
     import pandas as pd
 
-    out = []
-    for t in texts:
-        v, s = np.zeros(64, np.float32), f" {(t or '').lower()} "
-        for i in range(len(s) - 2):
-            h = zlib.crc32(s[i : i + 3].encode())
-            v[h % 64] += 1 if h >> 31 else -1
-        n = np.linalg.norm(v)
-        out.append((v / n if n else v).tolist())
-    return pd.Series(out)
+    return pd.Series(list(trigram_vectors([f" {(t or '').lower()} " for t in texts])), dtype=object)
+
+
+def trigram_vectors(texts: list[str], most: int = 1 << 20) -> np.ndarray:
+    """Unit vectors (float32) of the crc32 of each three neighbouring characters in UTF-8; ``most`` characters at a time, or one text."""
+    out, first, held = np.zeros((len(texts), 64), np.float32), 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= most or i == len(texts) - 1:
+            out[first : i + 1] = _trigram_counts(texts[first : i + 1])
+            first, held = i + 1, 0
+    norm = np.array([np.linalg.norm(v) for v in out], np.float32)
+    return np.divide(out, norm[:, None], out=out, where=norm[:, None] > 0)
+
+
+def _trigram_counts(texts: list[str]) -> np.ndarray:
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    ends = np.append(starts, len(data))[3:]
+    n = np.array([len(t) for t in texts])
+    who = np.repeat(np.arange(len(texts)), n)
+    whole = who[:-2] == who[2:]  # trigrams of one text
+    who, low, high = who[:-2][whole], starts[:-2][whole], ends[whole]
+    crc = np.full(len(low), 0xFFFFFFFF, np.uint32)
+    for k in range(int((high - low).max(initial=0))):
+        at = slice(None) if k < 3 else np.flatnonzero(low + k < high)
+        crc[at] = CRC[(crc[at] ^ data[low[at] + k]) & 0xFF] ^ (crc[at] >> 8)
+    crc ^= 0xFFFFFFFF
+    sign = np.where(crc >> 31, 1.0, -1.0)
+    return np.bincount(who * 64 + crc % 64, weights=sign, minlength=len(texts) * 64).reshape(-1, 64)
+
+
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+#: What a byte does to a crc32.
+CRC = _crc_table()

@@ -82,7 +82,8 @@ def chunk_semantic(spark, d):
     from ..operators.vectors import hashed_embedding
 
     s = docs(spark, d).select("document_id", C.split_sentences(F.col("content")).alias("sentences"))
-    each = s.select("document_id", F.posexplode("sentences").alias("pos", "sentence")).withColumn("vector", hashed_embedding("sentence"))
+    # dealt out by document before vectors are made: texts alone travel, and the work does not hang on how the table is cut into files
+    each = s.select("document_id", F.posexplode("sentences").alias("pos", "sentence")).repartition("document_id").withColumn("vector", hashed_embedding("sentence"))
     held = F.array_sort(F.collect_list(F.struct("pos", "sentence", "vector")))
     rows = (
         each.groupBy("document_id")
