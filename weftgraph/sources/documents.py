@@ -160,13 +160,13 @@ def xml_to_doc(xml: Column) -> tuple[Column, Column]:
 
 
 def json_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A page for each item of JSON array files: file, page_number, total_pages, text (list values joined by line feeds).
+    """A page for each item of JSON array files: file, page_number, total_pages, text (list values joined by line feeds), in order.
 
     Several tasks read one file (``json_items``).
     """
     items = json_items(spark, path).withColumn("item", F.from_json("item", "map<string,string>"))
     lists = F.transform_values("item", lambda k, v: F.coalesce(F.array_join(F.from_json(v, "array<string>"), "\n"), v))
-    return items.select("file", (F.col("pos") + 1).cast("int").alias("page_number"), F.col("n_items").cast("int").alias("total_pages"), F.array_join(F.map_values(lists), "\n").alias("text"))
+    return items.select("file", (F.col("pos") + 1).cast("int").alias("page_number"), F.col("n_items").cast("int").alias("total_pages"), F.array_join(F.map_values(lists), "\n").alias("text")).orderBy("file", "page_number")
 
 
 def product_text(title: Column, keywords: Column, description: Column, specification: Column) -> Column:
