@@ -482,7 +482,8 @@ def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
     found = _blocks(placed, points.join(first, "mark")).mapInArrow(_searched(percent, False), "key long, a long, b long")
     more = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stage(verify(texts, more, percent, k), "links")
-    roots = star_components(links.unionByName(more)) if more.take(1) else roots
+    if more.take(1):
+        roots = star_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     its = classes.join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "first", F.coalesce("root", "mark").alias("root"))
     least = its.groupBy("root").agg(F.min("first").alias("component"))
