@@ -66,31 +66,46 @@ def parse_rel_duplicate(rows: DataFrame, n_candidates: str = "n_candidates") ->
 
 
 def parse_graph_replies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of node/edge replies: wrapped lists are unwrapped, incomplete items skipped, end types filled in."""
+    """Nodes and edges of node/edge replies: wrapped lists are unwrapped, incomplete items skipped, end types filled in.
+
+    An end without a type takes that of the request's first node of its id. Where a request has one reply these stand in the row; only
+    requests of several replies need their nodes gathered.
+    """
     node, edge = "array<struct<id:string,type:string>>", "array<struct<source_node_id:string,source_node_type:string,target_node_id:string,target_node_type:string,type:string>>"
     flat = parse_reply(F.col("reply"), f"nodes {node}, relationships {edge}")
     boxed = parse_reply(F.col("reply"), f"nodes struct<Items:{node}>, relationships struct<Items:{edge}>")
+    held = F.coalesce(flat["nodes"], boxed["nodes"]["Items"])
     nodes = (
-        rows.select("request_id", F.posexplode(F.coalesce(flat["nodes"], boxed["nodes"]["Items"])).alias("pos", "n"))
+        rows.select("request_id", F.posexplode(held).alias("pos", "n"))
         .where("n.id is not null")
-        .select("request_id", "pos", title_case(F.col("n.id")).alias("id"), capitalised(F.coalesce("n.type", F.lit("node"))).alias("type"))
+        .select("request_id", "pos", title_case(F.col("n.id")).alias("id"), _node_type(F.col("n.type")).alias("type"))
     )
-    edges = rows.select("request_id", F.posexplode(F.coalesce(flat["relationships"], boxed["relationships"]["Items"])).alias("pos", "r")).where(
-        "r.source_node_id is not null and r.target_node_id is not null and r.type is not null",
+    alone = rows.where("request_id is not null").groupBy("request_id").count().where("count > 1").isEmpty()
+    known = [F.transform(held, lambda n: title_case(n["id"])).alias("ids"), F.transform(held, lambda n: _node_type(n["type"])).alias("types")] if alone else []
+    names = ["ids", "types"] if alone else []
+    edges = (
+        rows.select("request_id", F.coalesce(flat["relationships"], boxed["relationships"]["Items"]).alias("rs"), *known)
+        .select("request_id", *names, F.posexplode("rs").alias("pos", "r"))
+        .where("r.source_node_id is not null and r.target_node_id is not null and r.type is not null")
+        .select(
+            "request_id", "pos", title_case(F.col("r.source_node_id")).alias("source"), F.col("r.source_node_type").alias("source_type"),
+            title_case(F.col("r.target_node_id")).alias("target"), F.col("r.target_node_type").alias("target_type"),
+            relation_name(F.col("r.type")).alias("type"), *names,
+        )
     )
     first = nodes.groupBy("request_id", "id").agg(F.min_by("type", "pos").alias("first_type"))
-    edges = edges.select(
-        "request_id", "pos", title_case(F.col("r.source_node_id")).alias("source"), F.col("r.source_node_type").alias("source_type"),
-        title_case(F.col("r.target_node_id")).alias("target"), F.col("r.target_node_type").alias("target_type"),
-        relation_name(F.col("r.type")).alias("type"),
-    )
     for end in ("source", "target"):
-        edges = (
-            edges.join(first.withColumnsRenamed({"id": end, "first_type": f"{end}_first"}), ["request_id", end], "left")
-            .withColumn(f"{end}_type", capitalised(F.coalesce(f"{end}_type", f"{end}_first")))
-            .drop(f"{end}_first")
-        )
-    return nodes, edges
+        if alone:
+            at = F.array_position("ids", F.col(end))
+            edges = edges.withColumn(f"{end}_first", F.when((at > 0) & F.col("request_id").isNotNull(), F.get("types", (at - 1).cast("int"))))
+        else:
+            edges = edges.join(first.withColumnsRenamed({"id": end, "first_type": f"{end}_first"}), ["request_id", end], "left")
+        edges = edges.withColumn(f"{end}_type", capitalised(F.coalesce(f"{end}_type", f"{end}_first"))).drop(f"{end}_first")
+    return nodes, edges.select("request_id", "pos", "source", "source_type", "target", "target_type", "type")
+
+
+def _node_type(kind: Column) -> Column:
+    return capitalised(F.coalesce(kind, F.lit("node")))
 
 
 def parse_triples(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
