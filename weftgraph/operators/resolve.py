@@ -141,17 +141,19 @@ def merge_entities(entities: DataFrame, edges: DataFrame, mapping: DataFrame) ->
             .drop(f"{end}_to")
         )
     keys = ["source_entity_id", "target_entity_id", "relationship_type"]
-    # ids decide first; the other fields follow the strongest edge alone
-    strongest = F.max(F.struct("strength", "relationship_id"))
+    rest = [c for c in edges.columns if c not in (*keys, "relationship_id")]
+    # dealt out before they are grouped: texts are grouped by sorting, and a task would sort all edges that it reads
     one = (
         moved.where("source_entity_id <> target_entity_id")
+        .repartition(*keys)
         .groupBy(*keys)
-        .agg(F.min("relationship_id").alias("first_id"), strongest.alias("top"), F.count("*").alias("merged"))
+        .agg(
+            F.min("relationship_id").alias("first_id"),
+            # ids decide first; the other fields follow the strongest edge alone
+            F.max_by(F.struct("relationship_id", *rest), F.struct("strength", "relationship_id")).alias("top"), F.count("*").alias("merged"),
+        )
     )
-    rest = [c for c in edges.columns if c not in (*keys, "relationship_id")]
-    fields = edges.select("relationship_id", *rest)
-    kept_edges = one.withColumn("relationship_id", F.col("top.relationship_id")).join(fields, "relationship_id")
-    return kept, kept_edges.select(*keys, F.col("first_id").alias("relationship_id"), *rest, "merged")
+    return kept, one.where("top.relationship_id is not null").select(*keys, F.col("first_id").alias("relationship_id"), *[F.col("top")[c].alias(c) for c in rest], "merged")
 
 
 def resolve_endpoints(edges: DataFrame, entities: DataFrame) -> DataFrame:
