@@ -45,3 +45,11 @@ def test_a_crowd_of_one_name_is_dealt_out(spark, monkeypatch):
     assert sorted({(r.score, r["count"]) for r in got.groupBy("score").count().collect()}) == [(0.8, 2 * 89), (1.0, 89 * 88)]
     near = names.similar_by_chars(rows, rows, 0.9)
     assert near.count() == near.distinct().count() == 89 * 88
+
+
+def test_pairs_are_made_by_many_tasks(spark):
+    from weftgraph.operators import names
+
+    rows = spark.range(900).selectExpr("concat('p', id) entity_id", "concat('Thing#', id) name", "'Product' entity_type")
+    found = names.similar_by_chars(rows, rows, 0.9)
+    assert found.rdd.getNumPartitions() >= 64  # few bytes were one task before, whatever they were joined with
