@@ -3,7 +3,7 @@
 A document is the set of its shingles (three words, or as many as asked); equal sets are one class throughout. The counts of
 a class's shingles in 128 hashed groups are a point. An R-tree over points finds the pairs that may link: the sum of
 coordinate minima with a node's upper corner bounds the overlap with all below it, and pairs that the bound lets through
-are verified exactly by their texts.
+are verified exactly by their texts. Large sets, of which chance fills 128 groups alike, are held against each other by 1024 counts too.
 
 Points are dealt out to trees so that each pair that may link meets in one. Two sets may link only if they differ in
 few shingles, so when shingles are hashed into more groups than that number, some group is equal in both: classes
@@ -37,6 +37,8 @@ GROUPS, LEAF, BLOCK, FEW, SALT = 128, 64, 2048, 12, 128
 FIRST, NONE = 32, np.iinfo(np.int64).max
 #: The largest count a vector tells; it stands for any larger one.
 FULL = 65535
+#: Sets from so many shingles on have finer vectors too, of 8 bits a count and so many groups for every set of a vector's kind.
+FINE, FINE_GROUPS, FINE_FULL = 1024, 1024, 255
 #: Bits of a shingle's hash; the ten above them number the texts of a chunk.
 BITS, MOST = 54, 1000
 
@@ -81,6 +83,37 @@ def count_vectors(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.minimum(held, FULL).reshape(n, GROUPS).astype(np.uint16)
 
 
+def fine_vectors(values: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """The same in many more groups for large sets: chance fills 128 groups with like numbers, whatever a large set holds. Null for others."""
+    out: list[bytes | None] = [None] * (len(bounds) - 1)
+    for i in np.flatnonzero(np.diff(bounds) >= FINE).tolist():
+        held = np.bincount((values[bounds[i] : bounds[i + 1]] % np.uint64(FINE_GROUPS)).astype(np.int64), minlength=FINE_GROUPS)
+        out[i] = np.minimum(held, FINE_FULL).astype(np.uint8).tobytes()
+    return out
+
+
+class Fine:
+    """The fine vectors of some rows (of sets of some sizes), where they have one: what a pair of rows may overlap at most."""
+
+    def __init__(self, vectors: pa.ChunkedArray, size: np.ndarray) -> None:
+        self.size = size
+        own = vectors.is_valid().to_numpy() if len(vectors) else np.zeros(0, bool)
+        self.place = np.where(own, np.cumsum(own) - 1, -1)
+        self.held = np.frombuffer(b"".join(vectors.drop_null().to_pylist()), np.uint8).reshape(-1, FINE_GROUPS)
+
+    def lets(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Which pairs (rows a and b) may overlap enough; pairs without two fine vectors may."""
+        out = np.ones(len(a), bool)
+        both = np.flatnonzero((self.place[a] >= 0) & (self.place[b] >= 0))
+        for s in range(0, len(both), 2048):
+            at = both[s : s + 2048]
+            x, y = self.held[self.place[a[at]]], self.held[self.place[b[at]]]
+            least = np.minimum(x, y)
+            most = least.sum(axis=1, dtype=np.int64)
+            out[at] = (most >= enough(self.size[a[at]], self.size[b[at]], percent)) | (least == FINE_FULL).any(axis=1)
+        return out
+
+
 def unpacked(vectors: pa.ChunkedArray) -> np.ndarray:
     """Count vectors; where one has a full count, which bounds nothing, that becomes very large."""
     held = np.frombuffer(b"".join(vectors.to_pylist()), np.uint16).reshape(-1, GROUPS)
@@ -133,21 +166,23 @@ def signatures(values: np.ndarray, bounds: np.ndarray, bands: Bands) -> tuple[np
 def _classes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, mark, vector = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), []
+            size, mark, vector, fine = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), [], []
             for first, last, data, offsets in chunks(b.column("text"), most=MOST):
                 values, bounds = shingle_sets(data, offsets, k)
                 size[first:last], mark[first:last] = np.diff(bounds), fingerprints(values, bounds)
                 vector += [x.tobytes() for x in count_vectors(values, bounds)]
+                fine += fine_vectors(values, bounds)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row_key"), pa.array(size), pa.array(mark), pa.array(vector, pa.binary())], names=["doc_id", "row_key", "n_shingles", "mark", "vector"]
+                [b.column("doc_id"), b.column("row_key"), pa.array(size), pa.array(mark), pa.array(vector, pa.binary()), pa.array(fine, pa.binary())],
+                names=["doc_id", "row_key", "n_shingles", "mark", "vector", "fine"],
             )
             give_back()
 
     return run
 
 
-def _keys(percent: int, k: int, spans: bool = False):
-    """Bucket keys and marks; with ``spans`` the keys of a chunk once each, with the least and the largest mark that has it."""
+def _keys(percent: int, k: int):
+    """Bucket keys and marks of texts, once for each mark that a task has met lately."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
@@ -158,15 +193,7 @@ def _keys(percent: int, k: int, spans: bool = False):
                 new = np.array([not (m in seen or seen.add(m)) for m in mark.tolist()], dtype=bool)
                 key, which = signatures(values, bounds, bands)
                 use = new[which]
-                key, mark = key[use], mark[which[use]]
-                if spans:
-                    order = np.lexsort((mark, key))
-                    key, mark = key[order], mark[order]
-                    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
-                    last = np.append(head[1:], len(key))[: len(head)] - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(key[head]), pa.array(mark[head]), pa.array(mark[last])], names=["key", "low", "high"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mark)], names=["key", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[use]), pa.array(mark[which[use]])], names=["key", "mark"])
             give_back()
             if len(seen) > 100_000:
                 seen.clear()
@@ -221,7 +248,9 @@ def verify(texts: DataFrame, pairs: DataFrame, percent: int, k: int = 3) -> Data
     leaders = salts.select(
         "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("mark"), F.lit(True).alias("lead"),
     )
-    held = texts.join(members.unionByName(leaders).hint("shuffle_hash"), "mark")
+    asked = members.unionByName(leaders)
+    may = with_may(texts, asked.select(F.col("mark").alias("key")), "mark").where("may").drop("may")  # most texts stand in no pair
+    held = may.join(asked.hint("shuffle_hash"), "mark")
     dealt = held.select("a", "salt", "lead", "mark", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"), "mark")
     return dealt.mapInArrow(_linked(percent, k), "a long, b long")
 
@@ -229,7 +258,9 @@ def verify(texts: DataFrame, pairs: DataFrame, percent: int, k: int = 3) -> Data
 class Tree:
     """An R-tree of count vectors: leaves of neighbouring points, and their upper corners; searched against itself."""
 
-    def __init__(self, points: np.ndarray, size: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, size: np.ndarray, fine: Fine | None = None, first: int = 0) -> None:
+        """``fine`` has the points' fine vectors from row ``first`` on."""
+        self.fine, self.first = fine, first
         axes = np.argsort(-(points.var(axis=0) / (points.mean(axis=0) + 1)))[:2]
         order = np.lexsort((points[:, axes[1]], points[:, axes[0]] // 4, size // 8))
         starts = np.arange(0, len(points), LEAF)
@@ -250,6 +281,9 @@ class Tree:
                 may = bounded(self.points[x], self.size[x], self.points[y], self.size[y], percent)
                 if i == j:
                     may = np.triu(may, 1)
+                if self.fine is not None and may.any():
+                    r, c = np.nonzero(may)
+                    may[r, c] = self.fine.lets(self.order[x][r] + self.first, self.order[y][c] + self.first, percent)
                 if may.any():
                     yield self.order[x], self.order[y], may
 
@@ -287,7 +321,7 @@ def _forest(tree: Tree, root: np.ndarray, percent: int) -> Iterator[tuple[int, i
             label[np.isin(label, parts)] = label[x[i]]
 
 
-def _small(first: np.ndarray, n: np.ndarray, root: np.ndarray, size: np.ndarray, vector: np.ndarray, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+def _small(first: np.ndarray, n: np.ndarray, root: np.ndarray, size: np.ndarray, vector: np.ndarray, percent: int, forest: bool, fine: Fine | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The same for many blocks of ``FEW`` points at most, one leaf each: rows [first, first + n); all their pairs at once."""
     a, b = [], []
     for k in np.unique(n).tolist():
@@ -302,6 +336,9 @@ def _small(first: np.ndarray, n: np.ndarray, root: np.ndarray, size: np.ndarray,
         x, y = a[s : s + 8192], b[s : s + 8192]
         held[s : s + 8192] = np.minimum(vector[x], vector[y]).sum(axis=1, dtype=np.int64) >= enough(size[x], size[y], percent)
     a, b = a[held], b[held]
+    if fine is not None:
+        use = fine.lets(a, b, percent)
+        a, b = a[use], b[use]
     if not forest:
         return a, b
     label, use = list(range(len(root))), []
@@ -346,14 +383,15 @@ def _searched(percent: int, forest: bool):
             names = ("key", "low", "high", "root", "mark", "n_shingles")
             key, low, high, root, mark, size = (rows.column(k).to_numpy() for k in names)
             vector = unpacked(rows.column("vector"))
+            fine = Fine(rows.column("fine"), size) if "fine" in rows.column_names else None
             first = np.concatenate([[0], np.flatnonzero((np.diff(key) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1])
             n = np.diff(np.append(first, len(key)))
             few = n <= FEW
-            pairs = [_small(first[few], n[few], root, size, vector, percent, forest)] if few.any() else []
+            pairs = [_small(first[few], n[few], root, size, vector, percent, forest, fine)] if few.any() else []
             for x, k in zip(first[~few].tolist(), n[~few].tolist(), strict=True):
                 y = x + k
                 if (root[x:y] != root[x]).any():
-                    found = np.array(list(search(Tree(vector[x:y], size[x:y]), root[x:y], percent)), np.int64).reshape(-1, 2) + x
+                    found = np.array(list(search(Tree(vector[x:y], size[x:y], fine, x), root[x:y], percent)), np.int64).reshape(-1, 2) + x
                     pairs.append((found[:, 0], found[:, 1]))
             a, b = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in pairs)]) for i in (0, 1))
             if not forest:
@@ -445,16 +483,15 @@ def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"),
     )
-    marked = stage(rows.mapInArrow(_classes(k), "doc_id long, row_key long, n_shingles long, mark long, vector binary"), "marked")
+    marked = stage(rows.mapInArrow(_classes(k), "doc_id long, row_key long, n_shingles long, mark long, vector binary, fine binary"), "marked")
     classes = stage(
-        marked.where("n_shingles > 0").groupBy("mark", "n_shingles", "vector").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("row_key")),
+        marked.where("n_shingles > 0").groupBy("mark", "n_shingles", "vector", "fine").agg(F.min("doc_id").alias("first"), F.min("row_key").alias("row_key")),
         "classes",
     )
-    keys = rows.select("text").mapInArrow(_keys(percent, k), "key long, mark long")
-    # chunks are combined where they are made; few keys stand in two chunks of a task, so a hash table there would cost memory for nothing
-    spans = rows.select("text").mapInArrow(_keys(percent, k, True), "key long, low long, high long").repartition("key")
-    shared = stage(spans.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key"), "shared")
-    met = stage(with_may(keys, shared).where("may").select("key", "mark").distinct().join(shared, "key"), "met")
+    # one shuffle holds all keys; it is read twice, and what comes of it are keys of two classes and more alone
+    keys = rows.select("text").mapInArrow(_keys(percent, k), "key long, mark long").repartition("key")
+    shared = keys.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("key")
+    met = stage(keys.join(shared.hint("shuffle_hash"), "key").distinct(), "met")
     met = stage(_once(met), "trees")
 
     wanted = classes.join(met.select("mark").distinct(), "mark", "left_semi").select("mark", "row_key")
@@ -466,7 +503,7 @@ def jaccard_rows(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", tex
     if crowded.take(1):
         met = stage(met.where(F.col("n") <= BLOCK).unionByName(_once(_dealt_again(crowded, texts, classes, percent, k))), "trees")
 
-    points = classes.select("mark", "n_shingles", "vector")
+    points = classes.select("mark", "n_shingles", "vector", "fine")
     found = stage(_blocks(met.withColumn("root", F.col("mark")), points).mapInArrow(_searched(percent, True), "key long, a long, b long"), "forest")
     links = stage(verify(texts, found, percent, k), "links")
     roots = star_components(links)
